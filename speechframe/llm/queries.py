@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, eliasfano, topk
+from . import bpe, chat, eliasfano, topk, warc
 from .common import shared_dir
 
 
@@ -15,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
+    return warc.page_results(warc.read_warc(manifest, with_payload=False))
+
+
+def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2n (chosen) and 2n + 1 (rejected) are a pair."""
+    turns = table(spark, sf_dir, "conversations").withColumns({"pair_id": F.expr("conv_id div 2"), "chosen": F.expr("pmod(conv_id, 2) = 0")})
+    return chat.preference_examples(turns)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,12 +48,25 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_preferences": op2_preferences,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_top_k": op9_top_k,
     "op10_token_ids": op10_token_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(8), lambda i: list_transform([15, 10, 5, 0], lambda s:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(x, CAST(5 * i + 1 AS INT), 5) AS INT) >> CAST(s AS INT)) & 31) + 1, 1)).array_to_string('')), '') AS payload_digest,
+               CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < top THEN top END AS refers_to,
+               CASE WHEN page_id < top THEN 1 ELSE CAST(ceil((87 + payload_bytes + 5 + chunk) / 32768.0) AS INTEGER) END AS segments, 'ok' AS status
+        FROM (SELECT *, CAST(coalesce(list_sum(list_transform(range(CAST(ceil(payload_bytes / 8192.0) AS BIGINT)), lambda i: 4 + length(printf('%x', CAST(least(8192, payload_bytes - 8192 * i) AS INT))))), 0) AS BIGINT) AS chunk FROM d)""",
+    "op2_preferences": chat.ORACLE_SQL,
     "op9_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) AS v FROM embeddings
