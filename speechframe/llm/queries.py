@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, eliasfano, topk, warc
+from . import bpe, chat, decontam, eliasfano, topk, warc
 from .common import shared_dir
 
 
@@ -26,6 +26,10 @@ def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_examples(turns)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +54,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_preferences": op2_preferences,
+    "op3_decontamination": op3_decontamination,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_top_k": op9_top_k,
     "op10_token_ids": op10_token_ids,
