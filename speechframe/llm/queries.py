@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, eliasfano, topk, warc
+from . import bpe, chat, decontam, eliasfano, langid, topk, warc
 from .common import shared_dir
 
 
@@ -30,6 +30,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(4, 2))
+    model = langid.fit(docs.where("not held_out"))
+    return langid.predict(docs.drop("lang"), model).drop("text")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_preferences": op2_preferences,
     "op3_decontamination": op3_decontamination,
+    "op5_language": op5_language,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_top_k": op9_top_k,
     "op10_token_ids": op10_token_ids,
