@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, eliasfano, langid, topk, warc
+from . import bpe, chat, decontam, eliasfano, langid, quality, topk, warc
 from .common import shared_dir
 
 
@@ -30,6 +30,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.held_out(5, 0))
+    labels = table(spark, sf_dir, "labels").where(~langid.held_out(5, 0)).select("doc_id", F.col("quality").alias("label"))
+    return quality.score(docs, quality.fit(docs, labels)).drop("text")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(4, 2))
     model = langid.fit(docs.where("not held_out"))
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_preferences": op2_preferences,
     "op3_decontamination": op3_decontamination,
+    "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_top_k": op9_top_k,
