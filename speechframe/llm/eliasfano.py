@@ -171,8 +171,8 @@ def chunk_tokenizer(path: str) -> Callable[[list[str | None]], list[bytes]]:
     ASCII-space-separated chunks in a row.  A full stop or comma after
     an ASCII letter is a match of its own.  ASCII capitals are lowered first where
     that leaves a composed text composed, as the normaliser would lower them.
-    Each distinct chunk of a batch is encoded once; short ones are remembered, the
-    memory emptied when full.
+    Each distinct chunk of a batch is encoded once; the first ``REMEMBERED`` short
+    ones are kept by the Python worker.
     """
     import os
     from unicodedata import is_normalized
@@ -183,6 +183,8 @@ def chunk_tokenizer(path: str) -> Callable[[list[str | None]], list[bytes]]:
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True
     memory: dict[bytes, bytes] = {}
+    ends = np.zeros(max(own.get_vocab().values()) + 1, bool)
+    ends[[i for w, i in own.get_vocab().items() if w.endswith("</w>")]] = True
 
     def plain(text: str) -> bytes:
         raw = text.encode()
@@ -192,21 +194,46 @@ def chunk_tokenizer(path: str) -> Callable[[list[str | None]], list[bytes]]:
     def stem(chunk: bytes) -> bytes:
         return chunk[:-1] if chunk[-1:] in (b".", b",") and chunk[-2:-1].isalpha() else chunk
 
+    def fill(look: dict[bytes, bytes], todo: list[bytes]) -> None:
+        """Encodes chunks; words of ASCII letters many to a call, told apart by the ids that end a word."""
+        words = [c for c in todo if c.isalpha()]
+        rest = [c for c in todo if not c.isalpha()]
+        groups = [words[at : at + 64] for at in range(0, len(words), 64)]
+        for group, e in zip(groups, own.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.asarray(e.ids, "<u4")
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) == len(group):
+                raw, at = ids.tobytes(), 0
+                for c, cut in zip(group, (cuts * 4).tolist()):
+                    look[c] = raw[at:cut]
+                    at = cut
+            else:
+                rest += group
+        for at in range(0, len(rest), 4096):
+            for c, e in zip(rest[at : at + 4096], own.encode_batch_fast([c.decode() for c in rest[at : at + 4096]], add_special_tokens=False)):
+                look[c] = np.asarray(e.ids, "<u4").tobytes()
+
     def encode(texts: list[str | None]) -> list[bytes]:
         chunks = [plain(x or "").split() for x in texts]
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        new = set().union(*chunks).difference(memory)
-        todo = list({y for c in new for y in (stem(c), c[len(stem(c)) :]) if y and y not in memory})
-        look = dict(memory) if any(len(c) > 256 for c in new) else memory  # long chunks aren't remembered
-        for at in range(0, len(todo), 4096):
-            for c, e in zip(todo[at : at + 4096], own.encode_batch_fast([c.decode() for c in todo[at : at + 4096]], add_special_tokens=False)):
-                look[c] = np.asarray(e.ids, "<u4").tobytes()
+        found = [list(map(memory.get, x)) for x in chunks]
+        holes = []
+        for x, f in zip(chunks, found):
+            at = -1
+            for _ in range(f.count(None)):
+                at = f.index(None, at + 1)
+                holes.append((f, at, x[at]))
+        new = {c for _, _, c in holes}
+        extra: dict[bytes, bytes] = {}
+        fill(extra, list({y for c in new for y in (stem(c), c[len(stem(c)) :]) if y and y not in memory}))
         for c in new:
-            look[c] = look[stem(c)] + (look[c[-1:]] if len(stem(c)) < len(c) else b"")
-        if look is not memory:
-            memory.update((c, look[c]) for c in new if len(c) <= 256)
-        return [b"".join([look[c] for c in x]) for x in chunks]
+            s = stem(c)
+            if len(s) < len(c):
+                extra[c] = (extra[s] if s in extra else memory[s]) + (extra[c[-1:]] if c[-1:] in extra else memory[c[-1:]])
+        for f, at, c in holes:
+            f[at] = extra[c]
+        if len(memory) < REMEMBERED:  # what comes early and often stays; later rare chunks are worked out again
+            memory.update((c, x) for c, x in extra.items() if len(c) <= 64)
+        return [b"".join(f) for f in found]
 
     return encode
 
