@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, eliasfano, langid, quality, secrets, topk, warc
+from . import bpe, chat, decontam, eliasfano, langid, neardup, quality, secrets, topk, warc
 from .common import shared_dir
 
 
@@ -50,6 +50,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids"), path))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_secrets": op8_secrets,
     "op9_top_k": op9_top_k,
     "op10_token_ids": op10_token_ids,
