@@ -1,6 +1,8 @@
-"""Queries of the reference's operators, by operator id, and their DuckDB SQL."""
+"""All queries of the reference's operators, and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import records, speech, streams, text, timeline, usage, vectors  # noqa: F401  they register themselves
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
