@@ -1 +1,408 @@
-"""To come."""
+"""Records: scans, sinks and upserts, predicates, limits and set operations (S, K, P, L, U)."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import checks
+from ..operators import export, upsert
+from ..registry import query
+from ..session import table, total
+from ..sources import files
+from .readings import INCIDENTS_SQL, TODAY, USAGE_SQL, incidents, usage
+
+WITH = f"WITH {USAGE_SQL} "
+
+
+@query("s2_newest_first", "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+def s2(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50)
+
+
+@query("s3_point_lookup", "SELECT * FROM customer WHERE c_custkey = 42")
+def s3(spark, d):
+    return table(spark, d, "customer").where("c_custkey = 42")
+
+
+@query("s4_narrow_projection", "SELECT doc_id, source FROM documents WHERE source IS NOT NULL")
+def s4(spark, d):
+    return table(spark, d, "documents").where("source is not null").select("doc_id", "source")
+
+
+@query("s5_tolerant_jsonl", "SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k FROM events WHERE event_id % 7 <> 0")
+def s5(spark, d):
+    """Every seventh line is cut short here; such lines are skipped."""
+    line = F.when(F.col("event_id") % 7 == 0, F.substring("props", 1, 4)).otherwise(F.col("props"))
+    parsed = F.from_json(line, "k int")
+    return table(spark, d, "events").select("event_id", parsed["k"].alias("k")).where("k is not null")
+
+
+@query("s7_settings_map", "SELECT event_id, CASE event_type WHEN 'view' THEN 'auto' ELSE event_type END AS mode FROM events")
+def s7(spark, d):
+    doc = table(spark, d, "events").withColumn("doc", F.to_json(F.struct(F.col("event_type").alias("mode"), F.col("event_id").alias("n"))))
+    return files.settings(doc, "doc", {"mode": {"view": "auto"}}).select("event_id", F.element_at("settings", "mode").alias("mode"))
+
+
+DEFAULT_RULES = json.dumps({"version": 1, "default": "inbox", "buckets": [{"name": "inbox", "note": "inbox.md", "section": "Notes", "as_task": False, "keywords": []}]})
+
+
+@query("s8_rules_default", "SELECT event_type, count(*) AS n, CASE WHEN event_type = 'click' THEN 'work' ELSE 'inbox' END AS first_bucket FROM events GROUP BY 1")
+def s8(spark, d):
+    own = json.dumps({"version": 1, "default": "work", "buckets": [{"name": "work", "keywords": ["a"]}]})
+    doc = table(spark, d, "events").withColumn("doc", F.when(F.col("event_type") == "click", F.lit(own)).when(F.col("event_type") == "view", F.lit("{broken")))
+    return files.rules(doc, "doc", DEFAULT_RULES).groupBy("event_type", F.col("rules.buckets")[0]["name"].alias("first_bucket")).agg(F.count("*").alias("n"))
+
+
+@query("s9_active_entry", "SELECT o_custkey, arg_max(o_orderkey, (CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) * 1000000000000 + epoch(o_orderdate) * 100 + o_orderkey % 100) AS o_orderkey FROM orders GROUP BY 1")
+def s9(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "O").alias("open"), (F.unix_timestamp("o_orderdate") * 100 + F.col("o_orderkey") % 100).alias("at"))
+    return files.active_entry(o, "o_custkey", "open", "at").select("o_custkey", "o_orderkey")
+
+
+@query("s18_json_rows", "SELECT user_id, k, count(*) AS n FROM (SELECT user_id, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k FROM events) GROUP BY 1, 2")
+def s18(spark, d):
+    """A JSON array parameter becomes rows; a null one none."""
+    doc = table(spark, d, "events").groupBy("user_id").agg(F.to_json(F.collect_list(F.from_json("props", "k int"))).alias("doc"))
+    rows = doc.unionByName(doc.select("user_id", F.lit(None).cast("string").alias("doc"))).select("user_id", F.explode(F.from_json(F.coalesce("doc", F.lit("[]")), "array<struct<k:int>>")).alias("e"))
+    return rows.select("user_id", "e.k").groupBy("user_id", "k").agg(F.count("*").alias("n"))
+
+
+@query("s20_manifest", "SELECT sha256(text) AS sha, count(*) AS n FROM documents GROUP BY 1")
+def s20(spark, d):
+    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("n"))
+
+
+@query("s21_versioned_schema", "SELECT s_suppkey AS id, s_name AS name, CAST(NULL AS VARCHAR) AS email, CAST(NULL AS DOUBLE) AS audio_seconds FROM supplier")
+def s21(spark, d):
+    old = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("dropped"))
+    newer = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("email", T.StringType()), T.StructField("audio_seconds", T.DoubleType())])
+    return files.with_columns_of(old, newer)
+
+
+@query("s22_slice", "SELECT user_id, count(*) AS samples, round(sqrt(avg(value * value)), 4) AS rms FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame FROM events) WHERE frame > 5 AND frame <= 25 GROUP BY 1")
+def s22(spark, d):
+    """Frames [5, 25) of every stream, and their level."""
+    from pyspark.sql import Window
+
+    framed = table(spark, d, "events").withColumn("frame", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return framed.where("frame > 5 and frame <= 25").groupBy("user_id").agg(F.count("*").alias("samples"), F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 4).alias("rms"))
+
+
+@query("k1_valid_inserts", "SELECT doc_id, CAST(length(text) AS INTEGER) AS chars FROM documents WHERE trim(text) <> ''")
+def k1(spark, d):
+    return table(spark, d, "documents").where("trim(text) <> ''").select("doc_id", F.char_length("text").alias("chars"))
+
+
+@query("k2_accumulating_upsert", f"{WITH} SELECT day, CAST(2 * sum(words) FILTER (WHERE day <= DATE '2024-01-10') + coalesce(sum(words) FILTER (WHERE day > DATE '2024-01-10'), 0) AS BIGINT) AS words FROM usage WHERE day <= DATE '2024-01-10' GROUP BY 1 UNION ALL SELECT day, CAST(sum(words) AS BIGINT) FROM usage WHERE day > DATE '2024-01-10' GROUP BY 1")
+def k2(spark, d):
+    days = usage(spark, d).groupBy("day").agg(total("words").alias("words"))
+    return upsert.accumulate(days, days.where(F.col("day") <= F.lit("2024-01-10").cast("date")), ["day"], ["words"])
+
+
+@query("k3_replacing_upsert", f"{WITH} SELECT install_id, day, CASE WHEN day >= DATE '2024-01-10' THEN words + 1 ELSE words END AS words, CASE WHEN day >= DATE '2024-01-10' THEN greatest(audio_seconds, round(200 - audio_seconds, 2)) ELSE audio_seconds END AS audio_seconds FROM usage WHERE day <= DATE '2024-01-20' OR day >= DATE '2024-01-10'")
+def k3(spark, d):
+    u = usage(spark, d).select("install_id", "day", "words", "audio_seconds")
+    date = lambda s: F.lit(s).cast("date")
+    new = u.where(F.col("day") >= date("2024-01-10")).select("install_id", "day", (F.col("words") + 1).alias("words"), F.round(200 - F.col("audio_seconds"), 2).alias("audio_seconds"))
+    return upsert.merge(u, new, ["install_id", "day"], {"words": "replace", "audio_seconds": "greatest"})
+
+
+@query("k4_sticky_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'n' || c_custkey END AS first_name, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'new' END AS segment FROM customer")
+def k4(spark, d):
+    """Names are overwritten even by blanks; the segment only by something."""
+    old = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("first_name"), F.col("c_mktsegment").alias("segment"))
+    blank = F.col("c_custkey") % 3 == 0
+    new = old.select("c_custkey", F.when(blank, "").otherwise(F.concat(F.lit("n"), "c_custkey")).alias("first_name"), F.when(blank, " ").otherwise("new").alias("segment"))
+    return upsert.merge(old, new, ["c_custkey"], {"first_name": "replace", "segment": "sticky"})
+
+
+@query("k5_folded_upsert", "SELECT lower(p_brand) AS folded, arg_min(p_brand, p_partkey) AS spelling, min(p_partkey) AS id, arg_max(p_name, p_partkey) AS correct FROM part GROUP BY 1")
+def k5(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("spelling"), F.col("p_partkey").alias("id"), F.col("p_name").alias("correct"))
+    return upsert.upsert_folded(p, "spelling", "p_partkey", ["spelling", "id"], ["correct"])
+
+
+@query("k6_partial_update", "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'negative' ELSE s_name END AS s_name, s_acctbal FROM supplier")
+def k6(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    return upsert.update(s, {"s_name"}, F.col("s_acctbal") < 0, s_name=F.lit("negative"))
+
+
+@query("k7_toggle", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'F' WHEN 'F' THEN 'O' ELSE o_orderstatus END AS status, CASE WHEN o_orderstatus = 'O' THEN o_orderdate END AS done_at FROM orders")
+def k7(spark, d):
+    s = F.col("o_orderstatus")
+    return table(spark, d, "orders").select("o_orderkey", F.when(s == "O", "F").when(s == "F", "O").otherwise(s).alias("status"), F.when(s == "O", F.col("o_orderdate")).alias("done_at"))
+
+
+@query("k8_delete", "SELECT count(*) FILTER (WHERE event_type <> 'error') AS kept, count(*) FILTER (WHERE event_type = 'error') AS deleted FROM events")
+def k8(spark, d):
+    gone = F.col("event_type") == "error"
+    return table(spark, d, "events").agg(F.count_if(~gone).alias("kept"), F.count_if(gone).alias("deleted"))
+
+
+BLOCKS_SQL = """blocks AS (SELECT conv_id AS meeting_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS ord, turn * 2.5 AS s, turn * 2.5 + 2.25 AS e,
+    CASE role WHEN 'user' THEN 'Marie' WHEN 'assistant' THEN 'Voix 2' ELSE 'Voix 3' END AS label, substr(text, 1, 60) AS text FROM conversations)"""
+
+
+def blocks(spark, d):
+    from pyspark.sql import Window
+
+    speaker = F.concat(F.lit("SPEAKER_0"), F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2).cast("string"))
+    names = F.element_at(F.create_map(F.lit("SPEAKER_00"), F.lit("Marie")), speaker)
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("meeting_id"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("ord"), (F.col("turn") * 2.5).alias("start"), (F.col("turn") * 2.5 + 2.25).alias("end"), export.speaker_label(speaker, names).alias("label"), F.substring("text", 1, 60).alias("text"))
+
+
+def srt_sql(c: str) -> str:
+    return f"printf('%02d:%02d:%02d,%03d', CAST(floor({c} / 3600) AS INT), CAST(floor({c} / 60) AS INT) % 60, CAST(floor({c}) AS INT) % 60, CAST(round({c} * 1000) AS INT) % 1000)"
+
+
+@query("k11_export_srt", f"WITH {BLOCKS_SQL} SELECT meeting_id, string_agg((ord + 1) || chr(10) || {srt_sql('s')} || ' --> ' || {srt_sql('e')} || chr(10) || label || ': ' || text, chr(10) || chr(10) ORDER BY ord) AS content FROM blocks GROUP BY 1")
+def k11(spark, d):
+    return export.srt(blocks(spark, d))
+
+
+@query("k11_export_markdown", f"WITH {BLOCKS_SQL} SELECT meeting_id, string_agg('**' || label || '**: ' || text, chr(10) || chr(10) ORDER BY ord) AS content FROM blocks GROUP BY 1")
+def k11b(spark, d):
+    return export.markdown(blocks(spark, d))
+
+
+@query("k11_export_text", f"WITH {BLOCKS_SQL} SELECT meeting_id, string_agg(label || ': ' || text, chr(10) ORDER BY ord) AS content FROM blocks GROUP BY 1")
+def k11c(spark, d):
+    return export.plain(blocks(spark, d))
+
+
+@query("f11_srt_time", f"SELECT event_id, {srt_sql('v')} AS t FROM (SELECT event_id, greatest(0, value) AS v FROM events)")
+def f11(spark, d):
+    return table(spark, d, "events").select("event_id", export.srt_time(F.col("value")).alias("t"))
+
+
+@query("k13_under_heading", "SELECT source AS note, '## Docs' || chr(10) || string_agg('- ' || doc_id, chr(10) ORDER BY doc_id DESC) || chr(10) || 'old' AS content FROM documents WHERE source IS NOT NULL GROUP BY 1")
+def k13(spark, d):
+    docs = table(spark, d, "documents").where("source is not null")
+    notes = docs.select(F.col("source").alias("note")).distinct().withColumn("content", F.lit("## Docs\nold"))
+    lines = docs.select(F.col("source").alias("note"), F.lit("Docs").alias("section"), F.col("doc_id").alias("ord"), F.concat(F.lit("- "), "doc_id").alias("line"))
+    return export.under_heading(notes, lines)
+
+
+@query("k14_declared_fields", f"{WITH} SELECT install_id, day, dictations, words FROM usage WHERE install_id % 2 = 0")
+def k14(spark, d):
+    """Rows of consenting installs only, of the declared fields only."""
+    sent = usage(spark, d).withColumn("consent", F.when(F.col("install_id") % 2 == 0, True).when(F.col("install_id") % 3 == 0, F.lit(None)).otherwise(False))
+    return sent.where(F.col("consent").eqNullSafe(True)).select("install_id", "day", "dictations", "words")
+
+
+@query("k16_templates", "SELECT c_custkey, 'Hello ' || c_name || ', segment ' || c_mktsegment || '.' AS mail FROM customer")
+def k16(spark, d):
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", files.templated(c, "Hello {{c_name}}, segment {{c_mktsegment}}.", ["c_name", "c_mktsegment"]).alias("mail"))
+
+
+@query("k17_rename_and_delete", "SELECT s_suppkey, CASE WHEN s_suppkey = 3 THEN 'renamed' ELSE s_name END AS s_name FROM supplier WHERE s_suppkey <> 5")
+def k17(spark, d):
+    """A blank new name changes nothing."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name").where("s_suppkey <> 5")
+    new = F.when(F.col("s_suppkey") == 3, "renamed").when(F.col("s_suppkey") == 4, "  ")
+    return s.withColumn("s_name", F.when(F.trim(new) != "", new).otherwise(F.col("s_name")))
+
+
+@query("k19_vault_capture", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN '- [ ] ' ELSE '- ' END || strftime(o_orderdate, '%H:%M') || ' ' || o_orderpriority AS line FROM orders")
+def k19(spark, d):
+    line = F.concat(F.when(F.col("o_orderstatus") == "O", "- [ ] ").otherwise("- "), F.date_format("o_orderdate", "HH:mm"), F.lit(" "), F.col("o_orderpriority"))
+    return table(spark, d, "orders").select("o_orderkey", line.alias("line"))
+
+
+@query("p1_open", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")
+def p1(spark, d):
+    return table(spark, d, "orders").where("o_orderstatus = 'O'").select("o_orderkey")
+
+
+@query("p6_sanitised", "SELECT doc_id, left(regexp_replace(text, '[\\x00-\\x1F\\x7F]+', ' ', 'g'), 80) AS clean, trim(lower(source)) AS email FROM documents")
+def p6(spark, d):
+    return table(spark, d, "documents").select("doc_id", checks.sanitised(F.col("text"), 80).alias("clean"), F.trim(F.lower("source")).alias("email"))
+
+
+EMAILS_SQL = "mails AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'a.b' || s_suppkey || '@example.org' WHEN 1 THEN 'no at' WHEN 2 THEN 'a@b' WHEN 3 THEN 'x y@example.org' ELSE ' Q' || s_suppkey || '@Example.COM ' END AS mail FROM supplier)"
+
+
+def mails(spark, d):
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").select("s_suppkey", F.when(k % 5 == 0, F.concat(F.lit("a.b"), k, F.lit("@example.org"))).when(k % 5 == 1, "no at").when(k % 5 == 2, "a@b").when(k % 5 == 3, "x y@example.org").otherwise(F.concat(F.lit(" Q"), k, F.lit("@Example.COM "))).alias("mail"))
+
+
+@query("p7_server_email", f"WITH {EMAILS_SQL} SELECT s_suppkey, CASE WHEN regexp_full_match(lower(trim(mail)), '[^@\\s]+@[^@\\s]+\\.[^@\\s]+') THEN lower(trim(mail)) ELSE '' END AS mail FROM mails")
+def p7(spark, d):
+    return mails(spark, d).select("s_suppkey", checks.server_email(F.col("mail")).alias("mail"))
+
+
+@query("p8_client_email", f"WITH {EMAILS_SQL} SELECT s_suppkey, length(trim(mail)) <= 200 AND regexp_full_match(trim(mail), '[^@\\s]{{1,64}}@[^@\\s]+\\.[^@\\s]+') AS valid FROM mails")
+def p8(spark, d):
+    return mails(spark, d).select("s_suppkey", checks.client_email(F.col("mail")).alias("valid"))
+
+
+@query("p9_code_whitelist", "SELECT p_partkey, left(regexp_replace(p_name, '[^A-Za-z0-9_.-]', '', 'g'), 40) AS code FROM part WHERE regexp_replace(p_name, '[^A-Za-z0-9_.-]', '', 'g') <> ''")
+def p9(spark, d):
+    return table(spark, d, "part").select("p_partkey", checks.code(F.col("p_name")).alias("code")).where("code <> ''")
+
+
+@query("p10_constraints", "SELECT 'positive_price' AS rule, count(*) FILTER (WHERE NOT p_retailprice > 0) AS broken FROM part UNION ALL SELECT 'short_name', count(*) FILTER (WHERE NOT length(p_name) <= 12) FROM part UNION ALL SELECT 'size_range', count(*) FILTER (WHERE NOT p_size BETWEEN 1 AND 40) FROM part")
+def p10(spark, d):
+    return upsert.violations(table(spark, d, "part"), {"positive_price": F.col("p_retailprice") > 0, "short_name": F.char_length("p_name") <= 12, "size_range": F.col("p_size").between(1, 40)})
+
+
+@query("p11_admission", """WITH n AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0), e AS (SELECT * FROM orders WHERE o_orderkey % 2 = 1)
+    SELECT o_orderkey FROM n WHERE (SELECT count(*) FROM e WHERE e.o_orderdate <= n.o_orderdate AND e.o_orderdate > n.o_orderdate - INTERVAL 1 DAY) < 3""")
+def p11(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return upsert.admitted(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_orderkey", "o_orderdate", 3, 86_400).select("o_orderkey")
+
+
+@query("p13_placeholder_names", "SELECT s_suppkey, s_suppkey % 2 = 0 AS placeholder FROM supplier")
+def p13(spark, d):
+    k = F.col("s_suppkey")
+    name = F.when(k % 4 == 0, F.concat(F.lit("Voix "), k)).when(k % 4 == 2, F.concat(F.lit("speaker_"), k)).when(k % 4 == 1, "Marie").otherwise("Voix de Marie")
+    return table(spark, d, "supplier").select("s_suppkey", checks.placeholder(name).alias("placeholder"))
+
+
+@query("p15_silence", "SELECT event_id, value / 500 < 0.01 OR value / 900 < 0.003 AS silent FROM events")
+def p15(spark, d):
+    return table(spark, d, "events").select("event_id", checks.silent(F.col("value") / 900, F.col("value") / 500).alias("silent"))
+
+
+@query("p16_confidence_gate", """SELECT user_id, CASE WHEN avg(p) >= 0.5 AND avg(CASE WHEN p < 0.3 THEN 1.0 ELSE 0 END) <= 0.3 AND avg(CASE WHEN p < 0.5 THEN 1.0 ELSE 0 END) <= 0.5 THEN 'small' ELSE 'large' END AS model,
+    round(avg(CASE WHEN p < 0.3 THEN 1.0 ELSE 0 END), 6) AS low, round(avg(CASE WHEN p < 0.5 THEN 1.0 ELSE 0 END), 6) AS mid FROM (SELECT user_id, (event_id * 37 % 100) / 100.0 AS p FROM events) GROUP BY 1""")
+def p16(spark, d):
+    """Shares of uncertain words, and the model they lead to (thresholds are parameters)."""
+    p = F.col("p")
+    words = table(spark, d, "events").select("user_id", (F.col("event_id") * 37 % 100 / 100.0).alias("p"))
+    shares = words.groupBy("user_id").agg(F.avg("p").alias("avg"), F.avg(F.when(p < 0.3, 1.0).otherwise(0.0)).alias("low"), F.avg(F.when(p < 0.5, 1.0).otherwise(0.0)).alias("mid"))
+    gate = checks.trusted(F.col("avg"), F.col("low"), F.col("mid"), 0.5, 0.3, 0.5)
+    return shares.select("user_id", F.when(gate, "small").otherwise("large").alias("model"), F.round("low", 6).alias("low"), F.round("mid", 6).alias("mid"))
+
+
+@query("p19_recent_duplicates", f"""WITH {INCIDENTS_SQL} SELECT event_id, EXISTS (SELECT 1 FROM (SELECT *, row_number() OVER (ORDER BY b.ts DESC) AS r FROM incidents b WHERE b.install_id = a.install_id AND b.ts < a.ts) p WHERE p.r <= 5 AND p.code = a.code AND a.ts - p.ts < INTERVAL 12 HOUR) AS duplicate FROM incidents a""")
+def p19(spark, d):
+    return checks.recent_duplicates(incidents(spark, d), "install_id", "ts", "code", 5, 43_200).select("event_id", "duplicate")
+
+
+@query("p20_scope", "SELECT doc_id, CASE source WHEN 'src1' THEN 'meetings' WHEN 'src2' THEN 'none' ELSE 'all' END AS scope FROM documents WHERE source IS DISTINCT FROM 'src2'")
+def p20(spark, d):
+    scope = F.when(F.col("source") == "src1", "meetings").when(F.col("source") == "src2", "none").otherwise("all")
+    return table(spark, d, "documents").select("doc_id", scope.alias("scope")).where("scope <> 'none'")
+
+
+@query("p21_not_present", "SELECT DISTINCT p_brand FROM part WHERE lower(trim(p_brand)) NOT IN (SELECT lower(trim(p_brand)) FROM part WHERE p_partkey < 20)")
+def p21(spark, d):
+    """Suggestions that the glossary doesn't have yet."""
+    p = table(spark, d, "part")
+    have = p.where("p_partkey < 20").select(F.lower(F.trim("p_brand")).alias("folded"))
+    return p.select("p_brand").distinct().withColumn("folded", F.lower(F.trim("p_brand"))).join(have, "folded", "left_anti").select("p_brand")
+
+
+@query("p22_public_voices", "SELECT s_suppkey AS id, s_name AS name, round_even(s_acctbal, 0) AS seconds FROM supplier")
+def p22(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.bround("s_acctbal", 0).alias("seconds"))
+
+
+@query("p23_rule_pairs", "SELECT p_brand AS incorrect, p_name AS correct FROM part")
+def p23(spark, d):
+    return table(spark, d, "part").select(F.col("p_brand").alias("incorrect"), F.col("p_name").alias("correct"))
+
+
+@query("l2_nocase_order", "SELECT c_name, CAST(row_number() OVER (ORDER BY translate(c_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), c_custkey) AS INTEGER) AS place FROM customer ORDER BY 2 LIMIT 100")
+def l2(spark, d):
+    """The order's first hundred, numbered after the limit."""
+    first = table(spark, d, "customer").select("c_name", "c_custkey", upsert.ascii_fold("c_name").alias("k")).orderBy("k", "c_custkey").limit(100)
+    packed = first.agg(F.sort_array(F.collect_list(F.struct("k", "c_custkey", "c_name"))).alias("x"))
+    return packed.select(F.posexplode("x").alias("p", "r")).select("r.c_name", (F.col("p") + 1).alias("place"))
+
+
+@query("l3_longest_first", "SELECT p_name, p_partkey FROM part ORDER BY length(p_name) DESC, lower(p_name), p_partkey LIMIT 50")
+def l3(spark, d):
+    return table(spark, d, "part").select("p_name", "p_partkey").orderBy(F.desc(F.char_length("p_name")), F.lower("p_name"), "p_partkey").limit(50)
+
+
+@query("l5_tail", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
+def l5(spark, d):
+    return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(200).select("event_id", "event_type")
+
+
+@query("l7_first_wins", "SELECT o_custkey, arg_min(o_orderkey, -o_totalprice * 1000000 + o_orderkey % 1000000) AS best FROM orders GROUP BY 1")
+def l7(spark, d):
+    """The largest, ties to the earliest: an explicit second key."""
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("best"))
+
+
+TIMELINE = """(SELECT * FROM (SELECT 'meeting' AS type, o_orderkey AS id, o_orderpriority AS title, CAST(NULL AS VARCHAR) AS preview, o_orderdate AS ts FROM orders ORDER BY o_orderdate DESC, id DESC LIMIT 50))
+    UNION ALL (SELECT * FROM (SELECT 'event', event_id, event_type, left(props, 140), ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 50))"""
+
+
+@query("u1_timeline", f"SELECT * FROM ({TIMELINE}) ORDER BY ts DESC, type, id DESC LIMIT 60")
+def u1(spark, d):
+    """Each branch's newest, then the newest of all."""
+    o = table(spark, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50).select(F.lit("meeting").alias("type"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("ts"))
+    e = table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select(F.lit("event").alias("type"), F.col("event_id").alias("id"), F.col("event_type").alias("title"), F.substring("props", 1, 140).alias("preview"), "ts")
+    return e.unionByName(o, allowMissingColumns=True).orderBy(F.desc("ts"), "type", F.desc("id")).limit(60)
+
+
+@query("u2_union_distinct", "SELECT c_nationkey AS key FROM customer WHERE c_nationkey <> 7 UNION SELECT s_nationkey FROM supplier WHERE s_nationkey <> 7")
+def u2(spark, d):
+    c, s = table(spark, d, "customer").select(F.col("c_nationkey").alias("key")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("key"))
+    return c.union(s).where("key <> 7").distinct()
+
+
+@query("u3_key_differences", "SELECT 'left' AS side, c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events) UNION ALL SELECT 'right', user_id FROM (SELECT DISTINCT user_id FROM events) WHERE user_id NOT IN (SELECT c_custkey FROM customer)")
+def u3(spark, d):
+    """Keys of either side that the other lacks, in one outer join."""
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.lit(1).alias("a"))
+    b = table(spark, d, "events").select(F.col("user_id").alias("key")).distinct().withColumn("b", F.lit(1))
+    return a.join(b, "key", "full").where("a is null or b is null").select(F.when(F.col("b").isNull(), "left").otherwise("right").alias("side"), "key")
+
+
+@query("u4_closed_fields", "SELECT 'event_id,event_type,props,ts,user_id,value' AS fields, CAST(count(*) AS BIGINT) AS rows FROM events")
+def u4(spark, d):
+    """The field set is closed: an unexpected or missing field fails before anything runs."""
+    e = table(spark, d, "events")
+    if set(e.columns) != {"event_id", "ts", "user_id", "event_type", "value", "props"}:
+        raise ValueError(f"unexpected fields: {e.columns}")
+    return e.agg(F.lit(",".join(sorted(e.columns))).alias("fields"), F.count("*").alias("rows"))
+
+
+@query("f15_maps", "SELECT event_id, coalesce(CASE event_type WHEN 'click' THEN 'dictation' WHEN 'view' THEN 'meeting' END, 'other') AS kind FROM events")
+def f15(spark, d):
+    m = F.create_map(F.lit("click"), F.lit("dictation"), F.lit("view"), F.lit("meeting"))
+    return table(spark, d, "events").select("event_id", F.coalesce(F.try_element_at(m, F.col("event_type")), F.lit("other")).alias("kind"))
+
+
+@query("f16_json", "SELECT user_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(regexp_extract(props, '[0-9]+') AS INT)) AS BIGINT) AS k FROM events GROUP BY 1")
+def f16(spark, d):
+    """Nested payloads to JSON and back."""
+    doc = table(spark, d, "events").groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(F.struct("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))).alias("rows"))).alias("doc"))
+    rows = doc.select("user_id", F.explode(F.from_json("doc", "rows array<struct<event_id:long,k:int>>")["rows"]).alias("r"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("r.k").cast("long").alias("k"))
+
+
+@query("f12_date_pattern", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, 'Daily/' || strftime(o_orderdate, '%d.%m.%Y') || '.md' AS path FROM orders")
+def f12(spark, d):
+    """a notes app's date pattern, and the daily note's path."""
+    return table(spark, d, "orders").select("o_orderkey", checks.moment_format(F.col("o_orderdate"), "YYYY-MM-DD").alias("day"), F.concat(F.lit("Daily/"), checks.moment_format(F.col("o_orderdate"), "DD.MM.YYYY"), F.lit(".md")).alias("path"))
+
+
+@query("f10_parse_iso", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) + CASE o_orderkey % 4 WHEN 0 THEN 0 ELSE 3600 END END AS epoch FROM orders")
+def f10(spark, d):
+    k, day = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.when(k == 0, day).when(k == 1, F.concat(day, F.lit("T01:00:00Z"))).when(k == 2, F.concat(day, F.lit(" 01:00"))).otherwise("soon")
+    return table(spark, d, "orders").select("o_orderkey", checks.iso_epoch(text).alias("epoch"))
+
+
+@query("f9_humanised", "SELECT o_orderkey, CASE datediff('day', DATE '1997-06-07', CAST(o_orderdate AS DATE)) WHEN 0 THEN 'aujourd''hui à ' WHEN 1 THEN 'demain à ' ELSE CASE WHEN datediff('day', DATE '1997-06-07', CAST(o_orderdate AS DATE)) BETWEEN 2 AND 6 THEN list_extract(['lundi','mardi','mercredi','jeudi','vendredi','samedi','dimanche'], CAST(isodow(o_orderdate) AS INT)) || ' à ' ELSE 'le ' || strftime(o_orderdate, '%d/%m') || ' à ' END END || strftime(o_orderdate, '%H:%M') AS label FROM orders")
+def f9(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", checks.humanised(F.col("o_orderdate"), F.lit("1997-06-07 16:00:00").cast("timestamp")).alias("label"))
+
+
+@query("f4_next_weekday", "SELECT o_orderkey, CAST(o_orderdate AS DATE) + CAST((2 - (isodow(o_orderdate) - 1) + 7) % 7 AS INT) AS soon, CAST(o_orderdate AS DATE) + CAST(CASE WHEN isodow(o_orderdate) = 3 THEN 7 ELSE (2 - (isodow(o_orderdate) - 1) + 7) % 7 END AS INT) AS forced FROM orders")
+def f4(spark, d):
+    o = F.to_date("o_orderdate")
+    return table(spark, d, "orders").select("o_orderkey", checks.next_weekday(o, 2).alias("soon"), checks.next_weekday(o, 2, True).alias("forced"))
