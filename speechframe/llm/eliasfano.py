@@ -40,7 +40,7 @@ SAMPLE = 256
 #: Ids after which a task starts another file.
 FILE_IDS = 1 << 26
 #: Chunks that a Python worker remembers, over its tasks.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 
 class EliasFano:
