@@ -1 +1,226 @@
-"""To come."""
+"""Text cleaning and routing over documents and conversations (T, P14, L3, W24, W25)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..registry import query
+from ..session import table
+
+RULES = [("the", "LE"), ("thand", "le et"), ("of", r"d\1$1"), ("ing.", "ing!")]
+
+
+def docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+#: Ordinary texts with a phrase put in, so that the rules have something to find.
+def spiced(spark, d, phrases: list[str]):
+    pick = F.element_at(F.array(*map(F.lit, phrases)), (F.pmod("doc_id", F.lit(len(phrases))) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.translate(F.left("text", F.lit(80)), "\n", " "), F.lit(" "), pick, F.lit(" "), F.translate(F.substring("text", 81, 60), "\n", " ")).alias("text"))
+
+
+def spiced_sql(phrases: list[str]) -> str:
+    listed = ", ".join("'" + p.replace("'", "''") + "'" for p in phrases)
+    return f"s AS (SELECT doc_id, replace(left(text, 80), chr(10), ' ') || ' ' || list_extract([{listed}], CAST(doc_id % {len(phrases)} + 1 AS INT)) || ' ' || replace(substr(text, 81, 60), chr(10), ' ') AS text FROM documents)"
+
+
+@query("t1_glossary", """SELECT doc_id, sha256(text) AS sha FROM (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-zÀ-ɏ0-9_]+|[^A-Za-zÀ-ɏ0-9_]+'), lambda w: CASE lower(w) WHEN 'the' THEN 'LE' WHEN 'thand' THEN 'le et' WHEN 'of' THEN 'd\\1$1' ELSE w END), '') AS text FROM documents)""")
+def t1(spark, d):
+    return docs(spark, d).select("doc_id", F.sha2(text.glossary(F.col("text"), RULES[:3]), 256).alias("sha"))
+
+
+SNIPPETS = [("brb", "be right back"), ("brb soon", "back in a minute"), ("sig", "Best regards")]
+
+
+@query("t2_snippets", f"""WITH {spiced_sql(['brb soon', 'BRB', 'sig', 'nothing'])} SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(text, 'brb soon', 'back in a minute') WHEN 1 THEN replace(text, 'BRB', 'be right back') WHEN 2 THEN replace(text, ' sig ', ' Best regards ') ELSE text END AS text FROM s""")
+def t2(spark, d):
+    """Longest trigger first."""
+    ordered = sorted(SNIPPETS, key=lambda s: (-len(s[0]), s[0]))
+    return spiced(spark, d, ["brb soon", "BRB", "sig", "nothing"]).select("doc_id", text.glossary(F.col("text"), ordered).alias("text"))
+
+
+FILLED = ["euhhh", "Genre, ", "du coup", "bonjour"]
+
+
+@query("t3_fillers", f"""WITH {spiced_sql(FILLED)} SELECT doc_id, CASE doc_id % 4
+        WHEN 0 THEN left(text, strpos(text, 'euhhh') - 1) || ' ' || substr(text, strpos(text, 'euhhh') + 6) WHEN 1 THEN left(text, strpos(text, 'Genre') - 1) || ' ' || substr(text, strpos(text, 'Genre') + 8)
+        WHEN 2 THEN left(text, strpos(text, 'du coup') - 1) || ' ' || substr(text, strpos(text, 'du coup') + 8) ELSE text END AS text
+    FROM s WHERE substr(text, 80, 1) <> ' ' AND substr(text, 82 + length(list_extract(['euhhh', 'Genre, ', 'du coup', 'bonjour'], CAST(doc_id % 4 + 1 AS INT))), 1) <> ' '""")
+def t3(spark, d):
+    """Texts that have white space of their own beside the phrase are left out on both sides."""
+    size = F.element_at(F.array(*[F.lit(len(p)) for p in FILLED]), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    clear = (F.substring("text", 80, 1) != " ") & (F.substring(F.col("text"), 82 + size, F.lit(1)) != " ")
+    return spiced(spark, d, FILLED).where(clear).select("doc_id", text.without_fillers(F.col("text")).alias("text"))
+
+
+@query("t4_spacing")
+def t4(spark, d):
+    return docs(spark, d).select("doc_id", text.spaced(F.col("text")).alias("text"))
+
+
+@query("t5_capitals")
+def t5(spark, d):
+    return docs(spark, d).select("doc_id", text.capitalised(F.lower("text")).alias("text"))
+
+
+@query("t6_formatted")
+def t6(spark, d):
+    return docs(spark, d).select("doc_id", text.formatted(F.col("text")).alias("text"))
+
+
+@query("t7_commands")
+def t7(spark, d):
+    return spiced(spark, d, ["ok à la ligne puis", "nouveau paragraphe.", "virgule", "point d'interrogation"]).select("doc_id", text.commands(F.col("text")).alias("text"))
+
+
+NOISE = ["Thanks for watching", "amara.org", "www.example.com", "[musique]"]
+
+
+@query("t8_boilerplate", f"""WITH {spiced_sql(NOISE)} SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN left(text, strpos(text, 'Thanks for') - 1) || ' ' WHEN 1 THEN replace(text, 'amara.org', ' ') WHEN 2 THEN replace(text, 'www.example.com', ' ') ELSE regexp_replace(text, '\\[\\s*musique\\s*\\]', ' ') END AS text FROM s""")
+def t8(spark, d):
+    return spiced(spark, d, NOISE).select("doc_id", text.without_boilerplate(F.col("text")).alias("text"))
+
+
+@query("t9_repeated_sentences")
+def t9(spark, d):
+    return docs(spark, d).select("doc_id", text.without_repeats(F.col("text")).alias("text"))
+
+
+@query("t10_hallucinations")
+def t10(spark, d):
+    return spiced(spark, d, NOISE).select("doc_id", text.without_hallucinations(F.col("text")).alias("text"))
+
+
+@query("t11_loops")
+def t11(spark, d):
+    return spiced(spark, d, ["la " * 12, "yes, " * 7, "one two"]).select("doc_id", text.without_loops(F.col("text")).alias("text"), text.scrubbed(F.col("text")).alias("scrubbed"))
+
+
+@query("t12_metatext", f"""WITH {spiced_sql(['Transcription en français.', 'le mot de l uk', 'hello'])} SELECT doc_id, regexp_replace(trim(CASE WHEN doc_id % 3 = 0 THEN replace(text, 'Transcription en français.', ' ') ELSE text END), '\\s\\s+', ' ', 'g') AS text, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS removed FROM s""")
+def t12(spark, d):
+    m = text.without_metatext(F.col("text"))
+    return spiced(spark, d, ["Transcription en français.", "le mot de l uk", "hello"]).select("doc_id", m.alias("m")).select("doc_id", "m.text", F.size("m.removed").alias("removed"))
+
+
+@query("t13_overlap", """WITH w AS (SELECT doc_id, string_split_regex(trim(regexp_replace(lower(text), '[^a-zß-ÿ ]+', ' ', 'g')), ' +')[1:30] AS x FROM documents),
+    p AS (SELECT doc_id, x[:20] AS a, x[CAST(13 + doc_id % 9 AS INT):30] AS b FROM w WHERE len(x) = 30)
+    SELECT doc_id, coalesce(list_max(list_filter(range(3, 9), lambda k: a[CAST(-k AS INT):] = b[:CAST(k AS INT)])), 0)::INTEGER AS n FROM p""")
+def t13(spark, d):
+    x = F.slice(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-zß-ÿ ]+", " ")), " +"), 1, 30)
+    w = table(spark, d, "documents").select("doc_id", x.alias("x")).where("size(x) = 30")
+    b = F.slice(F.col("x"), (F.col("doc_id") % 9 + 13).cast("int"), F.lit(30))
+    return w.select("doc_id", text.overlap(F.slice("x", 1, 20), b).alias("n"))
+
+
+@query("t14_joined_windows", """WITH w AS (SELECT doc_id, string_split_regex(trim(regexp_replace(lower(text), '[^a-z ]+', ' ', 'g')), ' +')[1:30] AS x FROM documents)
+    SELECT doc_id, array_to_string(x, ' ') AS text FROM w WHERE len(x) = 30 AND length(x[20]) > 3 AND len(list_distinct(x)) = 30""")
+def t14(spark, d):
+    """Windows that share words 15 to 20 come back as the text they were cut from (texts of distinct words)."""
+    x = F.slice(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z ]+", " ")), " +"), 1, 30)
+    w = table(spark, d, "documents").select("doc_id", x.alias("x")).where("size(x) = 30 and length(x[19]) > 3 and size(array_distinct(x)) = 30")
+    return w.select("doc_id", F.array_join(text.joined(F.slice("x", 1, 20), F.slice("x", 15, 16)), " ").alias("text"))
+
+
+@query("t15_merged_windows")
+def t15(spark, d):
+    """A conversation's turns as windows; a running accumulator over the ordered array."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t.text).alias("w"))
+    return turns.select("conv_id", text.merged(F.col("w")).alias("text"))
+
+
+@query("t16_assembled", """SELECT conv_id, trim(regexp_replace(regexp_replace(regexp_replace(string_agg(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ' ORDER BY turn), '\\s+', ' ', 'g'), '\\s+([,.;:!?…)\\]»%])', '\\1', 'g'), '([(\\[«])\\s+', '\\1', 'g')) AS text FROM conversations WHERE trim(text) <> '' GROUP BY 1""")
+def t16(spark, d):
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t.text).alias("w"))
+    return turns.select("conv_id", text.assembled(F.col("w")).alias("text"))
+
+
+@query("t17_word_count", "SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS INTEGER) AS n FROM documents")
+def t17(spark, d):
+    return docs(spark, d).select("doc_id", text.word_count(F.col("text")).alias("n"))
+
+
+@query("t19_normalised", "SELECT doc_id, trim(regexp_replace(translate(lower(text), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '\\s+', ' ', 'g')) AS text FROM documents")
+def t19(spark, d):
+    """T19 and T20 for the letters of the fixed map."""
+    return docs(spark, d).select("doc_id", F.trim(F.regexp_replace(text.folded(F.col("text")), r"\s+", " ")).alias("text"))
+
+
+@query("t21_safe_title", "SELECT doc_id, coalesce(nullif(rtrim(left(trim(regexp_replace(regexp_replace(text, '[\\\\/:*?\"<>|#^\\[\\]]+', ' ', 'g'), '\\s+', ' ', 'g')), 60)), ''), 'Sans titre') AS title FROM documents")
+def t21(spark, d):
+    return docs(spark, d).select("doc_id", text.safe_title(F.col("text")).alias("title"))
+
+
+@query("t22_notice", "SELECT doc_id, left(trim(regexp_replace(regexp_replace(text, '[\\x00-\\x1F\\x7F]+', ' ', 'g'), '\\s+', ' ', 'g')), 240) AS notice FROM documents")
+def t22(spark, d):
+    return docs(spark, d).select("doc_id", text.notice(F.col("text")).alias("notice"))
+
+
+@query("t23_preview", "SELECT doc_id, left(text, 140) AS preview FROM documents")
+def t23(spark, d):
+    return docs(spark, d).select("doc_id", F.substring("text", 1, 140).alias("preview"))
+
+
+@query("t24_labels", "SELECT vec_id, printf('SPEAKER_%02d', label) AS speaker, 'Voix ' || (label + 1) AS name FROM embeddings")
+def t24(spark, d):
+    from ..operators.export import speaker_label
+
+    e = table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("SPEAKER_"), F.lpad(F.col("label").cast("string"), 2, "0")).alias("speaker"))
+    return e.select("vec_id", "speaker", speaker_label(F.col("speaker")).alias("name"))
+
+
+BUCKETS = [("work", ["the", "of", "and"]), ("home", ["le", "la", "les"]), ("trips", ["der", "die", "und"])]
+
+
+def _score(keys: list[str]) -> str:
+    return " + ".join(f"CAST(regexp_matches(t, '(^|[^a-zß-ÿ0-9_]){k}($|[^a-zß-ÿ0-9_])') AS INT)" for k in keys)
+
+
+@query("t25_routing", f"""WITH n AS (SELECT doc_id, translate(lower(text), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy') AS t FROM documents),
+    s AS (SELECT doc_id, {_score(BUCKETS[0][1])} AS a, {_score(BUCKETS[1][1])} AS b, {_score(BUCKETS[2][1])} AS c FROM n)
+    SELECT doc_id, CASE WHEN greatest(a, b, c) = 0 THEN 'inbox' WHEN a >= b AND a >= c THEN 'work' WHEN b >= c THEN 'home' ELSE 'trips' END AS bucket FROM s""")
+def t25(spark, d):
+    """Keywords present, the highest count wins."""
+    x = docs(spark, d)
+    return x.select("doc_id", text.routed(x, "text", BUCKETS, "inbox").alias("bucket"))
+
+
+@query("t26_segment_words", """WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w FROM conversations), x AS (SELECT conv_id, turn, len(w) AS n, unnest(w) AS tok, generate_subscripts(w, 1) - 1 AS i FROM t)
+    SELECT conv_id, turn AS ord, CAST(i AS INTEGER) AS i, ' ' || tok AS word, round(turn * 10 + i * 8.0 / n, 6)::DOUBLE AS start, round(turn * 10 + (i + 1) * 8.0 / n, 6)::DOUBLE AS "end" FROM x""")
+def t26(spark, d):
+    seg = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("ord"), (F.col("turn") * 10.0).alias("start"), (F.col("turn") * 10.0 + 8).alias("end"), "text")
+    return text.segment_words(seg, ["conv_id"]).withColumns({c: F.round(c, 6) for c in ("start", "end")})
+
+
+@query("p14_hallucinated", f"WITH {spiced_sql(['Thanks for Watching', 'amara.org', 'hello', 'sous-titrage MFP'])} SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN text ELSE '' END AS text FROM s")
+def p14(spark, d):
+    x = spiced(spark, d, ["Thanks for Watching", "amara.org", "hello", "sous-titrage MFP"])
+    return x.select("doc_id", F.when(text.hallucinated(F.col("text")), "").otherwise(F.col("text")).alias("text"))
+
+
+@query("s10_terms", "SELECT DISTINCT trim(p_type) AS term FROM part WHERE trim(p_type) <> '' AND NOT starts_with(trim(p_type), '#')")
+def s10(spark, d):
+    return table(spark, d, "part").select(F.trim("p_type").alias("term")).where("term <> '' and not startswith(term, '#')").distinct()
+
+
+@query("s19_csv_column", "SELECT DISTINCT lower(c_mktsegment) AS email FROM customer WHERE lower(c_mktsegment) <> 'machinery'")
+def s19(spark, d):
+    lines = table(spark, d, "customer").select(F.concat_ws(",", "c_custkey", "c_mktsegment").alias("line"))
+    return lines.select(F.from_csv("line", "id long, email string").alias("r")).select(F.lower("r.email").alias("email")).where("email <> 'machinery'").distinct()
+
+
+@query("w24_first_seen", "SELECT p_size, arg_min(p_type, p_partkey) AS term, min(p_partkey) AS ord FROM (SELECT p_size, lower(p_type) AS k, p_type, p_partkey FROM part) GROUP BY p_size, k")
+def w24(spark, d):
+    w = Window.partitionBy("p_size", F.lower("p_type")).orderBy("p_partkey")
+    return table(spark, d, "part").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("p_size", F.col("p_type").alias("term"), F.col("p_partkey").alias("ord"))
+
+
+@query("w25_bounded_list", """WITH t AS (SELECT p_size, p_name, p_partkey, sum(length(p_name)) OVER w + 2 * (count(*) OVER w - 1) AS upto FROM part WINDOW w AS (PARTITION BY p_size ORDER BY p_partkey ROWS UNBOUNDED PRECEDING))
+    SELECT p_size, string_agg(p_name, ', ' ORDER BY p_partkey) AS terms FROM t WHERE upto <= 380 GROUP BY 1""")
+def w25(spark, d):
+    """Terms until the first that doesn't fit: the running length only grows, so none after it fits either."""
+    w = Window.partitionBy("p_size").orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, 0)
+    t = table(spark, d, "part").withColumn("upto", F.sum(F.char_length("p_name")).over(w) + 2 * (F.count("*").over(w) - 1)).where("upto <= 380")
+    return t.groupBy("p_size").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x.p_name), ", ").alias("terms"))
