@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def rms(x: Column) -> Column:
@@ -45,7 +46,7 @@ def fitted(x: Column, n: int) -> Column:
     return F.when(F.size(x) >= n, F.slice(x, off + 1, F.lit(n))).when(F.size(x) > 0, F.slice(F.flatten(F.array_repeat(x, times)), 1, n))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def resampled(x: pd.Series, rate_in: pd.Series, rate_out: pd.Series) -> pd.Series:
     """Linear interpolation; enough to judge boundaries, not quality."""
 

@@ -23,10 +23,10 @@ def nearest_segment(points: DataFrame, segments: DataFrame, key: list[str], t: s
     """
     s = segments.select(*key, "ord", "start", "end", "speaker")
     binned = s.withColumn("bin", F.explode(F.sequence(_bin(F.col("start"), width), _bin(F.col("end"), width))))
-    inside = points.withColumn("bin", _bin(F.col(t), width)).join(binned, [*key, "bin"]).where((F.col("start") <= F.col(t)) & (F.col(t) <= F.col("end")))
+    p = points.select(*key, "pid", F.col(t).alias("at"))
+    inside = p.withColumn("bin", _bin(F.col("at"), width)).join(binned, [*key, "bin"]).where((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("end")))
     held = inside.groupBy("pid").agg(F.min_by("speaker", "ord").alias("held"))
     # As-of lookups in one sorted union per side.
-    p = points.select(*key, "pid", F.col(t).alias("at"))
     none = F.lit(None)
     ends = s.groupBy(*key, "end").agg(F.min("ord").alias("ord"), F.min_by("speaker", "ord").alias("speaker")).select(*key, F.col("end").alias("at"), none.cast("long").alias("pid"), F.struct(F.col("end").alias("x"), "ord", "speaker").alias("hit"), F.lit(0).alias("side"))
     starts = s.groupBy(*key, "start").agg(F.min("ord").alias("ord"), F.min_by("speaker", "ord").alias("speaker")).select(*key, F.col("start").alias("at"), none.cast("long").alias("pid"), F.struct(F.col("start").alias("x"), "ord", "speaker").alias("hit"), F.lit(0).alias("side"))

@@ -1 +1,269 @@
-"""To come."""
+"""Rules that see their own output, transcript pipelines and reminders."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import reminders, text
+from ..operators import clusters, folds, intervals, sequence
+from ..registry import query
+from ..session import table
+from .timeline import KEY, segments, turns
+
+
+def words(spark, d):
+    """Tokens of conversations: 0.4 s a token, 0.05 s apart; the speaker is that of the turn, now and then of the one before."""
+    toks = text.words(F.col("text"))
+    w = table(spark, d, "conversations").select(F.col("conv_id").alias("m"), "turn", "role", F.posexplode(toks).alias("i", "tok"))
+    n = F.row_number().over(Window.partitionBy("m").orderBy("turn", "i"))
+    at = w.withColumn("ord", n.cast("long")).withColumn("start", F.col("ord") * 0.45 + F.col("turn") * 1.0)
+    slip = (F.col("i") == 0) & (F.col("turn") % 2 == 1)
+    return at.select("m", "ord", F.concat(F.lit(" "), "tok").alias("word"), "start", (F.col("start") + 0.4).alias("end"), F.when(slip, "user").otherwise(F.col("role")).alias("speaker"))
+
+
+def rounded(df):
+    return df.withColumns({c: F.round(c, 6) for c in ("start", "end")})
+
+
+@query("w7_absorbed")
+def w7(spark, d):
+    def f(p: pd.DataFrame) -> pd.DataFrame:
+        return p[["ord"]].assign(speaker=folds.absorb_short(p["start"].to_numpy(), p["end"].to_numpy(), p["speaker"].tolist()))
+
+    return folds.fold(segments(spark, d).select("m", "ord", "start", "end", "speaker"), "m", ["start", "ord"], f, "m long, ord long, speaker string")
+
+
+@query("w9_postprocessed")
+def w9(spark, d):
+    return rounded(folds.fold(segments(spark, d).select("m", "ord", "start", "end", "speaker"), "m", ["start", "ord"], folds.postprocess, "m long, ord long, start double, end double, speaker string"))
+
+
+@query("w12_snapped")
+def w12(spark, d):
+    def f(p: pd.DataFrame) -> pd.DataFrame:
+        score = folds.break_scores(p["word"].tolist(), p["start"].to_numpy(), p["end"].to_numpy())
+        return p[["ord"]].assign(speaker=folds.snapped(p["speaker"].tolist(), score))
+
+    return folds.fold(words(spark, d), "m", ["ord"], f, "m long, ord long, speaker string")
+
+
+@query("w13_polished_blocks")
+def w13(spark, d):
+    """W5, W12, W1 and W13 over labelled words."""
+    return rounded(folds.fold(words(spark, d), "m", ["ord"], folds.labelled_to_blocks, "m long, " + folds.BLOCKS))
+
+
+@query("j16_merged_transcript")
+def j16(spark, d):
+    """Words take the speaker at their middle (J5, J6), then W5, W12, W1 and W13."""
+    w = words(spark, d).drop("speaker").withColumns({"pid": F.col("m") * 1_000_000 + F.col("ord"), "mid": (F.col("start") + F.col("end")) / 2})
+    named = intervals.nearest_segment(w, turns(spark, d), KEY, "mid")
+    return rounded(folds.fold(named.select("m", "ord", "word", "start", "end", "speaker"), "m", ["ord"], folds.labelled_to_blocks, "m long, " + folds.BLOCKS))
+
+
+def voted_units(spark, d):
+    u = sequence.units(words(spark, d), KEY, ["ord"], 0.25)
+    spans = u.groupBy("m", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.withColumn("lid", F.col("m") * 1_000_000 + F.col("island"))
+    return spans.join(intervals.weighted(spans, turns(spark, d), KEY), "lid").select("m", "island", "start", "end", "label", "share")
+
+
+@query("w14_continuity")
+def w14(spark, d):
+    def f(p: pd.DataFrame) -> pd.DataFrame:
+        kept = folds.continued(p["label"].tolist(), p["share"].to_numpy(), p["start"].to_numpy(), p["end"].to_numpy())
+        return p[["island"]].assign(label=kept)
+
+    return folds.fold(voted_units(spark, d), "m", ["island"], f, "m long, island long, label int")
+
+
+@query("w17_window_join")
+def w17(spark, d):
+    """Every window but the last of a conversation repeats its end at the next one's start; joining takes that out again."""
+    t = text.words(F.col("text"))
+    turns_ = table(spark, d, "conversations").select("conv_id", "turn", t.alias("w")).where("size(w) >= 8")
+    before = F.lag(F.slice("w", F.size("w") - 4, F.lit(5))).over(Window.partitionBy("conv_id").orderBy("turn"))
+    shown = turns_.withColumn("x", F.when(before.isNotNull(), F.concat(before, F.col("w"))).otherwise(F.col("w")))
+    packed = shown.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "x"))), lambda s: F.array_join(s.x, " ")).alias("windows"), F.sum(F.size("w")).alias("n_words"))
+    return packed.select("conv_id", "n_words", F.size(text.words(text.merged(F.col("windows")))).alias("n_merged"))
+
+
+@query("w19_split_regions")
+def w19(spark, d):
+    def f(p: pd.DataFrame) -> pd.DataFrame:
+        parts = folds.split_long(p["start"].to_numpy(), p["end"].to_numpy())
+        return pd.DataFrame(parts, columns=["start", "end"]).assign(part=range(len(parts)))[["part", "start", "end"]]
+
+    return rounded(folds.fold(words(spark, d), "m", ["ord"], f, "m long, part long, start double, end double"))
+
+
+@query("w22_two_pass_attribution")
+def w22(spark, d):
+    """Words of certain windows take the window's label (J9); the others their own vote, else the last one's before them."""
+    windows = turns(spark, d).withColumn("margin", (F.col("ord") * 37 + F.col("m")) % 100 / 100.0)
+    flagged = sequence.uncertain(windows, KEY).withColumn("sure", F.when(~F.col("uncertain"), F.col("label")).otherwise(-1))
+    w = words(spark, d).select("m", "ord", "start", "end")
+    first = intervals.as_of(w, flagged, KEY, "start", "sure")
+    spans = w.withColumn("lid", F.col("m") * 1_000_000 + F.col("ord"))
+    own = intervals.majority(spans, turns(spark, d), KEY).withColumnRenamed("label", "own")
+    j = first.withColumn("lid", F.col("m") * 1_000_000 + F.col("ord")).join(own, "lid", "left")
+    got = F.coalesce(F.when(F.col("sure") >= 0, F.col("sure")), F.col("own"))
+    back = Window.partitionBy("m").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    return j.withColumn("label", F.coalesce(got, F.last(got, True).over(back), F.lit(0))).select("m", "ord", "label")
+
+
+@query("w23_cascade")
+def w23(spark, d):
+    """The precise label where there is one, else the window vote, else the nearest segment's."""
+    w = words(spark, d).select("m", "ord", "start", "end", ((F.col("start") + F.col("end")) / 2).alias("mid"), (F.col("m") * 1_000_000 + F.col("ord")).alias("pid"))
+    precise = w.where("ord % 5 = 0").select("pid", F.lit("user").alias("precise"))
+    vote = intervals.majority(w.withColumnRenamed("pid", "lid"), turns(spark, d).where("m % 2 = 0"), KEY).select(F.col("lid").alias("pid"), F.element_at(F.array(F.lit("assistant"), F.lit("system"), F.lit("user")), F.col("label")).alias("vote"))
+    near = intervals.nearest_segment(w, turns(spark, d), KEY, "mid").select("pid", "m", "ord", F.col("speaker").alias("near"))
+    return near.join(precise, "pid", "left").join(vote, "pid", "left").select("m", "ord", F.coalesce("precise", "vote", "near").alias("speaker"))
+
+
+def clustered(spark, d):
+    from .vectors import meetings
+
+    m = meetings(spark, d)
+    labels = clusters.per_meeting(m, "auto", k=6)
+    return m.select("meeting", "ord", "t0", "t1").join(labels, ["meeting", "ord"]).select(F.col("meeting").alias("m"), "ord", F.col("t0").alias("start"), F.col("t1").alias("end"), "label")
+
+
+@query("w26_finalised")
+def w26(spark, d):
+    """At least three rows: clusters, grid vote, post-processing; else nothing."""
+    enough = clustered(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("m"))).where("n >= 3")
+    cells = sequence.grid_vote(enough, KEY).select("m", F.col("island").alias("ord"), "start", "end", F.format_string("SPEAKER_%02d", "label").alias("speaker"))
+    return rounded(folds.fold(cells, "m", ["start", "ord"], folds.postprocess, "m long, ord long, start double, end double, speaker string"))
+
+
+@query("w27_guided_timeline")
+def w27(spark, d):
+    """Clusters of guided regions, gaps filled to the meeting's length; nothing under three regions or 70 % coverage."""
+    r = clustered(spark, d).withColumn("speaker", F.format_string("SPEAKER_%02d", "label"))
+    w = Window.partitionBy("m")
+    length = F.max("end").over(w)
+    fit = r.withColumns({"n": F.count("*").over(w), "covered": F.sum(F.col("end") - F.col("start")).over(w) / length, "length": length}).where("n >= 3 and covered >= 0.7")
+    return rounded(sequence.fill_gaps(fit, KEY, F.col("length")))
+
+
+@query("w28_tiles")
+def w28(spark, d):
+    """Two-second tiles each second, kept where their level is half the whole's or more."""
+    e = table(spark, d, "events").select("user_id", F.timestamp_seconds(F.unix_timestamp("ts") / 4096).alias("ts"), F.col("value").alias("x"))
+    whole = e.groupBy("user_id").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("whole"))
+    tiles = e.groupBy("user_id", F.window("ts", "2 seconds", "1 second").alias("t")).agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
+    return tiles.join(whole, "user_id").where("rms >= 0.5 * whole").select("user_id", F.unix_timestamp("t.start").alias("start"), F.round("rms", 6).alias("rms"))
+
+
+def levels(spark, d):
+    e = table(spark, d, "events")
+    frame = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long")
+    return e.select(F.col("user_id").alias("m"), frame.alias("frame"), (F.col("value") % 7 / 70.0).alias("rms"))
+
+
+def cut(spark, d, f, schema: str):
+    return folds.fold(levels(spark, d), "m", ["frame"], lambda p: f(p["rms"].to_numpy()), "m long, " + schema)
+
+
+@query("x1_live_windows")
+def x1(spark, d):
+    def f(level: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame(folds.window_cuts(level, step=1.0), columns=["first", "last"])
+
+    return cut(spark, d, f, "first long, last long")
+
+
+@query("x2_import_windows")
+def x2(spark, d):
+    def f(level: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame(folds.window_cuts(level, step=1.0, backwards=False, overlap=0.0), columns=["first", "last"])
+
+    return cut(spark, d, f, "first long, last long")
+
+
+@query("x3_dictation_cuts")
+def x3(spark, d):
+    def f(level: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"cut": folds.tail_cuts(level, step=1.0, target=10.0, run=2, quiet=0.03)}, dtype="int64")
+
+    return cut(spark, d, f, "cut long")
+
+
+PHRASES = (
+    "rappelle-moi d'appeler Marie demain à 10h", "n'oublie pas le dossier vendredi avant midi", "dans 20 minutes sortir le plat", "fais-moi un rappel pour le 15 juin", "on se voit ce soir à 8 heures et demie",
+    "mets un rappel ce week-end", "rappel de payer le loyer le 3", "une phrase sans date", "pense à prendre le pain cet après-midi", "dans une demi-heure",
+)
+
+
+def phrases(spark, d):
+    pick = F.element_at(F.array(*map(F.lit, PHRASES)), (F.pmod("o_orderkey", F.lit(len(PHRASES))) + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", pick.alias("text"), (F.col("o_orderdate") + F.expr("make_interval(0, 0, 0, 0, o_orderkey % 24, 0, 0)")).alias("now"))
+
+
+@query("f5_f8_reminders")
+def f8(spark, d):
+    """Phrases at a given clock."""
+    return phrases(spark, d).withColumn("r", reminders.reminder("text", "now")).select("o_orderkey", "r.title", "r.due", "r.wording", "r.confidence", "r.lead_minutes")
+
+
+@query("p17_p18_detected")
+def p17(spark, d):
+    return phrases(spark, d).withColumn("r", reminders.reminder("text", "now")).select("o_orderkey", "r.reminder", "r.timed")
+
+
+@query("f28_transcript_source")
+def f28(spark, d):
+    """Silence gives nothing; windows of the tail are assembled where there are any; else the sure small model's text, else the large one's."""
+    c = table(spark, d, "conversations")
+    silent, tail, sure = F.col("conv_id") % 7 == 0, F.col("turn") > 2, F.col("turn") % 2 == 0
+    made = F.when(silent, "").when(tail, text.assembled(F.array(F.left("text", F.lit(40)), F.substring("text", 41, 1 << 20)))).when(sure, text.without_hallucinations(F.col("text"))).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", F.when(silent, "none").when(tail, "tail").when(sure, "small").otherwise("large").alias("source"), F.sha2(made, 256).alias("sha"))
+
+
+@query("f17_client_id")
+def f17(spark, d):
+    """The settings' id, else the backup's, else a new one; whether it is new."""
+    s = table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).otherwise("").alias("a"), F.when(F.col("s_suppkey") % 3 == 1, F.col("s_name")).alias("b"))
+    have = F.coalesce(F.nullif("a", F.lit("")), F.nullif("b", F.lit("")))
+    return s.select("s_suppkey", F.coalesce(have, F.uuid()).alias("id"), have.isNull().alias("fresh"))
+
+
+@query("k12_meeting_notes")
+def k12(spark, d):
+    """One note a meeting, found again by the id it carries; speakers numbered by first appearance."""
+    c = table(spark, d, "conversations")
+    first = c.groupBy("conv_id", "role").agg(F.min("turn").alias("f"))
+    number = first.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("f")))
+    line = F.concat(F.lit("**Voix "), F.col("n").cast("string"), F.lit("**: "), F.col("text"))
+    body = c.join(number.drop("f"), ["conv_id", "role"]).groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x.l), "\n\n").alias("body"), F.min_by("text", "turn").alias("opening"))
+    note = F.concat(F.lit("---\nid: "), F.col("conv_id").cast("string"), F.lit("\n---\n# "), text.safe_title(F.col("opening")), F.lit("\n\n"), F.col("body"))
+    return body.select("conv_id", F.concat(text.safe_title(F.col("opening")), F.lit("-"), F.col("conv_id").cast("string"), F.lit(".md")).alias("file"), F.sha2(note, 256).alias("sha"))
+
+
+@query("t1_nfc_documents")
+def nfc(spark, d):
+    """The NFC invariant: how many texts it changes."""
+    from unicodedata import normalize
+
+    @F.pandas_udf("string")
+    def composed(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: normalize("NFC", x) if x is not None else None)
+
+    return table(spark, d, "documents").select("doc_id", F.sha2(composed("text"), 256).alias("sha"))
+
+
+@query("x17_isolated_batches")
+def x17(spark, d):
+    """A batch that fails gives nulls for its rows only."""
+
+    def half(b: pd.DataFrame) -> pd.DataFrame:
+        if (b["vec_id"] < 0).any():
+            raise ValueError("bad batch")
+        return b.assign(result=b["vec_id"] / 2)
+
+    return table(spark, d, "embeddings").select("vec_id").mapInPandas(lambda it: clusters.ordered_batches(it, half), "vec_id long, result double")

@@ -1 +1,96 @@
-"""To come."""
+"""Streaming operators over events, run to the end of what is there (X)."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..registry import query
+from ..session import table
+from ..streaming import operators as ops
+
+BOOL = "CAST(ts AS DATE)"
+
+
+def scratch(spark, name: str) -> str:
+    """A folder that driver and executors share: beside the checkpoints where they are set, else a local one (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints/streams"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stream(spark, d):
+    """Events as a stream of files, with instants for event time."""
+    df = table(spark, d, "events")
+    raw = spark.read.parquet(f"{d}/events.parquet").schema
+    path = f"{d}/events.parquet"
+    source = spark.readStream.schema(raw).option("pathGlobFilter", "*.parquet")
+    s = source.parquet(path if not os.path.isfile(path.removeprefix("file://")) else f"{d}/events.parquet*")
+    return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else s
+
+
+def run(spark, df, schema, mode: str = "append"):
+    """The rows a stream emits, as a table."""
+    out = scratch(spark, "stream")
+
+    def sink(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+
+    ops.drain(df, sink, f"{out}/state", mode)
+    return spark.read.schema(schema).parquet(f"{out}/rows/*")
+
+
+@query("x14_suppressed_repeats")
+def x14(spark, d):
+    s = ops.suppress_repeats(stream(spark, d), "user_id", "event_type", "ts", 43_200.0)
+    return run(spark, s, s.schema)
+
+
+@query("x13_due_reminders")
+def x13(spark, d):
+    """An error opens a task due a day later; the user's later events show the time, a purchase closes it."""
+    e = stream(spark, d)
+    due = F.when(F.col("event_type") == "error", F.col("ts") + F.expr("interval 1 day"))
+    tasks = e.select(F.col("user_id").alias("task_id"), F.when(F.col("event_type") == "purchase", "done").otherwise("open").alias("status"), due.alias("due"), "ts")
+    s = ops.due_reminders(tasks)
+    return run(spark, s, s.schema)
+
+
+@query("x4_tiles")
+def x4(spark, d):
+    e = stream(spark, d).select("user_id", F.timestamp_seconds(F.unix_timestamp("ts") / 4096).alias("ts"), "value")
+    t = ops.tiles(e, "user_id", "ts", "value", "10 seconds")
+    s = t.select("user_id", F.col("t.start").alias("start"), F.round(F.sqrt("square"), 6).alias("rms"), "n").where("rms > 0.008")
+    return run(spark, s, s.schema)
+
+
+@query("x5_x10_drained", "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def x5(spark, d):
+    """What is left is drained at the end, in the order of arrival; totals equal the batch's."""
+    rows = run(spark, stream(spark, d).select("user_id", "event_id", "value"), "user_id long, event_id long, value double")
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("x8_aligned_streams")
+def x8(spark, d):
+    e = stream(spark, d)
+    part = lambda kind: e.where(F.col("event_type") == kind).select(F.col("user_id").alias("key"), F.floor(F.unix_timestamp("ts") / 3600).alias("slot"), "ts", F.col("value").alias("x"))
+    s = ops.aligned(part("click"), part("view"), "ts", "1 hour")
+    return run(spark, s, s.schema)
+
+
+@query("x11_periodic_flush", f"SELECT {BOOL} AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def x11(spark, d):
+    """Counters flushed by trigger; the last state of each is what counts."""
+    agg = stream(spark, d).groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    rows = run(spark, agg, agg.schema, "update")
+    return rows.groupBy("day", "event_type").agg(F.max("n").alias("n"))
+
+
+@query("x18_gated_send", "SELECT user_id, count(*) AS n FROM events WHERE user_id % 2 = 0 GROUP BY 1")
+def x18(spark, d):
+    """Only consenting installs' rows reach the sink."""
+    e = stream(spark, d).withColumn("consent", F.when(F.col("user_id") % 2 == 0, True)).where(F.col("consent").eqNullSafe(True)).select("user_id", "event_id")
+    return run(spark, e, "user_id long, event_id long").groupBy("user_id").agg(F.count("*").alias("n"))
