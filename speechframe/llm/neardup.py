@@ -3,15 +3,15 @@
 1. Every text becomes the set of its distinct shingles of words; texts with
    equal sets collapse into one representative, their smallest id.
 2. Representatives get SetSketch registers, banded into keys.  The members of a
-   key are paired with a few centres each (minima of different orders,
-   pre-aggregated and joined back), never with each other.
+   key are paired with its smallest member (a pre-aggregated minimum, joined
+   back), never with each other.
 3. The joint likelihood of the registers drops pairs that can't reach the
    threshold; the others are verified on their full sets.
 4. Verified links give components.  Keys whose members lie in several components
-   are looked at again, without limit: first with centres of other orders, then
-   with every pair across components that the verified distances to a shared
-   centre and the likelihood leave open.  Only links inside one component are
-   never looked at; they change no component.
+   are looked at again, without limit, block against block: what the likelihood
+   leaves open between different components is verified, and a link per pair of
+   components comes out.  Links inside one component are never looked at; they
+   change no component.
 
 Words are runs of bytes other than the six ASCII white-space ones, A-Z
 lower-cased; a text of fewer words than a shingle is one shingle.
@@ -36,8 +36,8 @@ from . import sketch
 from .common import cut_lineage, map_rows, schema
 from .components import components
 
-#: Centres of a key in the first and in the second look; members of a key verified beside one copy of its centre.
-CENTRES, AGAIN, BESIDE = 1, 6, 256
+#: Members verified beside one copy of their centre; members of a block that is compared with another.
+BESIDE, BLOCK = 256, 256
 #: Word hashes remembered by a task (the memory is emptied when full).
 MEMORY = 500_000
 
@@ -141,10 +141,9 @@ def streamed(members: DataFrame, centres: DataFrame, payload: str, out: str, mak
     return both.repartition("c", "part").sortWithinPartitions("c", "part", "role").mapInArrow(run, kind)
 
 
-def plausible(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (c, x) whose registers leave the threshold possible."""
-    payload = F.struct("n_shingles", "regs").alias("payload")
-    side = reps.select("doc_id", payload)
+def plausible(pairs: DataFrame, sides: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (c, x) whose registers leave the threshold possible. sides: (doc_id, n_shingles, regs)."""
+    side = sides.select("doc_id", F.struct("n_shingles", "regs").alias("payload"))
 
     def make():
         def f(c, centre, members):
@@ -160,6 +159,86 @@ def plausible(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return streamed(members, side, "payload", "c long,x long", make)
 
 
+def across_blocks(open_: DataFrame, sides: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components of members that share a key. open_: (key, doc_id, component).
+
+    Members of the keys with the same smallest member are one list; it is dealt to
+    blocks of about BLOCK, and a task sees two blocks at a time.  It compares their
+    registers and then the full sets of what the likelihood leaves open, and emits a
+    link per pair of components: neither pairs nor lists are gathered anywhere.
+    """
+    first = open_.groupBy("key").agg(F.min("doc_id").alias("c"))
+    listed = open_.join(first, "key").select("c", "doc_id", "component").distinct()
+    counted = listed.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = listed.join(counted, "c").join(sides, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = cells.select("c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n_shingles", "regs", "payload")
+    arrow = to_arrow_schema(schema("a long,b long"))
+
+    def intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of sets x[k] and y[k]: one by one if few, else as products of 0/1 matrices over stretches of the shingles."""
+        if len(x) <= 512:
+            return np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(x, y)], np.int64)
+        used = np.unique(np.concatenate([x, y]))
+        owner = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used])
+        codes = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True)[1]
+        order = np.argsort(codes, kind="stable")
+        owner, codes = owner[order], codes[order]
+        total = np.zeros((len(used), len(used)), np.float32)
+        for lo in range(0, int(codes[-1]) + 1, 8192):
+            p, q = np.searchsorted(codes, [lo, lo + 8192])
+            m = np.zeros((len(used), 8192), np.float32)
+            m[owner[p:q], codes[p:q] - lo] = 1
+            total += m @ m.T
+        return total[np.searchsorted(used, x), np.searchsorted(used, y)].astype(np.int64)
+
+    def compare(shingler: Shingler, rows: list[list], left: int, right: int) -> list[tuple[int, int]]:
+        """rows: own, doc_id, component, n_shingles, regs, text; pairs of the left block with the right (or within it, if they are the same)."""
+        block, ids, comps, sizes = (np.array([r[k] for r in rows]) for k in range(4))
+        x, y = np.triu_indices(len(rows), 1)
+        cross = (comps[x] != comps[y]) & (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
+        if left != right:
+            cross &= block[x] != block[y]
+        x, y = x[cross], y[cross]
+        regs = np.stack([np.frombuffer(r[4], np.int16) for r in rows])
+        ok = np.zeros(len(x), bool)
+        for at in range(0, len(x), 8192):
+            p, q = x[at : at + 8192], y[at : at + 8192]
+            ok[at : at + 8192] = sketch.may_reach(percent / 100, sizes[p].astype(float), sizes[q].astype(float), regs[p], regs[q])
+        x, y = x[ok], y[ok]
+        if not len(x):
+            return []
+        used = set(x.tolist()) | set(y.tolist())
+        sets = [shingler.of(r[5]) if k in used else None for k, r in enumerate(rows)]
+        same = intersections(sets, x, y)
+        total = np.array([0 if v is None else len(v) for v in sets])
+        link = 100 * same >= percent * (total[x] + total[y] - same)
+        x, y = x[link], y[link]
+        lo, hi = np.minimum(comps[x], comps[y]), np.maximum(comps[x], comps[y])
+        one = np.unique(np.stack([lo, hi]), axis=1, return_index=True)[1] if len(x) else []
+        return [(int(ids[x[k]]), int(ids[y[k]])) for k in one]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, cell, rows = Shingler(shingle), None, []
+
+        def packed(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=arrow)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                for c, i, j, *row in zip(*(piece.column(k).to_pylist() for k in range(9))):
+                    if cell != (c, i, j):
+                        if len(rows) > 1 and (found := compare(shingler, rows, *cell[1:])):
+                            yield packed(found)
+                        cell, rows = (c, i, j), []
+                    rows.append(row)
+        if len(rows) > 1 and (found := compare(shingler, rows, *cell[1:])):
+            yield packed(found)
+
+    return dealt.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(run, schema("a long,b long"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(c, x, inter, total) of pairs: sizes of the intersection and union of their full sets. texts: (doc_id, payload)."""
 
@@ -189,51 +268,24 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     known = rows.where("doc_id is not null and set_key is not null")
     reps = cut_lineage(known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")).groupBy("doc_id").agg(F.collect_list("set_key").alias("keys"), F.min(F.struct("n_shingles", "regs")).alias("s")).select("doc_id", "keys", "s.*"))
     # An id that is the smallest of several sets (used twice) stands for all of them, with the registers of the smaller.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("payload"))
     bands = banded(reps)
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    # Members of the keys that more than one representative has: the only ones looked at from here on.
+    # Members of the keys that more than one representative has, and their texts: all that is looked at from here on.
     members = cut_lineage(bands.join(shared, "key"))
-    order = lambda k, c: F.xxhash64(F.lit(k), F.col(c)) if k else F.col(c)
-
-    def starred(table: DataFrame, seeds: range) -> DataFrame:
-        """Distinct pairs (c, x) of every member with its key's centre in each order."""
-        centre = table.groupBy("key").agg(*[F.min_by("doc_id", order(k, "doc_id")).alias(f"c{k}") for k in seeds])
-        pairs = table.join(centre, "key").select(F.col("doc_id").alias("x"), F.explode(F.array(*[f"c{k}" for k in seeds])).alias("c")).where("x <> c")
-        return pairs.select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x")).distinct()
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return cut_lineage(verified(plausible(pairs, reps, percent / 100), texts, shingle))
-
-    link = F.expr(f"100 * inter >= {percent} * total")
-    seen = confirmed(starred(members, range(CENTRES)))
-    links = seen.where(link).select(F.col("c").alias("a"), F.col("x").alias("b"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("payload"))
+    involved = members.select("doc_id").distinct()
+    sides = cut_lineage(texts.join(involved, "doc_id", "left_semi").join(reps.drop("keys"), "doc_id"))
+    # A first look: every member with its key's smallest one.
+    centre = members.groupBy("key").agg(F.min("doc_id").alias("c"))
+    pairs = members.join(centre, "key").where("doc_id <> c").select("c", F.col("doc_id").alias("x")).distinct()
+    seen = verified(plausible(pairs, sides, percent / 100), sides.select("doc_id", "payload"), shingle)
+    links = cut_lineage(seen.where(f"100 * inter >= {percent} * total").select(F.col("c").alias("a"), F.col("x").alias("b")))
     found = cut_lineage(components(links))
-
-    def unsettled() -> DataFrame:
-        """Members, with their component, of the keys that hold several components."""
-        named = members.join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        return cut_lineage(named.join(mixed, "key"))
-
-    def across(pairs: DataFrame, table: DataFrame) -> DataFrame:
-        """The pairs that lie in different components and haven't been verified."""
-        names = table.select("doc_id", "component").distinct()
-        ends = pairs.join(names.select(F.col("doc_id").alias("c"), F.col("component").alias("cc")), "c").join(names.select(F.col("doc_id").alias("x"), F.col("component").alias("cx")), "x")
-        return ends.where("cc <> cx").select("c", "x").join(seen.select("c", "x"), ["c", "x"], "left_anti")
-
-    for last in (False, True):
-        open_ = unsettled()
-        if open_.isEmpty():
-            break
-        if last:
-            pairs = remaining(open_, seen, percent)
-        else:
-            pairs = starred(open_, range(1, 1 + AGAIN))
-        more = confirmed(across(pairs, open_))
-        seen = cut_lineage(seen.unionByName(more))
-        links = seen.where(link).select(F.col("c").alias("a"), F.col("x").alias("b"))
-        found = cut_lineage(components(links))
+    # A second look, at the keys that hold several components.
+    named = members.join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    more = across_blocks(named.join(mixed, "key"), sides, shingle, percent)
+    found = components(links.unionByName(more))
 
     rep_of = reps.select(F.explode("keys").alias("set_key"), F.col("doc_id").alias("rep")).join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(rep_of, "set_key", "left")
@@ -241,23 +293,6 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def remaining(open_: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
-    """Every pair of members of a key in different components that the triangle inequality leaves open.
-
-    1 - similarity is a metric: with d(x, c) known for the key's centre c, a pair
-    whose distances to c differ by more than 1 - percent / 100 can't be linked.
-    """
-    far = 1 - percent / 100 + 1e-9
-    centre = open_.groupBy("key").agg(F.min("doc_id").alias("centre"))
-    known = seen.select(F.col("c").alias("centre"), F.col("x").alias("doc_id"), (1 - F.col("inter") / F.col("total")).alias("d"))
-    known = known.unionByName(known.select(F.col("doc_id").alias("centre"), F.col("centre").alias("doc_id"), "d"))
-    at = open_.join(centre, "key").join(known, ["centre", "doc_id"], "left").withColumn("d", F.when(F.col("doc_id") == F.col("centre"), 0.0).otherwise(F.col("d")))
-    a = at.select("key", F.col("doc_id").alias("c"), F.col("component").alias("ca"), F.col("d").alias("da"))
-    b = at.select("key", F.col("doc_id").alias("x"), F.col("component").alias("cb"), F.col("d").alias("db"))
-    near = F.coalesce(F.abs(F.col("da") - F.col("db")) <= far, F.lit(True))
-    return a.join(b, "key").where((F.col("c") < F.col("x")) & (F.col("ca") != F.col("cb")) & near).select("c", "x").distinct()
-
-
 def distinct_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the smallest id of their group, and those without an id, with all their columns. Rows that repeat an id stay or go together."""
     kept = groups(docs, shingle, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
