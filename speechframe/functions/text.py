@@ -169,12 +169,12 @@ def overlap(a: Column, b: Column, least: int = 3, most: int = 8) -> Column:
 
 def joined(a: Column, b: Column) -> Column:
     """Words of two windows put together: a short cut-off last word that the next window completes goes, and so does what is said twice."""
-    last, first = plain_word(F.element_at(a, -1)), plain_word(F.get(b, F.lit(0)))
+    last, first = plain_word(F.try_element_at(a, F.lit(-1))), plain_word(F.get(b, F.lit(0)))
     cut = (F.size(a) > 0) & (F.size(b) > 0) & (last != "") & (first != "") & (last != first) & (F.char_length(last) <= 3) & F.startswith(first, last)
     drop = lambda x: F.slice(x, F.lit(1), F.greatest(F.lit(0), F.size(x) - 1))
     healed = F.when(F.coalesce(cut, F.lit(False)), drop(a)).otherwise(a)
     k = overlap(healed, b)
-    tail = F.element_at(healed, -1)
+    tail = F.try_element_at(healed, F.lit(-1))
     retry = (k == 0) & (F.size(healed) >= 4) & (F.char_length(plain_word(tail)) <= 3) & ~F.substring(tail, -1, 1).isin(*".!?…")
     k2 = overlap(drop(healed), b)
     rest = lambda n: F.slice(b, n + 1, F.greatest(F.lit(0), F.size(b) - n))
@@ -192,7 +192,7 @@ def merged(windows: Column) -> Column:
         return F.when(F.size(w) == 0, F.struct(s.w.alias("w"), (s.meta | (F.size(x.removed) > 0)).alias("meta"))).otherwise(F.struct(both.alias("w"), F.lit(False).alias("meta")))
 
     end = F.aggregate(cleaned, state, step)
-    last = F.element_at(end.w, -1)
+    last = F.try_element_at(end.w, F.lit(-1))
     cut = (F.size(end.w) > 0) & ~F.substring(last, -1, 1).isin(*".!?…") & (end.meta | (F.char_length(plain_word(last)) <= 2))
     return F.concat(F.array_join(end.w, " "), F.when(F.coalesce(cut, F.lit(False)), "…").otherwise(""))
 
