@@ -3,7 +3,7 @@
 import pytest
 
 from compare import connection, same
-from conftest import SF
+from compare import SF
 from speechframe.queries import ORACLE_SQL, QUERIES
 
 
