@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,11 @@ ACCENTS = ("àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceee
 FLAGS = "(?iU)"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once, however often f uses it: higher-order functions don't share subexpressions."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def sub(c: Column, pattern: str, to: str, flags: str = FLAGS) -> Column:
     return F.regexp_replace(c, flags + pattern, to)
 
@@ -82,17 +88,24 @@ def spaced(c: Column) -> Column:
 
 def capitalised(c: Column) -> Column:
     """A capital after . ! ? and white space, and at the start of lines: the text is cut before such letters and put together again."""
-    pieces = F.split(c, r"(?U)(?<=[.!?]\s)(?=[a-zà-ÿ])|(?<=\n)(?=[a-zà-ÿ])")
-    first = F.lower(F.left(c, F.lit(1))) == F.left(c, F.lit(1))
-    upper = F.transform(pieces, lambda p, i: F.when((i > 0) | first, F.concat(F.upper(F.left(p, F.lit(1))), F.substring(p, 2, 1 << 30))).otherwise(p))
-    return F.array_join(upper, "")
+
+
+    def pieces(t: Column) -> Column:
+        first = F.lower(F.left(t, F.lit(1))) == F.left(t, F.lit(1))
+        cut = F.split(t, r"(?U)(?<=[.!?]\s)(?=[a-zà-ÿ])|(?<=\n)(?=[a-zà-ÿ])")
+        return F.array_join(F.transform(cut, lambda p, i: F.when((i > 0) | first, F.concat(F.upper(F.left(p, F.lit(1))), F.substring(p, 2, 1 << 30))).otherwise(p)), "")
+
+    return let(c, pieces)
 
 
 def formatted(c: Column) -> Column:
     """Fillers out, spacing, capitals, and a full stop at the end of a single paragraph."""
-    t = spaced(capitalised(spaced(without_fillers(c))))
-    bare = (t != "") & ~F.contains(t, F.lit("\n")) & ~F.substring(t, -1, 1).isin(*".!?…»")
-    return F.when(bare, F.concat(t, F.lit("."))).otherwise(t)
+
+    def ended(t: Column) -> Column:
+        bare = (t != "") & ~F.contains(t, F.lit("\n")) & ~F.substring(t, -1, 1).isin(*".!?…»")
+        return F.when(bare, F.concat(t, F.lit("."))).otherwise(t)
+
+    return let(spaced(capitalised(spaced(without_fillers(c)))), ended)
 
 
 def commands(c: Column) -> Column:
@@ -123,11 +136,12 @@ def word_count(c: Column) -> Column:
 
 def without_repeats(c: Column) -> Column:
     """Of sentences of over five words, equal but for case and spaces, only the first stays, wherever they are."""
-    sentences = F.split(c, r"(?U)(?<=[.!?])\s+")
-    norms = F.transform(sentences, lambda s: F.trim(sub(F.lower(s), r"\s+", " ", "(?U)")))
-    paired = F.arrays_zip(sentences.alias("s"), norms.alias("n"))
-    kept = F.filter(paired, lambda p, i: (F.size(F.split(p.n, " ")) <= 5) | (F.array_position(norms, p.n) == i + 1))
-    return F.array_join(F.transform(kept, lambda p: p.s), " ")
+
+    def kept(sentences: Column) -> Column:
+        norms = F.transform(sentences, lambda s: F.trim(sub(F.lower(s), r"\s+", " ", "(?U)")))
+        return let(norms, lambda n: F.filter(sentences, lambda s, i: (F.size(F.split(F.get(n, i), " ")) <= 5) | (F.array_position(n, F.get(n, i)) == i + 1)))
+
+    return F.array_join(let(F.split(c, r"(?U)(?<=[.!?])\s+"), kept), " ")
 
 
 def without_hallucinations(c: Column) -> Column:
@@ -148,12 +162,12 @@ def scrubbed(c: Column) -> Column:
 
 def without_metatext(c: Column) -> Column:
     """struct(text, removed): patterns in order, what each took away in order."""
-    state = F.coalesce(c, F.lit(""))
-    removed = F.array().cast("array<string>")
-    for p in METATEXT:
-        removed = F.concat(removed, F.transform(F.regexp_extract_all(state, F.lit(f"{FLAGS}({p})"), F.lit(1)), F.trim))
-        state = sub(state, p, " ")
-    return F.struct(chain(state, [(r"\s{2,}", " "), (r"^\s+|\s+$", "")], "(?U)").alias("text"), F.filter(removed, lambda x: x != "").alias("removed"))
+    def without(p: str) -> Callable[[Column], Column]:
+        return lambda s: F.struct(sub(s.t, p, " ").alias("t"), F.concat(s.r, F.transform(F.regexp_extract_all(s.t, F.lit(f"{FLAGS}({p})"), F.lit(1)), F.trim)).alias("r"))
+
+    state = F.struct(F.coalesce(c, F.lit("")).alias("t"), F.array().cast("array<string>").alias("r"))
+    end = reduce(lambda s, p: let(s, without(p)), METATEXT, state)
+    return let(end, lambda s: F.struct(chain(s.t, [(r"\s{2,}", " "), (r"^\s+|\s+$", "")], "(?U)").alias("text"), F.filter(s.r, lambda x: x != "").alias("removed")))
 
 
 def plain_word(w: Column) -> Column:
@@ -162,39 +176,50 @@ def plain_word(w: Column) -> Column:
 
 def overlap(a: Column, b: Column, least: int = 3, most: int = 8) -> Column:
     """Words in the longest run that ends a and starts b; 0 if shorter than ``least``. a, b: arrays of words."""
-    x, y = F.transform(F.slice(a, F.greatest(F.lit(1), F.size(a) - most + 1), F.lit(most)), plain_word), F.transform(F.slice(b, 1, most), plain_word)
-    fits = F.filter(F.array(*[F.lit(k) for k in range(most, least - 1, -1)]), lambda k: (k <= F.size(x)) & (k <= F.size(y)) & (F.slice(x, F.size(x) - k + 1, k) == F.slice(y, F.lit(1), k)))
-    return F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
+    x = F.transform(F.slice(a, F.greatest(F.lit(1), F.size(a) - most + 1), F.lit(most)), plain_word)
+    y = F.transform(F.slice(b, 1, most), plain_word)
+
+    def longest(p: Column) -> Column:
+        fits = F.filter(F.array(*[F.lit(k) for k in range(most, least - 1, -1)]), lambda k: (k <= F.size(p.x)) & (k <= F.size(p.y)) & (F.slice(p.x, F.size(p.x) - k + 1, k) == F.slice(p.y, F.lit(1), k)))
+        return F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
+
+    return let(F.struct(x.alias("x"), y.alias("y")), longest)
 
 
 def joined(a: Column, b: Column) -> Column:
     """Words of two windows put together: a short cut-off last word that the next window completes goes, and so does what is said twice."""
-    last, first = plain_word(F.try_element_at(a, F.lit(-1))), plain_word(F.get(b, F.lit(0)))
-    cut = (F.size(a) > 0) & (F.size(b) > 0) & (last != "") & (first != "") & (last != first) & (F.char_length(last) <= 3) & F.startswith(first, last)
     drop = lambda x: F.slice(x, F.lit(1), F.greatest(F.lit(0), F.size(x) - 1))
-    healed = F.when(F.coalesce(cut, F.lit(False)), drop(a)).otherwise(a)
-    k = overlap(healed, b)
-    tail = F.try_element_at(healed, F.lit(-1))
-    retry = (k == 0) & (F.size(healed) >= 4) & (F.char_length(plain_word(tail)) <= 3) & ~F.substring(tail, -1, 1).isin(*".!?…")
-    k2 = overlap(drop(healed), b)
     rest = lambda n: F.slice(b, n + 1, F.greatest(F.lit(0), F.size(b) - n))
-    return F.when(F.coalesce(retry, F.lit(False)) & (k2 > 0), F.concat(drop(healed), rest(k2))).otherwise(F.concat(healed, rest(k)))
+
+    def healed(p: Column) -> Column:
+        cut = (p.last != "") & (p["first"] != "") & (p.last != p["first"]) & (F.char_length(p.last) <= 3) & F.startswith(p["first"], p.last)
+        return F.when(F.coalesce(cut, F.lit(False)), drop(a)).otherwise(a)
+
+    def again(h: Column) -> Column:
+        tail = F.try_element_at(h, F.lit(-1))
+        retry = (F.size(h) >= 4) & (F.char_length(plain_word(tail)) <= 3) & ~F.substring(tail, -1, 1).isin(*".!?…")
+        other = let(overlap(drop(h), b), lambda k: F.when(k > 0, F.concat(drop(h), rest(k))).otherwise(F.concat(h, b)))
+        return let(overlap(h, b), lambda k: F.when(k > 0, F.concat(h, rest(k))).when(F.coalesce(retry, F.lit(False)), other).otherwise(F.concat(h, b)))
+
+    ends = F.struct(plain_word(F.try_element_at(a, F.lit(-1))).alias("last"), plain_word(F.get(b, F.lit(0))).alias("first"))
+    return let(let(ends, healed), again)
 
 
 def merged(windows: Column) -> Column:
     """Text of an ordered array of window texts: metatext out, joins healed, an ellipsis where the end is visibly cut off."""
-    cleaned = F.transform(windows, without_metatext)
     state = F.struct(F.array().cast("array<string>").alias("w"), F.lit(False).alias("meta"))
+    cleaned = F.transform(windows, lambda x: let(without_metatext(x), lambda m: F.struct(words(m.text).alias("w"), (F.size(m.removed) > 0).alias("meta"))))
 
     def step(s: Column, x: Column) -> Column:
-        w = words(x.text)
-        both = F.when(F.size(s.w) == 0, w).otherwise(joined(s.w, w))
-        return F.when(F.size(w) == 0, F.struct(s.w.alias("w"), (s.meta | (F.size(x.removed) > 0)).alias("meta"))).otherwise(F.struct(both.alias("w"), F.lit(False).alias("meta")))
-
-    end = F.aggregate(cleaned, state, step)
-    last = F.try_element_at(end.w, F.lit(-1))
-    cut = (F.size(end.w) > 0) & ~F.substring(last, -1, 1).isin(*".!?…") & (end.meta | (F.char_length(plain_word(last)) <= 2))
-    return F.concat(F.array_join(end.w, " "), F.when(F.coalesce(cut, F.lit(False)), "…").otherwise(""))
+        both = F.when(F.size(s.w) == 0, x.w).otherwise(joined(s.w, x.w))
+        return F.when(F.size(x.w) == 0, F.struct(s.w.alias("w"), (s.meta | x.meta).alias("meta"))).otherwise(F.struct(both.alias("w"), F.lit(False).alias("meta")))
+
+    def marked(end: Column) -> Column:
+        last = F.try_element_at(end.w, F.lit(-1))
+        cut = ~F.substring(last, -1, 1).isin(*".!?…") & (end.meta | (F.char_length(plain_word(last)) <= 2))
+        return F.concat(F.array_join(end.w, " "), F.when(F.coalesce(cut, F.lit(False)), "…").otherwise(""))
+
+    return let(F.aggregate(cleaned, state, step), marked)
 
 
 def assembled(segments: Column) -> Column:

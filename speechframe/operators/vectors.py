@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,16 +63,32 @@ def match_known(probes: DataFrame, known: DataFrame, probe: str, least: float =
     return r.select(probe, F.when(sure, -best.neg).alias("id"), F.when(sure, best["name"]).alias("name"), F.coalesce(best.score, F.lit(-1.0)).alias("score"))
 
 
-def neighbours(df: DataFrame, ident: str, vector: str, p: int, block: int = 512) -> DataFrame:
-    """The p nearest other rows of each row, ties to the smaller id, block against block.
+def neighbours(df: DataFrame, ident: str, vector: str, p: int, block: int = 2048) -> DataFrame:
+    """The p nearest other rows of each row, ties to the smaller id, block against block as matrix products.
 
-    A window keeps p rows of each pair of blocks before the shuffle (WindowGroupLimit), so what is gathered grows with p and not with the pairs.
+    A pair of blocks gives at most p rows for each of its rows, so what is shuffled grows with p and not with the pairs.
     """
     n = max(1, -(-df.count() // block))
-    b = df.select(F.col(ident).alias("id"), doubles(vector).alias("v"), F.pmod(F.xxhash64(ident), F.lit(n)).cast("int").alias("b"))
-    left = b.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("b", "o", F.col("id").alias("x"), F.col("v").alias("vx"))
-    right = b.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.col("o").alias("b"), F.col("b").alias("o"), F.col("id").alias("y"), F.col("v").alias("vy"))
-    s = left.join(right, ["b", "o"]).where("x <> y").select("x", "y", F.round(dot("vx", "vy"), 9).alias("cosine"))
+    packed = df.select(F.col(ident).cast("long").alias("id"), doubles(vector).alias("v"), F.pmod(F.xxhash64(ident), F.lit(n)).cast("int").alias("b")).groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("r"))
+    packed = packed.select("b", F.col("r.id").alias("ids"), F.flatten("r.v").alias("flat"))
+    cells = packed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left = cells.select("b", "o", F.col("ids").alias("xi"), F.col("flat").alias("xf"))
+    right = cells.select(F.col("o").alias("b"), F.col("b").alias("o"), F.col("ids").alias("yi"), F.col("flat").alias("yf"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for xi, xf, yi, yf in zip(batch["xi"], batch["xf"], batch["yi"], batch["yf"]):
+                xi, yi = np.asarray(xi), np.asarray(yi)
+                s = np.round(np.asarray(xf).reshape(len(xi), -1) @ np.asarray(yf).reshape(len(yi), -1).T, 9)
+                s[xi[:, None] == yi[None, :]] = -np.inf
+                for lo in range(0, len(xi), 256):
+                    part = s[lo : lo + 256]
+                    order = np.lexsort((np.broadcast_to(yi, part.shape), -part))[:, :p]
+                    best = np.take_along_axis(part, order, 1)
+                    keep = np.isfinite(best)
+                    yield pd.DataFrame({"x": np.repeat(xi[lo : lo + 256], order.shape[1])[keep.ravel()], "y": yi[order][keep], "cosine": best[keep]})
+
+    s = left.join(right, ["b", "o"]).select("xi", "xf", "yi", "yf").mapInPandas(run, "x long, y long, cosine double")
     w = Window.partitionBy("x").orderBy(F.desc("cosine"), "y")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= p)
 
