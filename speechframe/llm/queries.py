@@ -96,6 +96,24 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id < top THEN 1 ELSE CAST(ceil((87 + payload_bytes + 5 + chunk) / 32768.0) AS INTEGER) END AS segments, 'ok' AS status
         FROM (SELECT *, CAST(coalesce(list_sum(list_transform(range(CAST(ceil(payload_bytes / 8192.0) AS BIGINT)), lambda i: 4 + length(printf('%x', CAST(least(8192, payload_bytes - 8192 * i) AS INT))))), 0) AS BIGINT) AS chunk FROM d)""",
     "op2_preferences": chat.ORACLE_SQL,
+    "op3_decontamination": """
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+        i AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+        dw AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d), iw AS (SELECT item_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS q FROM i WHERE len(w) >= 5),
+        m AS (SELECT doc_id, item_id, n, p - q AS o, q FROM dw JOIN iw USING (x)),
+        a AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, o) >= 4),
+        c AS (SELECT doc_id, item_id, n, count(*) OVER (PARTITION BY doc_id, item_id, o ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM a)
+        SELECT doc_id, item_id, CAST(least(13, max(n)) AS INTEGER) AS window_words, CAST(max(k) AS INTEGER) AS matched_words, CAST(max(n) AS INTEGER) AS item_words
+        FROM c WHERE k >= ceil(least(13, n) * 0.8) GROUP BY 1, 2""",
+    "op7_near_duplicates": """
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+        n AS (SELECT doc_id, len(s) AS n FROM s), x AS (SELECT doc_id, unnest(s) AS x FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id AND r.c < e.b)
+        SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(c) AS component_id, n.doc_id = min(c) AS kept FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n""",
     "op9_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) AS v FROM embeddings
