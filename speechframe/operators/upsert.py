@@ -69,16 +69,22 @@ def backfill(counted: DataFrame, history: DataFrame, day: str, sums: list[str])
 
 
 def admitted(new: DataFrame, existing: DataFrame, key: str, at: str, limit: int, seconds: int) -> DataFrame:
-    """Rows of unknown keys pass only while fewer than ``limit`` keys were created in the ``seconds`` before.
+    """Rows of unknown keys pass only while fewer than ``limit`` keys were created in the ``seconds`` before (to the second).
 
-    The window counts creations of the existing table by time; it is ordered by
-    time within hours, so no task holds more than two hours of creations.
+    Creations are counted per second and packed per slot of ``seconds``, so a slot is one row of at most ``seconds``
+    running counts; a new row looks up two slots, and no row meets the creations themselves.
     """
-    unknown = new.join(existing.select(key), key, "left_anti")
-    slot = lambda c: F.floor(F.unix_timestamp(c) / seconds).cast("long")
-    made = existing.select(F.col(at).alias("made_at"), F.explode(F.array(slot(F.col(at)), slot(F.col(at)) + 1)).alias("slot"))
-    recent = unknown.withColumn("slot", slot(F.col(at))).join(made, "slot").where((F.unix_timestamp("made_at") <= F.unix_timestamp(at)) & (F.unix_timestamp("made_at") > F.unix_timestamp(at) - seconds)).groupBy(key).count()
-    full = recent.where(F.col("count") >= limit)
+    t = F.unix_timestamp(at)
+    slot = F.floor(t / seconds).cast("long")
+    per = existing.groupBy(slot.alias("slot"), t.alias("t")).agg(F.count("*").alias("n"))
+    runs = per.withColumn("upto", F.sum("n").over(Window.partitionBy("slot").orderBy("t")))
+    slots = runs.groupBy("slot").agg(F.collect_list(F.struct("t", "upto")).alias("runs"))
+    upto = lambda runs, x: F.coalesce(F.array_max(F.transform(F.filter(runs, lambda r: r.t <= x), lambda r: r.upto)), F.lit(0))
+    unknown = new.join(existing.select(key), key, "left_anti").select(key, t.alias("__t"), slot.alias("slot"))
+    own = unknown.join(slots, "slot", "left").withColumnRenamed("runs", "own").withColumn("slot", F.col("slot") - 1)
+    both = own.join(slots, "slot", "left")
+    before = upto(F.col("runs"), F.lit(1 << 60)) - upto(F.col("runs"), F.col("__t") - seconds)
+    full = both.where(upto(F.col("own"), F.col("__t")) + before >= limit).select(key).distinct()
     return new.join(full, key, "left_anti")
 
 
