@@ -22,27 +22,44 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_rows, schema
 
-SAMPLE_ROWS, MIN_COUNT, MAX_WORDS, MAX_GRAMS, ORDER = 20_000, 2, 60_000, 60_000, 4
-#: Words remembered by a task (the memory is emptied when full).
-MEMORY = 300_000
+SAMPLE_ROWS, MIN_COUNT, MAX_WORDS, MAX_GRAMS, ORDER = 10_000, 2, 15_000, 15_000, 4
+#: Words remembered by a task (the later half goes when full).
+MEMORY = 60_000
 LETTERS = re.compile(r"[^\W\d_]+")
 WORDS = r"[^\p{L}]+"
 
 
 class Model:
-    """Languages, and per known word or n-gram a row of log frequencies."""
+    """Languages, and per known word and n-gram a row of log frequencies, as compact arrays (dictionaries are made where texts are scored)."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
+    def __init__(self, languages: list[str], words: pa.Array, word_rows: np.ndarray, grams: pa.Array, gram_rows: np.ndarray):
         self.languages, self.words, self.grams = languages, words, grams
+        self.table = np.concatenate([word_rows, gram_rows]).astype(np.float32).reshape(-1, max(1, len(languages)))
+
+    def index(self) -> tuple[dict[str, int], dict[str, int]]:
+        """Places of words and of n-grams in the table."""
+        return {w: i for i, w in enumerate(self.words.to_pylist())}, {g: i for i, g in enumerate(self.grams.to_pylist(), len(self.words))}
+
+
+def log_rows(found: pa.Table, languages: list[str], totals: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words of (lang, word, n) and their rows of smoothed log frequencies; totals: per row of found and language, or per language."""
+    coded = found["word"].combine_chunks().dictionary_encode()
+    codes, n = coded.indices.to_numpy(zero_copy_only=False), found["n"].to_numpy()
+    lang = pc.index_in(found["lang"], value_set=pa.array(languages, pa.string())).to_numpy()
+    rows = np.full((len(coded.dictionary), len(languages)), 0.5)
+    np.add.at(rows, (codes, lang), n)
+    return coded.dictionary, np.log(rows) - np.log(totals + 1)
 
 
 def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, min_count: int = MIN_COUNT) -> Model:
@@ -56,12 +73,12 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, min_count: int = MIN_CO
     try:
         gram = F.transform(F.sequence(F.lit(1), F.char_length("p") - F.col("k") + 1), lambda i: F.substring(F.col("p"), i, F.col("k")))
         padded = counts.select("lang", "n", F.concat(F.lit(" "), "word", F.lit(" ")).alias("p")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(ORDER)))).where(F.char_length("p") >= F.col("k"))
-        grams = padded.select("lang", "n", F.explode(gram).alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        grams = padded.select("lang", "n", F.explode(gram).alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
 
-        def top(df: DataFrame, least: int, most: int) -> list:
+        def top(df: DataFrame, least: int, most: int) -> pa.Table:
             """The most frequent of every language, in two bounded steps: a count that at most ``most`` exceed, then the rows above it."""
             kept = df.where(F.col("n") >= least)
-            ranks = kept.groupBy("lang", "n").agg(F.count("*").alias("c")).collect() if most else []
+            ranks = kept.groupBy("lang", "n").agg(F.count("*").alias("c")).collect()
             cut = {}
             for lang in {r.lang for r in ranks}:
                 seen = 0
@@ -70,31 +87,24 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, min_count: int = MIN_CO
                     if seen > most:
                         break
                     cut[lang] = r.n
-            at = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in cut.items()]) if cut else F.lit(None)
-            return kept.where(F.col("n") >= at).collect()
+            at = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in cut.items()]) if cut else F.lit(None).cast("long")
+            return kept.where(F.col("n") >= at).select("lang", "word", "n").toArrow()
 
         word_rows, gram_rows = top(counts, min_count, MAX_WORDS), top(grams, min_count, MAX_GRAMS)
         sums = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        grams.unpersist()
     finally:
         counts.unpersist()
     languages = sorted(sums)
-    index = {k: i for i, k in enumerate(languages)}
-
-    def logs(found: list, total: list[float]) -> dict[str, np.ndarray]:
-        out: dict[str, np.ndarray] = {}
-        for r in found:
-            out.setdefault(r.word, np.full(len(languages), 0.5))[index[r.lang]] += r.n
-        base = np.log(np.array(total) + 1)
-        return {w: (np.log(v) - base).astype(np.float32) for w, v in out.items()}
-
-    by_order: dict[str, np.ndarray] = {}
-    for k in range(1, ORDER + 1):
-        at = [r for r in gram_rows if len(r.word) == k]
-        total_k = [0.0] * len(languages)
-        for r in at:
-            total_k[index[r.lang]] += r.n
-        by_order |= logs(at, total_k)
-    return Model(languages, logs(word_rows, [float(sums[k]) for k in languages]), by_order)
+    if not languages:
+        return Model([], pa.array([], pa.string()), np.empty((0, 1)), pa.array([], pa.string()), np.empty((0, 1)))
+    known_words = log_rows(word_rows, languages, np.array([sums[k] for k in languages], float))
+    parts = []
+    for k in range(1, ORDER + 1):  # frequencies are those among n-grams of one length
+        part = gram_rows.filter(pc.equal(pc.utf8_length(gram_rows["word"]), k))
+        lang = pc.index_in(part["lang"], value_set=pa.array(languages, pa.string())).to_numpy()
+        parts.append(log_rows(part, languages, np.bincount(lang, part["n"].to_numpy(), len(languages))))
+    return Model(languages, *known_words, pa.concat_arrays([g for g, _ in parts]), np.concatenate([r for _, r in parts]))
 
 
 class Scorer:
@@ -103,36 +113,43 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.n = len(model.languages)
-        self.reset()
-
-    def reset(self) -> None:
+        self.words, self.grams = model.index()
         self.table = np.zeros((1 << 16, max(1, self.n)), np.float32)
-        self.index: dict[str, int] = {}
-
-    def vector(self, word: str) -> np.ndarray:
-        v = self.model.words.get(word)
-        if v is not None:
-            return v
-        padded, at, out = f" {word} ", 0, np.zeros(self.n, np.float32)
-        while at < len(padded):
-            for k in range(min(ORDER, len(padded) - at), 0, -1):
-                g = self.model.grams.get(padded[at : at + k])
+        self.index: dict[str, int] = {}  # of words met, by their row in this object's table
+
+    def places(self, word: str) -> list[int]:
+        """Rows of the model that make up a word: its own, or those of the n-grams that cover it."""
+        i = self.words.get(word)
+        if i is not None:
+            return [i]
+        padded, at, out = f" {word} ", 0, []
+        get, end = self.grams.get, len(word) + 2
+        while at < end:
+            for k in range(min(ORDER, end - at), 0, -1):
+                g = get(padded[at : at + k])
                 if g is not None:
-                    out = out + g
+                    out.append(g)
                     at += k
                     break
             else:
                 at += 1
         return out
 
+    def vector(self, word: str) -> np.ndarray:
+        return self.model.table[self.places(word)].sum(0)
+
     def codes(self, words: list[str]) -> np.ndarray:
         index = self.index
-        for w in set(words).difference(index):
-            i = len(index)
-            if i >= len(self.table):
+        new = list(set(words).difference(index))
+        if new:
+            parts = [self.places(w) for w in new]
+            ends = np.cumsum([len(p) for p in parts])
+            upto = np.concatenate([np.zeros((1, self.table.shape[1])), np.cumsum(self.model.table[np.fromiter(chain.from_iterable(parts), np.int64, int(ends[-1]))], axis=0, dtype=np.float64)])
+            first = len(index)
+            while first + len(new) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[i] = self.vector(w)
-            index[w] = i
+            self.table[first : first + len(new)] = upto[ends] - upto[np.concatenate([[0], ends[:-1]])]
+            index.update(zip(new, range(first, first + len(new))))
         return np.fromiter(map(index.__getitem__, words), np.int32, len(words))
 
     def score(self, text: str | None) -> tuple[str, float]:
@@ -140,7 +157,7 @@ class Scorer:
         if not self.n or not any(map(str.isalpha, words)):
             return "und", 0.0
         if len(self.index) > MEMORY:
-            self.reset()
+            self.index = dict(islice(self.index.items(), MEMORY // 2))  # those met first are the frequent ones
         used = np.bincount(self.codes(words), minlength=len(self.index))
         at = np.flatnonzero(used)
         sums = used[at].astype(np.float64) @ self.table[at].astype(np.float64)
