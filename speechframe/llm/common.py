@@ -80,6 +80,28 @@ def open_input(uri: str):
     return store.open_input_file(path)
 
 
+#: Bytes of an Arrow batch on its way to Python, where the session doesn't set its own.
+BATCH_BYTES = "8m"
+_SETTING, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, unless the session sets a size: executor and worker each hold a batch or two, so its size is most of their need."""
+    if spark.conf.get(_SETTING).rstrip("b") == str(_DEFAULT):
+        spark.conf.set(_SETTING, BATCH_BYTES)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` in bounded batches; a task gives its Arrow memory back at its end."""
+    bounded_batches(df.sparkSession)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def map_rows(df: DataFrame, schema: T.StructType, make: Callable[[], Callable[[pa.RecordBatch], list]], step: int = 1024) -> DataFrame:
     """``mapInArrow`` where ``make()`` is called once per task and returns a
     function from a record batch to the list of output columns (one Python list,
@@ -97,7 +119,7 @@ def map_rows(df: DataFrame, schema: T.StructType, make: Callable[[], Callable[[p
                 if columns is not None:
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == t.type else pa.array(c, type=t.type) for c, t in zip(columns, arrow)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def schema(ddl: str) -> T.StructType:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import open_input, open_output, schema
+from .common import map_arrow, open_input, open_output, schema
 
 MAGIC = b"EFTOKEN1"
 #: Every SAMPLE-th one of the high bits has its position stored.
@@ -286,7 +286,7 @@ def write_tokens(docs: DataFrame, out_dir: str, path: str, end_id: int = 1, widt
         if names:
             yield flush()
 
-    dealt.mapInArrow(run, kind).write.parquet(f"{out_dir}/manifest")
+    map_arrow(dealt, run, kind).write.parquet(f"{out_dir}/manifest")
     return spark.read.schema(kind).parquet(f"{out_dir}/manifest")
 
 
@@ -313,4 +313,4 @@ def read_tokens(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=t.type) for x, t in zip(columns, arrow)], schema=arrow)
                 r.close()
 
-    return files.select("file", "before").repartition(n).mapInArrow(run, out)
+    return map_arrow(files.select("file", "before").repartition(n), run, out)

@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import sketch
-from .common import cut_lineage, map_rows, schema
+from .common import cut_lineage, map_arrow, map_rows, schema
 from .components import components
 
 #: Members verified beside one copy of their centre; members of a block that is compared with another.
 BESIDE, BLOCK = 256, 256
 #: Word hashes remembered by a task (the memory is emptied when full).
-MEMORY = 500_000
+MEMORY = 150_000
 
 
 class Shingler:
@@ -138,7 +138,7 @@ def streamed(members: DataFrame, centres: DataFrame, payload: str, out: str, mak
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=t.type) for v, t in zip(zip(*rows), arrow)], schema=arrow)
 
     both = left.unionByName(right)
-    return both.repartition("c", "part").sortWithinPartitions("c", "part", "role").mapInArrow(run, kind)
+    return map_arrow(both.repartition("c", "part").sortWithinPartitions("c", "part", "role"), run, kind)
 
 
 def plausible(pairs: DataFrame, sides: DataFrame, threshold: float) -> DataFrame:
@@ -236,7 +236,7 @@ def across_blocks(open_: DataFrame, sides: DataFrame, shingle: int, percent: int
         if len(rows) > 1 and (found := compare(shingler, rows, *cell[1:])):
             yield packed(found)
 
-    return dealt.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(run, schema("a long,b long"))
+    return map_arrow(dealt.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j"), run, schema("a long,b long"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:

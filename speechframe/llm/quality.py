@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_rows, schema
+from .common import map_arrow, map_rows, schema
 
 SAMPLE_ROWS, BITS, C, EPOCHS, ALPHA = 8192, 18, 1.0, 12, 1.0
 #: Odd multipliers of the n-gram hashes. Fixed values.
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         model = train([x for _, x, _ in found], [y for _, _, y in found])
         yield pa.RecordBatch.from_arrays([pa.array([model.pack()], pa.binary())], schema=to_arrow_schema(schema("model binary")))
 
-    made = rows.repartition(1).mapInArrow(run, schema("model binary")).collect()
+    made = map_arrow(rows.repartition(1), run, schema("model binary")).collect()
     return Model.unpack(made[0].model) if made else train([], [])
 
 

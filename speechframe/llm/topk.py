@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut_lineage, schema
+from .common import cut_lineage, map_arrow, schema
 
 #: Rows of a query block and of a candidate block; bins of a histogram.
 QUERY_ROWS, CANDIDATE_ROWS, BINS = 4096, 4096, 512
@@ -82,7 +82,7 @@ def _pairs(df: DataFrame, out: str, f) -> DataFrame:
                     columns = f(qids[lo : lo + 512], cids, s, own, low, width)
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=t.type) for x, t in zip(columns, arrow)], schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return map_arrow(df, run, kind)
 
 
 def _histogram(k: int):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import open_input, open_output, schema
+from .common import map_arrow, open_input, open_output, schema
 
 SEGMENT_BYTES, CHUNK_BYTES, FILE_BYTES = 32 << 10, 8 << 10, 256 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -125,7 +125,7 @@ def write_warc(pages: DataFrame, out_dir: str, dedupe_from: int = 0, segment_byt
                     row = next(todo, None)
             yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n], pa.int64())], schema=arrow)
 
-    full.mapInArrow(run, kind).write.parquet(f"{out_dir}/manifest")
+    map_arrow(full, run, kind).write.parquet(f"{out_dir}/manifest")
     return spark.read.schema(kind).parquet(f"{out_dir}/manifest")
 
 
@@ -304,8 +304,8 @@ def read_warc(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
         if rows:
             yield packed()
 
-    found = manifest.select("file").repartition(n).mapInArrow(parse, parsed)
-    return found.repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(gather, out)
+    found = map_arrow(manifest.select("file").repartition(n), parse, parsed)
+    return map_arrow(found.repartition("origin").sortWithinPartitions("origin", "segment"), gather, out)
 
 
 def page_results(read: DataFrame) -> DataFrame:
