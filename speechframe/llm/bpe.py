@@ -108,24 +108,36 @@ def decode_tree(ids: list[int], pieces: list[bytes], leaf: int = 1 << 15) -> byt
     return decode_tree(ids[:half], pieces, leaf) + decode_tree(ids[half:], pieces, leaf)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """Adds ``out_col`` array<int>: the ids of every whole text."""
-    kept = [c for c in df.columns if c != out_col]
-    kind = T.StructType([df.schema[c] for c in kept] + [T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+def pieces_of(path: str) -> list[bytes]:
+    """Bytes by id; ids that the vocabulary lacks are b""."""
+    table = ranks(path)
+    pieces = [b""] * (max(table.values(), default=-1) + 1)
+    for piece, i in table.items():
+        pieces[i] = piece
+    return pieces
+
+
+def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """Adds ``out_col`` array<int>: the ids of every whole text; with ``decoded_col`` also the bytes that those ids decode to, in the same Python worker."""
+    new = [T.StructField(out_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_col, T.BinaryType())] if decoded_col else [])
+    kept = [c for c in df.columns if c not in (out_col, decoded_col)]
+    kind = T.StructType([df.schema[c] for c in kept] + new)
 
     def make():
         encoder = Encoder(path, pattern)
+        pieces = pieces_of(path) if decoded_col else []
 
         def f(batch: pa.RecordBatch) -> list:
             got = [encoder.encode(x) for x in batch.column(text_col).to_pylist()]
             offsets = np.zeros(len(got) + 1, np.int32)
             np.cumsum([len(x) for x in got], out=offsets[1:])
             values = np.fromiter(chain.from_iterable(got), np.int32, int(offsets[-1]))
-            return [batch.column(c) for c in kept] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)).cast(pa.list_(pa.int32()))]
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)).cast(pa.list_(pa.int32()))
+            return [batch.column(c) for c in kept] + [ids] + ([[decode_tree(x, pieces) for x in got]] if decoded_col else [])
 
         return f
 
-    return map_rows(df, kind, make, 512)
+    return map_rows(df, kind, make, 256)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -134,19 +146,14 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
     kind = T.StructType([df.schema[c] for c in kept] + [T.StructField(out_col, T.BinaryType())])
 
     def make():
-        table = ranks(path)
-        pieces = [b""] * (max(table.values(), default=-1) + 1)
-        for piece, i in table.items():
-            pieces[i] = piece
+        pieces = pieces_of(path)
 
         def f(batch: pa.RecordBatch) -> list:
-            lists = batch.column(ids_col)
-            flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            return [batch.column(c) for c in kept] + [[decode_tree(flat[a:b].tolist(), pieces) for a, b in zip(at, at[1:])]]
+            return [batch.column(c) for c in kept] + [[decode_tree(x or [], pieces) for x in batch.column(ids_col).to_pylist()]]
 
         return f
 
-    return map_rows(df, kind, make, 512)
+    return map_rows(df, kind, make, 256)
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids"), path))
+    return bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN, decoded_col="decoded"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,8 @@ def test_encode_decode(spark, docs):
     got = bpe.decode(bpe.encode(docs(rows), BYTE, P.PATTERN), BYTE).collect()
     assert sorted((bytes(r.decoded).decode() for r in got)) == sorted(t or "" for _, t in rows)
     assert all(list(r.ids) == ENCODER.leaf(r.text or "") for r in got)
+    both = bpe.encode(docs(rows), BYTE, P.PATTERN, decoded_col="decoded")
+    assert sorted(bytes(r.decoded) for r in both.collect()) == sorted(bytes(r.decoded) for r in got)
     assert bpe.encode(docs([]), BYTE, P.PATTERN).count() == 0
 
 
