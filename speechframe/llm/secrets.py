@@ -11,7 +11,11 @@ against that of ordinary written text (characters stay within their class)
 bounds its p-value, by Markov's inequality, whatever the text.  Among the
 candidates of a length class (powers of two) of all documents the
 Benjamini-Hochberg rule keeps the false discovery rate below ``FDR``: short
-runs have to be more telling than long ones.  The counts it needs are a
+runs have to be more telling than long ones.  A run that no single alphabet
+holds (``name=token``, a path with dashes) is cut at "="; of a part that still
+fits none, the pieces between "_" and "-", those between "/" and "+" and those
+between all four are tested, at a third of their evidence each, and the most
+telling that don't overlap stand.  A run that an alphabet holds is tested whole.  The counts it needs are a
 histogram of bounded size, gathered in a first pass over all documents.
 
 Spans are in code points, end exclusive.  Battery spans that meet a base span
@@ -48,6 +52,10 @@ ALPHABETS = {
     "base62": DIGIT + UPPER + LOWER, "base64": UPPER + LOWER + DIGIT + "+/", "base64url": UPPER + LOWER + DIGIT + "-_",
 }
 SETS = {k: (frozenset(v), {c: i for i, c in enumerate(v)}) for k, v in ALPHABETS.items()}
+#: Parts of a run that no alphabet holds, and the ways to cut those that still fit none.
+PARTS, PIECES = re.compile("[^=]+"), (re.compile("[^_-]+"), re.compile("[^/+]+"), re.compile("[^_/+-]+"))
+#: Bits of evidence that the choice among the three ways costs at most.
+CHOICE_BITS = 2
 #: Bytes of latin-1 that may be part of a run.
 INSIDE = np.zeros(256, bool)
 INSIDE[[ord(c) for c in DIGIT + UPPER + LOWER + "+/_=-"]] = True
@@ -96,13 +104,18 @@ def evidence(token: str, k: int) -> float:
     return bits - len(token) * math.log2(k)
 
 
+def encoding(body: str) -> str | None:
+    """The smallest alphabet that holds all characters."""
+    letters = frozenset(body)
+    return next((k for k, (s, _) in SETS.items() if letters <= s), None)
+
+
 def candidate(token: str) -> tuple[int, int] | None:
     """(length class, bin of -log2 p) of a run that looks random, else None."""
     body = token.rstrip("=")
     if len(body) < LEAST or not any(c in DIGIT for c in body) or not any(c.isalpha() for c in body):
         return None
-    letters = frozenset(body)
-    name = next((k for k, (s, _) in SETS.items() if letters <= s), None)
+    name = encoding(body)
     if name is None:
         return None
     place, k = SETS[name][1], len(ALPHABETS[name])
@@ -112,6 +125,27 @@ def candidate(token: str) -> tuple[int, int] | None:
     return int(math.log2(len(body))), min(BINS - 1, int(bits))
 
 
+def candidates(text: str, a: int, b: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, length class, bin) of what looks random in a run: the run itself, or parts of one that no alphabet holds."""
+    body = text[a:b].rstrip("=")
+    if encoding(body) is not None:
+        c = candidate(body)
+        return [(a, b, *c)] if c else []
+    out = []
+    for m in PARTS.finditer(body):
+        if encoding(m[0]) is not None:
+            tried, loss = [m.span()], 0
+        else:
+            tried, loss = sorted({x.span() for p in PIECES for x in p.finditer(body, *m.span())}), CHOICE_BITS
+        got = [(x, y, c[0], c[1] - loss) for x, y in tried if y - x >= LEAST and (c := candidate(body[x:y])) is not None and c[1] >= loss]
+        taken: list[tuple[int, int, int, int]] = []
+        for g in sorted(got, key=lambda g: (-g[3], g[0] - g[1], g[0])):
+            if all(g[1] <= t[0] or t[1] <= g[0] for t in taken):
+                taken.append(g)
+        out += [(a + x, b if y == len(body) else a + y, size, n) for x, y, size, n in sorted(taken)]  # padding goes with the last part
+    return out
+
+
 def base_spans(text: str, found: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """Spans of the fixed patterns; access keys and hex runs lie within the runs found."""
     out = []
@@ -142,8 +176,8 @@ def thresholds(docs: DataFrame, fdr: float = FDR) -> dict[int, int]:
             count: dict[tuple[int, int], int] = {}
             for text in batch.column(0).to_pylist():
                 for a, b in runs(text or ""):
-                    if (c := candidate(text[a:b])) is not None:
-                        count[c] = count.get(c, 0) + 1
+                    for _, _, *c in candidates(text, a, b):
+                        count[tuple(c)] = count.get(tuple(c), 0) + 1
             return [[k[0] for k in count], [k[1] for k in count], list(count.values())] if count else None
 
         return f
@@ -169,8 +203,9 @@ def all_spans(text: str | None, cut: dict[int, int]) -> list[tuple[str, int, int
     spans = base_spans(text, found)
     base = list(spans)
     for a, b in found:
-        if not any(x < b and a < y for _, x, y in base) and (c := candidate(text[a:b])) is not None and c[1] >= cut.get(c[0], BINS):
-            spans.append(("random", a, b))
+        for start, end, size, n in candidates(text, a, b):
+            if n >= cut.get(size, BINS) and not any(x < end and start < y for _, x, y in base):
+                spans.append(("random", start, end))
     return ordered(spans)
 
 

@@ -57,3 +57,15 @@ def test_false_discovery_control_is_stricter_for_more_tests(spark, docs):
     weak = docs([(k, rand("0123456789abcdef", 16)) for k in range(300)])
     cut = s.thresholds(weak)
     assert all(2.0 ** -b <= s.FDR for b in cut.values())
+
+
+def test_parts_of_runs_that_fit_no_alphabet(spark, docs):
+    key = "K7x" + rand(string.ascii_letters + string.digits, 37)
+    aws, dashed = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ4vT8sLmD2h", "q7Zt-Xw9_Lk3vB8nRm2Jd5Hs6Pc1Gf4YaTe0UiOo"
+    rows = [(1, f"AWS_ACCESS_KEY={aws} end"), (2, f"auth={key}"), (3, f"see http://h.org/?sig={key}&x=1"), (4, f"to /some-path/of/{key}/the-end"), (5, f"auth={key}=="),
+            (6, f"GET /v1/{dashed}/x-y"), (7, "/some-long-path/of-ordinary/words-and/version-2/of_the_same"), (8, f"token={key}"), (9, key)]
+    want = {1: aws, 2: key, 3: key, 4: key, 5: key + "==", 6: dashed, 7: None, 8: f"token={key}", 9: key}
+    got = {r.doc_id: [r.text[x.start : x.end] for x in r.spans] for r in s.scan(docs(rows)).collect()}
+    assert len(got[4]) == 1 and key in got.pop(4)[0] and want.pop(4)  # the words between its slashes are part of the piece
+    assert got == {k: [v] if v else [] for k, v in want.items()}
+    assert all(key not in r.text and aws not in r.text and dashed not in r.text for r in s.scan(docs(rows), redact=True).collect())
