@@ -170,7 +170,9 @@ def chunk_tokenizer(path: str) -> Callable[[list[str | None]], list[bytes]]:
     nothing across ASCII white space, so a text's ids are those of its
     ASCII-space-separated chunks in a row.  A full stop or comma after
     an ASCII letter is a match of its own.  ASCII capitals are lowered first where
-    that leaves a composed text composed, as the normaliser would lower them.
+    that leaves a composed text composed, as the normaliser would lower them, but
+not in a text that spells an added token (``<|endoftext|>``): those are cut out
+of the text as written, before it is normalised, as the library does.
     Each distinct chunk of a batch is encoded once; the first ``REMEMBERED`` short
     ones are kept by the Python worker.
     """
@@ -181,7 +183,7 @@ def chunk_tokenizer(path: str) -> Callable[[list[str | None]], list[bytes]]:
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
+    added = [x.content.lower().encode() for x in own.get_added_tokens_decoder().values()]
     memory: dict[bytes, bytes] = {}
     ends = np.zeros(max(own.get_vocab().values()) + 1, bool)
     ends[[i for w, i in own.get_vocab().items() if w.endswith("</w>")]] = True
@@ -189,6 +191,8 @@ def chunk_tokenizer(path: str) -> Callable[[list[str | None]], list[bytes]]:
     def plain(text: str) -> bytes:
         raw = text.encode()
         low = raw.lower()
+        if any(x in low for x in added):  # an added token is one id as it is written, ordinary text in other case
+            return raw
         return low if text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low.decode()) else raw
 
     def stem(chunk: bytes) -> bytes:

@@ -107,3 +107,17 @@ def test_files_round_trip(spark, docs):
 
 def test_no_documents(spark, docs):
     assert eliasfano.read_tokens(eliasfano.write_tokens(docs([]), shared_dir(spark, "t"), WORD)).count() == 0
+
+
+SPELT = st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|end", "oftext|>", "Hello", "É", "é", "́", " ", "\n", ".", ",", "'s", "1", "<|"]), max_size=12).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(SPELT, TEXTS), max_size=6))
+def test_added_tokens_are_like_the_untouched_library(texts):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(WORD)
+    texts = ["hello <|endoftext|> world", "A<|endoftext|>. <|ENDOFTEXT|>", *texts]
+    got = eliasfano.chunk_tokenizer(WORD)(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
