@@ -8,9 +8,10 @@ A text's language is the one with the highest sum over its words; the score is
 its share in the softmax of the mean log likelihoods, tempered by length.
 
 Fitting counts words and n-grams over the training rows in DataFrame
-aggregations.  The rows may be a sample: at most ``SAMPLE_ROWS`` of the training
+aggregations.  The rows may be a sample: about ``SAMPLE_ROWS`` of the training
 rows, chosen by a hash of their text, so that the model is bounded whatever the
-corpus; the words kept are those seen at least ``MIN_COUNT`` times, at most
+corpus. Languages share the sample evenly, rare ones are taken whole and each
+keeps at least the rows of its smallest hash; the words kept are those seen at least ``MIN_COUNT`` times, at most
 ``MAX_WORDS`` a language, most frequent first with ties by word.
 
 Defined results: a null text or one without letters is "und" with score 0; with
@@ -22,18 +23,21 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_rows, schema
 
-SAMPLE_ROWS, MIN_COUNT, MAX_WORDS, MAX_GRAMS, ORDER = 10_000, 2, 15_000, 15_000, 4
+SAMPLE_ROWS, MIN_COUNT, MAX_WORDS, MAX_GRAMS, ORDER = 20_000, 2, 60_000, 60_000, 4
+#: Values of a text's hash that choose the sample.
+HASHES = 1 << 40
 #: Words remembered by a task (the later half goes when full).
 MEMORY = 60_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -62,12 +66,28 @@ def log_rows(found: pa.Table, languages: list[str], totals: np.ndarray) -> tuple
     return coded.dictionary, np.log(rows) - np.log(totals + 1)
 
 
+def even_shares(sizes: dict[str, int], rows: int) -> dict[str, int]:
+    """Rows each language gives to a sample: as many as another, or all it has; at least one."""
+    out, left = {}, rows
+    for i, (k, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[k] = max(1, min(n, left // (len(sizes) - i)))
+        left -= out[k]
+    return out
+
+
+def by_language(values: dict[str, int]) -> Column:
+    """The language's value; null where it has none."""
+    return F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in values.items()]) if values else F.lit(None).cast("long")
+
+
 def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, min_count: int = MIN_COUNT) -> Model:
     """A model of ``rows`` (text, lang). What reaches the driver is bounded by MAX_WORDS and MAX_GRAMS a language."""
     known = rows.where("text is not null and lang is not null").select("text", "lang")
-    total = known.count()
-    if total > sample_rows:  # the smallest hashes, found by their share: a bounded number whatever the corpus
-        known = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int((1 << 40) * sample_rows / total))
+    hashed = F.pmod(F.xxhash64("text"), F.lit(HASHES))
+    sizes = {r.lang: (r.n, r.least) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.min(hashed).alias("least")).collect()}
+    if sum(n for n, _ in sizes.values()) > sample_rows:  # the smallest hashes of every language, found by their share: a bounded number whatever the corpus
+        shares = even_shares({k: n for k, (n, _) in sizes.items()}, sample_rows)
+        known = known.where(hashed < by_language({k: max(HASHES * shares[k] // n, least + 1) for k, (n, least) in sizes.items()}))
     words = known.select("lang", F.explode(F.split(F.lower("text"), WORDS)).alias("word")).where("word <> ''")
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n")).persist()
     try:
@@ -76,19 +96,21 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, min_count: int = MIN_CO
         grams = padded.select("lang", "n", F.explode(gram).alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
 
         def top(df: DataFrame, least: int, most: int) -> pa.Table:
-            """The most frequent of every language, in two bounded steps: a count that at most ``most`` exceed, then the rows above it."""
+            """The most frequent of every language, in two bounded steps: the count at which ``most`` is reached, then the rows above it and, first by word, those at it."""
             kept = df.where(F.col("n") >= least)
             ranks = kept.groupBy("lang", "n").agg(F.count("*").alias("c")).collect()
-            cut = {}
+            cut, ties = {}, {}
             for lang in {r.lang for r in ranks}:
                 seen = 0
                 for r in sorted((r for r in ranks if r.lang == lang), key=lambda r: -r.n):
-                    seen += r.c
-                    if seen > most:
+                    if seen + r.c > most:
+                        ties[lang] = (r.n, most - seen)
                         break
+                    seen += r.c
                     cut[lang] = r.n
-            at = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in cut.items()]) if cut else F.lit(None).cast("long")
-            return kept.where(F.col("n") >= at).select("lang", "word", "n").toArrow()
+            parts = [kept.where(F.col("n") >= by_language(cut))]
+            parts += [kept.where((F.col("lang") == k) & (F.col("n") == n)).orderBy("word").limit(rest) for k, (n, rest) in ties.items() if rest]
+            return reduce(DataFrame.unionAll, parts).select("lang", "word", "n").toArrow()
 
         word_rows, gram_rows = top(counts, min_count, MAX_WORDS), top(grams, min_count, MAX_GRAMS)
         sums = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}

@@ -67,3 +67,17 @@ def test_features_leave_the_flags_clear(text):
     flags = np.zeros(quality.SIZE, bool)
     f = quality.features(text, flags)
     assert not flags.any() and (np.diff(f) > 0).all()
+
+
+def test_rare_languages_stay_in_the_sample(spark):
+    rows = [(f"the and of with that n{'abcdefghij'[k % 10]}{k}", "en") for k in range(3000)] + [("le la les des une", "fr"), ("der die und das", "de")]
+    m = langid.fit(spark.createDataFrame(rows, "text string, lang string"), sample_rows=100, min_count=1)
+    assert m.languages == ["de", "en", "fr"] and {"der", "une", "with"} <= set(m.words.to_pylist())
+    assert langid.even_shares({"a": 10**6, "b": 3, "c": 10**5}, 103) == {"b": 3, "c": 50, "a": 50}
+
+
+def test_ties_at_the_cap_go_by_word(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_WORDS", 3)
+    rows = [("dd dd aa bb cc ee", "en"), ("zz yy xx ww", "fr")]
+    m = langid.fit(spark.createDataFrame(rows, "text string, lang string"), min_count=1)
+    assert sorted(m.words.to_pylist()) == ["aa", "bb", "dd", "ww", "xx", "yy"]
