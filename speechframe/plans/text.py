@@ -22,6 +22,12 @@ def spiced(spark, d, phrases: list[str]):
     return table(spark, d, "documents").select("doc_id", F.concat(F.translate(F.left("text", F.lit(80)), "\n", " "), F.lit(" "), pick, F.lit(" "), F.translate(F.substring("text", 81, 60), "\n", " ")).alias("text"))
 
 
+def spiced_whole(spark, d, phrases: list[str]):
+    """The whole texts, with the phrase after character 80."""
+    pick = F.element_at(F.array(*map(F.lit, phrases)), (F.pmod("doc_id", F.lit(len(phrases))) + 1).cast("int"))
+    return docs(spark, d).select("doc_id", F.concat(F.left("text", F.lit(80)), F.lit(" "), pick, F.lit(" "), F.substring("text", 81, 1 << 30)).alias("text"))
+
+
 def spiced_sql(phrases: list[str]) -> str:
     listed = ", ".join("'" + p.replace("'", "''") + "'" for p in phrases)
     return f"s AS (SELECT doc_id, replace(left(text, 80), chr(10), ' ') || ' ' || list_extract([{listed}], CAST(doc_id % {len(phrases)} + 1 AS INT)) || ' ' || replace(substr(text, 81, 60), chr(10), ' ') AS text FROM documents)"
@@ -73,7 +79,7 @@ def t6(spark, d):
 
 @query("t7_commands")
 def t7(spark, d):
-    return spiced(spark, d, ["ok à la ligne puis", "nouveau paragraphe.", "virgule", "point d'interrogation"]).select("doc_id", text.commands(F.col("text")).alias("text"))
+    return spiced_whole(spark, d, ["ok à la ligne puis", "nouveau paragraphe.", "virgule", "point d'interrogation"]).select("doc_id", text.commands(F.col("text")).alias("text"))
 
 
 NOISE = ["Thanks for watching", "amara.org", "www.example.com", "[musique]"]
@@ -91,12 +97,12 @@ def t9(spark, d):
 
 @query("t10_hallucinations")
 def t10(spark, d):
-    return spiced(spark, d, NOISE).select("doc_id", text.without_hallucinations(F.col("text")).alias("text"))
+    return spiced_whole(spark, d, NOISE).select("doc_id", text.without_hallucinations(F.col("text")).alias("text"))
 
 
 @query("t11_loops")
 def t11(spark, d):
-    return spiced(spark, d, ["la " * 12, "yes, " * 7, "one two"]).select("doc_id", text.without_loops(F.col("text")).alias("text"), text.scrubbed(F.col("text")).alias("scrubbed"))
+    return spiced_whole(spark, d, ["la " * 12, "yes, " * 7, "one two"]).select("doc_id", text.without_loops(F.col("text")).alias("text"), text.scrubbed(F.col("text")).alias("scrubbed"))
 
 
 @query("t12_metatext", f"""WITH {spiced_sql(['Transcription en français.', 'le mot de l uk', 'hello'])} SELECT doc_id, regexp_replace(trim(CASE WHEN doc_id % 3 = 0 THEN replace(text, 'Transcription en français.', ' ') ELSE text END), '\\s\\s+', ' ', 'g') AS text, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS removed FROM s""")

@@ -1,0 +1,26 @@
+"""Queries without SQL read the whole of every text."""
+
+from speechframe.queries import QUERIES
+
+FILL = "plain filling words go on. " * 30
+SAID = "One two three four five six."
+
+
+def got(spark, tmp_path, name, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return {r.doc_id: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+
+
+def test_commands(spark, tmp_path):
+    r = got(spark, tmp_path, "t7_commands", [(0, FILL + "un virgule deux\n" + FILL + "fin"), (1, "court"), (2, None)])
+    assert r[0].text.endswith("fin") and "un, deux" in r[0].text and len(r) == 3
+
+
+def test_hallucinations(spark, tmp_path):
+    r = got(spark, tmp_path, "t10_hallucinations", [(1, f"{SAID} " + FILL + f"see amara.org now. {SAID} end")])
+    assert r[1].text.count(SAID) == 1 and "amara" not in r[1].text and r[1].text.endswith("end")
+
+
+def test_loops(spark, tmp_path):
+    r = got(spark, tmp_path, "t11_loops", [(2, FILL + "no " * 12 + "end")])
+    assert r[2].text.endswith("no no end") and r[2].scrubbed.endswith("on. no end")
