@@ -13,7 +13,7 @@ documents that were hit are joined again for the verification.
 
 Defined results: words are runs of letters and digits, lower-cased; a null or
 empty text or item, and an item of fewer than SPAN words, matches nothing; of
-rows with the same doc_id or item_id each is compared and the best overlap is
+rows with the same doc_id (null too) or item_id each is compared and the best overlap is
 returned; an empty table gives no row.
 """
 
@@ -63,7 +63,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min
         hits = seeds(hashed, masks).join(F.broadcast(test), "key").select("doc_id", "item_id", "iw", "item_words", around(F.col("pos"), min_words).alias("w"))
     else:
         found = seeds(hashed, masks).select("doc_id", "pos", "key").join(test, "key").select("doc_id", "pos", "item_id", "iw", "item_words").distinct()
-        hits = found.join(hashed, "doc_id").select("doc_id", "item_id", "iw", "item_words", around(F.col("pos"), min_words).alias("w"))
+        whole = hashed.withColumnRenamed("doc_id", "__id")
+        hits = found.join(whole, F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "item_id", "iw", "item_words", around(F.col("pos"), min_words).alias("w"))
     width = F.least(F.lit(min_words), F.col("item_words"))
     same = hits.select("doc_id", "item_id", "item_words", width.alias("window_words"), F.zip_with("w", "iw", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0))).alias("same"))
     sums = [F.aggregate(F.slice("same", s + 1, F.col("window_words")), F.lit(0), lambda a, x: a + x) for s in range(min_words - SPAN + 1)]
@@ -74,4 +75,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no passage of the benchmark, with all their columns."""
-    return docs.join(overlaps(docs, benchmark, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)

@@ -55,3 +55,13 @@ def test_every_window_of_two_substitutions_is_hit():
 
     for subs in combinations(range(13), 2):
         assert any(all(p + j not in subs for j, c in enumerate(m) if c == "1") for m in decontam.MASKS for p in range(13 - len(m) + 1))
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_null_ids_are_compared_and_removed(spark, docs, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontam, "BROADCAST_KEYS", 0)
+    item = text(random.Random(3), 20)
+    d, b = docs([(None, f"some words {item} more"), (1, "clean words"), (2, item)]), spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontam.overlaps(d, b).collect()} == {None, 2}
+    assert [r.doc_id for r in decontam.clean(d, b).collect()] == [1]
