@@ -11,7 +11,7 @@ from ..functions import reminders, text
 from ..operators import clusters, folds, intervals, sequence
 from ..registry import query
 from ..session import table
-from .timeline import KEY, segments, turns
+from .timeline import KEY, all_turns, segments
 
 
 def words(spark, d):
@@ -60,7 +60,7 @@ def w13(spark, d):
 def j16(spark, d):
     """Words take the speaker at their middle (J5, J6), then W5, W12, W1 and W13."""
     w = words(spark, d).drop("speaker").withColumns({"pid": F.col("m") * 1_000_000 + F.col("ord"), "mid": (F.col("start") + F.col("end")) / 2})
-    named = intervals.nearest_segment(w, turns(spark, d), KEY, "mid")
+    named = intervals.nearest_segment(w, all_turns(spark, d), KEY, "mid")
     return rounded(folds.fold(named.select("m", "ord", "word", "start", "end", "speaker"), "m", ["ord"], folds.labelled_to_blocks, "m long, " + folds.BLOCKS))
 
 
@@ -68,7 +68,7 @@ def voted_units(spark, d):
     u = sequence.units(words(spark, d), KEY, ["ord"], 0.25)
     spans = u.groupBy("m", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     spans = spans.withColumn("lid", F.col("m") * 1_000_000 + F.col("island"))
-    return spans.join(intervals.weighted(spans, turns(spark, d), KEY), "lid").select("m", "island", "start", "end", "label", "share")
+    return spans.join(intervals.weighted(spans, all_turns(spark, d), KEY), "lid").select("m", "island", "start", "end", "label", "share")
 
 
 @query("w14_continuity")
@@ -84,8 +84,8 @@ def w14(spark, d):
 def w17(spark, d):
     """Every window but the last of a conversation repeats its end at the next one's start; joining takes that out again."""
     t = text.words(F.col("text"))
-    turns_ = table(spark, d, "conversations").select("conv_id", "turn", t.alias("w")).where("size(w) >= 8")
-    before = F.lag(F.slice("w", F.size("w") - 4, F.lit(5))).over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns_ = table(spark, d, "conversations").select("conv_id", "turn", t.alias("w"))
+    before = F.lag(F.slice("w", F.greatest(F.size("w") - 4, F.lit(1)), F.lit(5))).over(Window.partitionBy("conv_id").orderBy("turn"))
     shown = turns_.withColumn("x", F.when(before.isNotNull(), F.concat(before, F.col("w"))).otherwise(F.col("w")))
     packed = shown.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "x"))), lambda s: F.array_join(s.x, " ")).alias("windows"), F.sum(F.size("w")).alias("n_words"))
     return packed.select("conv_id", "n_words", F.size(text.words(text.merged(F.col("windows")))).alias("n_merged"))
@@ -103,12 +103,12 @@ def w19(spark, d):
 @query("w22_two_pass_attribution")
 def w22(spark, d):
     """Words of certain windows take the window's label (J9); the others their own vote, else the last one's before them."""
-    windows = turns(spark, d).withColumn("margin", (F.col("ord") * 37 + F.col("m")) % 100 / 100.0)
+    windows = all_turns(spark, d).withColumn("margin", (F.col("ord") * 37 + F.col("m")) % 100 / 100.0)
     flagged = sequence.uncertain(windows, KEY).withColumn("sure", F.when(~F.col("uncertain"), F.col("label")).otherwise(-1))
     w = words(spark, d).select("m", "ord", "start", "end")
     first = intervals.as_of(w, flagged, KEY, "start", "sure")
     spans = w.withColumn("lid", F.col("m") * 1_000_000 + F.col("ord"))
-    own = intervals.majority(spans, turns(spark, d), KEY).withColumnRenamed("label", "own")
+    own = intervals.majority(spans, all_turns(spark, d), KEY).withColumnRenamed("label", "own")
     j = first.withColumn("lid", F.col("m") * 1_000_000 + F.col("ord")).join(own, "lid", "left")
     got = F.coalesce(F.when(F.col("sure") >= 0, F.col("sure")), F.col("own"))
     back = Window.partitionBy("m").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
@@ -120,8 +120,8 @@ def w23(spark, d):
     """The precise label where there is one, else the window vote, else the nearest segment's."""
     w = words(spark, d).select("m", "ord", "start", "end", ((F.col("start") + F.col("end")) / 2).alias("mid"), (F.col("m") * 1_000_000 + F.col("ord")).alias("pid"))
     precise = w.where("ord % 5 = 0").select("pid", F.lit("user").alias("precise"))
-    vote = intervals.majority(w.withColumnRenamed("pid", "lid"), turns(spark, d).where("m % 2 = 0"), KEY).select(F.col("lid").alias("pid"), F.element_at(F.array(F.lit("assistant"), F.lit("system"), F.lit("user")), F.col("label")).alias("vote"))
-    near = intervals.nearest_segment(w, turns(spark, d), KEY, "mid").select("pid", "m", "ord", F.col("speaker").alias("near"))
+    vote = intervals.majority(w.withColumnRenamed("pid", "lid"), all_turns(spark, d).where("m % 2 = 0"), KEY).select(F.col("lid").alias("pid"), F.element_at(F.array(F.lit("assistant"), F.lit("system"), F.lit("user")), F.col("label")).alias("vote"))
+    near = intervals.nearest_segment(w, all_turns(spark, d), KEY, "mid").select("pid", "m", "ord", F.col("speaker").alias("near"))
     return near.join(precise, "pid", "left").join(vote, "pid", "left").select("m", "ord", F.coalesce("precise", "vote", "near").alias("speaker"))
 
 

@@ -130,6 +130,13 @@ def turns(spark, d):
     return table(spark, d, "conversations").where("turn % 3 <> 2").select(F.col("conv_id").alias("m"), t.alias("ord"), (t * 7.0).alias("start"), (t * 7.0 + 5 + F.col("conv_id") % 3).alias("end"), F.col("role").alias("speaker"), F.instr(F.lit("asu"), F.left("role", F.lit(1))).alias("label"))
 
 
+def all_turns(spark, d):
+    """Every turn; each third ends three seconds sooner, which leaves a gap after it."""
+    t, m = F.col("turn"), F.col("conv_id")
+    end = t * 7.0 + 5 + m % 3 - F.when(t % 3 == 2, 3.0).otherwise(0.0)
+    return table(spark, d, "conversations").select(m.alias("m"), t.alias("ord"), (t * 7.0).alias("start"), end.alias("end"), F.col("role").alias("speaker"), F.instr(F.lit("asu"), F.left("role", F.lit(1))).alias("label"))
+
+
 def points(spark, d):
     p = table(spark, d, "conversations").select("conv_id").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(59))))
     return p.select((F.col("conv_id") * 1000 + F.col("i")).alias("pid"), F.col("conv_id").alias("m"), (F.col("i") * 1.25).alias("t"))

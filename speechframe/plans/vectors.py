@@ -145,8 +145,8 @@ def v10(spark, d):
 def j11(spark, d):
     """Greedy one to one, the highest score first."""
     e = voices(spark, d)
-    known = bank(spark, d).select(F.col("label").alias("id"), F.concat(F.lit("n"), "label").alias("name"), "centroid")
-    m = vectors.match_known(e.where("vec_id % 2 = 1").select("vec_id", F.col("v").alias("centroid")), known, "vec_id", -1.0, 0.0)
+    known = vectors.centroids(e, "label", "v").select(F.col("label").alias("id"), F.concat(F.lit("n"), "label").alias("name"), "centroid")
+    m = vectors.match_known(e.select("vec_id", F.col("v").alias("centroid")), known, "vec_id", -1.0, 0.0)
     return clusters.one_to_one(m.withColumn("meeting", F.floor(F.col("vec_id") / 20).cast("long")), "meeting", "vec_id", "id", "score")
 
 
