@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 #: Fixed masks of weight five: 1 selects a word, 0 skips it.
 MASKS = ("11111", "110111", "1101011", "1110011")
 SPAN = 5
+#: Masks of weight four, for items of up to SHORT words: at 0.8 these may have but four words equal.
+SHORT_MASKS, SHORT = ("1111", "10111", "11011", "11101"), 6
 #: Hashes of the benchmark up to which it is broadcast (some 60 bytes each).
 BROADCAST_KEYS = 1_000_000
 
@@ -56,7 +58,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min
     Returns a row per document and item: doc_id, item_id, window_words, matched_words (most equal words of a window), item_words.
     """
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("h")).where(F.size("h") >= SPAN)
-    test = seeds(items, masks).select("key", "item_id", around(F.col("pos"), min_words).alias("iw"), F.size("h").alias("item_words")).distinct()
+    short = items.where(F.size("h") <= SHORT)
+    whole = seeds(items, masks)
+    if not short.isEmpty():  # only then do the documents need the short masks' hashes
+        masks = (*masks, *SHORT_MASKS)
+        whole = whole.unionAll(seeds(short, masks)).distinct()
+    test = whole.select("key", "item_id", around(F.col("pos"), min_words).alias("iw"), F.size("h").alias("item_words")).distinct()
     hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("h"))
     if test.count() <= BROADCAST_KEYS:
         # Positions whose hash isn't in the benchmark fall away inside the scan's own stage; only hits carry their surroundings.

@@ -65,3 +65,11 @@ def test_null_ids_are_compared_and_removed(spark, docs, monkeypatch, broadcast):
     d, b = docs([(None, f"some words {item} more"), (1, "clean words"), (2, item)]), spark.createDataFrame([(7, item)], "item_id long, text string")
     assert {r.doc_id for r in decontam.overlaps(d, b).collect()} == {None, 2}
     assert [r.doc_id for r in decontam.clean(d, b).collect()] == [1]
+
+
+@pytest.mark.parametrize("n", [5, 6])
+def test_short_items_with_a_substitution(spark, docs, n):
+    w = W[:n]
+    rows = [(k, " ".join(["before", *w[:k], "other", *w[k + 1 :], "after"])) for k in range(n)] + [(20, " ".join(["other", *w[1:-1], "other"]))]
+    b = spark.createDataFrame([(7, " ".join(w)), (8, " ".join(W[50:70]))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.matched_words) for r in decontam.overlaps(docs(rows), b).collect()} == {(k, 7, n - 1) for k in range(n)}
