@@ -7,10 +7,13 @@ breaks ties by the smaller id.  Memory per task is one query block times one
 candidate block; nothing depends on how many vectors are equal.
 
 Defined results: a vector that is null, or holds a null or non-finite
-component, takes no part on either side; vectors of different lengths score
-nothing against each other; with fewer than k candidates all are returned; an
-empty table gives no rows.  Repeated ids are separate candidates, and a row is
-never its own query's candidate (all rows of the query's id are left out).
+component (before or after scaling), takes no part on either side; vectors of
+different lengths score nothing against each other; with fewer than k
+candidates all are returned; an empty table gives no rows.  Repeated ids are
+separate candidates, and a row is never its own query's candidate (all rows of
+the query's id are left out); of rows that repeat a query's id the one whose
+vector sorts first asks.  Scores are exact at any magnitude; one beyond 64 bits
+is returned as the nearest 64-bit integer, and ties with others beyond it.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ from .common import cut_lineage, map_arrow, schema
 #: Rows of a query block and of a candidate block; bins of a histogram.
 QUERY_ROWS, CANDIDATE_ROWS, BINS = 4096, 4096, 512
 EXACT = 2.0**53
+LONGEST = (1 << 63) - 1
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: float = 64.0) -> DataFrame:
     """(vec_id, v array<double>) of whole numbers floor(scale * x); unusable vectors go."""
-    v = F.transform(F.col(vec_col), lambda c: F.floor(c.cast("double") * F.lit(scale)).cast("double"))
-    bad = F.exists(F.col(vec_col), lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == F.lit(math.inf)))
+    scaled = F.transform(F.col(vec_col), lambda c: c.cast("double") * F.lit(scale))
+    v = F.transform(scaled, lambda y: F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y))  # beyond, doubles are whole
+    bad = F.exists(scaled, lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == F.lit(math.inf)))
     usable = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~F.coalesce(bad, F.lit(False))
     return df.where(usable).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
 
@@ -52,14 +57,17 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
         return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
     if top < EXACT:
         return (q @ c.T).astype(np.int64)
-    return q.astype(np.int64) @ c.astype(np.int64).T
+    if top < 2.0**62:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    whole = lambda x: np.array([int(y) for y in x.ravel()], dtype=object).reshape(x.shape)  # noqa: E731  Python's unbounded integers
+    return np.clip(whole(q) @ whole(c).T, -LONGEST, LONGEST).astype(np.int64)
 
 
-def _blocks(df: DataFrame, prefix: str, rows: int, n: int) -> DataFrame:
-    """Vectors packed into about n/rows blocks: (b, dim, ids, flat)."""
-    b = max(1, math.ceil(n / rows))
-    return df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(b)).cast("int").alias(f"{prefix}b"), F.size("v").alias("dim")).agg(
-        F.collect_list(F.struct("vec_id", "v")).alias("rows")).select(f"{prefix}b", "dim", F.col("rows.vec_id").alias(f"{prefix}ids"), F.flatten("rows.v").alias(f"{prefix}flat"))
+def _blocks(df: DataFrame, n: int) -> DataFrame:
+    """Candidates packed into about n/CANDIDATE_ROWS blocks, dealt by the row's place in the input (an id may repeat in many rows): (cb, dim, cids, cflat)."""
+    b = max(1, math.ceil(n / CANDIDATE_ROWS))
+    return df.groupBy(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(b)).cast("int").alias("cb"), F.size("v").alias("dim")).agg(
+        F.collect_list(F.struct("vec_id", "v")).alias("rows")).select("cb", "dim", F.col("rows.vec_id").alias("cids"), F.flatten("rows.v").alias("cflat"))
 
 
 def _pairs(df: DataFrame, out: str, f) -> DataFrame:
@@ -88,15 +96,14 @@ def _pairs(df: DataFrame, out: str, f) -> DataFrame:
 def _histogram(k: int):
     def f(qids, cids, s, own, low, width):
         """Counts of the BINS bins above low (the last is open at the top), from the top until k are seen."""
-        bins = np.minimum((s - low[:, None]) // width[:, None], BINS - 1)
-        out_q, out_b, out_n = [], [], []
-        ok = ~own & (bins >= 0)
-        key = (np.arange(len(qids), dtype=np.int64)[:, None] * BINS + np.clip(bins, 0, BINS - 1))[ok]
+        ok = ~own & (s >= low[:, None])
+        above_low = s.view(np.uint64) - low.view(np.uint64)[:, None]  # never wraps where ok
+        bins = np.minimum(above_low // width.astype(np.uint64)[:, None], BINS - 1).astype(np.int64)
+        key = (np.arange(len(qids), dtype=np.int64)[:, None] * BINS + bins)[ok]
         counts = np.bincount(key, minlength=len(qids) * BINS).reshape(len(qids), BINS)
         above = counts[:, ::-1].cumsum(1)[:, ::-1] - counts  # in higher bins
         i, b = np.nonzero((counts > 0) & (above < k))
-        out_q, out_b, out_n = qids[i], b.astype(np.int32), counts[i, b]
-        return out_q, out_b, out_n
+        return qids[i], b.astype(np.int32), counts[i, b]
 
     return f
 
@@ -122,14 +129,15 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     Both inputs: (vec_id long, v array<double> of whole numbers), as
     ``quantised`` makes them.  Returns (query_id, rank from 1, vec_id, score).
     """
-    queries = queries.dropDuplicates(["vec_id"])
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     stats = candidates.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
     n_q = queries.count()
-    cand = cut_lineage(_blocks(candidates, "c", CANDIDATE_ROWS, stats.n or 0))
+    cand = cut_lineage(_blocks(candidates, stats.n or 0))
     norm = math.sqrt(stats.m or 0.0)
-    # By Cauchy-Schwarz every score of a query lies in [-reach, reach].
-    reach = F.ceil(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)) * F.lit(norm)).cast("long") + 1
-    known = queries.select("vec_id", "v", (-reach).alias("lo"), (F.ceil((2 * reach + 1) / F.lit(BINS)).cast("long")).alias("width"), F.lit(False).alias("done"))
+    # By Cauchy-Schwarz every score of a query lies in [-reach, reach]; the slack covers the rounding of the norms.
+    most = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)) * F.lit(norm) * F.lit(1 + 1e-9)
+    reach = F.when(most < 9e18, F.ceil(most).cast("long") + 1).otherwise(F.lit(LONGEST))
+    known = queries.select("vec_id", "v", reach.alias("r")).select("vec_id", "v", (-F.col("r")).alias("lo"), F.expr(f"r div {BINS // 2} + 1").alias("width"), F.lit(False).alias("done"))
     known = cut_lineage(known)
     b = max(1, math.ceil(n_q / QUERY_ROWS))
 
@@ -150,9 +158,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
         total = counts.withColumn("upto", F.sum("n").over(w))
         at = total.groupBy("query_id").agg(F.max(F.when(F.col("upto") >= k, F.col("bin"))).alias("hit"))
         # Bins from here on are one wide where the width was one: the k-th score is then known.
+        # The sum is taken in four steps, none of which leaves 64 bits.
+        quarter = F.expr("(hit div 4) * width")
         known = known.join(at.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select(
             "vec_id", "v",
-            F.when(F.col("done") | F.col("hit").isNull(), F.col("lo")).otherwise(F.col("lo") + F.col("hit") * F.col("width")).alias("lo"),
+            F.when(F.col("done") | F.col("hit").isNull(), F.col("lo")).otherwise(F.col("lo") + quarter + quarter + quarter + F.expr("(hit - 3 * (hit div 4)) * width")).alias("lo"),
             F.when(F.col("done") | F.col("hit").isNull(), F.col("width")).otherwise(F.ceil(F.col("width") / F.lit(BINS)).cast("long")).alias("width"),
             (F.col("done") | F.col("hit").isNull() | (F.col("width") == 1)).alias("done"))
         known = cut_lineage(known)
