@@ -11,6 +11,7 @@ from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -19,11 +20,14 @@ def shared_root(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach.
 
     ``spark.checkpoint.dir`` names it on a cluster.  Where the setting is
-    unset (local tests) a folder below the system temp folder is used.
+    unset a local master gets a folder below the system temp folder; any other
+    raises, as executors don't share such a folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/checkpoints/speechframe"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/checkpoints/speechframe"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -40,6 +44,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of one key that a join may leave together; keys that it looks at as hot.
+PART_ROWS, HOT_KEYS = 1024, 1000
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, n: str, row: list[str], how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` on ``key``, where a key may hold any share of big's rows.
+
+    ``small`` has one row a key, and in ``n`` the number of big's rows with it (n is dropped).
+    The HOT_KEYS most frequent keys of more than PART_ROWS rows are dealt to parts by a
+    hash of ``row``, beside as many copies of small's row.  The broadcast is that list:
+    HOT_KEYS narrow rows at most, whatever the input; any key outside it holds less
+    than 1 / HOT_KEYS of the rows.  Rows of big whose key is null are dealt too.
+    """
+    hot = F.broadcast(small.where(F.col(n) > PART_ROWS).orderBy(F.desc(n), key).limit(HOT_KEYS).select(F.col(key).alias("__hot"), F.ceil(F.col(n) / PART_ROWS).cast("int").alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1))
+    left = big.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__part", F.pmod(F.xxhash64(*row), F.when(F.col(key).isNull(), PART_ROWS).otherwise(parts)).cast("int"))
+    right = small.drop(n).join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.drop("__hot", "__parts").join(right.drop("__hot", "__parts"), [key, "__part"], how).drop("__part")
+
+
 def _local(uri: str) -> str | None:
     parts = urlsplit(uri)
     return unquote(parts.path) if parts.scheme in ("", "file") else None

@@ -10,8 +10,10 @@ their length is the stated total, joins them and decodes the chunked framing.
 Defined results: a null html is an empty payload; null urls are written as an
 empty target; rows with the same payload and the largest page_id are all
 responses if that id repeats; an empty table makes no archive and no row.  A
-record whose segments don't add up, or whose framing is broken, is returned
-with status "incomplete" and null payload columns, never dropped.
+record whose segments don't add up, whose framing is broken, or whose lengths
+or segment number are no numbers or not met, is returned with status
+"incomplete" and null payload columns, never dropped; after a block without a
+usable length reading goes on at the next line that starts a record.
 Files appear whole or not at all and are read by the manifest that successful
 tasks wrote, so repeated or lost tasks leave no trace.
 """
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_arrow, open_input, open_output, schema
+from .common import map_arrow, open_input, open_output, schema, spread_join
 
 SEGMENT_BYTES, CHUNK_BYTES, FILE_BYTES = 32 << 10, 8 << 10, 256 << 20
 DATE = "2024-01-01T00:00:00Z"
+#: The head field that announces chunked framing (the last coding named), in any spelling of case and space.
+CHUNKED = re.compile(rb"(?im)^transfer-encoding[ \t]*:(?:[^\r\n]*,)?[ \t]*chunked[ \t]*\r?$")
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
@@ -49,7 +54,10 @@ def dechunked(body: bytes) -> bytes:
     parts, at = [], 0
     while True:
         end = body.index(b"\r\n", at)
-        size = int(body[at:end].split(b";")[0], 16)
+        digits = body[at:end].split(b";")[0].strip(b" \t")
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", digits):
+            raise ValueError("a chunk without a size")
+        size = int(digits, 16)
         at = end + 2
         if size == 0:
             break
@@ -95,8 +103,8 @@ def page_records(key: str, url: str, payload: bytes, refers_to: str | None, segm
 def revisits(pages: DataFrame, dedupe_from: int = 0) -> DataFrame:
     """(key, sha, refers_to) of the pages whose payload another page with a larger id has. Narrow rows only are shuffled."""
     ids = pages.where(F.col("size") >= dedupe_from).select("page_id", "key", "sha")
-    kept = ids.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
-    return ids.join(kept, "sha").where("page_id is null or page_id < refers_to").select("key", "sha", "refers_to").distinct()
+    kept = ids.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    return spread_join(ids, kept, "sha", "n", ["key"]).where("page_id is null or page_id < refers_to").select("key", "sha", "refers_to").distinct()
 
 
 def write_warc(pages: DataFrame, out_dir: str, dedupe_from: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -180,8 +188,13 @@ class Stream:
         return out
 
 
-def records(f) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields by lower-case name, block) of every record."""
+def number(x: str | None) -> int | None:
+    """A field's value, -1 if it is no whole number, None if the field is missing."""
+    return None if x is None else int(x) if re.fullmatch("[0-9]{1,18}", x) else -1
+
+
+def records(f) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(fields by lower-case name, block) of every record; the block is None where its length is missing, no number or not met."""
     stream = Stream(f)
     while (line := stream.line()) is not None:
         if not line.startswith(b"WARC/"):
@@ -190,7 +203,9 @@ def records(f) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := stream.line()) not in (None, b"\r\n", b"\n"):
             k, _, v = line.decode("utf-8", "replace").partition(":")
             fields[k.strip().lower()] = v.strip()
-        yield fields, stream.take(int(fields.get("content-length", 0)))
+        size = number(fields.get("content-length"))
+        block = stream.take(size) if size is not None and size >= 0 else None
+        yield fields, block if block is not None and len(block) == size else None
 
 
 PARSED = "origin string,segment int,total long,record_type string,refers_to string,url string,payload_digest string,payload_bytes long,block binary"
@@ -201,7 +216,7 @@ def payload_of(block: bytes) -> bytes:
     head, found, body = block.partition(b"\r\n\r\n")
     if not found:
         raise ValueError("no HTTP head")
-    return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+    return dechunked(body) if CHUNKED.search(head) else body
 
 
 def read_warc(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -235,13 +250,14 @@ def read_warc(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                             continue
                         strip = lambda x: x and x.strip("<>")
                         origin = strip(h.get("warc-segment-origin-id") or h.get("warc-record-id"))
-                        number = int(h["warc-segment-number"]) if "warc-segment-number" in h else None
+                        segment, total, stated = (number(h.get(f"warc-{k}")) for k in ("segment-number", "segment-total-length", "payload-length"))
                         digest = h.get("warc-payload-digest", "").rpartition(":")[2] or None
-                        stated = int(h["warc-payload-length"]) if "warc-payload-length" in h else None
-                        if kind == "response" and number is None and not with_payload:  # nothing to gather: decode here, keep the row narrow
+                        if -1 in (segment, total, stated) or segment is not None and not 0 < segment < 1 << 31 or block is None or kind == "continuation" and segment is None:
+                            stated, digest, segment, block = None, None, -1, None
+                        elif kind == "response" and segment is None and not with_payload:  # nothing to gather: decode here, keep the row narrow
                             got = whole(block, digest)
-                            stated, digest, number, block = got[0], got[1], None if got[2] == "ok" else -1, None
-                        rows.append((origin, number, int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, kind, strip(h.get("warc-refers-to")), h.get("warc-target-uri"), digest, stated, None if kind == "revisit" else block))
+                            stated, digest, segment, block = got[0], got[1], None if got[2] == "ok" else -1, None
+                        rows.append((origin, segment, total, kind, strip(h.get("warc-refers-to")), h.get("warc-target-uri"), digest, stated, None if kind == "revisit" else block))
                         size += len(block or b"") + 200
                         if size > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(x, type=t.type) for x, t in zip(zip(*rows), arrow)], schema=arrow)
@@ -254,9 +270,7 @@ def read_warc(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
         singles = [r for r in group if r[1] is None or r[1] < 0]
         made = []
         for r in singles:
-            if r[3] == "revisit":
-                got = [r[7], r[6], "ok", None]
-            elif r[8] is None:
+            if r[8] is None:
                 got = [r[7], r[6], "ok" if r[1] is None else "incomplete", None]
             else:
                 got = whole(r[8], r[6])

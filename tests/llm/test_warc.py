@@ -39,7 +39,8 @@ def test_round_trip(spark, rows):
 def test_chunked():
     for n in (0, 1, 8191, 8192, 8193, 30_000):
         assert warc.dechunked(warc.chunked(b"x" * n)) == b"x" * n
-    for bad in (b"5\r\nab\r\n0\r\n\r\n", b"zz\r\n", b""):
+    assert warc.dechunked(b"A ; x=1\r\n0123456789\r\n0\r\n\r\n") == b"0123456789"
+    for bad in (b"5\r\nab\r\n0\r\n\r\n", b"zz\r\n", b"", b"1\r\na\r\n-6\r\n", b"5_0\r\n" + b"x" * 80 + b"\r\n0\r\n\r\n", b"0x1\r\na\r\n0\r\n\r\n", b"+1\r\na\r\n0\r\n\r\n", b"\r\n"):
         with pytest.raises(ValueError):
             warc.dechunked(bad)
 
@@ -67,3 +68,38 @@ def test_a_lost_segment_is_told(spark, lost):
     del parts[lost]
     r = warc.read_warc(archive(spark, parts)).collect()
     assert [x.status for x in r] == ["incomplete"] and r[0].payload is None
+
+
+@pytest.mark.parametrize("with_payload", [True, False])
+def test_numbers_that_are_none(spark, with_payload):
+    made = []
+    for field in ("Content-Length", "WARC-Payload-Length", "WARC-Segment-Number", "WARC-Segment-Total-Length"):
+        for value in ("abc", "-5", "1_0", "", "9" * 30):
+            one = list(warc.page_records(f"{len(made)}:b", f"u{len(made)}", b"q" * 300, None, 8192))[0]
+            head, _, rest = one.partition(b"\r\n\r\n")
+            lines = [x for x in head.split(b"\r\n") if not x.lower().startswith(field.lower().encode() + b":")]
+            made.append(b"\r\n".join([*lines, f"{field}: {value}".encode()]) + b"\r\n\r\n" + rest)
+    good = list(warc.page_records("x:a", "good", b"q" * 300, None, 8192))
+    r = {x.url: (x.status, x.payload_bytes) for x in warc.read_warc(archive(spark, [y for m in made for y in (m, m.replace(b":b>", b":c>").replace(b"URI: u", b"URI: v"))] + good), with_payload).collect()}
+    assert r.pop("good") == ("ok", 300) and len(r) == 2 * len(made) and set(r.values()) == {("incomplete", None)}
+
+
+def test_a_cut_file_is_told(spark):
+    whole = list(warc.page_records("1:a", "u", b"q" * 300, None, 8192))[0]
+    assert [x.status for x in warc.read_warc(archive(spark, [whole[:-50]]), False).collect()] == ["incomplete"]
+
+
+@pytest.mark.parametrize("spelling", [b"Transfer-Encoding: chunked", b"transfer-encoding:chunked", b"TRANSFER-ENCODING:  gzip, Chunked "])
+def test_spellings_of_the_framing(spelling):
+    assert warc.payload_of(b"HTTP/1.1 200 OK\r\n" + spelling + b"\r\nX: y\r\n\r\n" + warc.chunked(b"abc")) == b"abc"
+
+
+def test_a_payload_of_a_third_of_all_pages(spark, monkeypatch):
+    from speechframe.llm import common
+
+    monkeypatch.setattr(common, "PART_ROWS", 7)
+    rows = [(i, "same" if i % 3 else f"p{i}") for i in range(150)]
+    df = spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string")
+    read = warc.read_warc(warc.write_warc(df, shared_dir(spark, "t")), False)
+    got = [tuple(r) for r in warc.page_results(read).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
+    assert sorted(got, key=repr) == brute(rows)
