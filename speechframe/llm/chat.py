@@ -59,7 +59,7 @@ def preference_examples(turns: DataFrame, trained: str = "assistant") -> DataFra
 
 
 ORACLE_SQL = """
-    WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    WITH t AS (SELECT (conv_id - abs(conv_id % 2)) // 2 AS pair_id, conv_id % 2 = 0 AS chosen, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
     n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, chosen ORDER BY turn NULLS FIRST, role, text) AS pos FROM t),
     l AS (SELECT pair_id, pos, max(CASE WHEN chosen THEN role END) AS cr, max(CASE WHEN chosen THEN text END) AS ct,
                  max(CASE WHEN NOT chosen THEN role END) AS rr, max(CASE WHEN NOT chosen THEN text END) AS rt FROM n GROUP BY ALL),

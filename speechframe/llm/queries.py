@@ -22,7 +22,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2n (chosen) and 2n + 1 (rejected) are a pair."""
-    turns = table(spark, sf_dir, "conversations").withColumns({"pair_id": F.expr("conv_id div 2"), "chosen": F.expr("pmod(conv_id, 2) = 0")})
+    turns = table(spark, sf_dir, "conversations").withColumns({"pair_id": F.expr("(conv_id - pmod(conv_id, 2)) div 2"), "chosen": F.expr("pmod(conv_id, 2) = 0")})
     return chat.preference_examples(turns)
 
 
@@ -97,12 +97,12 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT *, CAST(coalesce(list_sum(list_transform(range(CAST(ceil(payload_bytes / 8192.0) AS BIGINT)), lambda i: 4 + length(printf('%x', CAST(least(8192, payload_bytes - 8192 * i) AS INT))))), 0) AS BIGINT) AS chunk FROM d)""",
     "op2_preferences": chat.ORACLE_SQL,
     "op3_decontamination": """
-        WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
-        i AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-        dw AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d), iw AS (SELECT item_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS q FROM i WHERE len(w) >= 5),
-        m AS (SELECT doc_id, item_id, n, p - q AS o, q FROM dw JOIN iw USING (x)),
-        a AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, o) >= 4),
-        c AS (SELECT doc_id, item_id, n, count(*) OVER (PARTITION BY doc_id, item_id, o ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM a)
+        WITH d AS (SELECT row_number() OVER () AS dr, doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+        i AS (SELECT row_number() OVER () AS ir, item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+        dw AS (SELECT dr, doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d), iw AS (SELECT ir, item_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS q FROM i),
+        m AS (SELECT dr, doc_id, ir, item_id, n, p - q AS o, q FROM dw JOIN iw USING (x)),
+        a AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY dr, ir, o) >= least(n, 4)),
+        c AS (SELECT doc_id, item_id, n, count(*) OVER (PARTITION BY dr, ir, o ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM a)
         SELECT doc_id, item_id, CAST(least(13, max(n)) AS INTEGER) AS window_words, CAST(max(k) AS INTEGER) AS matched_words, CAST(max(n) AS INTEGER) AS item_words
         FROM c WHERE k >= ceil(least(13, n) * 0.8) GROUP BY 1, 2""",
     "op7_near_duplicates": """

@@ -35,3 +35,18 @@ U, A = "user", "assistant"
 def test_like_a_loop(spark, rows):
     df = spark.createDataFrame([(*r, 1) for r in rows], "pair_id long, chosen boolean, turn long, role string, text string, pos int")
     assert {r[0]: tuple(r[1:]) for r in preference_examples(df).collect()} == brute(rows)
+
+
+def test_negative_conversations_pair_with_their_neighbour(spark, tmp_path):
+    from compare import connection
+    from speechframe.llm.chat import ORACLE_SQL
+    from speechframe.llm.queries import QUERIES
+
+    spark.createDataFrame([(c, 0, "user", f"t{c}") for c in range(-4, 4)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["op2_preferences"](spark, str(tmp_path))
+    assert sorted((r.pair_id, r.complete) for r in got.collect()) == [(k, True) for k in range(-2, 2)]
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(map(tuple, got.select("pair_id", "chosen", "rejected").collect())) == sorted(c.sql(f"SELECT pair_id, chosen, rejected FROM ({ORACLE_SQL})").fetchall())
