@@ -11,8 +11,8 @@ Fitting counts words and n-grams over the training rows in DataFrame
 aggregations.  The rows may be a sample: about ``SAMPLE_ROWS`` of the training
 rows, chosen by a hash of their text, so that the model is bounded whatever the
 corpus. Languages share the sample evenly, rare ones are taken whole and each
-keeps at least the rows of its smallest hash; the words kept are those seen at least ``MIN_COUNT`` times, at most
-``MAX_WORDS`` a language, most frequent first with ties by word.
+keeps at least the rows of its smallest hash.  The words and n-grams kept are
+all of them that these rows hold at least ``MIN_COUNT`` times.
 
 Defined results: a null text or one without letters is "und" with score 0; with
 no training rows every text is "und"; rows with a null language or text teach
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import math
 import re
-from functools import reduce
 from itertools import chain, islice
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import map_rows, schema
 
-SAMPLE_ROWS, MIN_COUNT, MAX_WORDS, MAX_GRAMS, ORDER = 20_000, 2, 60_000, 60_000, 4
+SAMPLE_ROWS, MIN_COUNT, ORDER = 20_000, 2, 4
 #: Values of a text's hash that choose the sample.
 HASHES = 1 << 40
 #: Words remembered by a task (the later half goes when full).
@@ -81,7 +80,7 @@ def by_language(values: dict[str, int]) -> Column:
 
 
 def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, min_count: int = MIN_COUNT) -> Model:
-    """A model of ``rows`` (text, lang). What reaches the driver is bounded by MAX_WORDS and MAX_GRAMS a language."""
+    """A model of ``rows`` (text, lang). What reaches the driver is the vocabulary of about ``sample_rows`` texts."""
     known = rows.where("text is not null and lang is not null").select("text", "lang")
     hashed = F.pmod(F.xxhash64("text"), F.lit(HASHES))
     sizes = {r.lang: (r.n, r.least) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.min(hashed).alias("least")).collect()}
@@ -95,24 +94,7 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, min_count: int = MIN_CO
         padded = counts.select("lang", "n", F.concat(F.lit(" "), "word", F.lit(" ")).alias("p")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(ORDER)))).where(F.char_length("p") >= F.col("k"))
         grams = padded.select("lang", "n", F.explode(gram).alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
 
-        def top(df: DataFrame, least: int, most: int) -> pa.Table:
-            """The most frequent of every language, in two bounded steps: the count at which ``most`` is reached, then the rows above it and, first by word, those at it."""
-            kept = df.where(F.col("n") >= least)
-            ranks = kept.groupBy("lang", "n").agg(F.count("*").alias("c")).collect()
-            cut, ties = {}, {}
-            for lang in {r.lang for r in ranks}:
-                seen = 0
-                for r in sorted((r for r in ranks if r.lang == lang), key=lambda r: -r.n):
-                    if seen + r.c > most:
-                        ties[lang] = (r.n, most - seen)
-                        break
-                    seen += r.c
-                    cut[lang] = r.n
-            parts = [kept.where(F.col("n") >= by_language(cut))]
-            parts += [kept.where((F.col("lang") == k) & (F.col("n") == n)).orderBy("word").limit(rest) for k, (n, rest) in ties.items() if rest]
-            return reduce(DataFrame.unionAll, parts).select("lang", "word", "n").toArrow()
-
-        word_rows, gram_rows = top(counts, min_count, MAX_WORDS), top(grams, min_count, MAX_GRAMS)
+        word_rows, gram_rows = (df.where(F.col("n") >= min_count).select("lang", "word", "n").toArrow() for df in (counts, grams))
         sums = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
         grams.unpersist()
     finally:
@@ -193,7 +175,7 @@ def predict(df: DataFrame, model: Model, lang_col: str = "lang_pred", score_col:
     """Adds the predicted language and its score to every row of df (text)."""
     kept = [c for c in df.columns if c not in (lang_col, score_col)]
     kind = T.StructType([df.schema[c] for c in kept] + list(schema(f"{lang_col} string,{score_col} double")))
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_WORDS and MAX_GRAMS a language
+    shared = df.sparkSession.sparkContext.broadcast(model)  # the vocabulary of a bounded number of texts
 
     def make():
         scorer = Scorer(shared.value)

@@ -1,8 +1,13 @@
 """Quality and language: held-out accuracy, and texts of every kind."""
 
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from compare import SF
@@ -76,8 +81,111 @@ def test_rare_languages_stay_in_the_sample(spark):
     assert langid.even_shares({"a": 10**6, "b": 3, "c": 10**5}, 103) == {"b": 3, "c": 50, "a": 50}
 
 
-def test_ties_at_the_cap_go_by_word(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_WORDS", 3)
-    rows = [("dd dd aa bb cc ee", "en"), ("zz yy xx ww", "fr")]
-    m = langid.fit(spark.createDataFrame(rows, "text string, lang string"), min_count=1)
-    assert sorted(m.words.to_pylist()) == ["aa", "bb", "dd", "ww", "xx", "yy"]
+def test_no_word_is_lost_at_ties(spark):
+    words = [f"w{a}{b}{c}" for a in "abcdefghij" for b in "abcdefghij" for c in "klm"]
+    m = langid.fit(spark.createDataFrame([(" ".join(words * 2), "en"), ("le la " * 3, "fr")], "text string, lang string"))
+    assert set(m.words.to_pylist()) == {*words, "le", "la"}
+
+
+def brute_language(train, texts):
+    """The method in plain Python: counts, frequencies, backoff and score, one text at a time."""
+    words, grams = {}, {}
+    for text, lang in train:
+        if text is not None and lang is not None:
+            words.setdefault(lang, Counter()).update(w for w in regex.split(r"[^\p{L}]+", text.lower()) if w)
+    languages = sorted(words)
+    for lang in languages:
+        c = grams[lang] = Counter()
+        for w, n in words[lang].items():
+            p = f" {w} "
+            for k in range(1, langid.ORDER + 1):
+                for i in range(len(p) - k + 1):
+                    c[p[i : i + k]] += n
+    kept = lambda c: {w: n for w, n in c.items() if n >= langid.MIN_COUNT}
+    known = {x: (kept(words[x]), kept(grams[x])) for x in languages}
+    total = {x: sum(words[x].values()) for x in languages}
+    long = {x: Counter() for x in languages}
+    for x in languages:
+        for g, n in known[x][1].items():
+            long[x][len(g)] += n
+    word = lambda w, x: math.log(0.5 + known[x][0].get(w, 0)) - math.log(total[x] + 1)
+    gram = lambda g, x: math.log(0.5 + known[x][1].get(g, 0)) - math.log(long[x][len(g)] + 1)
+    out = []
+    for text in texts:
+        found = regex.findall(r"[^\W\d_]+", (text or "").lower())
+        if not found or not languages or not any(w.isalpha() for w in found):
+            out.append(("und", 0.0))
+            continue
+        sums = dict.fromkeys(languages, 0.0)
+        for w in found:
+            if any(w in known[x][0] for x in languages):
+                for x in languages:
+                    sums[x] += word(w, x)
+                continue
+            p, at = f" {w} ", 0
+            while at < len(p):
+                g = next((p[at : at + k] for k in range(min(langid.ORDER, len(p) - at), 0, -1) if any(p[at : at + k] in known[x][1] for x in languages)), None)
+                if g:
+                    for x in languages:
+                        sums[x] += gram(g, x)
+                at += len(g) if g else 1
+        best = max(languages, key=lambda x: sums[x])
+        out.append((best, 1 / sum(math.exp((sums[x] - sums[best]) / math.sqrt(len(found))) for x in languages)))
+    return out
+
+
+def test_language_like_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    truth = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    want = dict(zip([i for i, _, _ in rows], brute_language([(t, x) for i, t, x in rows if not truth[i]], [t for _, t, _ in rows])))
+    got = {r.doc_id: r for r in QUERIES["op5_language"](spark, SF).collect()}
+    assert got.keys() == want.keys()
+    for i, (lang, score) in want.items():
+        assert (got[i].lang_pred, got[i].held_out) == (lang, truth[i]) and abs(got[i].score - score) < 1e-3
+
+
+def test_features_like_brute_force():
+    text = "the the cat the cat é 123"
+    b, want = text.encode(), set()
+    for n in range(1, 5):
+        for i in range(len(b) - n + 1):
+            g = int.from_bytes(b[i : i + n], "little") * quality.MULTIPLY[n - 1] % 2**32
+            want.add((g ^ g >> 15) * quality.MULTIPLY[-n] % 2**32 >> 32 - quality.BITS)
+    got = quality.features(text, np.zeros(quality.SIZE, bool))
+    assert {int(x) for x in got if x < 1 << quality.BITS} == want
+    assert [int(x) - (1 << quality.BITS) for x in got if x >= 1 << quality.BITS] == [0, len(quality.RUNS), len(quality.RUNS) + 1]  # one word in seven repeats the one before
+
+
+def test_ratios_and_descent_like_a_slow_solver():
+    """Log-count ratios by plain counting; the optimum of the same dual by projected gradients on the dense matrix."""
+    rng = np.random.default_rng(1)
+    y = np.where(np.arange(60) % 3 == 0, 1.0, -1.0)
+    rows = [np.unique(np.concatenate([rng.integers(0, 40, 12), rng.integers(40, 60, 6) if t > 0 else rng.integers(50, 70, 6)])) for t in y]
+    r = quality.ratios(rows, y)
+    count = {t: Counter(int(f) for x, z in zip(rows, y) if z == t for f in x) for t in (1.0, -1.0)}
+    total = {t: sum(count[t].values()) + quality.ALPHA * quality.SIZE for t in count}
+    for f in range(80):
+        assert abs(r[f] - (math.log((count[1.0][f] + quality.ALPHA) / total[1.0]) - math.log((count[-1.0][f] + quality.ALPHA) / total[-1.0]))) < 1e-9
+    x = np.zeros((60, 71))
+    for i, f in enumerate(rows):
+        x[i, f] = r[f] / np.linalg.norm(r[f])
+    x[:, 70] = 1
+    cost = np.where(y > 0, 60 / (2 * 20), 60 / (2 * 40)) * quality.C
+    q = (y[:, None] * x) @ (y[:, None] * x).T
+    alpha, step = np.zeros(60), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(60_000):
+        alpha = np.clip(alpha + step * (1 - q @ alpha), 0, cost)
+    best = alpha.sum() - alpha @ q @ alpha / 2
+    w, bias = quality.dual_descent(rows, y, r, epochs=3000)
+    v = np.concatenate([w[:70], [bias]])
+    primal = v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    assert not w[80:].any() and -1e-6 < primal - best < 0.01 * best
+
+
+def test_quality_clashing_columns_and_repeated_labels(spark):
+    rows = [(k, "clean words here" if k % 2 else "j*** u### n%%%", "x", -1) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, predicted int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(k, 0) for k in range(60)], "doc_id long, label int")
+    got = quality.score(docs, quality.fit(docs, labels))
+    assert got.columns == ["doc_id", "text", "score", "predicted"]
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) and 0 <= r.score <= 1 for r in got.collect())
