@@ -121,3 +121,22 @@ def test_added_tokens_are_like_the_untouched_library(texts):
     texts = ["hello <|endoftext|> world", "A<|endoftext|>. <|ENDOFTEXT|>", *texts]
     got = eliasfano.chunk_tokenizer(WORD)(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ordinary_documents_go_through_the_tree(monkeypatch):
+    calls = []
+    e = bpe.Encoder(BYTE, P.PATTERN)
+    own = e.join
+    monkeypatch.setattr(e, "join", lambda *a: calls.append(1) or own(*a))
+    text = "Some ordinary words, of a page of text. " * 40
+    assert e.encode(text) == ENCODER.leaf(text) and len(calls) >= 7
+    many = list(range(1000)) * 3
+    pieces = bpe.pieces_of(BYTE)
+    assert bpe.decode_tree(many, pieces) == b"".join(pieces[i] for i in many)
+
+
+@pytest.mark.parametrize("pattern", [r"\s*\S+", r" ?\w+| ?[^\s\w]+\s*|\s+", r"(?s:.)"])
+def test_other_patterns_are_one_leaf(pattern):
+    e = bpe.Encoder(BYTE, pattern)
+    text = "One, two.\n three  four! " * 60
+    assert e.encode(text) == e.leaf(text)
