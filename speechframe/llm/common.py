@@ -48,20 +48,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 PART_ROWS, HOT_KEYS = 1024, 1000
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, n: str, row: list[str], how: str = "inner") -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str, n: str, row: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``big`` joined with ``small`` on ``key``, where a key may hold any share of big's rows.
 
-    ``small`` has one row a key, and in ``n`` the number of big's rows with it (n is dropped).
-    The HOT_KEYS most frequent keys of more than PART_ROWS rows are dealt to parts by a
-    hash of ``row``, beside as many copies of small's row.  The broadcast is that list:
-    HOT_KEYS narrow rows at most, whatever the input; any key outside it holds less
-    than 1 / HOT_KEYS of the rows.  Rows of big whose key is null are dealt too.
+    ``small`` has one row a key, and in ``n`` the number of big's rows with it (n is dropped);
+    ``counts`` (key, n) says the same where that is cheaper to read, as it is read first.
+    The HOT_KEYS most frequent keys of more than PART_ROWS rows, a list of bounded size
+    whatever the input, are dealt to parts by a hash of ``row``, beside as many copies of
+    small's row; any key outside it holds less than 1 / HOT_KEYS of the rows.  Rows
+    of big without a key stay out of the shuffle.
     """
-    hot = F.broadcast(small.where(F.col(n) > PART_ROWS).orderBy(F.desc(n), key).limit(HOT_KEYS).select(F.col(key).alias("__hot"), F.ceil(F.col(n) / PART_ROWS).cast("int").alias("__parts")))
-    parts = F.coalesce("__parts", F.lit(1))
-    left = big.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__part", F.pmod(F.xxhash64(*row), F.when(F.col(key).isNull(), PART_ROWS).otherwise(parts)).cast("int"))
-    right = small.drop(n).join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return left.drop("__hot", "__parts").join(right.drop("__hot", "__parts"), [key, "__part"], how).drop("__part")
+    counts = small if counts is None else counts
+    hot = counts.where(F.col(n) > PART_ROWS).orderBy(F.desc(n), key).limit(HOT_KEYS).select(key, n).collect()
+    small = small.drop(n)
+    some = big.where(F.col(key).isNotNull())
+    if hot:
+        parts = F.broadcast(big.sparkSession.createDataFrame([(r[0], -(-r[1] // PART_ROWS)) for r in hot], T.StructType([T.StructField("__hot", small.schema[key].dataType), T.StructField("__parts", T.IntegerType())])))
+        number = F.coalesce("__parts", F.lit(1))
+        left = some.join(parts, F.col(key) == F.col("__hot"), "left").withColumn("__part", F.pmod(F.xxhash64(*row), number).cast("int")).drop("__hot", "__parts")
+        right = small.join(parts, F.col(key) == F.col("__hot"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), number - 1))).drop("__hot", "__parts")
+        out = left.join(right, [key, "__part"], how).drop("__part")
+    else:
+        out = some.join(small, key, how)
+    return out.unionByName(big.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
 
 
 def _local(uri: str) -> str | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, spread_join
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,19 +14,20 @@ def components(links: DataFrame) -> DataFrame:
     Each step replaces links by links to a smaller node; a star per component is
     left after a number of steps that grows with the logarithm of the longest
     path.  A node's smallest neighbour is a pre-aggregated minimum that is joined
-    back, so no task holds all neighbours of a node.  An empty table gives none.
+    back, with the neighbours of a node that has very many dealt to parts.  An
+    empty table gives none.
     """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         # Large star: every larger neighbour of u is linked to u's smallest neighbour (or u itself).
         both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
-        least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = cut_lineage(spread_join(both, least, "u", "n", ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # Small star: every smaller neighbour of u, and u itself, is linked to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         linked = F.when(F.col("v") == F.col("m"), F.struct(F.col("u"), F.col("m").alias("v"))).otherwise(F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = cut_lineage(large.join(low, "u").select(linked.alias("e")).select("e.*").distinct())
+        edges = cut_lineage(spread_join(large, low, "u", "n", ["v"]).select(linked.alias("e")).select("e.*").distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             break

@@ -8,10 +8,15 @@
 3. The joint likelihood of the registers drops pairs that can't reach the
    threshold; the others are verified on their full sets.
 4. Verified links give components.  Keys whose members lie in several components
-   are looked at again, without limit, block against block: what the likelihood
-   leaves open between different components is verified, and a link per pair of
-   components comes out.  Links inside one component are never looked at; they
-   change no component.
+   are looked at again, without limit, block against block: their registers
+   first, then the texts of only those members that the likelihood leaves open
+   between different components are verified, and a link per pair of components
+   comes out.  Links inside one component are never looked at; they change no
+   component.
+
+A key, centre, set or node may hold any share of the rows: joins on them deal hot
+ones to parts (``spread_join``), and what needs all rows of one is a
+pre-aggregated minimum or count.
 
 Words are runs of bytes other than the six ASCII white-space ones, A-Z
 lower-cased; a text of fewer words than a shingle is one shingle.
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import sketch
-from .common import cut_lineage, map_arrow, map_rows, schema
+from .common import cut_lineage, map_arrow, map_rows, schema, spread_join
 from .components import components
 
 #: Members verified beside one copy of their centre; members of a block that is compared with another.
@@ -102,17 +107,18 @@ def banded(reps: DataFrame) -> DataFrame:
     return map_rows(reps.select("doc_id", "regs"), schema("key long,doc_id long"), make)
 
 
-def streamed(members: DataFrame, centres: DataFrame, payload: str, out: str, make) -> DataFrame:
+def streamed(pairs: DataFrame, sides: DataFrame, out: str, make) -> DataFrame:
     """Members beside their centre, without gathering a group.
 
-    members: (c, x, d?, payload columns) one row a pair; centres: (doc_id, payload).
+    pairs: (c, x), one row a pair; sides: (doc_id, payload) of either.
     The pairs of a centre are dealt to parts of about BESIDE; a part is a stretch of
     sorted rows that starts with the centre's own payload.  ``make()`` returns
-    ``f(centre payload, [(x, payload), ...]) -> rows`` for pieces of a part.
+    ``f(centre, its payload, [(x, payload), ...]) -> rows`` for pieces of a part.
     """
-    counted = members.groupBy("c").agg(F.ceil(F.count("*") / BESIDE).cast("int").alias("parts"))
-    left = members.join(counted, "c").select("c", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "x", payload)
-    right = counted.join(centres, F.col("c") == F.col("doc_id")).select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("c").alias("x"), payload)
+    counted = pairs.groupBy("c").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BESIDE).cast("int"))
+    dealt = spread_join(pairs, counted, "c", "n", ["x"]).select("c", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "x")
+    left = dealt.join(sides, F.col("x") == F.col("doc_id")).select("c", "part", "role", "x", "payload")
+    right = counted.join(sides, F.col("c") == F.col("doc_id")).select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("c").alias("x"), "payload")
     kind = schema(out)
     arrow = to_arrow_schema(kind)
 
@@ -155,25 +161,50 @@ def plausible(pairs: DataFrame, sides: DataFrame, threshold: float) -> DataFrame
 
         return f
 
-    members = pairs.join(side, F.col("x") == F.col("doc_id")).select("c", "x", "payload")
-    return streamed(members, side, "payload", "c long,x long", make)
+    return streamed(pairs, side, "c long,x long", make)
+
+
+def per_cell(dealt: DataFrame, out: str, f) -> DataFrame:
+    """f(rows, i, j) of every cell of dealt (c, i, j, ...), one cell at a time in memory; rows are lists of the other columns, results rows of ``out``."""
+    arrow = to_arrow_schema(schema(out))
+    width = len(dealt.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows = None, []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            found = f(rows, *cell[1:]) if len(rows) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(v, type=t.type) for v, t in zip(zip(*found), arrow)], schema=arrow)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                for c, i, j, *row in zip(*(piece.column(k).to_pylist() for k in range(width))):
+                    if cell != (c, i, j):
+                        yield from made()
+                        cell, rows = (c, i, j), []
+                    rows.append(row)
+        yield from made()
+
+    return map_arrow(dealt.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j"), run, schema(out))
 
 
 def across_blocks(open_: DataFrame, sides: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) between different components of members that share a key. open_: (key, doc_id, component).
+    """Links (a, b) between different components of members that share a key. open_: (c, doc_id, component), c the smallest member of the key.
 
     Members of the keys with the same smallest member are one list; it is dealt to
     blocks of about BLOCK, and a task sees two blocks at a time.  It compares their
-    registers and then the full sets of what the likelihood leaves open, and emits a
-    link per pair of components: neither pairs nor lists are gathered anywhere.
+    registers and names the members of pairs that the likelihood leaves open; the
+    texts of those alone come to their cell for a second look, which verifies full
+    sets and emits a link per pair of components.  Neither pairs nor lists are
+    gathered anywhere.
     """
-    first = open_.groupBy("key").agg(F.min("doc_id").alias("c"))
-    listed = open_.join(first, "key").select("c", "doc_id", "component").distinct()
-    counted = listed.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = listed.join(counted, "c").join(sides, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    listed = cut_lineage(open_.distinct())
+    counted = listed.groupBy("c").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    placed = spread_join(listed, counted, "c", "n", ["doc_id"]).join(sides.drop("payload"), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = cells.select("c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n_shingles", "regs", "payload")
-    arrow = to_arrow_schema(schema("a long,b long"))
+    dealt = cells.select("c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n_shingles", "regs")
 
     def intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of sets x[k] and y[k]: one by one if few, else as products of 0/1 matrices over stretches of the shingles."""
@@ -192,9 +223,9 @@ def across_blocks(open_: DataFrame, sides: DataFrame, shingle: int, percent: int
             total += m @ m.T
         return total[np.searchsorted(used, x), np.searchsorted(used, y)].astype(np.int64)
 
-    def compare(shingler: Shingler, rows: list[list], left: int, right: int) -> list[tuple[int, int]]:
-        """rows: own, doc_id, component, n_shingles, regs, text; pairs of the left block with the right (or within it, if they are the same)."""
-        block, ids, comps, sizes = (np.array([r[k] for r in rows]) for k in range(4))
+    def open_pairs(rows: list[list], left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
+        """rows: own, doc_id, component, n_shingles, regs; pairs of the left block with the right (or within it, if they are the same) that may be links of two components."""
+        block, _, comps, sizes = (np.array([r[k] for r in rows]) for k in range(4))
         x, y = np.triu_indices(len(rows), 1)
         cross = (comps[x] != comps[y]) & (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
         if left != right:
@@ -205,38 +236,37 @@ def across_blocks(open_: DataFrame, sides: DataFrame, shingle: int, percent: int
         for at in range(0, len(x), 8192):
             p, q = x[at : at + 8192], y[at : at + 8192]
             ok[at : at + 8192] = sketch.may_reach(percent / 100, sizes[p].astype(float), sizes[q].astype(float), regs[p], regs[q])
-        x, y = x[ok], y[ok]
+        return x[ok], y[ok]
+
+    def involved(rows: list[list], left: int, right: int) -> list[tuple]:
+        x, y = open_pairs(rows, left, right)
+        ids = rows[0][-1]
+        return [(*ids, *rows[k][:3]) for k in np.unique(np.concatenate([x, y])).tolist()] if len(x) else []
+
+    memory = []  # of the Python worker that runs a task
+
+    def links(rows: list[list], left: int, right: int) -> list[tuple[int, int]]:
+        x, y = open_pairs(rows, left, right)
         if not len(x):
             return []
+        if not memory:
+            memory.append(Shingler(shingle))
         used = set(x.tolist()) | set(y.tolist())
-        sets = [shingler.of(r[5]) if k in used else None for k, r in enumerate(rows)]
+        sets = [memory[0].of(r[5]) if k in used else None for k, r in enumerate(rows)]
         same = intersections(sets, x, y)
         total = np.array([0 if v is None else len(v) for v in sets])
         link = 100 * same >= percent * (total[x] + total[y] - same)
         x, y = x[link], y[link]
+        ids, comps = (np.array([r[k] for r in rows]) for k in (1, 2))
         lo, hi = np.minimum(comps[x], comps[y]), np.maximum(comps[x], comps[y])
         one = np.unique(np.stack([lo, hi]), axis=1, return_index=True)[1] if len(x) else []
         return [(int(ids[x[k]]), int(ids[y[k]])) for k in one]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, cell, rows = Shingler(shingle), None, []
-
-        def packed(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=arrow)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for c, i, j, *row in zip(*(piece.column(k).to_pylist() for k in range(9))):
-                    if cell != (c, i, j):
-                        if len(rows) > 1 and (found := compare(shingler, rows, *cell[1:])):
-                            yield packed(found)
-                        cell, rows = (c, i, j), []
-                    rows.append(row)
-        if len(rows) > 1 and (found := compare(shingler, rows, *cell[1:])):
-            yield packed(found)
-
-    return map_arrow(dealt.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j"), run, schema("a long,b long"))
+    # The cell's own name rides along, as what comes out of the first look has to find its cell again.
+    named = dealt.withColumn("name", F.array("c", F.col("i").cast("long"), F.col("j").cast("long")))
+    first = per_cell(named, "c long,i int,j int,own int,doc_id long,component long", involved)
+    texts = first.join(sides, "doc_id").select("c", "i", "j", "own", "doc_id", "component", "n_shingles", "regs", "payload")
+    return per_cell(texts, "a long,b long", links)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -255,8 +285,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
         return f
 
-    members = pairs.join(texts, F.col("x") == F.col("doc_id")).select("c", "x", "payload")
-    return streamed(members, texts, "payload", "c long,x long,inter long,total long", make)
+    return streamed(pairs, texts, "c long,x long,inter long,total long", make)
 
 
 def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -266,29 +295,29 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """
     rows = cut_lineage(sketched(docs, shingle))
     known = rows.where("doc_id is not null and set_key is not null")
-    reps = cut_lineage(known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")).groupBy("doc_id").agg(F.collect_list("set_key").alias("keys"), F.min(F.struct("n_shingles", "regs")).alias("s")).select("doc_id", "keys", "s.*"))
+    sets = known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.count("*").alias("n"))
     # An id that is the smallest of several sets (used twice) stands for all of them, with the registers of the smaller.
+    reps = cut_lineage(sets.groupBy("doc_id").agg(F.collect_list(F.struct("set_key", "n")).alias("sets"), F.min(F.struct("n_shingles", "regs")).alias("s")).select("doc_id", "sets", "s.*"))
     bands = banded(reps)
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    # Members of the keys that more than one representative has, and their texts: all that is looked at from here on.
-    members = cut_lineage(bands.join(shared, "key"))
+    shared = cut_lineage(bands.groupBy("key").agg(F.min("doc_id").alias("c"), F.count("*").alias("n")).where("n > 1"))
+    # Members of the keys that more than one representative has, with the key's smallest one, and their texts: all that is looked at from here on.
+    members = cut_lineage(spread_join(bands, shared, "key", "n", ["doc_id"]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("payload"))
     involved = members.select("doc_id").distinct()
-    sides = cut_lineage(texts.join(involved, "doc_id", "left_semi").join(reps.drop("keys"), "doc_id"))
+    sides = cut_lineage(texts.join(involved, "doc_id", "left_semi").join(reps.drop("sets"), "doc_id"))
     # A first look: every member with its key's smallest one.
-    centre = members.groupBy("key").agg(F.min("doc_id").alias("c"))
-    pairs = members.join(centre, "key").where("doc_id <> c").select("c", F.col("doc_id").alias("x")).distinct()
-    seen = verified(plausible(pairs, sides, percent / 100), sides.select("doc_id", "payload"), shingle)
+    pairs = cut_lineage(members.where("doc_id <> c").select("c", F.col("doc_id").alias("x")).distinct())
+    seen = verified(cut_lineage(plausible(pairs, sides, percent / 100)), sides.select("doc_id", "payload"), shingle)
     links = cut_lineage(seen.where(f"100 * inter >= {percent} * total").select(F.col("c").alias("a"), F.col("x").alias("b")))
     found = cut_lineage(components(links))
     # A second look, at the keys that hold several components.
-    named = members.join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    more = across_blocks(named.join(mixed, "key"), sides, shingle, percent)
+    named = members.join(found, F.col("doc_id") == F.col("node"), "left").select("key", "c", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = cut_lineage(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"))
+    more = across_blocks(spread_join(named, mixed, "key", "n", ["doc_id"]).select("c", "doc_id", "component"), sides, shingle, percent)
     found = components(links.unionByName(more))
 
-    rep_of = reps.select(F.explode("keys").alias("set_key"), F.col("doc_id").alias("rep")).join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(rep_of, "set_key", "left")
+    rep_of = reps.select(F.explode("sets").alias("s"), F.col("doc_id").alias("rep")).join(found, F.col("rep") == F.col("node"), "left").select("s.set_key", "s.n", F.coalesce("component", "rep").alias("component"))
+    out = spread_join(rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")), rep_of, "set_key", "n", ["doc_id"], "left", counts=reps.select(F.explode("sets").alias("s")).select("s.*"))
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

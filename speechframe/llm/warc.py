@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_arrow, open_input, open_output, schema, spread_join
+from .common import cut_lineage, map_arrow, open_input, open_output, schema, spread_join
 
 SEGMENT_BYTES, CHUNK_BYTES, FILE_BYTES = 32 << 10, 8 << 10, 256 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -103,7 +103,7 @@ def page_records(key: str, url: str, payload: bytes, refers_to: str | None, segm
 def revisits(pages: DataFrame, dedupe_from: int = 0) -> DataFrame:
     """(key, sha, refers_to) of the pages whose payload another page with a larger id has. Narrow rows only are shuffled."""
     ids = pages.where(F.col("size") >= dedupe_from).select("page_id", "key", "sha")
-    kept = ids.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    kept = cut_lineage(ids.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null"))
     return spread_join(ids, kept, "sha", "n", ["key"]).where("page_id is null or page_id < refers_to").select("key", "sha", "refers_to").distinct()
 
 

@@ -107,6 +107,48 @@ def test_likelihood_keeps_what_reaches_the_threshold():
         assert all(kept) if keep else not any(kept)
 
 
+def test_hot_groups_are_dealt_to_parts(docs, monkeypatch):
+    """A third of the rows are exact copies, a third near copies of one text; parts of a few rows."""
+    from speechframe.llm import common
+
+    monkeypatch.setattr(common, "PART_ROWS", 9)
+    monkeypatch.setattr(neardup, "BLOCK", 11)
+    monkeypatch.setattr(neardup, "BESIDE", 11)
+    rng = random.Random(4)
+    base = [f"v{k}" for k in range(90)]
+    near = []
+    for k in range(80):
+        w = list(base)
+        for j in rng.sample(range(90), rng.randint(0, 9)):
+            w[j] = f"z{rng.randrange(10_000)}"
+        near.append((1000 - k, " ".join(w)))
+    rows = near + [(k, "the same text of every page here") for k in range(80)] + [(2000 + k, f"a{k} b{k} c{k}") for k in range(80)] + [(3000 + k, None) for k in range(20)]
+    assert {r.doc_id: r.component_id for r in neardup.groups(docs(rows), 2).collect()} == brute(rows, 2)
+
+
+def test_components_with_hot_nodes(spark, monkeypatch):
+    from speechframe.llm import common
+
+    monkeypatch.setattr(common, "PART_ROWS", 5)
+    links = [(0, k) for k in range(1, 200)] + [(1000, k) for k in range(300, 400)] + [(1000, 1001)]
+    got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {**{k: 0 for k in range(200)}, **{k: 300 for k in [*range(300, 400), 1000, 1001]}}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_is_a_join(spark, monkeypatch, how):
+    from speechframe.llm import common
+
+    monkeypatch.setattr(common, "PART_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    big = [(k % 7 if k % 5 else None, k) for k in range(100)]
+    big += [(50, k) for k in range(100)] + [(51, 1)]
+    small = [(k, f"s{k}", sum(x == k for x, _ in big)) for k in [*range(5), 50, 99]]
+    b, s = spark.createDataFrame(big, "key long, row long"), spark.createDataFrame(small, "key long, v string, n long")
+    got = sorted(map(tuple, common.spread_join(b, s, "key", "n", ["row"], how).select("key", "row", "v").collect()), key=repr)
+    assert got == sorted(map(tuple, b.join(s.drop("n"), "key", how).select("key", "row", "v").collect()), key=repr)
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 200), (200, 300), (7, 7), (500, 400)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
