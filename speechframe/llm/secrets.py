@@ -4,19 +4,24 @@ The base patterns find assignments, access keys and long hexadecimal runs.  The
 battery looks at every run of 16 or more characters of the base-64 alphabets
 that holds a digit and a letter.  Its encoding is inferred (the smallest of hex,
 base 32, base 36, base 62 and base 64 that holds all its characters) and three
-tests ask whether it looks uniform over that alphabet: chi-squared counts, runs
-about the median, and serial correlation, combined by Bonferroni's rule.  A run
-that isn't rejected is a candidate; its likelihood under the uniform alphabet
-against that of ordinary written text (characters stay within their class)
-bounds its p-value, by Markov's inequality, whatever the text.  Among the
-candidates of a length class (powers of two) of all documents the
-Benjamini-Hochberg rule keeps the false discovery rate below ``FDR``: short
-runs have to be more telling than long ones.  A run that no single alphabet
+tests ask whether it looks uniform over that alphabet: chi-squared counts (with
+simulated tails where the run is short), runs about the median, and serial
+correlation, combined by Bonferroni's rule.
+
+Two false-discovery controls follow, each by the Benjamini-Hochberg rule at
+``FDR`` among the runs of a length class (powers of two) of all documents.  The
+first takes the battery's p-values and tells the runs that aren't uniform.  The
+second asks of the others whether ordinary text could have made them: the
+likelihood under the uniform alphabet against that of ordinary text, in which
+characters stay within their class and letters follow each other as they do in
+the documents, bounds a p-value by Markov's inequality.  So short runs have to
+be more telling than long ones.  A run that no single alphabet
 holds (``name=token``, a path with dashes) is cut at "="; of a part that still
 fits none, the pieces between "_" and "-", those between "/" and "+" and those
 between all four are tested, at a third of their evidence each, and the most
-telling that don't overlap stand.  A run that an alphabet holds is tested whole.  The counts it needs are a
-histogram of bounded size, gathered in a first pass over all documents.
+telling that don't overlap stand.  A run that an alphabet holds is tested whole.  What it learns are the
+counts of 676 letter pairs and a histogram of bounded size, gathered in two
+passes over all documents.
 
 Spans are in code points, end exclusive.  Battery spans that meet a base span
 aren't added.
@@ -30,6 +35,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +51,9 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
 HINTS = ("passw", "secret", "token", "api")
-LEAST, REJECT, FDR, BINS = 16, 0.001, 0.01, 256
+LEAST, FDR, BINS = 16, 0.01, 256
+#: Bins of the battery's p-values to a halving; draws and longest run of the simulated chi-squared tails; weight of the documents' letter pairs against equal ones.
+FINE, DRAWS, SIMULATED, LEARNED = 4, 8192, 64, 0.9
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings by name, smallest alphabet first. Fixed values.
 ALPHABETS = {
@@ -56,6 +65,11 @@ SETS = {k: (frozenset(v), {c: i for i, c in enumerate(v)}) for k, v in ALPHABETS
 PARTS, PIECES = re.compile("[^=]+"), (re.compile("[^_-]+"), re.compile("[^/+]+"), re.compile("[^_/+-]+"))
 #: Bits of evidence that the choice among the three ways costs at most.
 CHOICE_BITS = 2
+#: Among those ways, pieces in a bin of the battery beyond this one (p < 0.001) come last.
+ODD = 40
+DIGITS, LOWERS, UPPERS = frozenset(DIGIT), frozenset(LOWER), frozenset(UPPER)
+#: Bits of ordinary text: a character in the class of the one before, one in another, a digit.
+STAY, LEAVE, TEN = -math.log2(0.9), math.log2(30), math.log2(10)
 #: Bytes of latin-1 that may be part of a run.
 INSIDE = np.zeros(256, bool)
 INSIDE[[ord(c) for c in DIGIT + UPPER + LOWER + "+/_=-"]] = True
@@ -74,12 +88,28 @@ def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+@lru_cache(maxsize=None)
+def chi_tails(n: int, k: int) -> np.ndarray:
+    """Sorted chi-squared statistics of DRAWS runs of n uniform letters of k: sums of squared counts (at most SIMULATED lengths for each alphabet's size)."""
+    draws = np.random.default_rng(n * 1000 + k).integers(0, k, (DRAWS, n)) + np.arange(DRAWS)[:, None] * k
+    return np.sort((np.bincount(draws.ravel(), minlength=DRAWS * k).reshape(DRAWS, k) ** 2).sum(1))
+
+
+def chi_p(x: np.ndarray, k: int) -> float:
+    """Of counts as uneven as x's: simulated, or Wilson and Hilferty's normal tail of a long run and beyond the draws."""
+    n, d = len(x), k - 1
+    squares = int((np.bincount(x, minlength=k) ** 2).sum())
+    tail = normal_tail(((max(k / n * squares - n, 0.0) / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d)))
+    if n > SIMULATED:
+        return tail
+    drawn = chi_tails(n, k)
+    more = DRAWS - int(np.searchsorted(drawn, squares))
+    return (more + 1) / (DRAWS + 1) if more else min(tail, 1 / (DRAWS + 1))
+
+
 def uniform_p(x: np.ndarray, k: int) -> float:
     """Bonferroni's combination of the three tests that x is uniform over 0..k-1."""
     n = len(x)
-    chi = k / n * float((np.bincount(x, minlength=k).astype(float) ** 2).sum()) - n
-    d = k - 1
-    p_chi = normal_tail(((max(chi, 0.0) / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d)))
     high = x >= k / 2
     a = int(high.sum())
     b = n - a
@@ -92,16 +122,52 @@ def uniform_p(x: np.ndarray, k: int) -> float:
     y = x - x.mean()
     s = float((y * y).sum())
     p_serial = 2 * normal_tail(abs(float((y[1:] * y[:-1]).sum()) / s * math.sqrt(n) + 1 / math.sqrt(n))) if s else 0.0
-    return min(1.0, 3 * min(p_chi, p_runs, p_serial))
+    return min(1.0, 3 * min(chi_p(x, k), p_runs, p_serial))
+
+
+class Ordinary:
+    """Ordinary text: bits of a letter after another (26 x 26) and of a first one, from counts of letter pairs."""
+
+    def __init__(self, pairs: np.ndarray | None = None):
+        n = np.ones((26, 26)) if pairs is None else pairs + 1.0
+        mixed = lambda p: (-np.log2(LEARNED * p + (1 - LEARNED) / 26)).tolist()
+        self.after, self.first = mixed(n / n.sum(1, keepdims=True)), mixed(n.sum(0) / n.sum())
+
+    def bits(self, token: str) -> float:
+        """-log2 of the token's likelihood: nine times in ten a character stays in the class of the one before, else it is in one of the three others."""
+        total, before, last = math.log2(4), None, 0
+        for c in token:
+            kind = 0 if c in DIGITS else 1 if c in LOWERS else 2 if c in UPPERS else 3
+            if before is not None:
+                total += STAY if kind == before else LEAVE
+            if kind in (1, 2):
+                i = ord(c) - (97 if kind == 1 else 65)
+                total += self.after[last][i] if kind == before else self.first[i]
+                last = i
+            else:
+                total += TEN if kind == 0 else 2.0
+            before = kind
+        return total
+
 
+def letter_pairs(docs: DataFrame) -> np.ndarray:
+    """Counts of ASCII letter pairs, case aside, over all texts of docs (text): 676 numbers."""
 
-def evidence(token: str, k: int) -> float:
-    """Log2 likelihood ratio of a uniform k-letter alphabet against ordinary text, which stays in a class of characters nine times in ten."""
-    kind = [0 if c in DIGIT else 1 if c in LOWER else 2 if c in UPPER else 3 for c in token]
-    size = (10.0, 18.0, 18.0, 4.0)  # letters of prose are worth some 18 equal ones
-    bits = math.log2(4) + sum(math.log2(size[c]) for c in kind)
-    bits += sum(-math.log2(0.9) if a == b else math.log2(30) for a, b in zip(kind, kind[1:]))
-    return bits - len(token) * math.log2(k)
+    def make():
+        def f(batch: pa.RecordBatch) -> list | None:
+            raw = np.frombuffer("\n".join(t for t in batch.column(0).to_pylist() if t).encode().lower(), np.uint8) - np.uint8(97)
+            a, b = raw[:-1], raw[1:]
+            both = (a < 26) & (b < 26)
+            n = np.bincount(a[both].astype(np.int32) * 26 + b[both], minlength=676)
+            at = np.flatnonzero(n)
+            return [at.astype(np.int32), n[at]] if len(at) else None
+
+        return f
+
+    out = np.zeros(676)
+    for r in map_rows(docs.select("text"), schema("pair int,n long"), make).groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r.pair] = r.n
+    return out.reshape(26, 26)
 
 
 def encoding(body: str) -> str | None:
@@ -110,26 +176,25 @@ def encoding(body: str) -> str | None:
     return next((k for k, (s, _) in SETS.items() if letters <= s), None)
 
 
-def candidate(token: str) -> tuple[int, int] | None:
-    """(length class, bin of -log2 p) of a run that looks random, else None."""
+def candidate(token: str, text: Ordinary) -> tuple[int, int, int] | None:
+    """(length class, bin of the battery's p-value, bin of the evidence against ordinary text) of a run that is tested, else None."""
     body = token.rstrip("=")
-    if len(body) < LEAST or not any(c in DIGIT for c in body) or not any(c.isalpha() for c in body):
+    if len(body) < LEAST or not any(c in DIGITS for c in body) or not any(c.isalpha() for c in body):
         return None
     name = encoding(body)
     if name is None:
         return None
     place, k = SETS[name][1], len(ALPHABETS[name])
-    bits = evidence(body, k)
-    if bits <= 0 or uniform_p(np.array([place[c] for c in body]), k) < REJECT:
-        return None
-    return int(math.log2(len(body))), min(BINS - 1, int(bits))
+    p = uniform_p(np.array([place[c] for c in body]), k)
+    bits = text.bits(body) - len(body) * math.log2(k)
+    return int(math.log2(len(body))), min(BINS - 1, int(-FINE * math.log2(max(p, 1e-30)))), max(0, min(BINS - 1, int(bits)))
 
 
-def candidates(text: str, a: int, b: int) -> list[tuple[int, int, int, int]]:
-    """(start, end, length class, bin) of what looks random in a run: the run itself, or parts of one that no alphabet holds."""
+def candidates(text: str, a: int, b: int, model: Ordinary) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, length class, bin of uniformity, bin of evidence) of what is tested in a run: the run itself, or parts of one that no alphabet holds."""
     body = text[a:b].rstrip("=")
     if encoding(body) is not None:
-        c = candidate(body)
+        c = candidate(body, model)
         return [(a, b, *c)] if c else []
     out = []
     for m in PARTS.finditer(body):
@@ -137,12 +202,12 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, int, int, int]]:
             tried, loss = [m.span()], 0
         else:
             tried, loss = sorted({x.span() for p in PIECES for x in p.finditer(body, *m.span())}), CHOICE_BITS
-        got = [(x, y, c[0], c[1] - loss) for x, y in tried if y - x >= LEAST and (c := candidate(body[x:y])) is not None and c[1] >= loss]
-        taken: list[tuple[int, int, int, int]] = []
-        for g in sorted(got, key=lambda g: (-g[3], g[0] - g[1], g[0])):
+        got = [(x, y, c[0], c[1], max(0, c[2] - loss)) for x, y in tried if y - x >= LEAST and (c := candidate(body[x:y], model)) is not None]
+        taken: list[tuple[int, int, int, int, int]] = []
+        for g in sorted(got, key=lambda g: (g[3] > ODD, -g[4], g[0] - g[1], g[0])):
             if all(g[1] <= t[0] or t[1] <= g[0] for t in taken):
                 taken.append(g)
-        out += [(a + x, b if y == len(body) else a + y, size, n) for x, y, size, n in sorted(taken)]  # padding goes with the last part
+        out += [(a + x, b if y == len(body) else a + y, *rest) for x, y, *rest in sorted(taken)]  # padding goes with the last part
     return out
 
 
@@ -168,43 +233,59 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def thresholds(docs: DataFrame, fdr: float = FDR) -> dict[int, int]:
-    """The least bin that is a discovery, by length class: Benjamini-Hochberg over all candidates of all documents."""
+def first_cut(bins: dict[int, int], level: float, to_p) -> int | None:
+    """The least bin that is a discovery by the Benjamini-Hochberg rule; to_p: the largest p-value of a bin."""
+    total, seen, cut = sum(bins.values()), 0, None
+    for b in sorted(bins, reverse=True):
+        seen += bins[b]
+        if to_p(b) <= level * seen / total:
+            cut = b
+    return cut
+
+
+def thresholds(docs: DataFrame, model: Ordinary, fdr: float = FDR) -> dict[int, tuple[int, int]]:
+    """By length class, over all tested runs of all documents: the least bin of the battery that isn't uniform, and the least bin of evidence that is a secret."""
 
     def make():
         def f(batch: pa.RecordBatch) -> list | None:
-            count: dict[tuple[int, int], int] = {}
+            count: dict[tuple[int, int, int], int] = {}
             for text in batch.column(0).to_pylist():
                 for a, b in runs(text or ""):
-                    for _, _, *c in candidates(text, a, b):
+                    for _, _, *c in candidates(text, a, b, model):
                         count[tuple(c)] = count.get(tuple(c), 0) + 1
-            return [[k[0] for k in count], [k[1] for k in count], list(count.values())] if count else None
+            return [*([k[i] for k in count] for i in range(3)), list(count.values())] if count else None
 
         return f
 
-    parts = map_rows(docs.select("text"), schema("size int,bin int,n long"), make)
-    hist: dict[int, dict[int, int]] = {}
-    for r in parts.groupBy("size", "bin").agg(F.sum("n").alias("n")).collect():  # at most 32 classes of BINS rows
-        hist.setdefault(r.size, {})[r.bin] = r.n
+    parts = map_rows(docs.select("text"), schema("size int,odd int,bin int,n long"), make)
+    hist: dict[int, list[tuple[int, int, int]]] = {}
+    for r in parts.groupBy("size", "odd", "bin").agg(F.sum("n").alias("n")).collect():  # at most 32 classes of BINS x BINS rows
+        hist.setdefault(r.size, []).append((r.odd, r["bin"], r.n))
     cut = {}
-    for size, bins in hist.items():
-        total, seen = sum(bins.values()), 0
-        for b in sorted(bins, reverse=True):
-            seen += bins[b]
-            if 2.0**-b <= fdr * seen / total:
-                cut[size] = b
+    for size, rows in hist.items():
+        sums = [Counter(), Counter()]
+        for odd, _, n in rows:
+            sums[0][odd] += n
+        uneven = first_cut(sums[0], fdr, lambda b: 2.0 ** (-b / FINE))
+        uneven = BINS if uneven is None else uneven
+        for odd, b, n in rows:
+            if odd < uneven:
+                sums[1][b] += n
+        least = first_cut(sums[1], fdr, lambda b: 2.0**-b)
+        cut[size] = (uneven, BINS if least is None else least)
     return cut
 
 
-def all_spans(text: str | None, cut: dict[int, int]) -> list[tuple[str, int, int]]:
+def all_spans(text: str | None, cut: dict[int, tuple[int, int]], model: Ordinary) -> list[tuple[str, int, int]]:
     if not text:
         return []
     found = runs(text)
     spans = base_spans(text, found)
     base = list(spans)
     for a, b in found:
-        for start, end, size, n in candidates(text, a, b):
-            if n >= cut.get(size, BINS) and not any(x < end and start < y for _, x, y in base):
+        for start, end, size, odd, n in candidates(text, a, b, model):
+            uneven, least = cut.get(size, (0, BINS))
+            if odd < uneven and n >= least and not any(x < end and start < y for _, x, y in base):
                 spans.append(("random", start, end))
     return ordered(spans)
 
@@ -219,16 +300,17 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, fdr: float = FDR, redact: bool = False) -> DataFrame:
-    """Adds ``spans`` (array of kind, start, end) to every row of docs (text); with redact, also cuts them out of the text."""
-    cut = thresholds(docs, fdr)
-    kept = [c for c in docs.columns if c != "spans"]
-    kind = T.StructType([docs.schema[c] for c in kept] + list(schema("spans spans")))
+def scan(docs: DataFrame, fdr: float = FDR, redact: bool = False, out_col: str = "spans") -> DataFrame:
+    """Adds ``out_col`` (array of kind, start, end) to every row of docs (text); with redact, also cuts them out of the text."""
+    model = Ordinary(letter_pairs(docs))
+    cut = thresholds(docs, model, fdr)
+    kept = [c for c in docs.columns if c != out_col]
+    kind = T.StructType([docs.schema[c] for c in kept] + list(schema(f"{out_col} spans")))
 
     def make():
         def f(batch: pa.RecordBatch) -> list:
             texts = batch.column("text").to_pylist()
-            spans = [all_spans(t, cut) for t in texts]
+            spans = [all_spans(t, cut, model) for t in texts]
             new = [redacted(t, s) if s else t for t, s in zip(texts, spans)] if redact else None
             return [new if redact and c == "text" else batch.column(c) for c in kept] + [[[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans]]
 

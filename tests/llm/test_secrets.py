@@ -4,9 +4,12 @@ import hashlib
 import random
 import re
 import string
+from collections import Counter
 
 import numpy as np
+import pytest
 
+from compare import SF
 from speechframe.llm import secrets as s
 
 
@@ -33,11 +36,76 @@ def rand(alphabet, n):
     return "".join(RNG.choice(alphabet) for _ in range(n))
 
 
-def test_battery_tells_random_from_ordinary():
-    secret = [rand(string.ascii_letters + string.digits, n) for n in (24, 32, 40, 64) for _ in range(25)] + [rand("0123456789ABCDEF", 40) for _ in range(25)]
-    plain = ["aaaaaaaaaaaaaaaa1", "abcdefghijklmnopqrstuvwxyz123", "some_long_identifier_name_2", "2024-01-01-report-final-version", "version1version1version1version1", "4565410125667261", "thequickbrownfoxjumps", "0000000000000000000000ab"]
-    assert np.mean([s.candidate(x) is not None and s.candidate(x)[1] >= 10 for x in secret]) > 0.9
-    assert not any((c := s.candidate(x)) and c[1] >= 10 for x in plain)
+TEXT = "it is a truth universally acknowledged that a single man in possession of a good fortune must be in want of a wife however little known the feelings or views of such a man may be on his first entering a neighbourhood"
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return s.Ordinary(s.letter_pairs(spark.createDataFrame([(TEXT,), (None,), ("",), (TEXT.upper(),)], "text string")))
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    """Letter pairs of the driver's documents."""
+    return s.Ordinary(s.letter_pairs(spark.read.parquet(f"{SF}/documents.parquet")))
+
+
+def test_letter_pairs_like_counting(spark):
+    want = Counter(a + b for a, b in zip(TEXT.lower(), TEXT.lower()[1:]) if a.isalpha() and b.isalpha())
+    got = s.letter_pairs(spark.createDataFrame([(TEXT,), (None,), ("É" + TEXT.upper(),)], "text string"))
+    assert got.sum() == 2 * sum(want.values()) and all(got[ord(k[0]) - 97, ord(k[1]) - 97] == 2 * n for k, n in want.items())
+    assert s.letter_pairs(spark.createDataFrame([], "text string")).sum() == 0
+
+
+def passes(x, model):
+    """Whether the battery lets it pass at 0.001 and the evidence is ten bits."""
+    c = s.candidate(x, model)
+    return c is not None and c[1] < s.FINE * 10 and c[2] >= 10
+
+
+@pytest.mark.parametrize("alphabet", [string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"])
+@pytest.mark.parametrize("n", [16, 20, 24, 40])
+def test_recall_of_short_strings(learned, alphabet, n):
+    def one():
+        while True:
+            x = rand(alphabet, n)
+            if any(c.isdigit() for c in x) and any(c.isalpha() for c in x):
+                return x
+
+    assert np.mean([passes(one(), learned) for _ in range(400)]) >= 0.9
+
+
+def test_battery_tells_random_from_ordinary(model):
+    plain = ["aaaaaaaaaaaaaaaa1", "abcdefghijklmnopqrstuvwxyz123", "some_long_identifier_name_2", "2024-01-01-report-final-version", "version1version1version1version1", "4565410125667261", "thequickbrownfoxjumps", "0000000000000000000000ab",
+             "neighbourhood1813", "possessionofafortune42", "section12chapter3page4"]
+    assert not any(passes(x, model) for x in plain)
+
+
+@pytest.mark.parametrize("k", [16, 36, 62])
+@pytest.mark.parametrize("n", [16, 32, 64, 200])
+def test_the_battery_keeps_its_size(n, k):
+    rng = np.random.default_rng(n + k)
+    p = [s.uniform_p(rng.integers(0, k, n), k) for _ in range(3000)]
+    assert np.mean(np.array(p) < 0.001) <= 0.003 and np.mean(np.array(p) < 0.05) <= 0.07
+
+
+def test_spans_like_brute_force(spark, docs):
+    """Both false-discovery steps by plain sorting of p-values over all runs."""
+    rows = [(k, " ".join([TEXT[k % 50 : k % 50 + 60], rand(string.ascii_lowercase + string.digits, RNG.choice([16, 20, 30])) if k % 3 == 0 else "chapter2section17of9" * (1 + k % 4), "x=" + rand(string.ascii_letters + string.digits, 24) if k % 5 == 0 else ""])) for k in range(120)]
+    d = docs(rows)
+    model = s.Ordinary(s.letter_pairs(d))
+    found = [(i, *c) for i, t in rows for a, b in s.runs(t) for c in s.candidates(t, a, b, model)]
+    want = set()
+    for size in {c[3] for c in found}:
+        of = [c for c in found if c[3] == size]
+        pass_one = lambda p, m, among: max([q for q in {p(c) for c in among} if q <= s.FDR * sum(p(c) <= q for c in among) / m], default=-1.0)
+        even = [c for c in of if 2.0 ** (-c[4] / s.FINE) > pass_one(lambda c: 2.0 ** (-c[4] / s.FINE), len(of), of)]
+        if even:
+            at = pass_one(lambda c: 2.0 ** -c[5], len(even), even)
+            want |= {c[:3] for c in even if 2.0 ** -c[5] <= at}
+    got = {(r.doc_id, x.start, x.end) for r in s.scan(d).collect() for x in r.spans if x.kind == "random"}
+    base = {(i, a, b) for i, t in rows for _, a, b in s.base_spans(t, s.runs(t))}
+    assert got == {w for w in want if not any(w[0] == i and a < w[2] and w[1] < b for i, a, b in base)} and len(got) > 30
 
 
 def test_scan(spark, docs):
@@ -55,8 +123,8 @@ def test_scan(spark, docs):
 
 def test_false_discovery_control_is_stricter_for_more_tests(spark, docs):
     weak = docs([(k, rand("0123456789abcdef", 16)) for k in range(300)])
-    cut = s.thresholds(weak)
-    assert all(2.0 ** -b <= s.FDR for b in cut.values())
+    cut = s.thresholds(weak, s.Ordinary())
+    assert all(2.0 ** -b <= s.FDR for _, b in cut.values())
 
 
 def test_parts_of_runs_that_fit_no_alphabet(spark, docs):
