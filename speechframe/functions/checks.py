@@ -24,16 +24,21 @@ def server_email(c: Column) -> Column:
 
 def client_email(c: Column) -> Column:
     m = F.trim(c)
-    return (F.char_length(m) <= 200) & m.rlike(r"^[^@\s]{1,64}@[^@\s]+\.[^@\s]+$")
+    return (F.char_length(m) <= 200) & m.rlike(r"^[^@\s]{1,64}@[^@\s.]+(?:\.[^@\s.]+)+$")
 
 
 def code(c: Column) -> Column:
     return F.left(F.regexp_replace(c, "[^A-Za-z0-9_.-]", ""), F.lit(40))
 
 
+#: Words that name nobody, alone or with a number; words that do so alone. Fixed values.
+NUMBERED, ALONE = ("voix", "locuteur", "speaker", "intervenant", "personne", "participant"), ("interlocuteur", "inconnu", "unknown")
+
+
 def placeholder(name: Column) -> Column:
-    """A name nobody chose: empty, or a numbered voice or speaker."""
-    return F.coalesce(F.trim(name).rlike(r"(?iU)^(?:(?:voix|voice|speaker|locuteur|interlocuteur)[ _-]*\d*)?$"), F.lit(True))
+    """A name nobody chose: empty, a numbered voice or speaker, or somebody unknown."""
+    pattern = rf"(?iU)^(?:(?:{'|'.join(NUMBERED)})\s*[-_ ]?\d*|{'|'.join(ALONE)})?$"
+    return F.coalesce(F.regexp_replace(name, r"(?U)^\s+|\s+$", "").rlike(pattern), F.lit(True))
 
 
 def silent(rms: Column, peak: Column) -> Column:
@@ -52,13 +57,16 @@ def recent_duplicates(df: DataFrame, key: str, at: str, value: str, last: int, s
     return df.withColumn("duplicate", F.exists(before, lambda b: (b.v == F.col(value)) & (F.unix_micros(at) - b.t < seconds * 1_000_000)))
 
 
-def moment_format(at: Column, pattern: str) -> Column:
-    """A date in the letters notes apps use (YYYY, MM, DD, HH, mm, ss); anything else in it makes it YYYY-MM-DD."""
-    spark = {"YYYY": "yyyy", "YY": "yy", "MM": "MM", "DD": "dd", "HH": "HH", "mm": "mm", "ss": "ss"}
-    parts = re.findall(r"YYYY|YY|MM|DD|HH|mm|ss|[A-Za-z]+|[^A-Za-z]+", pattern)
-    if any(p.isalpha() and p not in spark for p in parts):
-        return F.date_format(at, "yyyy-MM-dd")
-    return F.date_format(at, "".join(spark.get(p) or "'" + p.replace("'", "''") + "'" for p in parts))
+#: Letters of a notes app's date pattern that are understood, and signs that may stand between them. Fixed values.
+DATE_LETTERS, DATE_SIGNS, DATE_DEFAULT = {"YYYY": "yyyy", "MM": "MM", "DD": "dd", "HH": "HH", "mm": "mm"}, "-_./: ", "yyyy-MM-dd"
+
+
+def moment_format(at: Column, pattern: str | None) -> Column:
+    """A date in the letters notes apps use (YYYY, MM, DD, HH, mm) with plain signs between; any other pattern, or none, is YYYY-MM-DD."""
+    parts = re.findall("|".join(DATE_LETTERS) + "|.", pattern or "", re.S)
+    if not parts or not all(p in DATE_LETTERS or p in DATE_SIGNS for p in parts):
+        return F.date_format(at, DATE_DEFAULT)
+    return F.date_format(at, "".join(DATE_LETTERS.get(p) or f"'{p}'" for p in parts))
 
 
 def iso_epoch(c: Column) -> Column:

@@ -144,7 +144,7 @@ def k8(spark, d):
 
 
 BLOCKS_SQL = """blocks AS (SELECT conv_id AS meeting_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS ord, turn * 2.5 AS s, turn * 2.5 + 2.25 AS e,
-    CASE role WHEN 'user' THEN 'Marie' WHEN 'assistant' THEN 'Voix 2' ELSE 'Voix 3' END AS label, substr(text, 1, 60) AS text FROM conversations)"""
+    CASE role WHEN 'user' THEN 'Marie' WHEN 'assistant' THEN 'Voix 2' ELSE 'Voix 3' END AS label, text FROM conversations)"""
 
 
 def blocks(spark, d):
@@ -152,7 +152,7 @@ def blocks(spark, d):
 
     speaker = F.concat(F.lit("SPEAKER_0"), F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2).cast("string"))
     names = F.element_at(F.create_map(F.lit("SPEAKER_00"), F.lit("Marie")), speaker)
-    return table(spark, d, "conversations").select(F.col("conv_id").alias("meeting_id"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("ord"), (F.col("turn") * 2.5).alias("start"), (F.col("turn") * 2.5 + 2.25).alias("end"), export.speaker_label(speaker, names).alias("label"), F.substring("text", 1, 60).alias("text"))
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("meeting_id"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("ord"), (F.col("turn") * 2.5).alias("start"), (F.col("turn") * 2.5 + 2.25).alias("end"), export.speaker_label(speaker, names).alias("label"), "text")
 
 
 def srt_sql(c: str) -> str:
@@ -224,12 +224,12 @@ def p6(spark, d):
     return table(spark, d, "documents").select("doc_id", checks.sanitised(F.col("text"), 80).alias("clean"), F.trim(F.lower("source")).alias("email"))
 
 
-EMAILS_SQL = "mails AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'a.b' || s_suppkey || '@example.org' WHEN 1 THEN 'no at' WHEN 2 THEN 'a@b' WHEN 3 THEN 'x y@example.org' ELSE ' Q' || s_suppkey || '@Example.COM ' END AS mail FROM supplier)"
+EMAILS_SQL = "mails AS (SELECT s_suppkey, CASE s_suppkey % 9 WHEN 0 THEN 'a.b' || s_suppkey || '@example.org' WHEN 1 THEN 'no at' WHEN 2 THEN 'a@b' WHEN 3 THEN 'x y@example.org' WHEN 4 THEN 'a@b..c' WHEN 5 THEN 'a@.b.c' WHEN 6 THEN 'a@b.c.' WHEN 7 THEN repeat('l', 65) || '@b.c' ELSE ' Q' || s_suppkey || '@Example.COM ' END AS mail FROM supplier)"
 
 
 def mails(spark, d):
     k = F.col("s_suppkey")
-    return table(spark, d, "supplier").select("s_suppkey", F.when(k % 5 == 0, F.concat(F.lit("a.b"), k, F.lit("@example.org"))).when(k % 5 == 1, "no at").when(k % 5 == 2, "a@b").when(k % 5 == 3, "x y@example.org").otherwise(F.concat(F.lit(" Q"), k, F.lit("@Example.COM "))).alias("mail"))
+    return table(spark, d, "supplier").select("s_suppkey", F.when(k % 9 == 0, F.concat(F.lit("a.b"), k, F.lit("@example.org"))).when(k % 9 == 1, "no at").when(k % 9 == 2, "a@b").when(k % 9 == 3, "x y@example.org").when(k % 9 == 4, "a@b..c").when(k % 9 == 5, "a@.b.c").when(k % 9 == 6, "a@b.c.").when(k % 9 == 7, "l" * 65 + "@b.c").otherwise(F.concat(F.lit(" Q"), k, F.lit("@Example.COM "))).alias("mail"))
 
 
 @query("p7_server_email", f"WITH {EMAILS_SQL} SELECT s_suppkey, CASE WHEN regexp_full_match(lower(trim(mail)), '[^@\\s]+@[^@\\s]+\\.[^@\\s]+') THEN lower(trim(mail)) ELSE '' END AS mail FROM mails")
@@ -237,7 +237,7 @@ def p7(spark, d):
     return mails(spark, d).select("s_suppkey", checks.server_email(F.col("mail")).alias("mail"))
 
 
-@query("p8_client_email", f"WITH {EMAILS_SQL} SELECT s_suppkey, length(trim(mail)) <= 200 AND regexp_full_match(trim(mail), '[^@\\s]{{1,64}}@[^@\\s]+\\.[^@\\s]+') AS valid FROM mails")
+@query("p8_client_email", f"WITH {EMAILS_SQL} SELECT s_suppkey, s_suppkey % 9 IN (0, 8) AS valid FROM mails")
 def p8(spark, d):
     return mails(spark, d).select("s_suppkey", checks.client_email(F.col("mail")).alias("valid"))
 
@@ -259,10 +259,14 @@ def p11(spark, d):
     return upsert.admitted(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_orderkey", "o_orderdate", 3, 86_400).select("o_orderkey")
 
 
-@query("p13_placeholder_names", "SELECT s_suppkey, s_suppkey % 2 = 0 AS placeholder FROM supplier")
+NAMES = ("Voix {}", "speaker_{}", "Intervenant-{}", "personne {}", "PARTICIPANT", "Inconnu", "unknown", " interlocuteur ", "Marie", "Voix de Marie", "voice {}", "interlocuteur {}", "Personne du {}")
+
+
+@query("p13_placeholder_names", f"SELECT s_suppkey, s_suppkey % {len(NAMES)} < 8 AS placeholder FROM supplier")
 def p13(spark, d):
+    """The first eight forms of a name are nobody's."""
     k = F.col("s_suppkey")
-    name = F.when(k % 4 == 0, F.concat(F.lit("Voix "), k)).when(k % 4 == 2, F.concat(F.lit("speaker_"), k)).when(k % 4 == 1, "Marie").otherwise("Voix de Marie")
+    name = F.element_at(F.array(*[F.concat(F.lit(n.removesuffix("{}")), k.cast("string")) if "{}" in n else F.lit(n) for n in NAMES]), (k % len(NAMES) + 1).cast("int"))
     return table(spark, d, "supplier").select("s_suppkey", checks.placeholder(name).alias("placeholder"))
 
 
@@ -311,17 +315,14 @@ def p23(spark, d):
     return table(spark, d, "part").select(F.col("p_brand").alias("incorrect"), F.col("p_name").alias("correct"))
 
 
-@query("l2_nocase_order", "SELECT c_name, CAST(row_number() OVER (ORDER BY translate(c_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), c_custkey) AS INTEGER) AS place FROM customer ORDER BY 2 LIMIT 100")
+@query("l2_nocase_order", "SELECT c_name, c_custkey FROM customer ORDER BY translate(c_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), c_custkey")
 def l2(spark, d):
-    """The order's first hundred, numbered after the limit."""
-    first = table(spark, d, "customer").select("c_name", "c_custkey", upsert.ascii_fold("c_name").alias("k")).orderBy("k", "c_custkey").limit(100)
-    packed = first.agg(F.sort_array(F.collect_list(F.struct("k", "c_custkey", "c_name"))).alias("x"))
-    return packed.select(F.posexplode("x").alias("p", "r")).select("r.c_name", (F.col("p") + 1).alias("place"))
+    return table(spark, d, "customer").select("c_name", "c_custkey").orderBy(upsert.ascii_fold("c_name"), "c_custkey")
 
 
-@query("l3_longest_first", "SELECT p_name, p_partkey FROM part ORDER BY length(p_name) DESC, lower(p_name), p_partkey LIMIT 50")
+@query("l3_longest_first", "SELECT p_name, p_partkey FROM part ORDER BY length(p_name) DESC, lower(p_name), p_partkey")
 def l3(spark, d):
-    return table(spark, d, "part").select("p_name", "p_partkey").orderBy(F.desc(F.char_length("p_name")), F.lower("p_name"), "p_partkey").limit(50)
+    return table(spark, d, "part").select("p_name", "p_partkey").orderBy(F.desc(F.char_length("p_name")), F.lower("p_name"), "p_partkey")
 
 
 @query("l5_tail", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
@@ -384,10 +385,11 @@ def f16(spark, d):
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("r.k").cast("long").alias("k"))
 
 
-@query("f12_date_pattern", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, 'Daily/' || strftime(o_orderdate, '%d.%m.%Y') || '.md' AS path FROM orders")
+@query("f12_date_pattern", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y-%m-%d') AS short_year, strftime(o_orderdate, '%Y-%m-%d') AS with_seconds, strftime(o_orderdate, '%d/%m %H:%M') AS clock, 'Daily/' || strftime(o_orderdate, '%d.%m.%Y') || '.md' AS path FROM orders")
 def f12(spark, d):
-    """a notes app's date pattern, and the daily note's path."""
-    return table(spark, d, "orders").select("o_orderkey", checks.moment_format(F.col("o_orderdate"), "YYYY-MM-DD").alias("day"), F.concat(F.lit("Daily/"), checks.moment_format(F.col("o_orderdate"), "DD.MM.YYYY"), F.lit(".md")).alias("path"))
+    """a notes app's date pattern, and the daily note's path; patterns that aren't understood give the default."""
+    made = lambda p: checks.moment_format(F.col("o_orderdate"), p)
+    return table(spark, d, "orders").select("o_orderkey", made("YYYY-MM-DD").alias("day"), made("DD.MM.YY").alias("short_year"), made("HH:mm:ss").alias("with_seconds"), made("DD/MM HH:mm").alias("clock"), F.concat(F.lit("Daily/"), made("DD.MM.YYYY"), F.lit(".md")).alias("path"))
 
 
 @query("f10_parse_iso", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) + CASE o_orderkey % 4 WHEN 0 THEN 0 ELSE 3600 END END AS epoch FROM orders")

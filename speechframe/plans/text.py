@@ -16,21 +16,25 @@ def docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text")
 
 
-#: Ordinary texts with a phrase put in, so that the rules have something to find.
 def spiced(spark, d, phrases: list[str]):
+    """The whole texts with a phrase put in after character 80, so that the rules have something to find."""
     pick = F.element_at(F.array(*map(F.lit, phrases)), (F.pmod("doc_id", F.lit(len(phrases))) + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", F.concat(F.translate(F.left("text", F.lit(80)), "\n", " "), F.lit(" "), pick, F.lit(" "), F.translate(F.substring("text", 81, 60), "\n", " ")).alias("text"))
+    return docs(spark, d).select("doc_id", F.concat(F.left("text", F.lit(80)), F.lit(" "), pick, F.lit(" "), F.substring("text", 81, 1 << 30)).alias("text"))
 
 
-def spiced_whole(spark, d, phrases: list[str]):
-    """The whole texts, with the phrase after character 80."""
-    pick = F.element_at(F.array(*map(F.lit, phrases)), (F.pmod("doc_id", F.lit(len(phrases))) + 1).cast("int"))
-    return docs(spark, d).select("doc_id", F.concat(F.left("text", F.lit(80)), F.lit(" "), pick, F.lit(" "), F.substring("text", 81, 1 << 30)).alias("text"))
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
 
 
 def spiced_sql(phrases: list[str]) -> str:
-    listed = ", ".join("'" + p.replace("'", "''") + "'" for p in phrases)
-    return f"s AS (SELECT doc_id, replace(left(text, 80), chr(10), ' ') || ' ' || list_extract([{listed}], CAST(doc_id % {len(phrases)} + 1 AS INT)) || ' ' || replace(substr(text, 81, 60), chr(10), ' ') AS text FROM documents)"
+    return f"s AS (SELECT doc_id, left(text, 80) || ' ' || list_extract([{', '.join(map(quoted, phrases))}], CAST(doc_id % {len(phrases)} + 1 AS INT)) || ' ' || substr(text, 81) AS text FROM documents)"
+
+
+def replaced_sql(column: str, patterns: list[str]) -> str:
+    """Replacements by a space, in order and in any case."""
+    for p in patterns:
+        column = f"regexp_replace({column}, {quoted('(?i)' + p)}, ' ', 'g')"
+    return column
 
 
 @query("t1_glossary", """SELECT doc_id, sha256(text) AS sha FROM (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-zÀ-ɏ0-9_]+|[^A-Za-zÀ-ɏ0-9_]+'), lambda w: CASE lower(w) WHEN 'the' THEN 'LE' WHEN 'thand' THEN 'le et' WHEN 'of' THEN 'd\\1$1' ELSE w END), '') AS text FROM documents)""")
@@ -51,15 +55,9 @@ def t2(spark, d):
 FILLED = ["euhhh", "Genre, ", "du coup", "bonjour"]
 
 
-@query("t3_fillers", f"""WITH {spiced_sql(FILLED)} SELECT doc_id, CASE doc_id % 4
-        WHEN 0 THEN left(text, strpos(text, 'euhhh') - 1) || ' ' || substr(text, strpos(text, 'euhhh') + 6) WHEN 1 THEN left(text, strpos(text, 'Genre') - 1) || ' ' || substr(text, strpos(text, 'Genre') + 8)
-        WHEN 2 THEN left(text, strpos(text, 'du coup') - 1) || ' ' || substr(text, strpos(text, 'du coup') + 8) ELSE text END AS text
-    FROM s WHERE substr(text, 80, 1) <> ' ' AND substr(text, 82 + length(list_extract(['euhhh', 'Genre, ', 'du coup', 'bonjour'], CAST(doc_id % 4 + 1 AS INT))), 1) <> ' '""")
+@query("t3_fillers")
 def t3(spark, d):
-    """Texts that have white space of their own beside the phrase are left out on both sides."""
-    size = F.element_at(F.array(*[F.lit(len(p)) for p in FILLED]), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
-    clear = (F.substring("text", 80, 1) != " ") & (F.substring(F.col("text"), 82 + size, F.lit(1)) != " ")
-    return spiced(spark, d, FILLED).where(clear).select("doc_id", text.without_fillers(F.col("text")).alias("text"))
+    return spiced(spark, d, FILLED).select("doc_id", text.without_fillers(F.col("text")).alias("text"))
 
 
 @query("t4_spacing")
@@ -79,13 +77,13 @@ def t6(spark, d):
 
 @query("t7_commands")
 def t7(spark, d):
-    return spiced_whole(spark, d, ["ok à la ligne puis", "nouveau paragraphe.", "virgule", "point d'interrogation"]).select("doc_id", text.commands(F.col("text")).alias("text"))
+    return spiced(spark, d, ["ok à la ligne puis", "nouveau paragraphe.", "virgule", "point d'interrogation"]).select("doc_id", text.commands(F.col("text")).alias("text"))
 
 
 NOISE = ["Thanks for watching", "amara.org", "www.example.com", "[musique]"]
 
 
-@query("t8_boilerplate", f"""WITH {spiced_sql(NOISE)} SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN left(text, strpos(text, 'Thanks for') - 1) || ' ' WHEN 1 THEN replace(text, 'amara.org', ' ') WHEN 2 THEN replace(text, 'www.example.com', ' ') ELSE regexp_replace(text, '\\[\\s*musique\\s*\\]', ' ') END AS text FROM s""")
+@query("t8_boilerplate", f"WITH {spiced_sql(NOISE)} SELECT doc_id, {replaced_sql('text', [text.phrase(p, '.*') for p in text.BOILERPLATE])} AS text FROM s")
 def t8(spark, d):
     return spiced(spark, d, NOISE).select("doc_id", text.without_boilerplate(F.col("text")).alias("text"))
 
@@ -97,37 +95,59 @@ def t9(spark, d):
 
 @query("t10_hallucinations")
 def t10(spark, d):
-    return spiced_whole(spark, d, NOISE).select("doc_id", text.without_hallucinations(F.col("text")).alias("text"))
+    return spiced(spark, d, NOISE).select("doc_id", text.without_hallucinations(F.col("text")).alias("text"))
 
 
 @query("t11_loops")
 def t11(spark, d):
-    return spiced_whole(spark, d, ["la " * 12, "yes, " * 7, "one two"]).select("doc_id", text.without_loops(F.col("text")).alias("text"), text.scrubbed(F.col("text")).alias("scrubbed"))
+    return spiced(spark, d, ["la " * 12, "yes, " * 7, "one two"]).select("doc_id", text.without_loops(F.col("text")).alias("text"), text.scrubbed(F.col("text")).alias("scrubbed"))
+
+
+META = ["Transcription en français.", "le mot de l uk", "merci d’avoir suivi la réunion. Suite", "hello"]
+
 
+def metatext_sql() -> str:
+    """A step per pattern: the text without it, and how many non-blank pieces went."""
+    steps = ["s0 AS (SELECT doc_id, text AS t, 0 AS r FROM s)"]
+    for i, p in enumerate(text.METATEXT):
+        q = quoted("(?i)" + text.phrase(p, "[^.]*") + r"\s*\.?")
+        steps.append(f"s{i + 1} AS (SELECT doc_id, regexp_replace(t, {q}, ' ', 'g') AS t, r + len(list_filter(regexp_extract_all(t, {q}), lambda x: trim(x) <> '')) AS r FROM s{i})")
+    return ", ".join(steps)
 
-@query("t12_metatext", f"""WITH {spiced_sql(['Transcription en français.', 'le mot de l uk', 'hello'])} SELECT doc_id, regexp_replace(trim(CASE WHEN doc_id % 3 = 0 THEN replace(text, 'Transcription en français.', ' ') ELSE text END), '\\s\\s+', ' ', 'g') AS text, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS removed FROM s""")
+
+@query("t12_metatext", f"""WITH {spiced_sql(META)}, {metatext_sql()} SELECT doc_id, regexp_replace(regexp_replace(t, '\\s\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS text, CAST(r AS INTEGER) AS removed FROM s{len(text.METATEXT)}""")
 def t12(spark, d):
     m = text.without_metatext(F.col("text"))
-    return spiced(spark, d, ["Transcription en français.", "le mot de l uk", "hello"]).select("doc_id", m.alias("m")).select("doc_id", "m.text", F.size("m.removed").alias("removed"))
+    return spiced(spark, d, META).select("doc_id", m.alias("m")).select("doc_id", "m.text", F.size("m.removed").alias("removed"))
+
+
+def windows(spark, d, pattern: str):
+    """(doc_id, i, x): every whole text's words, a row for each 14 of them."""
+    x = F.split(F.trim(F.regexp_replace(F.lower("text"), pattern, " ")), " +")
+    w = table(spark, d, "documents").where("text is not null").select("doc_id", x.alias("x"))
+    return w.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / 14).cast("int"))))
+
 
+def cut(at, n: int):
+    return F.slice(F.col("x"), at, F.lit(n))
 
-@query("t13_overlap", """WITH w AS (SELECT doc_id, string_split_regex(trim(regexp_replace(lower(text), '[^a-zß-ÿ ]+', ' ', 'g')), ' +')[1:30] AS x FROM documents),
-    p AS (SELECT doc_id, x[:20] AS a, x[CAST(13 + doc_id % 9 AS INT):30] AS b FROM w WHERE len(x) = 30)
-    SELECT doc_id, coalesce(list_max(list_filter(range(3, 9), lambda k: a[CAST(-k AS INT):] = b[:CAST(k AS INT)])), 0)::INTEGER AS n FROM p""")
+
+@query("t13_overlap", """WITH w AS (SELECT doc_id, string_split_regex(trim(regexp_replace(lower(text), '[^a-zß-öø-ÿ ]+', ' ', 'g')), ' +') AS x FROM documents WHERE text IS NOT NULL),
+    i AS (SELECT doc_id, x, unnest(range(0, (len(x) - 1) // 14 + 1)) AS i FROM w),
+    p AS (SELECT doc_id, i, x[14 * i + 1:14 * i + 20] AS a, x[14 * i + 13 + (doc_id + i) % 9:14 * i + 32 + (doc_id + i) % 9] AS b FROM i)
+    SELECT doc_id, CAST(i AS INTEGER) AS i, coalesce(list_max(list_filter(range(3, 9), lambda k: k <= len(a) AND k <= len(b) AND a[len(a) - k + 1:] = b[:k])), 0)::INTEGER AS n FROM p""")
 def t13(spark, d):
-    x = F.slice(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-zß-ÿ ]+", " ")), " +"), 1, 30)
-    w = table(spark, d, "documents").select("doc_id", x.alias("x")).where("size(x) = 30")
-    b = F.slice(F.col("x"), (F.col("doc_id") % 9 + 13).cast("int"), F.lit(30))
-    return w.select("doc_id", text.overlap(F.slice("x", 1, 20), b).alias("n"))
+    """Windows of 20 words of every whole text, each with one that starts 12 to 20 words later."""
+    at = F.col("i") * 14 + 1
+    return windows(spark, d, "[^a-zß-öø-ÿ ]+").select("doc_id", "i", text.overlap(cut(at, 20), cut(at + 12 + F.pmod(F.col("doc_id") + F.col("i"), F.lit(9)).cast("int"), 20)).alias("n"))
 
 
-@query("t14_joined_windows", """WITH w AS (SELECT doc_id, string_split_regex(trim(regexp_replace(lower(text), '[^a-z ]+', ' ', 'g')), ' +')[1:30] AS x FROM documents)
-    SELECT doc_id, array_to_string(x, ' ') AS text FROM w WHERE len(x) = 30 AND length(x[20]) > 3 AND len(list_distinct(x)) = 30""")
+@query("t14_joined_windows")
 def t14(spark, d):
-    """Windows that share words 15 to 20 come back as the text they were cut from (texts of distinct words)."""
-    x = F.slice(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z ]+", " ")), " +"), 1, 30)
-    w = table(spark, d, "documents").select("doc_id", x.alias("x")).where("size(x) = 30 and length(x[19]) > 3 and size(array_distinct(x)) = 30")
-    return w.select("doc_id", F.array_join(text.joined(F.slice("x", 1, 20), F.slice("x", 15, 16)), " ").alias("text"))
+    """Windows of 20 words of every whole text, each joined with the next, which shares 6 words with it, or starts with a word that completes its cut-off last one."""
+    at, b = F.col("i") * 14 + 1, cut(F.col("i") * 14 + 15, 20)
+    a = F.when(F.col("i") % 3 == 0, cut(at, 20)).when(F.col("i") % 3 == 1, F.concat(cut(at, 14), F.array(F.left(F.coalesce(F.get(b, F.lit(0)), F.lit("")), F.lit(2))))).otherwise(F.concat(cut(at, 20), F.array(F.lit("un"))))
+    return windows(spark, d, "[^a-zß-öø-ÿ ]+").select("doc_id", "i", F.array_join(text.joined(a, b), " ").alias("text"))
 
 
 @query("t15_merged_windows")
@@ -154,14 +174,16 @@ def t19(spark, d):
     return docs(spark, d).select("doc_id", F.trim(F.regexp_replace(text.folded(F.col("text")), r"\s+", " ")).alias("text"))
 
 
-@query("t21_safe_title", "SELECT doc_id, coalesce(nullif(rtrim(left(trim(regexp_replace(regexp_replace(text, '[\\\\/:*?\"<>|#^\\[\\]]+', ' ', 'g'), '\\s+', ' ', 'g')), 60)), ''), 'Sans titre') AS title FROM documents")
+@query("t21_safe_title", "SELECT doc_id, coalesce(nullif(rtrim(left(trim(regexp_replace(regexp_replace(CASE doc_id % 5 WHEN 0 THEN ' ?? ' WHEN 1 THEN '#[a] ^b: ' || text ELSE text END, '[\\\\/:*?\"<>|\\n\\r\\t]+', ' ', 'g'), '\\s+', ' ', 'g')), 60)), ''), 'Réunion') AS title FROM documents")
 def t21(spark, d):
-    return docs(spark, d).select("doc_id", text.safe_title(F.col("text")).alias("title"))
+    """Some texts have nothing that a title may hold, some start with signs that it may."""
+    k, t = F.col("doc_id") % 5, F.col("text")
+    return docs(spark, d).select("doc_id", text.safe_title(F.when(k == 0, " ?? ").when(k == 1, F.concat(F.lit("#[a] ^b: "), t)).otherwise(t)).alias("title"))
 
 
-@query("t22_notice", "SELECT doc_id, left(trim(regexp_replace(regexp_replace(text, '[\\x00-\\x1F\\x7F]+', ' ', 'g'), '\\s+', ' ', 'g')), 240) AS notice FROM documents")
+@query("t22_notice", "SELECT doc_id, left(trim(regexp_replace(regexp_replace(chr(9) || 'a' || chr(127) || 'b ' || text, '[\\x00-\\x1F]+', ' ', 'g'), '\\s+', ' ', 'g')), 240) AS notice FROM documents")
 def t22(spark, d):
-    return docs(spark, d).select("doc_id", text.notice(F.col("text")).alias("notice"))
+    return docs(spark, d).select("doc_id", text.notice(F.concat(F.lit("\ta\x7fb "), "text")).alias("notice"))
 
 
 @query("t23_preview", "SELECT doc_id, left(text, 140) AS preview FROM documents")
@@ -200,10 +222,12 @@ def t26(spark, d):
     return text.segment_words(seg, ["conv_id"]).withColumns({c: F.round(c, 6) for c in ("start", "end")})
 
 
-@query("p14_hallucinated", f"WITH {spiced_sql(['Thanks for Watching', 'amara.org', 'hello', 'sous-titrage MFP'])} SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN text ELSE '' END AS text FROM s")
+CREDITED = ["Thanks for Watching", "amara.org", "hello", "sous-titrage MFP"]
+
+
+@query("p14_hallucinated", f"WITH {spiced_sql(CREDITED)} SELECT doc_id, CASE WHEN {' OR '.join(f'contains(lower(text), {quoted(x)})' for x in text.FRAGMENTS)} THEN '' ELSE text END AS text FROM s")
 def p14(spark, d):
-    x = spiced(spark, d, ["Thanks for Watching", "amara.org", "hello", "sous-titrage MFP"])
-    return x.select("doc_id", F.when(text.hallucinated(F.col("text")), "").otherwise(F.col("text")).alias("text"))
+    return spiced(spark, d, CREDITED).select("doc_id", F.when(text.hallucinated(F.col("text")), "").otherwise(F.col("text")).alias("text"))
 
 
 @query("s10_terms", "SELECT DISTINCT trim(p_type) AS term FROM part WHERE trim(p_type) <> '' AND NOT starts_with(trim(p_type), '#')")

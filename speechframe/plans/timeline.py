@@ -121,16 +121,11 @@ def w21(spark, d):
     return sequence.uncertain(s, KEY, trip=0.2).select("event_id", "uncertain")
 
 
-TURN_SQL = """turns AS (SELECT conv_id AS m, turn AS ord, turn * 7.0 AS start, turn * 7.0 + 5 + conv_id % 3 AS "end", role AS speaker, CAST(strpos('asu', left(role, 1)) AS INTEGER) AS label FROM conversations WHERE turn % 3 <> 2),
+TURN_SQL = """turns AS (SELECT conv_id AS m, turn AS ord, turn * 7.0 AS start, turn * 7.0 + 5 + conv_id % 3 - CASE WHEN turn % 3 = 2 THEN 3.0 ELSE 0.0 END AS "end", role AS speaker, CAST(strpos('asu', left(role, 1)) AS INTEGER) AS label FROM conversations),
     pts AS (SELECT conv_id * 1000 + i AS pid, conv_id AS m, i * 1.25 AS t FROM (SELECT DISTINCT conv_id FROM conversations), range(0, 60) r(i))"""
 
 
 def turns(spark, d):
-    t = F.col("turn")
-    return table(spark, d, "conversations").where("turn % 3 <> 2").select(F.col("conv_id").alias("m"), t.alias("ord"), (t * 7.0).alias("start"), (t * 7.0 + 5 + F.col("conv_id") % 3).alias("end"), F.col("role").alias("speaker"), F.instr(F.lit("asu"), F.left("role", F.lit(1))).alias("label"))
-
-
-def all_turns(spark, d):
     """Every turn; each third ends three seconds sooner, which leaves a gap after it."""
     t, m = F.col("turn"), F.col("conv_id")
     end = t * 7.0 + 5 + m % 3 - F.when(t % 3 == 2, 3.0).otherwise(0.0)
@@ -180,7 +175,7 @@ def j12(spark, d):
 LEVEL_SQL = "levels AS (SELECT user_id AS m, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS block, event_id % 101 / 100.0 AS mic_rms, event_id % 97 / 96.0 AS sys_rms FROM events)"
 
 
-@query("j14_w18_by_source", f"""WITH {LEVEL_SQL}, b AS (SELECT conv_id AS m, turn AS ord, conv_id * 1000 + turn AS lid, turn * 0.5 AS start, turn * 0.5 + 0.4 AS "end" FROM conversations WHERE conv_id < 100),
+@query("j14_w18_by_source", f"""WITH {LEVEL_SQL}, b AS (SELECT conv_id AS m, turn AS ord, conv_id * 1000 + turn AS lid, turn * 0.5 AS start, turn * 0.5 + 0.4 AS "end" FROM conversations),
     x AS (SELECT lid, avg(mic_rms) AS mm, avg(sys_rms) AS ss FROM b JOIN levels l ON l.m = b.m AND l.block >= floor(b.start / 0.05) AND l.block <= greatest(floor(b.start / 0.05), floor(b."end" / 0.05) - 1) GROUP BY 1)
     SELECT lid, CASE WHEN mm > ss THEN 'SPEAKER_00' WHEN mm IS NOT NULL THEN 'SPEAKER_01' ELSE 'SPEAKER_99' END AS speaker FROM b LEFT JOIN x USING (lid)""")
 def j14(spark, d):

@@ -11,7 +11,7 @@ from ..registry import query
 from ..session import table
 
 E_SQL = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL)"
-CENT_SQL = """p AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e WHERE vec_id % 2 = 0), m AS (SELECT label, i, avg(x) AS x FROM p GROUP BY 1, 2),
+CENT_SQL = """p AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e), m AS (SELECT label, i, avg(x) AS x FROM p GROUP BY 1, 2),
     c0 AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY 1), cent AS (SELECT label, list_transform(c, lambda x: x / (sqrt(list_inner_product(c, c)) + 1e-9)) AS c FROM c0)"""
 
 
@@ -20,8 +20,8 @@ def voices(spark, d):
 
 
 def bank(spark, d):
-    """Enrolled: the even ids' centroids."""
-    return vectors.centroids(voices(spark, d).where("vec_id % 2 = 0"), "label", "v")
+    """Enrolled: the centroids of all vectors."""
+    return vectors.centroids(voices(spark, d), "label", "v")
 
 
 @query("v1_cosine", f"WITH {E_SQL} SELECT a.vec_id, round(list_inner_product(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
@@ -37,7 +37,7 @@ def v2(spark, d):
     return u.select("vec_id", F.round(F.sqrt(vectors.dot("u", "u")), 6).alias("length"), F.round(F.get("u", F.lit(0)), 6).alias("first"))
 
 
-@query("v3_centroids", f"WITH {E_SQL}, {CENT_SQL} SELECT label, round(c[1], 6) AS first, round(c[64], 6) AS last, (SELECT count(*) FROM e WHERE e.label = cent.label AND vec_id % 2 = 0) AS n FROM cent")
+@query("v3_centroids", f"WITH {E_SQL}, {CENT_SQL} SELECT label, round(c[1], 6) AS first, round(c[64], 6) AS last, (SELECT count(*) FROM e WHERE e.label = cent.label) AS n FROM cent")
 def v3(spark, d):
     return bank(spark, d).select("label", F.round(F.get("centroid", F.lit(0)), 6).alias("first"), F.round(F.element_at("centroid", -1), 6).alias("last"), "n")
 
@@ -54,19 +54,19 @@ def v6(spark, d):
     return clusters.silhouette(voices(spark, d), "label", "v", "vec_id").select(F.round("silhouette", 5).alias("silhouette"))
 
 
-@query("v8_nearest_centroid", f"WITH {E_SQL}, {CENT_SQL}, s AS (SELECT vec_id, cent.label, round(list_inner_product(v, c), 9) AS s FROM e, cent WHERE vec_id % 2 = 1) SELECT vec_id, label AS nearest, round(s, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS r FROM s) WHERE r = 1")
+@query("v8_nearest_centroid", f"WITH {E_SQL}, {CENT_SQL}, s AS (SELECT vec_id, cent.label, round(list_inner_product(v, c), 9) AS s FROM e, cent) SELECT vec_id, label AS nearest, round(s, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS r FROM s) WHERE r = 1")
 def v8(spark, d):
-    p = vectors.nearest(voices(spark, d).where("vec_id % 2 = 1"), bank(spark, d), "v", "label")
+    p = vectors.nearest(voices(spark, d), bank(spark, d), "v", "label")
     return p.select("vec_id", "nearest", F.round("cosine", 6).alias("cosine"))
 
 
-@query("v9_known_voices", f"""WITH {E_SQL}, {CENT_SQL}, s AS (SELECT vec_id, cent.label AS id, round(list_inner_product(v, c), 9) AS s FROM e, cent WHERE vec_id % 2 = 1),
+@query("v9_known_voices", f"""WITH {E_SQL}, {CENT_SQL}, s AS (SELECT vec_id, cent.label AS id, round(list_inner_product(v, c), 9) AS s FROM e, cent),
     r AS (SELECT vec_id, id, s, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, id) AS r, lead(s) OVER (PARTITION BY vec_id ORDER BY s DESC, id) AS second FROM s)
     SELECT vec_id, CASE WHEN s >= 0.3 AND s - coalesce(second, -1) >= 0.02 THEN id END AS id, round(s, 6) AS score FROM r WHERE r = 1""")
 def v9(spark, d):
     """V9, J10 and L8, with thresholds that these labels can reach."""
     known = bank(spark, d).select(F.col("label").alias("id"), F.concat(F.lit("n"), "label").alias("name"), "centroid")
-    probes = voices(spark, d).where("vec_id % 2 = 1").select("vec_id", F.col("v").alias("centroid"))
+    probes = voices(spark, d).select("vec_id", F.col("v").alias("centroid"))
     return vectors.match_known(probes, known, "vec_id", 0.3, 0.02).select("vec_id", "id", F.round("score", 6).alias("score"))
 
 

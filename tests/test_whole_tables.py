@@ -3,14 +3,14 @@
 from pyspark.sql import functions as F
 
 from compare import SF
-from speechframe.plans.timeline import all_turns
+from speechframe.plans.timeline import turns
 from speechframe.queries import QUERIES
 
 
 def test_every_turn(spark):
     c = spark.read.parquet(f"{SF}/conversations.parquet")
-    assert all_turns(spark, SF).count() == c.count()
-    late = all_turns(spark, SF).where("ord % 3 = 2 and `end` <= start").count()
+    assert turns(spark, SF).count() == c.count()
+    late = turns(spark, SF).where("ord % 3 = 2 and `end` <= start").count()
     assert late == 0
 
 
