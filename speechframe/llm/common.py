@@ -45,21 +45,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 #: Rows of one key that a join may leave together; keys that it looks at as hot.
-PART_ROWS, HOT_KEYS = 1024, 1000
+PART_ROWS, HOT_KEYS = 65_536, 1000
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, n: str, row: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str, n: str, row: list[str], how: str = "inner", counts: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """``big`` joined with ``small`` on ``key``, where a key may hold any share of big's rows.
 
     ``small`` has one row a key, and in ``n`` the number of big's rows with it (n is dropped);
-    ``counts`` (key, n) says the same where that is cheaper to read, as it is read first.
+    ``counts`` (key, n) says the same where that is cheaper to read, as it is read first,
+    unless big is known to have ``most`` rows, no more than may stay together.
     The HOT_KEYS most frequent keys of more than PART_ROWS rows, a list of bounded size
     whatever the input, are dealt to parts by a hash of ``row``, beside as many copies of
     small's row; any key outside it holds less than 1 / HOT_KEYS of the rows.  Rows
     of big without a key stay out of the shuffle.
     """
     counts = small if counts is None else counts
-    hot = counts.where(F.col(n) > PART_ROWS).orderBy(F.desc(n), key).limit(HOT_KEYS).select(key, n).collect()
+    hot = [] if most is not None and most <= PART_ROWS else counts.where(F.col(n) > PART_ROWS).orderBy(F.desc(n), key).limit(HOT_KEYS).select(key, n).collect()
     small = small.drop(n)
     some = big.where(F.col(key).isNotNull())
     if hot:
