@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import doubles
+from .vectors import BANK_ROWS, BLOCK, best_of, bounded, doubles
 
 #: Least silhouette of more than one voice; cost of a turn; thresholds of merging by the seconds of the shorter cluster.
 LEAST_SILHOUETTE, TURN_COST = 0.12, 0.40
@@ -222,22 +222,29 @@ def per_meeting(regions: DataFrame, what: str, k: int) -> DataFrame:
     return regions.groupBy("meeting").applyInPandas(run, "meeting long, ord long, label long")
 
 
-def silhouette(df: DataFrame, label: str, vector: str, ident: str) -> DataFrame:
+def silhouette(df: DataFrame, label: str, vector: str, ident: str, most: int = BANK_ROWS, block: int = BLOCK) -> DataFrame:
     """Exact mean silhouette over cosine distance of unit vectors.
 
     The mean distance of x to a label of n vectors with sum s is 1 - x.s / n (its own label: with x itself taken out), so only
-    the label sums, a bounded table, meet the rows.
+    the label sums meet the rows: all at once if there are at most ``most``, as counted first, else block by block.
     """
-    rows = df.select(ident, label, doubles(vector).alias("v"))
-    parts = rows.select(label, F.posexplode("v").alias("i", "x")).groupBy(label, "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
-    sums = parts.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p.x).alias("s"), F.max("n").alias("n"))
-    packed = sums.agg(F.collect_list(F.struct(F.col(label).alias("l"), "s", "n")).alias("all"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    j = rows.join(F.broadcast(packed))
-    own = F.filter("all", lambda c: c.l == F.col(label))[0]
-    a = F.when(own.n > 1, 1 - (dot(F.col("v"), own.s) - dot(F.col("v"), F.col("v"))) / (own.n - 1)).otherwise(0.0)
-    b = F.array_min(F.transform(F.filter("all", lambda c: c.l != F.col(label)), lambda c: 1 - dot(F.col("v"), c.s) / c.n))
-    return j.select(a.alias("a"), b.alias("b")).agg(F.coalesce(F.avg((F.col("b") - F.col("a")) / (F.greatest("a", "b") + 1e-9)), F.lit(-1.0)).alias("silhouette"))
+    rows = df.select(F.col(ident).cast("long").alias("id"), F.col(label).cast("long").alias("own"), doubles(vector).alias("v"))
+    parts = rows.select("own", F.posexplode("v").alias("i", "x")).groupBy("own", "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    sums = parts.groupBy("own").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p.x).alias("s"), F.max("n").alias("n"))
+    product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    few = bounded(sums, most)
+    if few is not None:
+        one = few.agg(F.collect_list(F.struct("own", "s", "n")).alias("all"))
+        j = rows.join(F.broadcast(one)).withColumn("mine", F.filter("all", lambda c: c.own == F.col("own"))[0])
+        j = j.withColumn("b", F.array_min(F.transform(F.filter("all", lambda c: c.own != F.col("own")), lambda c: 1 - product(F.col("v"), c.s) / c.n)))
+    else:
+        n, m = (max(1, -(-x.count() // block)) for x in (rows, sums))
+        means = sums.select(F.col("own").alias("y"), F.transform("s", lambda x: x / F.col("n")).alias("v"))
+        others = best_of(rows.withColumnRenamed("id", "x"), means, 1, n, m).select(F.col("x").alias("id"), (1 - F.col("cosine")).alias("b"))
+        j = rows.join(sums.select("own", F.struct("s", "n").alias("mine")), "own").join(others, "id", "left")
+    v, own = F.col("v"), F.col("mine")
+    a = F.when(own["n"] > 1, 1 - (product(v, own["s"]) - product(v, v)) / (own["n"] - 1)).otherwise(0.0)
+    return j.select(a.alias("a"), "b").agg(F.coalesce(F.avg((F.col("b") - F.col("a")) / (F.greatest("a", "b") + 1e-9)), F.lit(-1.0)).alias("silhouette"))
 
 
 def even_subsample(df: DataFrame, order: str, n: int) -> DataFrame:

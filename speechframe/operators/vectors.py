@@ -35,64 +35,114 @@ def centroids(df: DataFrame, label: str, vector: str, seconds: str | None = None
     return c.join(n, label)
 
 
-def medoids(df: DataFrame, label: str, vector: str, ident: str) -> DataFrame:
-    """(label, id): the vector with the highest median cosine to its label's (itself included); labels are small groups of one meeting."""
-    a, b = df.select(label, F.col(ident).alias("a"), F.col(vector).alias("va")), df.select(label, F.col(vector).alias("vb"))
-    med = a.join(b, label).groupBy(label, "a").agg(F.round(F.median(dot("va", "vb")), 9).alias("m"))
-    return med.groupBy(label).agg(F.max_by("a", F.struct("m", -F.col("a"))).alias(ident))
+def medoids(df: DataFrame, key: list[str], vector: str, ident: str, step: int = 256) -> DataFrame:
+    """(key, n, id): the vector with the highest median cosine to those of its key (itself included; ties to the smaller id); null for two vectors or fewer, which their mean stands for.
 
+    A key is one voice of one meeting, so its vectors are few; cosines are worked out ``step`` rows at a time and no pairs become rows.
+    """
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*key).schema)
 
-def nearest(probes: DataFrame, centres: DataFrame, vector: str, label: str) -> DataFrame:
-    """Adds the label of the nearest centre and the cosine; ties to the smaller label. Centres are a bounded table (one row a voice), kept as a literal array per row."""
-    packed = centres.agg(F.sort_array(F.collect_list(F.struct(label, "centroid"))).alias("__c"))
-    best = F.array_max(F.transform("__c", lambda c: F.struct(F.round(dot(F.col(vector), c["centroid"]), 9).alias("score"), (-c[label]).alias("neg"))))
-    return probes.join(F.broadcast(packed)).withColumn("__b", best).withColumns({"nearest": -F.col("__b.neg"), "cosine": F.col("__b.score")}).drop("__b", "__c")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__id")
+        x, ids = np.stack(pdf["__v"].to_numpy()).astype(float), pdf["__id"].to_numpy()
+        out = pdf[key].head(1).assign(n=len(x)).astype({"n": "int64"})
+        if len(x) <= 2:
+            return out.assign(id=pd.array([None], "Int64"))
+        med = np.concatenate([np.median(x[lo : lo + step] @ x.T, axis=1) for lo in range(0, len(x), step)])
+        return out.assign(id=ids[np.argmax(np.round(med, 9))])
 
+    return df.select(*key, F.col(ident).cast("long").alias("__id"), doubles(vector).alias("__v")).where("__v is not null").groupBy(*key).applyInPandas(run, f"{names}, n long, id long")
 
-def match_known(probes: DataFrame, known: DataFrame, probe: str, least: float = 0.75, margin: float = 0.12) -> DataFrame:
-    """Matches probes (probe, centroid) with known voices (id, name, centroid).
 
-    A match needs the best score to reach ``least`` and the second to be ``margin`` below (a single
-    candidate has a second of -1); else the id is null and the best score stays. The bank is a bounded table.
-    """
-    bank = known.agg(F.collect_list(F.struct("id", "name", F.col("centroid").alias("k"))).alias("__bank"))
-    ranked = F.sort_array(F.transform("__bank", lambda b: F.struct(F.round(dot(F.col("centroid"), b.k), 9).alias("score"), (-b.id).alias("neg"), b["name"].alias("name"))), asc=False)
-    r = probes.join(F.broadcast(bank)).withColumn("__r", ranked)
-    best, second = F.get("__r", F.lit(0)), F.coalesce(F.get("__r", F.lit(1))["score"], F.lit(-1.0))
-    sure = (best.score >= least) & (best.score - second >= margin)
-    return r.select(probe, F.when(sure, -best.neg).alias("id"), F.when(sure, best["name"]).alias("name"), F.coalesce(best.score, F.lit(-1.0)).alias("score"))
+#: Rows of a bank that go to every probe; a larger bank meets the probes block by block.
+BANK_ROWS, BLOCK = 4096, 2048
+
 
+def bounded(bank: DataFrame, most: int) -> DataFrame | None:
+    """The bank as a table of literal rows if it has at most ``most`` rows, else None."""
+    rows = bank.limit(most + 1).collect()
+    return bank.sparkSession.createDataFrame(rows, bank.schema) if len(rows) <= most else None
 
-def neighbours(df: DataFrame, ident: str, vector: str, p: int, block: int = 2048) -> DataFrame:
-    """The p nearest other rows of each row, ties to the smaller id, block against block as matrix products.
 
-    A pair of blocks gives at most p rows for each of its rows, so what is shuffled grows with p and not with the pairs.
+def packed(df: DataFrame, blocks: int, flat: str, *ids: str) -> DataFrame:
+    """Rows (ids, v) as blocks (b, width of their vectors, arrays of ids, the vectors end to end)."""
+    rows = df.where("v is not null").select(*ids, "v", F.pmod(F.xxhash64(ids[0]), F.lit(blocks)).cast("int").alias("b"))
+    return rows.groupBy("b", F.size("v").alias("width")).agg(F.collect_list(F.struct(*[F.coalesce(i, F.lit(-(1 << 63))).alias(i) for i in ids], "v")).alias("r")).select("b", "width", *[F.col(f"r.{i}").alias(i) for i in ids], F.flatten("r.v").alias(flat))
+
+
+def best_of(left: DataFrame, right: DataFrame, p: int, n: int, m: int) -> DataFrame:
+    """(x, y, cosine, rank): for every row of left (x, own, v) the p best of right (y, v) but the one that is its own; ties to the smaller y.
+
+    The n blocks of left meet the m blocks of right as matrix products. A pair of blocks gives at most p rows for each of its
+    rows, so what is shuffled grows with p and not with the pairs. Vectors of different lengths don't meet.
     """
-    n = max(1, -(-df.count() // block))
-    packed = df.select(F.col(ident).cast("long").alias("id"), doubles(vector).alias("v"), F.pmod(F.xxhash64(ident), F.lit(n)).cast("int").alias("b")).groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("r"))
-    packed = packed.select("b", F.col("r.id").alias("ids"), F.flatten("r.v").alias("flat"))
-    cells = packed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    left = cells.select("b", "o", F.col("ids").alias("xi"), F.col("flat").alias("xf"))
-    right = cells.select(F.col("o").alias("b"), F.col("b").alias("o"), F.col("ids").alias("yi"), F.col("flat").alias("yf"))
+    a = packed(left, n, "xf", "x", "own").withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    b = packed(right, m, "yf", "y").withColumnRenamed("b", "o").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for xi, xf, yi, yf in zip(batch["xi"], batch["xf"], batch["yi"], batch["yf"]):
-                xi, yi = np.asarray(xi), np.asarray(yi)
-                s = np.round(np.asarray(xf).reshape(len(xi), -1) @ np.asarray(yf).reshape(len(yi), -1).T, 9)
-                s[xi[:, None] == yi[None, :]] = -np.inf
-                for lo in range(0, len(xi), 256):
-                    part = s[lo : lo + 256]
-                    order = np.lexsort((np.broadcast_to(yi, part.shape), -part))[:, :p]
+            for x, own, xf, y, yf in batch[["x", "own", "xf", "y", "yf"]].itertuples(index=False):
+                x, own, y, yv = np.asarray(x), np.asarray(own), np.asarray(y), np.asarray(yf).reshape(len(y), -1)
+                xv = np.asarray(xf).reshape(len(x), -1)
+                for lo in range(0, len(x), 256):
+                    part = np.round(xv[lo : lo + 256] @ yv.T, 9)
+                    part[own[lo : lo + 256, None] == y[None, :]] = -np.inf
+                    order = np.lexsort((np.broadcast_to(y, part.shape), -part))[:, :p]
                     best = np.take_along_axis(part, order, 1)
                     keep = np.isfinite(best)
-                    yield pd.DataFrame({"x": np.repeat(xi[lo : lo + 256], order.shape[1])[keep.ravel()], "y": yi[order][keep], "cosine": best[keep]})
+                    yield pd.DataFrame({"x": np.repeat(x[lo : lo + 256], order.shape[1])[keep.ravel()], "y": y[order][keep], "cosine": best[keep]})
 
-    s = left.join(right, ["b", "o"]).select("xi", "xf", "yi", "yf").mapInPandas(run, "x long, y long, cosine double")
+    s = a.join(b, ["b", "o", "width"]).where("width > 0").select("x", "own", "xf", "y", "yf").mapInPandas(run, "x long, y long, cosine double")
     w = Window.partitionBy("x").orderBy(F.desc("cosine"), "y")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= p)
 
 
+def ranked(probes: DataFrame, bank: DataFrame, ident: str, vector: str, p: int, most: int = BANK_ROWS, block: int = BLOCK) -> DataFrame:
+    """Adds ``__r`` to probes (distinct ``ident``): the p best of bank (id, centroid) as (score, neg), neg the negative id; the best first, ties to the smaller id.
+
+    An entry of another length scores -1. A bank of at most ``most`` rows, as counted first, goes to
+    every probe; a larger one meets the probes in blocks, with the same result.
+    """
+    few = bounded(bank.select(F.col("id").cast("long").alias("id"), "centroid"), most)
+    if few is not None:
+        scored = F.transform("__c", lambda c: F.struct(F.round(dot(vector, c["centroid"]), 9).alias("score"), (-c["id"]).alias("neg")))
+        one = few.agg(F.collect_list(F.struct("id", "centroid")).alias("__c"))
+        return probes.join(F.broadcast(one)).withColumn("__r", F.slice(F.sort_array(scored, asc=False), 1, p)).drop("__c")
+    n, m, least = *(max(1, -(-df.count() // block)) for df in (probes, bank)), bank.agg(F.min("id")).first()[0]
+    left = probes.select(F.col(ident).cast("long").alias("x"), F.lit(None).cast("long").alias("own"), doubles(vector).alias("v"))
+    best = best_of(left, bank.select(F.col("id").cast("long").alias("y"), doubles("centroid").alias("v")), p, n, m)
+    top = best.groupBy("x").agg(F.sort_array(F.collect_list(F.struct(F.col("cosine").alias("score"), (-F.col("y")).alias("neg"))), asc=False).alias("__r"))
+    none = F.array(F.struct(F.lit(-1.0).alias("score"), F.lit(-least).cast("long").alias("neg")))
+    return probes.join(top, F.col(ident) == F.col("x"), "left").withColumn("__r", F.coalesce("__r", none)).drop("x")
+
+
+def nearest(probes: DataFrame, centres: DataFrame, ident: str, vector: str, label: str, most: int = BANK_ROWS, block: int = BLOCK) -> DataFrame:
+    """Adds the label of the nearest centre and the cosine; ties to the smaller label."""
+    r = ranked(probes, centres.select(F.col(label).alias("id"), "centroid"), ident, vector, 1, most, block)
+    best = F.get("__r", F.lit(0))
+    return r.withColumns({"nearest": -best["neg"], "cosine": best["score"]}).drop("__r")
+
+
+def match_known(probes: DataFrame, known: DataFrame, probe: str, least: float = 0.75, margin: float = 0.12, most: int = BANK_ROWS, block: int = BLOCK) -> DataFrame:
+    """Matches probes (probe, centroid) with known voices (id, name, centroid).
+
+    A match needs the best score to reach ``least`` and the second to be ``margin`` below (a single
+    candidate has a second of -1); else the id is null and the best score stays.
+    """
+    r = ranked(probes, known, probe, "centroid", 2, most, block)
+    best, second = F.get("__r", F.lit(0)), F.coalesce(F.get("__r", F.lit(1))["score"], F.lit(-1.0))
+    sure = (best["score"] >= least) & (best["score"] - second >= margin)
+    r = r.select(probe, F.when(sure, -best["neg"]).alias("id"), F.coalesce(best["score"], F.lit(-1.0)).alias("score"))
+    return r.join(known.select(F.col("id").cast("long").alias("id"), "name"), "id", "left").select(probe, "id", "name", "score")
+
+
+def neighbours(df: DataFrame, ident: str, vector: str, p: int, block: int = BLOCK) -> DataFrame:
+    """(x, y, cosine, rank): the p nearest other rows of each row, ties to the smaller id."""
+    n = max(1, -(-df.count() // block))
+    rows = df.select(F.col(ident).cast("long").alias("x"), F.col(ident).cast("long").alias("own"), doubles(vector).alias("v"))
+    return best_of(rows, rows.select(F.col("x").alias("y"), "v"), p, n, n)
+
+
 def dissolve_minor(df: DataFrame, key: list[str], label: str = "label", least_s: float = 3.0, least_share: float = 0.02) -> DataFrame:
     """Labels of under ``least_s`` seconds and ``least_share`` of the time go: their windows take the label of the major window nearest in time; labels are renumbered from 0."""
     d = F.col("end") - F.col("start")

@@ -36,6 +36,13 @@ def w7(spark, d):
     return folds.fold(segments(spark, d).select("m", "ord", "start", "end", "speaker"), "m", ["start", "ord"], f, "m long, ord long, speaker string")
 
 
+@query("w6_smoothed")
+def w6(spark, d):
+    """Flips judged on the labels as they are after W7."""
+    labels = w7(spark, d)
+    return labels.select("m", "ord", sequence.single_flips(labels, ["m"], ["ord"], "speaker").alias("speaker"))
+
+
 @query("w9_postprocessed")
 def w9(spark, d):
     return rounded(folds.fold(segments(spark, d).select("m", "ord", "start", "end", "speaker"), "m", ["start", "ord"], folds.postprocess, "m long, ord long, start double, end double, speaker string"))

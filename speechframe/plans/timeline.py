@@ -38,10 +38,18 @@ ISLAND = "sum(CASE WHEN {0} THEN 1 ELSE 0 END) OVER (PARTITION BY m ORDER BY sta
 @query("w1_speaker_blocks", f"""WITH {SEG_SQL}, l AS (SELECT *, lag(speaker) OVER (PARTITION BY m ORDER BY start, ord) AS p FROM seg), i AS (SELECT *, {ISLAND.format('p IS NULL OR p <> speaker')} AS island FROM l)
     SELECT m, CAST(island AS BIGINT) AS island, speaker, round(min(start), 6) AS start, round(arg_max("end", ord), 6) AS "end", trim(string_agg(word, '' ORDER BY ord)) AS text FROM i GROUP BY 1, 2, 3""")
 def w1(spark, d):
-    """Runs of a speaker; the end is the last word's."""
+    """Runs of a speaker; the end is the last word's."""
     return rounded(sequence.blocks(segments(spark, d), KEY, ["start", "ord"]))
 
 
+@query("w2_joined_blocks", f"""WITH {SEG_SQL}, l AS (SELECT *, lag(speaker) OVER (PARTITION BY m ORDER BY start, ord) AS p FROM seg), i AS (SELECT *, {ISLAND.format('p IS NULL OR p <> speaker')} AS island FROM l)
+    SELECT m, CAST(island AS BIGINT) AS island, speaker, round(min(start), 6) AS start, round(arg_max("end", ord), 6) AS "end", trim(string_agg(trim(word || '  '), ' ' ORDER BY ord)) AS text FROM i GROUP BY 1, 2, 3""")
+def w2(spark, d):
+    """Blocks of text with blanks at both ends, joined with one."""
+    b = segments(spark, d).withColumn("word", F.concat("word", F.lit("  ")))
+    return rounded(sequence.blocks(b, KEY, ["start", "ord"], between=" "))
+
+
 @query("w3_speech_units", f"""WITH {SEG_SQL}, l AS (SELECT *, lag("end") OVER (PARTITION BY m ORDER BY start, ord) AS p FROM seg), i AS (SELECT *, {ISLAND.format('p IS NULL OR start - p >= 0.25')} AS island FROM l)
     SELECT m, CAST(island AS BIGINT) AS island, count(*) AS n, round(min(start), 6) AS start, round(max("end"), 6) AS "end" FROM i GROUP BY 1, 2""")
 def w3(spark, d):
@@ -59,7 +67,7 @@ def w4(spark, d):
 @query("w5_single_flips", f"""WITH {SEG_SQL}, l AS (SELECT *, lag(speaker) OVER w AS a, lead(speaker) OVER w AS b FROM seg WINDOW w AS (PARTITION BY m ORDER BY start, ord))
     SELECT event_id, CASE WHEN a = b AND speaker <> a THEN a ELSE speaker END AS speaker FROM l""")
 def w5(spark, d):
-    """One flip between equal neighbours."""
+    """One flip between equal neighbours."""
     s = segments(spark, d)
     return s.select("event_id", sequence.single_flips(s, KEY, ["start", "ord"], "speaker").alias("speaker"))
 

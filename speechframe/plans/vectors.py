@@ -42,9 +42,12 @@ def v3(spark, d):
     return bank(spark, d).select("label", F.round(F.get("centroid", F.lit(0)), 6).alias("first"), F.round(F.element_at("centroid", -1), 6).alias("last"), "n")
 
 
-@query("v4_medoids", f"WITH {E_SQL}, s AS (SELECT a.label, a.vec_id, round(median(list_inner_product(a.v, b.v)), 9) AS m FROM e a JOIN e b USING (label) GROUP BY 1, 2) SELECT label, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY m DESC, vec_id) AS r FROM s) WHERE r = 1")
+@query("v4_medoids", f"""WITH {E_SQL}, k AS (SELECT *, vec_id // 40 AS meeting FROM e), s AS (SELECT a.meeting, a.label, a.vec_id, round(median(list_inner_product(a.v, b.v)), 9) AS m FROM k a JOIN k b USING (meeting, label) GROUP BY 1, 2, 3),
+    r AS (SELECT *, row_number() OVER (PARTITION BY meeting, label ORDER BY m DESC, vec_id) AS r, count(*) OVER (PARTITION BY meeting, label) AS n FROM s) SELECT meeting, label, n, CASE WHEN n > 2 THEN vec_id END AS id FROM r WHERE r = 1""")
 def v4(spark, d):
-    return vectors.medoids(voices(spark, d), "label", "v", "vec_id")
+    """Per voice of a meeting of forty vectors."""
+    e = voices(spark, d).withColumn("meeting", F.floor(F.col("vec_id") / 40).cast("long"))
+    return vectors.medoids(e, ["meeting", "label"], "v", "vec_id")
 
 
 @query("v6_silhouette", f"""WITH {E_SQL}, s AS (SELECT a.vec_id, a.label AS la, b.label AS lb, avg(1 - list_inner_product(a.v, b.v)) FILTER (WHERE a.vec_id <> b.vec_id) AS d FROM e a, e b GROUP BY 1, 2, 3),
@@ -56,7 +59,7 @@ def v6(spark, d):
 
 @query("v8_nearest_centroid", f"WITH {E_SQL}, {CENT_SQL}, s AS (SELECT vec_id, cent.label, round(list_inner_product(v, c), 9) AS s FROM e, cent) SELECT vec_id, label AS nearest, round(s, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS r FROM s) WHERE r = 1")
 def v8(spark, d):
-    p = vectors.nearest(voices(spark, d), bank(spark, d), "v", "label")
+    p = vectors.nearest(voices(spark, d), bank(spark, d), "vec_id", "v", "label")
     return p.select("vec_id", "nearest", F.round("cosine", 6).alias("cosine"))
 
 

@@ -144,6 +144,41 @@ def test_known_voice_needs_a_margin(spark):
     assert rows(vectors.match_known(p, known.where("id = 1"), "p").select("p", "id")) == [(1, 1), (2, None)]
 
 
+def test_large_banks_meet_the_probes_in_blocks(spark):
+    r = np.random.default_rng(3)
+    unit = lambda n: [(v / np.linalg.norm(v)).tolist() for v in r.normal(size=(n, 8))]
+    bank = [*enumerate(unit(23), 1), (24, [1.0, 0.0]), (25, None)]
+    known = spark.createDataFrame([(i, f"n{i}", v) for i, v in [*bank, (30, bank[4][1])]], "id long, name string, centroid array<double>")
+    p = spark.createDataFrame([*enumerate(unit(40)), (90, bank[4][1]), (91, [0.0] * 3), (92, None)], "p long, centroid array<double>")
+    for least, margin in ((0.75, 0.12), (0.3, 0.02), (0.99, 0.0)):
+        few, many = (rows(vectors.match_known(p, known, "p", least, margin, most, 7)) for most in (100, 3))
+        assert few == many and len(few) == 43
+    few, many = (rows(vectors.nearest(p, known.drop("name"), "p", "centroid", "id", most, 7).select("p", "nearest", "cosine")) for most in (100, 3))
+    assert few == many
+    assert [x[1:] for x in few if x[0] == 90] == [(5, 1.0)] and [x[1:] for x in few if x[0] == 91] == [(1, -1.0)]
+    e = spark.createDataFrame([(i, i * 7 % 12, v) for i, v in enumerate(unit(60))], "i long, l int, v array<double>")
+    few, many = (clusters.silhouette(e, "l", "v", "i", most, 7).first()[0] for most in (100, 3))
+    assert few == pytest.approx(many, abs=1e-8)
+
+
+def test_medoid_of_a_voice(spark):
+    e = spark.createDataFrame([(0, 0, 3, [1.0, 0.0]), (0, 0, 2, [1.0, 0.0]), (0, 0, 1, [0.0, 1.0]), (0, 1, 4, [1.0, 0.0]), (0, 1, 5, [0.0, 1.0]), (1, 0, 6, None)], "m long, l int, i long, v array<double>")
+    assert rows(vectors.medoids(e, ["m", "l"], "v", "i", 2)) == [(0, 0, 3, 2), (0, 1, 2, None)]
+
+
+def test_smoothing_follows_absorption(spark):
+    from compare import SF
+    from speechframe.queries import QUERIES
+
+    def labels(name):
+        out = {}
+        for r in QUERIES[name](spark, SF).orderBy("m", "ord").collect():
+            out.setdefault(r.m, []).append(r.speaker)
+        return out
+
+    assert labels("w6_smoothed") == {m: folds.median3(x) for m, x in labels("w7_absorbed").items()}
+
+
 def test_enrolment(spark):
     known = spark.createDataFrame([(1, "Ann", [1.0, 0.0], 30.0, 2)], "id long, name string, centroid array<double>, seconds double, meetings int")
     new = spark.createDataFrame([(1, "Ann", [0.0, 1.0], 30.0, 0), (1, "Ann", [0.0, 1.0], 5.0, 1), (2, "Voix 3", [0.0, 1.0], 60.0, 0)], "id long, name string, centroid array<double>, seconds double, ord long")
