@@ -1,4 +1,4 @@
-"""Sources that are files of their own: written to the shared scratch folder, then read by the operators."""
+"""Sources that are files of their own: written to the shared scratch folder, then read by the operators (S5, S6, S10, S14, S19, S20, K9); and recordings as bytes."""
 
 from __future__ import annotations
 
@@ -56,6 +56,62 @@ def s14(spark, d):
     return files.importable(f).select("doc_id", "refused")
 
 
+SAMPLES_SQL = "g AS (SELECT user_id, list(CAST(floor(value * 16) AS INTEGER) % 32768 ORDER BY ts, event_id) AS s FROM events GROUP BY 1)"
+FRAMES_SQL = """f AS (SELECT user_id, s, unnest(range(0, len(s), 8)) AS lo FROM {0}), p AS (SELECT user_id, lo // 8 AS frame_no, list_transform(s[lo + 1:lo + 8], lambda x: x / 32768.0) AS x FROM f)
+    SELECT CAST(user_id AS VARCHAR) AS path, frame_no, round(sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)), 6) AS rms, round(list_max(list_transform(x, lambda v: abs(v))), 6) AS peak FROM p"""
+
+
+#: Fixed value: the format chunk of 16-bit mono PCM at 16 kHz, with its length.
+FORMAT = "1000000001000100803E0000007D000002001000"
+
+
+def little(c, digits: int):
+    """The last bytes of a whole number in hex, the lowest byte first."""
+    h = F.lpad(F.hex(c), 16, "0")
+    return F.concat(*[F.substring(h, 15 - 2 * k, 2) for k in range(digits // 2)])
+
+
+def recordings(spark, d):
+    """(path, content, n): a user's events as a 16-bit file whose head holds one more chunk before the samples."""
+    x = (F.floor(F.col("value") * 16).cast("long") % 32768).alias("x")
+    g = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", x))).alias("s"))
+    body = F.array_join(F.transform("s", lambda s: little(s.x, 4)), "")
+    head = F.concat(F.hex(F.lit("RIFF")), little(F.size("s") * 2 + 48, 8), F.hex(F.lit("WAVEfmt ")), F.lit(FORMAT), F.hex(F.lit("note")), F.lit("0400000000000000"), F.hex(F.lit("data")), little(F.size("s") * 2, 8))
+    return g.select(F.col("user_id").cast("string").alias("path"), F.unhex(F.concat(head, body)).alias("content"), F.size("s").alias("n"))
+
+
+def rounded_levels(df):
+    return df.select("path", "frame_no", F.round("rms", 6).alias("rms"), F.round("peak", 6).alias("peak"))
+
+
+@query("s12_s13_recordings", f"WITH {SAMPLES_SQL}, {FRAMES_SQL.format('g')}")
+def s12(spark, d):
+    """Samples start after the data chunk's head, wherever that is; they are turned to floats some frames at a time."""
+    return rounded_levels(files.frames(recordings(spark, d), 8))
+
+
+@query("s11_growing_recording", f"WITH {SAMPLES_SQL}, t AS (SELECT user_id, s[len(s) // 2 + 1:] AS s FROM g), {FRAMES_SQL.format('t')}")
+def s11(spark, d):
+    """What was added since the first half was read."""
+    r = recordings(spark, d).withColumn("seen", F.octet_length("content") - 2 * F.ceil(F.col("n") / 2))
+    return rounded_levels(files.frames(r, 8, "seen"))
+
+
+@query("s17_levels_sidecar", f"WITH {SAMPLES_SQL}, b AS (SELECT user_id, s, unnest(range(0, len(s) // 2)) AS i FROM g) SELECT CAST(user_id AS VARCHAR) AS path, i AS block, round(s[2 * i + 1] / 32768.0, 6) AS mic_rms, round(s[2 * i + 2] / 32768.0, 6) AS sys_rms FROM b")
+def s17(spark, d):
+    """Pairs of floats; an odd one at the end is torn."""
+    x = (F.floor(F.col("value") * 16).cast("long") % 32768).alias("x")
+    g = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("path")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", x))).alias("s"))
+    return files.levels(g.select("path", F.unhex(F.array_join(F.transform("s", lambda s: float_hex(s.x)), "")).alias("content"))).withColumns({c: F.round(c, 6) for c in ("mic_rms", "sys_rms")})
+
+
+def float_hex(x):
+    """x / 32768 of a whole x from 0 to 32767 as little-endian float32 in hex: the exponent is the place of x's highest bit."""
+    top = F.char_length(F.bin(x)) - 1
+    bits = F.when(x > 0, (top + 112) * 8_388_608 + (x * F.pow(F.lit(2.0), 23 - top)).cast("long") - 8_388_608).otherwise(F.lit(0).cast("long"))
+    return little(bits, 8)
+
+
 @query("s20_mismatched_files", "SELECT CAST(doc_id AS VARCHAR) AS name FROM documents WHERE doc_id % 10 = 0 OR doc_id % 10 = 1")
 def s20(spark, d):
     """Files of a manifest that are missing or differ."""

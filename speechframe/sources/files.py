@@ -74,33 +74,53 @@ def wav_data_offset(head: bytes) -> int:
     return at + 8 if at >= 0 else 44
 
 
-def wav_frames(spark: SparkSession, path: str, frame: int = 1600) -> DataFrame:
-    """(path, frame_no, rms, peak) of 16-bit mono files, a bounded number of samples at a time."""
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of whole files."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def frames(recordings: DataFrame, frame: int = 1600, read: str | None = None) -> DataFrame:
+    """(path, frame_no, rms, peak) of 16-bit mono recordings (path, content), 4,096 frames at a time.
+
+    ``read`` names a column with the bytes of the file that were read before, as of one that grows: frames are counted from
+    there; a last odd byte waits for its other half. A content that is null or holds no samples gives no rows.
+    """
+    columns = ["path", "content", F.coalesce(F.col(read), F.lit(0)).cast("long").alias("__read") if read else F.lit(0).cast("long").alias("__read")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                at = wav_data_offset(content)
-                raw = np.frombuffer(content, "<i2", count=(len(content) - at) // 2, offset=at)
+            for name, content, seen in zip(batch["path"], batch["content"], batch["__read"]):
+                if content is None:
+                    continue
+                at = max(wav_data_offset(content), int(seen))
+                raw = np.frombuffer(content, "<i2", count=(len(content) - at) // 2, offset=at) if len(content) > at + 1 else np.empty(0, "<i2")
                 for lo in range(0, len(raw), frame * 4096):
                     piece = raw[lo : lo + frame * 4096].astype(np.float32) / 32768.0
                     n = -(-len(piece) // frame)
                     rows = [piece[k * frame : (k + 1) * frame] for k in range(n)]
-                    yield pd.DataFrame({"path": name, "frame_no": np.arange(lo // frame, lo // frame + n, dtype=np.int64), "rms": [float(np.sqrt(np.mean(x * x))) for x in rows], "peak": [float(np.max(np.abs(x))) for x in rows]})
+                    yield pd.DataFrame({"path": name, "frame_no": np.arange(lo // frame, lo // frame + n, dtype=np.int64), "rms": [float(np.sqrt(np.mean(x.astype(float) ** 2))) for x in rows], "peak": [float(np.max(np.abs(x))) for x in rows]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, frame_no long, rms double, peak double")
+    return recordings.select(*columns).mapInPandas(run, "path string, frame_no long, rms double, peak double")
 
 
-def sidecar(spark: SparkSession, path: str) -> DataFrame:
-    """(path, block, mic_rms, sys_rms) of raw N x 2 little-endian float32 files."""
+def wav_frames(spark: SparkSession, path: str, frame: int = 1600) -> DataFrame:
+    return frames(contents(spark, path), frame)
+
+
+def levels(sidecars: DataFrame) -> DataFrame:
+    """(path, block, mic_rms, sys_rms) of N x 2 little-endian float32 contents; a torn last pair is left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                v = np.frombuffer(content, "<f4", count=len(content) // 8 * 2).reshape(-1, 2)
+                v = np.frombuffer(content or b"", "<f4", count=len(content or b"") // 8 * 2).reshape(-1, 2)
                 yield pd.DataFrame({"path": name, "block": np.arange(len(v), dtype=np.int64), "mic_rms": v[:, 0].astype(float), "sys_rms": v[:, 1].astype(float)})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, block long, mic_rms double, sys_rms double")
+    return sidecars.select("path", "content").mapInPandas(run, "path string, block long, mic_rms double, sys_rms double")
+
+
+def sidecar(spark: SparkSession, path: str) -> DataFrame:
+    return levels(contents(spark, path))
 
 
 def importable(files: DataFrame, seconds: str = "seconds") -> DataFrame:

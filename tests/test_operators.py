@@ -201,6 +201,8 @@ def test_sources(spark, tmp_path):
     data = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 0, b"WAVE", b"fmt ", 16, 1, 1, 16000, 32000, 2, 16, b"data", 6400) + np.full(3200, 16384, "<i2").tobytes()
     (tmp_path / "a.wav").write_bytes(data)
     assert [(r.frame_no, round(r.rms, 3), r.peak) for r in files.wav_frames(spark, f"file://{tmp_path}/a.wav").orderBy("frame_no").collect()] == [(0, 0.5, 0.5), (1, 0.5, 0.5)]
+    parts = spark.createDataFrame([("a", bytearray(data + b"\x01"), len(data) - 4), ("b", bytearray(data), len(data)), ("c", None, 0), ("d", bytearray(b""), 0)], "path string, content binary, seen long")
+    assert rows(files.frames(parts, 1, "seen").select("path", "frame_no", "peak")) == [("a", 0, 0.5), ("a", 1, 0.5)]
     (tmp_path / "s.f32").write_bytes(np.array([[0.5, 0.25]], "<f4").tobytes())
     assert rows(files.sidecar(spark, f"file://{tmp_path}/s.f32").select("block", "mic_rms", "sys_rms")) == [(0, 0.5, 0.25)]
 
