@@ -1,4 +1,4 @@
-"""The ten queries of the training-data operators, and their SQL."""
+"""The queries of the training-data operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, eliasfano, langid, neardup, quality, secrets, topk, warc
+from . import bpe, chat, curriculum, decontam, eliasfano, langid, neardup, quality, repair, rope, secrets, topk, warc
 from .common import shared_dir
 
 
@@ -71,6 +71,19 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eliasfano.read_tokens(manifest, with_ids=False)
 
 
+def op11_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.by_document(curriculum.mix(table(spark, sf_dir, "documents")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rope.digests(rope.restore(rope.fill_in_middle(docs).drop("text")))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_preferences": op2_preferences,
@@ -82,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_top_k": op9_top_k,
     "op10_token_ids": op10_token_ids,
+    "op11_curriculum": op11_curriculum,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_repair": op13_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,4 +138,7 @@ ORACLE_SQL: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 20""",
+    "op11_curriculum": curriculum.ORACLE_SQL,
+    "op12_fill_in_middle": rope.ORACLE_SQL,
+    "op13_repair": repair.ORACLE_SQL,
 }

@@ -66,13 +66,13 @@ def test_one_of_each_group_stays(spark):
 
 
 def test_native_operators_have_no_python(spark):
-    for name in ("op2_preferences", "op3_decontamination"):
+    for name in ("op2_preferences", "op3_decontamination", "op11_curriculum"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
 def test_names():
-    assert [n for n in range(1, 11) if sum(q.startswith(f"op{n}_") for q in QUERIES) != 1] == [] and set(ORACLE_SQL) <= set(QUERIES)
+    assert [n for n in range(1, 14) if sum(q.startswith(f"op{n}_") for q in QUERIES) != 1] == [] and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_nothing_else_imports_llm():
