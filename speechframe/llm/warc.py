@@ -12,8 +12,12 @@ empty target; rows with the same payload and the largest page_id are all
 responses if that id repeats; an empty table makes no archive and no row.  A
 record whose segments don't add up, whose framing is broken, or whose lengths
 or segment number are no numbers or not met, is returned with status
-"incomplete" and null payload columns, never dropped; after a block without a
-usable length reading goes on at the next line that starts a record.
+"incomplete" and null payload columns, never dropped.  A block is bounded by the
+gzip member (or plain file) that it begins in: one whose length isn't met, or
+after which neither the end nor a record comes, is incomplete, and reading goes
+on at the next line that starts a record.  A damaged member, or bytes between
+members (but zeros, which are padding), that no record can be read from, gives
+one row of type "damaged" without an id, and reading goes on at the next member.
 Files appear whole or not at all and are read by the manifest that successful
 tasks wrote, so repeated or lost tasks leave no trace.
 """
@@ -35,6 +39,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import cut_lineage, map_arrow, open_input, open_output, schema, spread_join
 
 SEGMENT_BYTES, CHUNK_BYTES, FILE_BYTES = 32 << 10, 8 << 10, 256 << 20
+#: The type of rows that stand for bytes that no record could be read from.
+DAMAGED = "damaged"
 DATE = "2024-01-01T00:00:00Z"
 #: The head field that announces chunked framing (the last coding named), in any spelling of case and space.
 CHUNKED = re.compile(rb"(?im)^transfer-encoding[ \t]*:(?:[^\r\n]*,)?[ \t]*chunked[ \t]*\r?$")
@@ -143,30 +149,49 @@ def zlib_member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
+class Raw:
+    """A seekable file, read in chunks, by position."""
+
+    CHUNK, PIECE = 1 << 18, 1 << 14
+
+    def __init__(self, f):
+        self.f, self.start, self.chunk = f, 0, b""
+        self.size = f.seek(0, 2)
+
+    def piece(self, at: int) -> bytes:
+        """PIECE bytes from there on, fewer at the end only."""
+        end = self.start + len(self.chunk)
+        if not self.start <= at <= end or (end - at < self.PIECE and end < self.size):
+            self.f.seek(at)
+            self.start, self.chunk = at, self.f.read(self.CHUNK)
+        return self.chunk[at - self.start : at - self.start + self.PIECE]
+
+
 class Stream:
-    """The decompressed bytes of a file of gzip members (or a plain file), a bounded piece at a time."""
+    """The bytes of one gzip member, or of a plain file, a piece at a time. ``broken``: the member is damaged or cut short."""
 
-    def __init__(self, f, piece: int = 1 << 18):
-        self.f, self.piece, self.buffer, self.raw = f, piece, bytearray(), b""
-        first = f.read(2)
-        self.z = zlib.decompressobj(31) if first == b"\x1f\x8b" else None
-        self.raw = first
-        self.over = False
+    def __init__(self, raw: Raw, at: int, packed: bool):
+        self.raw, self.at, self.buffer, self.over, self.broken = raw, at, bytearray(), False, False
+        self.z = zlib.decompressobj(31) if packed else None
 
     def more(self) -> bool:
         if self.over:
             return False
-        data = self.raw or self.f.read(self.piece)
-        self.raw = b""
+        data = self.raw.piece(self.at)
         if not data:
-            self.over = True
+            self.over, self.broken = True, self.z is not None
             return False
         if self.z is None:
+            self.at += len(data)
             self.buffer += data
             return True
-        self.buffer += self.z.decompress(data)
-        if self.z.eof:
-            self.raw, self.z = self.z.unused_data, zlib.decompressobj(31)
+        try:
+            self.buffer += self.z.decompress(data)
+        except zlib.error:
+            self.over = self.broken = True
+            return False
+        self.at += len(data) - len(self.z.unused_data)
+        self.over = self.z.eof
         return True
 
     def line(self) -> bytes | None:
@@ -180,32 +205,88 @@ class Stream:
         del self.buffer[: at + 1]
         return out
 
-    def take(self, n: int) -> bytes:
-        while len(self.buffer) < n and self.more():
+    def block(self, size: int) -> bytes | None:
+        """The next ``size`` bytes, if there are so many and the end or another record follows them; else None, and nothing is taken."""
+        if self.z is None and size > len(self.buffer) + self.raw.size - self.at:
+            return None
+        while len(self.buffer) < size + 64 and self.more():
             pass
-        out = bytes(self.buffer[:n])
-        del self.buffer[:n]
+        after = bytes(self.buffer[size : size + 64]).lstrip(b"\r\n")
+        if len(self.buffer) < size or after and not after.startswith(b"WARC/"[: len(after)]):
+            return None
+        out = bytes(self.buffer[:size])
+        del self.buffer[:size]
         return out
 
 
+def streams(f) -> Iterator[Stream | None]:
+    """The members of a file one after the other (read each to its end), or the plain file; None for bytes that are no member.
+
+    After a damaged member, or such bytes, reading goes on at the next member that begins with a record. Zeros between members are padding.
+    """
+    raw, at = Raw(f), 0
+    packed = raw.piece(0).startswith(b"\x1f\x8b")
+    if not packed and raw.size:
+        yield Stream(raw, 0, False)
+        return
+    while data := raw.piece(at):
+        if (zeros := len(data) - len(data.lstrip(b"\0"))) > 0:
+            at += zeros
+            continue
+        if data.startswith(b"\x1f\x8b"):
+            stream = Stream(raw, at, True)
+            yield stream
+            if not stream.broken:
+                at = stream.at
+                continue
+            at += 1
+        else:
+            yield None
+        at = next_member(raw, at)
+
+
+def next_member(raw: Raw, at: int) -> int:
+    """Where the next member starts that begins with a record; the file's size if none does."""
+    while data := raw.piece(at):
+        found = data.find(b"\x1f\x8b\x08")
+        if found < 0:
+            at += max(1, len(data) - 2)
+            continue
+        at += found
+        probe = Stream(raw, at, True)
+        while len(probe.buffer) < 5 and probe.more():
+            pass
+        if probe.buffer.startswith(b"WARC/"):
+            return at
+        at += 1
+    return raw.size
+
+
 def number(x: str | None) -> int | None:
     """A field's value, -1 if it is no whole number, None if the field is missing."""
     return None if x is None else int(x) if re.fullmatch("[0-9]{1,18}", x) else -1
 
 
 def records(f) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(fields by lower-case name, block) of every record; the block is None where its length is missing, no number or not met."""
-    stream = Stream(f)
-    while (line := stream.line()) is not None:
-        if not line.startswith(b"WARC/"):
-            continue
-        fields = {}
-        while (line := stream.line()) not in (None, b"\r\n", b"\n"):
-            k, _, v = line.decode("utf-8", "replace").partition(":")
-            fields[k.strip().lower()] = v.strip()
-        size = number(fields.get("content-length"))
-        block = stream.take(size) if size is not None and size >= 0 else None
-        yield fields, block if block is not None and len(block) == size else None
+    """(fields by lower-case name, block) of every record; the block is None where its length is missing, no number or not met.
+
+    Of bytes that can't be read as a record, a damaged member's or others between members, there is one record of type "damaged".
+    """
+    for stream in streams(f):
+        whole = False  # whether all that was read of this member so far added up
+        while stream is not None and (line := stream.line()) is not None:
+            if not line.startswith(b"WARC/"):
+                continue
+            fields = {}
+            while (line := stream.line()) not in (None, b"\r\n", b"\n"):
+                k, _, v = line.decode("utf-8", "replace").partition(":")
+                fields[k.strip().lower()] = v.strip()
+            size = number(fields.get("content-length"))
+            block = stream.block(size) if size is not None and size >= 0 else None
+            whole = block is not None or "warc-type" in fields and "warc-record-id" in fields
+            yield fields, block
+        if stream is None or (stream.broken and not whole):
+            yield {"warc-type": DAMAGED}, None
 
 
 PARSED = "origin string,segment int,total long,record_type string,refers_to string,url string,payload_digest string,payload_bytes long,block binary"
@@ -246,13 +327,13 @@ def read_warc(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                 with open_input(uri) as f:
                     for h, block in records(f):
                         kind = h.get("warc-type")
-                        if kind not in ("response", "revisit", "continuation"):
+                        if kind not in ("response", "revisit", "continuation", DAMAGED):
                             continue
                         strip = lambda x: x and x.strip("<>")
                         origin = strip(h.get("warc-segment-origin-id") or h.get("warc-record-id"))
                         segment, total, stated = (number(h.get(f"warc-{k}")) for k in ("segment-number", "segment-total-length", "payload-length"))
                         digest = h.get("warc-payload-digest", "").rpartition(":")[2] or None
-                        if -1 in (segment, total, stated) or segment is not None and not 0 < segment < 1 << 31 or block is None or kind == "continuation" and segment is None:
+                        if -1 in (segment, total, stated) or segment is not None and not 0 < segment < 1 << 31 or block is None or kind == "continuation" and segment is None or kind == DAMAGED:
                             stated, digest, segment, block = None, None, -1, None
                         elif kind == "response" and segment is None and not with_payload:  # nothing to gather: decode here, keep the row narrow
                             got = whole(block, digest)

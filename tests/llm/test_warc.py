@@ -103,3 +103,57 @@ def test_a_payload_of_a_third_of_all_pages(spark, monkeypatch):
     read = warc.read_warc(warc.write_warc(df, shared_dir(spark, "t")), False)
     got = [tuple(r) for r in warc.page_results(read).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
     assert sorted(got, key=repr) == brute(rows)
+
+
+def one(k, payload=b"q" * 300):
+    return list(warc.page_records(f"{k}:a", f"u{k}", payload, None, 1 << 20))[0]
+
+
+def read_bytes(spark, data, name="x.warc.gz"):
+    uri = f"{shared_dir(spark, 't')}/{name}"
+    with open_output(uri) as f:
+        f.write(data)
+    return sorted(((r.url, r.status, r.record_type) for r in warc.read_warc(spark.createDataFrame([(uri, 1)], "file string, records long"), False).collect()), key=repr)
+
+
+GOOD = "ok", "response"
+
+
+@pytest.mark.parametrize("length", [600, 301, 299, 0, 999_999, 10**17])
+@pytest.mark.parametrize("packed", [True, False])
+def test_a_length_that_isnt_met_takes_no_other_record(spark, length, packed):
+    records = [one(k) for k in range(4)]
+    head, _, rest = records[1].partition(b"\r\n\r\n")
+    head = head[: head.rindex(b"Content-Length")] + b"Content-Length: %d" % length
+    records[1] = head + b"\r\n\r\n" + rest
+    data = b"".join(map(warc.zlib_member, records)) if packed else b"".join(records)
+    assert read_bytes(spark, data) == sorted([("u0", *GOOD), ("u1", "incomplete", "response"), ("u2", *GOOD), ("u3", *GOOD)], key=repr)
+
+
+def test_several_records_in_a_member(spark):
+    records = [one(k) for k in range(4)]
+    records[1] = records[1].replace(b"Content-Length: ", b"Content-Length: 9")
+    assert read_bytes(spark, warc.zlib_member(b"".join(records))) == sorted([("u0", *GOOD), ("u1", "incomplete", "response"), ("u2", *GOOD), ("u3", *GOOD)], key=repr)
+
+
+@pytest.mark.parametrize("between,damaged", [(b"\0" * 10, 0), (b"\0" * 100_000, 0), (b"junk", 1), (b"\x1f\x8b\x08\0broken", 1), (b"\x1f\x8b", 1)])
+@pytest.mark.parametrize("last", [True, False])
+def test_bytes_between_and_after_members(spark, between, damaged, last):
+    members = [warc.zlib_member(one(k)) for k in range(3)]
+    data = b"".join(members) + between if last else members[0] + between + b"".join(members[1:])
+    assert read_bytes(spark, data) == sorted([*((f"u{k}", *GOOD) for k in range(3)), *[(None, "incomplete", "damaged")] * damaged], key=repr)
+
+
+def test_broken_members(spark):
+    """Any one member with bytes overwritten, cut out or cut off: every other record comes back, and something tells of the broken one."""
+    import random
+
+    r = random.Random(5)
+    payloads = [bytes(r.randrange(256) for _ in range(3000)) for _ in range(5)]
+    members = [warc.zlib_member(one(k, p)) for k, p in enumerate(payloads)]
+    for trial in range(12):
+        k, at = r.randrange(5), r.randrange(20, len(members[0]) - 60)
+        bad = [members[k][:at] + b"\xff" * 30 + members[k][at + 30 :], members[k][:at] + members[k][at + 40 :], members[k][:at]][trial % 3]
+        got = read_bytes(spark, b"".join([*members[:k], bad, *members[k + 1 :]]))
+        assert [x for x in got if x[1] == "ok"] == [(f"u{j}", *GOOD) for j in range(5) if j != k], (k, at)
+        assert len(got) > 4
