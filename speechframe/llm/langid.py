@@ -9,8 +9,9 @@ its share in the softmax of the mean log likelihoods, tempered by length.
 
 Fitting counts words and n-grams over the training rows in DataFrame
 aggregations.  The rows may be a sample: about ``SAMPLE_ROWS`` of the training
-rows, chosen by a hash of their text, so that the model is bounded whatever the
-corpus. Languages share the sample evenly, rare ones are taken whole and each
+rows, chosen by a hash of their text: that many different texts at most, and all
+copies of each, which count words before they are shuffled; so the model is
+bounded whatever the corpus. Languages share the sample evenly, rare ones are taken whole and each
 keeps at least the rows of its smallest hash.  The words and n-grams kept are
 all of them that these rows hold at least ``MIN_COUNT`` times.
 
@@ -39,8 +40,17 @@ SAMPLE_ROWS, MIN_COUNT, ORDER = 20_000, 2, 4
 HASHES = 1 << 40
 #: Words remembered by a task (the later half goes when full).
 MEMORY = 60_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Between words, in fitting. In scoring, runs of what Python calls alphabetic, which is the same class; the pattern also lets other numerals through, so its finds are looked at again.
 WORDS = r"[^\p{L}]+"
+ALNUM = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters of a text, in lower case."""
+    found = ALNUM.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 class Model:
@@ -157,8 +167,8 @@ class Scorer:
         return np.fromiter(map(index.__getitem__, words), np.int32, len(words))
 
     def score(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
-        if not self.n or not any(map(str.isalpha, words)):
+        words = words_of(text) if text else []
+        if not self.n or not words:
             return "und", 0.0
         if len(self.index) > MEMORY:
             self.index = dict(islice(self.index.items(), MEMORY // 2))  # those met first are the frequent ones

@@ -112,8 +112,8 @@ def brute_language(train, texts):
     gram = lambda g, x: math.log(0.5 + known[x][1].get(g, 0)) - math.log(long[x][len(g)] + 1)
     out = []
     for text in texts:
-        found = regex.findall(r"[^\W\d_]+", (text or "").lower())
-        if not found or not languages or not any(w.isalpha() for w in found):
+        found = regex.findall(r"\p{L}+", (text or "").lower())
+        if not found or not languages:
             out.append(("und", 0.0))
             continue
         sums = dict.fromkeys(languages, 0.0)
@@ -189,3 +189,15 @@ def test_quality_clashing_columns_and_repeated_labels(spark):
     got = quality.score(docs, quality.fit(docs, labels))
     assert got.columns == ["doc_id", "text", "score", "predicted"]
     assert all((r.score > 0.5) == (r.doc_id % 2 == 1) and 0 <= r.score <= 1 for r in got.collect())
+
+
+def test_letters_beside_other_numerals(spark):
+    """One class of letters in fitting and scoring: numerals that aren't decimal digits part words, and a text with any letter has a language."""
+    assert langid.words_of("m² a½ H₂O Ⅷ x٣y 5 m² é́ _z_") == ["m", "a", "h", "o", "x", "y", "m", "é", "z"]
+    rows = spark.createDataFrame([("m² the and of", "en")] * 3 + [("der die H₂O und", "de")] * 3, "text string, lang string")
+    model = langid.fit(rows)
+    assert {"m", "h", "o", "the"} <= set(model.words.to_pylist())
+    texts = ["m²", "5 m²", "a½", "H₂", "42", "½ ² Ⅷ", "́̂", "_", "", None]
+    got = {r.text: (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()}
+    assert {t for t, (lang, _) in got.items() if lang == "und"} == {"42", "½ ² Ⅷ", "́̂", "_", "", None}
+    assert all(v == ("und", 0.0) for v in got.values() if v[0] == "und") and got["m²"][0] == "en" and got["H₂"][0] == "de"
