@@ -23,8 +23,9 @@ lower-cased; a text of fewer words than a shingle is one shingle.
 
 Defined results: a null, empty or wordless text has the empty set and is linked
 with nothing; a null id is linked with nothing and kept; rows that share an id
-share a node; repeated texts are linked at similarity 1; an empty table gives
-an empty one; extra columns are ignored.
+are linked, whatever their texts, and each of their texts is compared;
+repeated texts are linked at similarity 1; an empty table gives an empty one;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ class Shingler:
 
 
 def sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for the empty set), regs of every row."""
+    """doc_id, text_hash, n_shingles, set_key (null for the empty set), regs of every row."""
 
     def make():
         from xxhash import xxh3_128_digest
@@ -84,18 +85,23 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
         shingler = Shingler(shingle)
 
         def f(batch: pa.RecordBatch) -> list:
-            sets = [shingler.of(t) for t in batch.column(1).to_pylist()]
+            sets = [shingler.of(t) for t in batch.column(2).to_pylist()]
             sizes = np.array([len(s) for s in sets], np.int64)
             regs = sketch.registers(np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(np.arange(len(sets)), sizes), sizes)
-            return [batch.column(0), sizes, [xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], [r.tobytes() if len(s) else None for r, s in zip(regs, sets)]]
+            return [batch.column(0), batch.column(1), sizes, [xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], [r.tobytes() if len(s) else None for r, s in zip(regs, sets)]]
 
         return f
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), schema("doc_id long,n_shingles long,set_key binary,regs binary"), make)
+    return map_rows(texts_of(docs).select("doc_id", "text_hash", "payload"), schema("doc_id long,text_hash long,n_shingles long,set_key binary,regs binary"), make)
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, payload, text_hash): rows that share an id are told apart by the hash."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("payload")).withColumn("text_hash", F.xxhash64("payload"))
 
 
 def banded(reps: DataFrame) -> DataFrame:
-    """(key, doc_id) of every band of every representative."""
+    """(key, node) of every band of every representative."""
 
     def make():
         def f(batch: pa.RecordBatch) -> list:
@@ -104,21 +110,21 @@ def banded(reps: DataFrame) -> DataFrame:
 
         return f
 
-    return map_rows(reps.select("doc_id", "regs"), schema("key long,doc_id long"), make)
+    return map_rows(reps.select("node", "regs"), schema("key long,node long"), make)
 
 
 def streamed(pairs: DataFrame, sides: DataFrame, out: str, make) -> DataFrame:
     """Members beside their centre, without gathering a group.
 
-    pairs: (c, x), one row a pair; sides: (doc_id, payload) of either.
+    pairs: (c, x), one row a pair; sides: (node, payload) of either.
     The pairs of a centre are dealt to parts of about BESIDE; a part is a stretch of
     sorted rows that starts with the centre's own payload.  ``make()`` returns
     ``f(centre, its payload, [(x, payload), ...]) -> rows`` for pieces of a part.
     """
     counted = pairs.groupBy("c").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BESIDE).cast("int"))
     dealt = spread_join(pairs, counted, "c", "n", ["x"]).select("c", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "x")
-    left = dealt.join(sides, F.col("x") == F.col("doc_id")).select("c", "part", "role", "x", "payload")
-    right = counted.join(sides, F.col("c") == F.col("doc_id")).select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("c").alias("x"), "payload")
+    left = dealt.join(sides, F.col("x") == F.col("node")).select("c", "part", "role", "x", "payload")
+    right = counted.join(sides, F.col("c") == F.col("node")).select("c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("c").alias("x"), "payload")
     kind = schema(out)
     arrow = to_arrow_schema(kind)
 
@@ -148,8 +154,8 @@ def streamed(pairs: DataFrame, sides: DataFrame, out: str, make) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, sides: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (c, x) whose registers leave the threshold possible. sides: (doc_id, n_shingles, regs)."""
-    side = sides.select("doc_id", F.struct("n_shingles", "regs").alias("payload"))
+    """The pairs (c, x) whose registers leave the threshold possible. sides: (node, n_shingles, regs)."""
+    side = sides.select("node", F.struct("n_shingles", "regs").alias("payload"))
 
     def make():
         def f(c, centre, members):
@@ -191,7 +197,7 @@ def per_cell(dealt: DataFrame, out: str, f) -> DataFrame:
 
 
 def across_blocks(open_: DataFrame, sides: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) between different components of members that share a key. open_: (c, doc_id, component), c the smallest member of the key.
+    """Links (a, b) between different components of members that share a key. open_: (c, node, component), c the smallest member of the key.
 
     Members of the keys with the same smallest member are one list; it is dealt to
     blocks of about BLOCK, and a task sees two blocks at a time.  It compares their
@@ -202,9 +208,9 @@ def across_blocks(open_: DataFrame, sides: DataFrame, shingle: int, percent: int
     """
     listed = cut_lineage(open_.distinct())
     counted = listed.groupBy("c").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = spread_join(listed, counted, "c", "n", ["doc_id"]).join(sides.drop("payload"), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    placed = spread_join(listed, counted, "c", "n", ["node"]).join(sides.drop("payload"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = cells.select("c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n_shingles", "regs")
+    dealt = cells.select("c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n_shingles", "regs")
 
     def intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of sets x[k] and y[k]: one by one if few, else as products of 0/1 matrices over stretches of the shingles."""
@@ -224,7 +230,7 @@ def across_blocks(open_: DataFrame, sides: DataFrame, shingle: int, percent: int
         return total[np.searchsorted(used, x), np.searchsorted(used, y)].astype(np.int64)
 
     def open_pairs(rows: list[list], left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
-        """rows: own, doc_id, component, n_shingles, regs; pairs of the left block with the right (or within it, if they are the same) that may be links of two components."""
+        """rows: own, node, component, n_shingles, regs; pairs of the left block with the right (or within it, if they are the same) that may be links of two components."""
         block, _, comps, sizes = (np.array([r[k] for r in rows]) for k in range(4))
         x, y = np.triu_indices(len(rows), 1)
         cross = (comps[x] != comps[y]) & (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
@@ -264,13 +270,13 @@ def across_blocks(open_: DataFrame, sides: DataFrame, shingle: int, percent: int
 
     # The cell's own name rides along, as what comes out of the first look has to find its cell again.
     named = dealt.withColumn("name", F.array("c", F.col("i").cast("long"), F.col("j").cast("long")))
-    first = per_cell(named, "c long,i int,j int,own int,doc_id long,component long", involved)
-    texts = first.join(sides, "doc_id").select("c", "i", "j", "own", "doc_id", "component", "n_shingles", "regs", "payload")
+    first = per_cell(named, "c long,i int,j int,own int,node long,component long", involved)
+    texts = first.join(sides, "node").select("c", "i", "j", "own", "node", "component", "n_shingles", "regs", "payload")
     return per_cell(texts, "a long,b long", links)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(c, x, inter, total) of pairs: sizes of the intersection and union of their full sets. texts: (doc_id, payload)."""
+    """(c, x, inter, total) of pairs: sizes of the intersection and union of their full sets. texts: (node, payload)."""
 
     def make():
         shingler = Shingler(shingle)
@@ -295,33 +301,52 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """
     rows = cut_lineage(sketched(docs, shingle))
     known = rows.where("doc_id is not null and set_key is not null")
-    sets = known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.count("*").alias("n"))
-    # An id that is the smallest of several sets (used twice) stands for all of them, with the registers of the smaller.
-    reps = cut_lineage(sets.groupBy("doc_id").agg(F.collect_list(F.struct("set_key", "n")).alias("sets"), F.min(F.struct("n_shingles", "regs")).alias("s")).select("doc_id", "sets", "s.*"))
+    repeated = cut_lineage(known.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("n > 1"))
+    some_repeat = not repeated.isEmpty()
+    sets = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.count("*").alias("n"))
+    # A set is a node of its own, numbered; its smallest id is a property of it.
+    reps = cut_lineage(sets.select("set_key", "n", "head.*", "n_shingles", "regs").withColumn("node", F.monotonically_increasing_id()))
     bands = banded(reps)
-    shared = cut_lineage(bands.groupBy("key").agg(F.min("doc_id").alias("c"), F.count("*").alias("n")).where("n > 1"))
+    shared = cut_lineage(bands.groupBy("key").agg(F.min("node").alias("c"), F.count("*").alias("n")).where("n > 1"))
     # Members of the keys that more than one representative has, with the key's smallest one, and their texts: all that is looked at from here on.
-    members = cut_lineage(spread_join(bands, shared, "key", "n", ["doc_id"]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("payload"))
-    involved = members.select("doc_id").distinct()
-    sides = cut_lineage(texts.join(involved, "doc_id", "left_semi").join(reps.drop("sets"), "doc_id"))
+    members = cut_lineage(spread_join(bands, shared, "key", "n", ["node"]))
+    texts = texts_of(docs)
+    if some_repeat:  # rows equal in id and text are one
+        alike = spread_join(texts, repeated.select("doc_id", "n"), "doc_id", "n", ["text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+        texts = texts.join(repeated, "doc_id", "left_anti").unionByName(alike)
+    involved = reps.select("node", "doc_id", "text_hash", "n_shingles", "regs").join(members.select("node").distinct(), "node", "left_semi")
+    sides = cut_lineage(texts.join(involved, ["doc_id", "text_hash"]).select("node", "payload", "n_shingles", "regs"))
     # A first look: every member with its key's smallest one.
-    pairs = cut_lineage(members.where("doc_id <> c").select("c", F.col("doc_id").alias("x")).distinct())
-    seen = verified(cut_lineage(plausible(pairs, sides, percent / 100)), sides.select("doc_id", "payload"), shingle)
-    links = cut_lineage(seen.where(f"100 * inter >= {percent} * total").select(F.col("c").alias("a"), F.col("x").alias("b")))
+    pairs = cut_lineage(members.where("node <> c").select("c", F.col("node").alias("x")).distinct())
+    seen = verified(cut_lineage(plausible(pairs, sides, percent / 100)), sides.select("node", "payload"), shingle)
+    links = seen.where(f"100 * inter >= {percent} * total").select(F.col("c").alias("a"), F.col("x").alias("b"))
+    if some_repeat:
+        links = links.unionByName(same_id(known, repeated, reps))
+    links = cut_lineage(links)
     found = cut_lineage(components(links))
     # A second look, at the keys that hold several components.
-    named = members.join(found, F.col("doc_id") == F.col("node"), "left").select("key", "c", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    named = members.join(found, "node", "left").select("key", "c", "node", F.coalesce("component", "node").alias("component"))
     mixed = cut_lineage(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"))
-    more = across_blocks(spread_join(named, mixed, "key", "n", ["doc_id"]).select("c", "doc_id", "component"), sides, shingle, percent)
+    more = across_blocks(spread_join(named, mixed, "key", "n", ["node"]).select("c", "node", "component"), sides, shingle, percent)
     found = components(links.unionByName(more))
 
-    rep_of = reps.select(F.explode("sets").alias("s"), F.col("doc_id").alias("rep")).join(found, F.col("rep") == F.col("node"), "left").select("s.set_key", "s.n", F.coalesce("component", "rep").alias("component"))
-    out = spread_join(rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")), rep_of, "set_key", "n", ["doc_id"], "left", counts=reps.select(F.explode("sets").alias("s")).select("s.*"))
-    component = F.coalesce("component", "doc_id")
+    labelled = cut_lineage(reps.select("node", "set_key", "n", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"))
+    rep_of = spread_join(labelled.drop("doc_id"), least, "component", "members", ["node"]).select("set_key", "n", "component_id")
+    out = spread_join(rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")), rep_of, "set_key", "n", ["doc_id"], "left", counts=reps.select("set_key", "n"))
+    component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def same_id(known: DataFrame, repeated: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets that rows of one id have: each with the smallest node of them."""
+    several = repeated.where("lo <> hi").select("doc_id", "n")
+    rows = spread_join(known.select("doc_id", "set_key"), several, "doc_id", "n", ["set_key"]).distinct()
+    nodes = cut_lineage(spread_join(rows, reps.select("set_key", "n", "node"), "set_key", "n", ["doc_id"]).select("doc_id", "node"))
+    stars = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("n"))
+    return spread_join(nodes, stars, "doc_id", "n", ["node"]).where("a <> node").select("a", F.col("node").alias("b"))
+
+
 def distinct_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the smallest id of their group, and those without an id, with all their columns. Rows that repeat an id stay or go together."""
     kept = groups(docs, shingle, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()

@@ -71,6 +71,27 @@ def test_nulls_repeats_and_nothing(docs):
     assert sorted((r.doc_id for r in left.collect()), key=repr) == sorted([None, 1, 1, 3, 3], key=repr) and left.columns == docs([]).columns
 
 
+def test_an_id_with_several_texts(docs):
+    """Rows (5, A) (5, B) (7, A and a word) (9, B and a word), and an id that is the smallest of neither of its sets."""
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(5, a), (5, b), (7, a + " more"), (9, b + " more"), (4, "c d e f"), (6, "c d e f"), (6, a), (20, "z y"), (20, "z y"), (21, "q")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.groups(docs(rows), 2).collect()}
+    assert got == {(4, 4, True), (5, 4, False), (6, 4, False), (7, 4, False), (9, 4, False), (20, 20, True), (21, 21, True)}
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_repeated_ids_like_all_pairs(docs, monkeypatch, seed):
+    from speechframe.llm import common
+
+    monkeypatch.setattr(common, "PART_ROWS", 5)
+    rng = random.Random(seed)
+    rows = [(rng.randrange(90) if rng.random() < 0.3 else i + 100, t) for i, t in corpus(seed, 40, 12, 6)]
+    rows += [(rows[0][0], "lone words"), (rows[0][0], "lone words"), (rows[1][0], rows[0][1])]
+    got = neardup.groups(docs(rows), 2).collect()
+    want = brute(rows, 2)
+    assert sorted((r.doc_id, r.component_id, r.n_shingles) for r in got) == sorted((i, want[i], len(shingles(t, 2))) for i, t in rows)
+
+
 def test_many_products_give_the_same_intersections(docs, monkeypatch):
     """Over 512 open pairs in a block: sizes come from matrix products."""
     rng = random.Random(9)

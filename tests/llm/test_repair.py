@@ -73,7 +73,7 @@ def by_trying(initials, faults):
 
 def test_search_like_trying_all():
     r = random.Random(3)
-    for _ in range(300):
+    for _ in range(120):
         n = r.randrange(5)
         x, f = "".join(r.choices("suax", k=n)), bytes(r.choices(range(3), weights=[6, 2, 1], k=n))
         assert repair.cheapest(x, f) == by_trying(x, f), (x, f)
@@ -88,8 +88,8 @@ def test_search_like_tables():
 
 
 def test_a_very_long_conversation():
-    x, f = "ua" * 20_000 + "u", bytes(40_001)
-    assert repair.cheapest(x, f) == (2, "K" * 40_000 + "D")
+    x, f = "ua" * 5000 + "u", bytes(10_001)
+    assert repair.cheapest(x, f) == (2, "K" * 10_000 + "D")
 
 
 def brute(rows):
