@@ -189,7 +189,7 @@ LEVEL_SQL = "levels AS (SELECT user_id AS m, CAST(row_number() OVER (PARTITION B
 def j14(spark, d):
     e = table(spark, d, "events")
     levels = e.select(F.col("user_id").alias("m"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("block"), (F.col("event_id") % 101 / 100.0).alias("mic_rms"), (F.col("event_id") % 97 / 96.0).alias("sys_rms"))
-    b = table(spark, d, "conversations").where("conv_id < 100").select(F.col("conv_id").alias("m"), (F.col("conv_id") * 1000 + F.col("turn")).alias("lid"), (F.col("turn") * 0.5).alias("start"), (F.col("turn") * 0.5 + 0.4).alias("end"), F.lit("SPEAKER_99").alias("speaker"))
+    b = table(spark, d, "conversations").select(F.col("conv_id").alias("m"), (F.col("conv_id") * 1000 + F.col("turn")).alias("lid"), (F.col("turn") * 0.5).alias("start"), (F.col("turn") * 0.5 + 0.4).alias("end"), F.lit("SPEAKER_99").alias("speaker"))
     return intervals.by_source(b, levels, KEY).select("lid", "speaker")
 
 
