@@ -23,8 +23,10 @@ FRAGMENTS = (
 CREDITS = ("sous-titre(s) réalisé(s) par …", "sous-titre(s) : …", "merci d'avoir regardé …")
 BOILERPLATE = (
     *CREDITS, "sous-titrage MFP …", "sous-titrage : société radio-canada …", "thank(s) for watching …", "thank you for watching …", "subtitle(s) by …", "soustitreur.com", "amara.org",
-    "communauté d'amara", "communauté amara", "[musique]", "[applaudissements]", "[rires]", "♪", "www.*",
+    "communauté d'amara", "communauté amara", "[musique]", "[applaudissements]", "[rires]", "♪",
 )
+#: A web address: something, another dot, and word signs.
+ADDRESS = r"www\.\S+\.\w+"
 METATEXT = ("transcription en français", "terme(s) propre(s) au contexte …", "le mot de l'uk", *CREDITS, "merci d'avoir suivi …", "sous-titrage …")
 DICTATED_CREDITS = ("transcription by castingwords", "sous-titr* réalisé …", "sous-titr* fait …", "sous-titr* par …", "sous-titr* pour …", "sous-titrage société radio-canada", "amara.org", "♪")
 BREAKS = ("à la ligne", "retour à la ligne", "nouvelle ligne", "saut de ligne")
@@ -86,7 +88,7 @@ def literal(text: str) -> str:
 
 
 def glossary(c: Column, rules: list[tuple[str, str]]) -> Column:
-    """Literal replacements in order, whole words only where an edge is alphanumeric, in any case. Text is NFC at ingest."""
+    """Literal replacements in order, whole words only where an edge is alphanumeric, in any case. The column's text has to be in NFC; ``operators.rules.glossary`` sees to that, and takes its rules from a table."""
     out = F.coalesce(c, F.lit(""))
     for wrong, right in rules:
         if wrong:
@@ -132,19 +134,43 @@ def formatted(c: Column) -> Column:
     return let(spaced(capitalised(spaced(without_fillers(c)))), ended)
 
 
+def broken(c: Column, phrases: tuple[str, ...], line: str, marked: bool) -> Column:
+    """The text cut where a break is said, each piece put to the ones before it by what stands on either side.
+
+    ``marked``: a mark has to follow the words, and goes with them, as does a comma before them. Else the piece before has to
+    end with a closing word or mark. Words that weren't meant as a break stay.
+    """
+    said, marks = any_of(phrases), f"[{CLOSING_MARKS}]"
+    closing = rf"{FLAGS}(?:{marks}|\b(?:{'|'.join(CLOSING_WORDS)}))\s+\z"
+    left, right = (r"[ \t]*,?[ \t]*\z", rf"^[ \t]*{marks}+") if marked else (r"\s+\z", r"^\s+")
+
+    def put(s: Column, x: Column) -> Column:
+        meant = x.piece.rlike(f"(?U){right}") & (F.lit(True) if marked else s.last.rlike(closing))
+        whole = F.concat(x.said, x.piece)
+        rest = sub(x.piece, right, "", "(?U)")
+        text = F.when(meant, F.concat(sub(s.text, left, "", "(?U)"), F.lit(line), rest)).otherwise(F.concat(s.text, whole))
+        return F.struct(text.alias("text"), F.when(meant, rest).otherwise(whole).alias("last"))
+
+    def cut(t: Column) -> Column:
+        pieces, breaks = F.split(t, FLAGS + said), F.regexp_extract_all(t, F.lit(f"{FLAGS}({said})"), F.lit(1))
+        first = F.get(pieces, F.lit(0))
+        rest = F.zip_with(breaks, F.slice(pieces, 2, 1 << 30), lambda b, p: F.struct(b.alias("said"), p.alias("piece")))
+        return let(F.aggregate(rest, F.struct(first.alias("text"), first.alias("last")), put), lambda s: s.text)
+
+    return F.when(c.rlike(FLAGS + said), let(c, cut)).otherwise(c)
+
+
 def commands(c: Column) -> Column:
-    """Spoken line breaks and punctuation. A break needs a mark right after it, or a closing word or mark before it."""
-    ends = f"([{CLOSING_MARKS}]|" + "|".join(rf"\b{w}\b" for w in CLOSING_WORDS) + ")"
-    kinds = [(any_of(PARAGRAPHS), "\n\n"), (any_of(BREAKS), "\n")]
-    marked = [(rf"[ \t]*,?[ \t]*{said}[ \t]*[,.;!?]+", to) for said, to in kinds]
-    after = [(rf"{ends}\s+{said}\s+", "$1" + to) for said, to in kinds]
-    t = chain(c, [*marked, *after, *[(rf"\b{phrase(said)}\b", to) for said, to in SPOKEN.items()]])
+    """Spoken line breaks and punctuation. A break needs a mark right after it, or a closing word or mark before it; paragraphs come first."""
+    kinds = ((PARAGRAPHS, "\n\n"), (BREAKS, "\n"))
+    t = reduce(lambda x, r: let(x, lambda y: broken(y, *r)), [(*k, marked) for marked in (True, False) for k in kinds], c)
+    t = chain(t, [(rf"\b{phrase(said)}\b", to) for said, to in SPOKEN.items()])
     t = chain(t, [(" +\n", "\n"), ("\n +", "\n"), ("\n{3,}", "\n\n"), ("  +", " "), (" +,", ","), TRIM], "(?U)")
     return F.when(F.coalesce(sub(c, r"\s+", ""), F.lit("")) == "", "").otherwise(t)
 
 
 def without_boilerplate(c: Column) -> Column:
-    return chain(F.coalesce(c, F.lit("")), [(phrase(p, ".*"), " ") for p in BOILERPLATE])
+    return chain(F.coalesce(c, F.lit("")), [*((phrase(p, ".*"), " ") for p in BOILERPLATE), (ADDRESS, " ")])
 
 
 def hallucinated(c: Column) -> Column:
@@ -162,11 +188,17 @@ def word_count(c: Column) -> Column:
 
 
 def without_repeats(c: Column) -> Column:
-    """Of sentences of over five words, equal but for case and spaces, only the first stays, wherever they are."""
+    """Of sentences of over five words, equal but for case and spaces, only the first stays, wherever they are.
+
+    Sentences are sorted by what is compared, then by place, so that a repeat stands right after an earlier one; the time grows with n log n of a text's n sentences.
+    """
 
     def kept(sentences: Column) -> Column:
-        norms = F.transform(sentences, lambda s: F.trim(sub(F.lower(s), r"\s+", " ", "(?U)")))
-        return let(norms, lambda n: F.filter(sentences, lambda s, i: (F.size(F.split(F.get(n, i), " ")) <= 5) | (F.array_position(n, F.get(n, i)) == i + 1)))
+        norm = lambda s: F.trim(sub(F.lower(s), r"\s+", " ", "(?U)"))
+        long = lambda n: F.when(F.size(F.split(n, " ")) > 5, n)  # noqa: E731  short ones are null: they repeat nothing
+        keyed = F.array_sort(F.transform(sentences, lambda s, i: F.struct(long(norm(s)).alias("n"), i.alias("i"))))
+        firsts = lambda k: F.filter(k, lambda x, j: x.n.isNull() | (j == 0) | ~x.n.eqNullSafe(F.get(k, j - 1)["n"]))
+        return let(let(keyed, firsts), lambda k: F.transform(F.array_sort(F.transform(k, lambda x: x.i)), lambda i: F.get(sentences, i)))
 
     return F.array_join(let(F.split(c, r"(?U)(?<=[.!?])\s+"), kept), " ")
 

@@ -8,7 +8,7 @@ Results are seeded and defined up to the numbering of labels.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -263,29 +263,39 @@ def even_subsample(df: DataFrame, order: str, n: int) -> DataFrame:
     return at.where(taken).drop("__p", "__r", "__i", "c", "b", "total")
 
 
-def enrolled(known: DataFrame, new: DataFrame, least_s: float = 12.0) -> DataFrame:
-    """The bank after each voice's new evidence, in order: time-weighted mean, made unit at each step; a new dimension replaces.
+def enrolled(known: DataFrame, new: DataFrame, key: str = "bank", least_s: float = 12.0) -> DataFrame:
+    """Banks of voices after each piece of new evidence, in order: time-weighted mean, made unit at each step; a new dimension replaces.
 
-    Refused: blank or placeholder names, too little speech, a zero vector. Matched by id, so one voice is one group.
+    known: (bank, id, name, centroid, seconds, meetings); new: (bank, ord, id or null, name, centroid, seconds).
+    Refused: blank or placeholder names, too little speech, a zero vector.  A voice is found by its id, else
+    by its name in any case, as it is at that moment; else it is new, with the id after the largest.  Names
+    change with evidence, so a bank (the voices one install knows, some hundreds) is one ordered group.
     """
     from ..functions.checks import placeholder
 
-    fit = new.where(~placeholder(F.col("name")) & (F.col("seconds") >= least_s) & (F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x * x) >= 1e-8))
-    rows = known.select("id", "name", "centroid", "seconds", "meetings", F.lit(-1).cast("long").alias("ord")).unionByName(fit.select("id", "name", "centroid", "seconds", F.lit(1).alias("meetings"), F.col("ord").cast("long").alias("ord")))
+    name = F.trim(F.coalesce("name", F.lit("")))
+    fit = new.withColumn("name", name).where((name != "") & ~placeholder(name) & (F.col("seconds") >= least_s) & (F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x * x) >= 1e-8))
+    columns = [key, F.col("id").cast("long").alias("id"), "name", "centroid", "seconds"]
+    rows = known.select(*columns, "meetings", F.lit(-1).cast("long").alias("ord")).unionByName(fit.select(*columns, F.lit(None).cast("int").alias("meetings"), F.col("ord").cast("long").alias("ord")))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = None
-        for r in pdf.sort_values("ord").itertuples():
-            c = _units(np.asarray(r.centroid, float))
-            if state is None:
-                state = [r.id, r.name, c, r.seconds, r.meetings]
-            else:
-                same = len(c) == len(state[2])
-                state[2] = _units((state[2] * state[3] + c * r.seconds) / (state[3] + r.seconds)) if same else c
-                state[3], state[4], state[1] = (state[3] + r.seconds if same else r.seconds), state[4] + r.meetings, r.name
-        return pd.DataFrame([state], columns=["id", "name", "centroid", "seconds", "meetings"])
-
-    return rows.groupBy("id").applyInPandas(fold, "id long, name string, centroid array<double>, seconds double, meetings int")
+        voices: dict[int, list] = {}
+        for r in pdf.sort_values(["ord", "id"], kind="stable").to_dict("records"):
+            c, seconds = np.asarray(r["centroid"], float), float(r["seconds"])
+            if r["ord"] < 0:
+                voices[int(r["id"])] = [r["name"], _units(c), seconds, int(r["meetings"])]
+                continue
+            at = int(r["id"]) if pd.notna(r["id"]) and int(r["id"]) in voices else next((k for k, v in voices.items() if v[0].lower() == r["name"].lower()), None)
+            if at is None:
+                voices[max(voices, default=0) + 1] = [r["name"], _units(c), seconds, 1]
+                continue
+            _, old, before, met = voices[at]
+            if len(old) == len(c):
+                c, seconds = old * before + c * seconds, before + seconds
+            voices[at] = [r["name"], _units(c), seconds, met + 1]
+        return pd.DataFrame([(pdf[key].iloc[0], k, n, v, s, m) for k, (n, v, s, m) in voices.items()], columns=[key, "id", "name", "centroid", "seconds", "meetings"])
+
+    return rows.groupBy(key).applyInPandas(fold, f"{key} long, id long, name string, centroid array<double>, seconds double, meetings int")
 
 
 def one_to_one(scored: DataFrame, meeting: str, left: str, right: str, score: str) -> DataFrame:
@@ -302,10 +312,27 @@ def one_to_one(scored: DataFrame, meeting: str, left: str, right: str, score: st
     return scored.where(F.col(right).isNotNull()).select(meeting, left, F.col(right).cast("long").alias(right), score).groupBy(meeting).applyInPandas(run, f"{meeting} long, {left} long, {right} long")
 
 
-def ordered_batches(rows: Iterator[pd.DataFrame], f) -> Iterator[pd.DataFrame]:
-    """Maps batches with f; a batch that fails comes back as nulls, so one bad batch doesn't lose the rest."""
-    for batch in rows:
+class BatchFailed(Exception):
+    """What a mapped function raises when its batch can't be worked on; anything else is a bug and fails the job."""
+
+
+def isolated(df: DataFrame, key: str, order: str, size: int, f: Callable[[pd.DataFrame], pd.DataFrame], made: str) -> DataFrame:
+    """df with the columns ``made`` (DDL) of f over batches of ``size`` rows of a key in order.
+
+    A batch that fails has nulls there; where a key's first one fails, its whole result is null, as then the means of
+    working are taken to be missing. Batches are groups of their own, so a key is spread over tasks.
+    """
+    own = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in df.schema)
+    names = [x.split()[0] for x in made.split(",")]
+    numbered = df.withColumn("__batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) / size).cast("long"))
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        rows = b.sort_values(order, kind="stable").reset_index(drop=True)
         try:
-            yield f(batch)
-        except Exception:  # noqa: BLE001  isolation is the point
-            yield batch.assign(result=None)
+            return f(rows.drop(columns="__batch")).assign(__batch=rows["__batch"], __failed=False)
+        except BatchFailed:
+            return rows.assign(**dict.fromkeys(names), __failed=True)
+
+    out = numbered.groupBy(key, "__batch").applyInPandas(run, f"{own}, {made}, __batch long, __failed boolean")
+    lost = F.max(F.when(F.col("__batch") == 0, F.col("__failed"))).over(Window.partitionBy(key))
+    return out.withColumn("__lost", lost).withColumns({c: F.when(~F.col("__lost"), F.col(c)) for c in names}).drop("__batch", "__failed", "__lost")

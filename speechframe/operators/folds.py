@@ -13,7 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-END, PAUSE = (".", "!", "?", "…"), (",", ";", ":")
+# What marks count for as ends of a speaker's turn, marks that can't start a block, words that tell how spaces are brought.
+WEIGHTS = dict.fromkeys(".!?…", 2.0) | dict.fromkeys(",;:", 0.5)
+HEAD_MARKS, TOLD_BY = "?!.;:…", 80
 
 
 def fold(df: DataFrame, key: str, order: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -55,12 +57,10 @@ def postprocess(pdf: pd.DataFrame, least: float = 1.0, gap: float = 0.5) -> pd.D
 
 
 def break_scores(words: list[str], start: np.ndarray, end: np.ndarray, pause: float = 0.20) -> np.ndarray:
-    """How good a place before each word is for a change of speaker."""
-    score = np.full(len(words), -1.0)
-    for i in range(1, len(words)):
-        before, gap = words[i - 1].strip(), start[i] - end[i - 1]
-        score[i] = (2.0 if before.endswith(END) else 0.5 if before.endswith(PAUSE) else 0.0) + (1.0 + min(gap, 1.0) if gap >= pause else 0.0)
-    return score
+    """How good a place before each word is for a change of speaker: what the word before ends with, and a pause of at least ``pause`` s (by its length up to a second)."""
+    marks = np.array([WEIGHTS.get(w.strip()[-1:], 0.0) for w in words[:-1]])
+    gaps = np.asarray(start, float)[1:] - np.asarray(end, float)[:-1]
+    return np.concatenate([[-1.0] * min(1, len(words)), marks + np.where(gaps >= pause, 1.0 + np.minimum(gaps, 1.0), 0.0)])
 
 
 def snapped(labels: list, score: np.ndarray, reach: int = 2) -> list:
@@ -81,33 +81,49 @@ def snapped(labels: list, score: np.ndarray, reach: int = 2) -> list:
     return out
 
 
+def head_and_body(text: str) -> tuple[str, str]:
+    """The run of end marks that a text starts with, and what follows."""
+    text = text.strip()
+    body = text.lstrip(HEAD_MARKS)
+    return text[: len(text) - len(body)], body.lstrip()
+
+
+def loose_capital(text: str) -> tuple[str, str]:
+    """A text without the lone capital that it ends with, and that capital ('' if none)."""
+    text = text.rstrip()
+    last, before = text[-1:], text[-2:-1]
+    lone = ("A" <= last <= "Z" or "À" <= last <= "Ý") and (not before or before.isspace())
+    return (text[:-1].rstrip(), last) if lone else (text, "")
+
+
 def polished(texts: list[str]) -> list[str]:
-    """Leading end marks go to the block before; a lone capital before an apostrophe goes to the block after; '' where nothing is left."""
-    out = list(texts)
-    for i in range(1, len(out)):
-        m = re.match(r"\s*([?!.;:…]+)\s*", out[i])
-        if m and out[i - 1].strip():
-            out[i - 1], out[i] = out[i - 1].rstrip() + m[1], out[i][m.end() :]
-    for i in range(len(out) - 1):
-        m = re.search(r"(?:^|\s)([A-ZÀ-Ý])\s*$", out[i])
-        if m and out[i + 1].lstrip().startswith("'"):
-            out[i], out[i + 1] = out[i][: m.start()].rstrip(), m[1] + out[i + 1].lstrip()
+    """Blocks put together from their parts: the marks at a block's head close the block before, unless that has nothing left; a lone capital at its end opens the block after, if that starts with an apostrophe. '' where nothing is left."""
+    parts = [head_and_body(t) for t in texts]
+    given: list[bool] = []  # whether a block's head goes to the one before
+    for i, (head, _) in enumerate(parts):
+        before = i and (parts[i - 1][1] or (parts[i - 1][0] and not given[-1]))
+        given.append(bool(head and before))
+    closed = [(body if give else text) + (parts[i + 1][0] if i + 1 < len(parts) and given[i + 1] else "") for i, (text, (_, body), give) in enumerate(zip(texts, parts, given))]
+    out, carried = [], ""
+    for i, text in enumerate(closed):
+        text = carried + (text.lstrip() if carried else text)
+        rest, capital = loose_capital(text)
+        moves = bool(capital) and i + 1 < len(closed) and closed[i + 1].lstrip().startswith("'")
+        out.append(rest if moves else text)
+        carried = capital if moves else ""
     return out
 
 
 def to_blocks(words: list[str], start, end, labels: list) -> pd.DataFrame:
-    """Runs of a label with their text, edges polished, empty blocks gone."""
-    raw = any(w.startswith(" ") for w in words[:80])
-    rows: list[list] = []
-    for w, s, e, x in zip(words, start, end, labels):
-        if rows and rows[-1][0] == x:
-            rows[-1][2] = e
-            rows[-1][3] += w if raw else " " + w.strip()
-        else:
-            rows.append([x, s, e, w if raw else w.strip()])
-    texts = polished([r[3].strip() for r in rows])
-    kept = [(*r[:3], t) for r, t in zip(rows, texts) if t.strip()]
-    return pd.DataFrame(kept, columns=["speaker", "start", "end", "text"]).assign(ord=range(len(kept)))[["ord", "speaker", "start", "end", "text"]]
+    """Runs of a label with their text, edges polished, empty blocks gone. Words that bring their own spaces (told by the first of them) are put together as they are."""
+    labels = np.asarray(labels, object)
+    first = np.flatnonzero(np.concatenate([[True], labels[1:] != labels[:-1]])) if len(labels) else np.empty(0, int)
+    last = np.append(first[1:], len(labels)) - 1 if len(first) else first
+    own = any(w[:1] == " " for w in words[:TOLD_BY])
+    text = [("" if own else " ").join(words[a : b + 1] if own else [w.strip() for w in words[a : b + 1]]).strip() for a, b in zip(first, last)]
+    runs = pd.DataFrame({"speaker": labels[first], "start": np.asarray(start)[first], "end": np.asarray(end)[last], "text": polished(text)})
+    runs = runs[runs["text"].str.strip() != ""].reset_index(drop=True)
+    return runs.assign(ord=range(len(runs)))[["ord", "speaker", "start", "end", "text"]]
 
 
 BLOCKS = "ord long, speaker string, start double, end double, text string"

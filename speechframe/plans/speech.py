@@ -158,7 +158,8 @@ def w27(spark, d):
     return rounded(sequence.fill_gaps(fit, KEY, F.col("length")))
 
 
-@query("w28_tiles")
+@query("w28_tiles", """WITH e AS (SELECT user_id, epoch_us(ts) // 1000000 / 4096.0 AS t, value AS x FROM events), whole AS (SELECT user_id, sqrt(avg(x * x)) AS whole FROM e GROUP BY 1),
+    g AS (SELECT user_id, start, sqrt(avg(x * x)) AS rms FROM (SELECT user_id, unnest([floor(t) - 1, floor(t)]) AS start, x FROM e) GROUP BY 1, 2) SELECT user_id, CAST(start AS BIGINT) AS start, round(rms, 6) AS rms FROM g JOIN whole USING (user_id) WHERE rms >= 0.5 * whole""")
 def w28(spark, d):
     """Two-second tiles each second, kept where their level is half the whole's or more."""
     e = table(spark, d, "events").select("user_id", F.timestamp_seconds(F.unix_timestamp("ts") / 4096).alias("ts"), F.col("value").alias("x"))
@@ -252,25 +253,15 @@ def k12(spark, d):
     return body.select("conv_id", F.concat(text.safe_title(F.col("opening")), F.lit("-"), F.col("conv_id").cast("string"), F.lit(".md")).alias("file"), F.sha2(note, 256).alias("sha"))
 
 
-@query("t1_nfc_documents")
-def nfc(spark, d):
-    """The NFC invariant: how many texts it changes."""
-    from unicodedata import normalize
-
-    @F.pandas_udf("string")
-    def composed(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: normalize("NFC", x) if x is not None else None)
-
-    return table(spark, d, "documents").select("doc_id", F.sha2(composed("text"), 256).alias("sha"))
-
-
-@query("x17_isolated_batches")
+@query("x17_isolated_batches", """WITH b AS (SELECT label, vec_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 8 AS batch FROM embeddings), f AS (SELECT *, max(CAST(vec_id % 29 = 3 AS INTEGER)) OVER (PARTITION BY label, batch) AS bad FROM b)
+    SELECT label, vec_id, CASE WHEN bad = 1 OR max(CASE WHEN batch = 0 THEN bad END) OVER (PARTITION BY label) = 1 THEN NULL ELSE vec_id / 2.0::DOUBLE END AS result FROM f""")
 def x17(spark, d):
-    """A batch that fails gives nulls for its rows only."""
+    """Eight vectors of a label are a batch; one with a vector that can't be taken fails."""
 
     def half(b: pd.DataFrame) -> pd.DataFrame:
-        if (b["vec_id"] < 0).any():
-            raise ValueError("bad batch")
+        if (b["vec_id"] % 29 == 3).any():
+            raise clusters.BatchFailed("a vector that can't be taken")
         return b.assign(result=b["vec_id"] / 2)
 
-    return table(spark, d, "embeddings").select("vec_id").mapInPandas(lambda it: clusters.ordered_batches(it, half), "vec_id long, result double")
+    e = table(spark, d, "embeddings").select("label", "vec_id")
+    return clusters.isolated(e, "label", "vec_id", 8, half, "result double")

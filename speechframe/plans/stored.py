@@ -7,9 +7,10 @@ from pyspark.sql import types as T
 
 from ..registry import query
 from ..session import table
-from ..sources import files
+from ..operators.store import KeyedStore
+from ..sources import binary, files
+from ..storage import scratch
 from .readings import INCIDENTS_SQL, incidents
-from .streams import scratch
 
 
 @query("s5_k9_event_log", f"WITH {INCIDENTS_SQL} SELECT code, CAST(day AS VARCHAR) AS day, count(*) AS n FROM incidents GROUP BY 1, 2")
@@ -84,17 +85,82 @@ def rounded_levels(df):
     return df.select("path", "frame_no", F.round("rms", 6).alias("rms"), F.round("peak", 6).alias("peak"))
 
 
+def stored(spark, d, share: float = 1.0):
+    """The recordings as files of a folder, each up to a share of its bytes."""
+    r = recordings(spark, d)
+    size = F.ceil(F.octet_length("content") * share).cast("int")
+    return r.select(F.concat("path", F.lit(".wav")).alias("name"), F.substring(F.col("content"), F.lit(1), size).alias("content"))
+
+
+def by_user(df):
+    return rounded_levels(df.withColumn("path", F.regexp_extract("path", r"([^/]+)\.wav$", 1)))
+
+
 @query("s12_s13_recordings", f"WITH {SAMPLES_SQL}, {FRAMES_SQL.format('g')}")
 def s12(spark, d):
-    """Samples start after the data chunk's head, wherever that is; they are turned to floats some frames at a time."""
-    return rounded_levels(files.frames(recordings(spark, d), 8))
+    """Files read by byte range, several tasks a file; samples start after the data chunk's head, wherever that is."""
+    out = scratch(spark, "recordings")
+    binary.write_files(stored(spark, d), out)
+    return by_user(binary.recorded_frames(spark, out, frame=8, split_bytes=1024))
 
 
-@query("s11_growing_recording", f"WITH {SAMPLES_SQL}, t AS (SELECT user_id, s[len(s) // 2 + 1:] AS s FROM g), {FRAMES_SQL.format('t')}")
+@query("s11_growing_recording", f"SELECT * FROM (WITH {SAMPLES_SQL}, w AS (SELECT user_id, s[:len(s) // 8 * 8] AS s FROM g), {FRAMES_SQL.format('w')})")
 def s11(spark, d):
-    """What was added since the first half was read."""
-    r = recordings(spark, d).withColumn("seen", F.octet_length("content") - 2 * F.ceil(F.col("n") / 2))
-    return rounded_levels(files.frames(r, 8, "seen"))
+    """Recordings that grow between two runs of one stream: every whole frame comes once."""
+    out = scratch(spark, "growing")
+    rows = f"{out}/rows"
+
+    def sink(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{rows}/batch={batch_id}")
+
+    from ..streaming.operators import drain
+
+    for share in (0.4, 1.0):
+        binary.write_files(stored(spark, d, share), f"{out}/files")
+        drain(binary.growing_frames(spark, f"{out}/files", frame=8, split_bytes=2048), sink, f"{out}/state")
+    return by_user(spark.read.schema(binary.FRAMES).parquet(f"{rows}/*"))
+
+
+LINES_SQL = """l AS (SELECT event_id, ts, event_id || chr(9) || event_type || chr(9) || user_id AS line FROM events), s AS (SELECT *, strlen(line) + 1 AS size FROM l),
+    b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 20000 AS g FROM s)"""
+
+
+@query("k9_rotated_log", f"WITH {LINES_SQL} SELECT event_id, line, CAST((SELECT max(g) FROM b) - g AS BIGINT) AS age FROM b WHERE g >= (SELECT max(g) FROM b) - 1")
+def k9(spark, d):
+    """A log in generations of 20,000 bytes: the current one (0) and its backup (1)."""
+    e = table(spark, d, "events").select("ts", "event_id", F.concat_ws("\t", F.col("event_id").cast("string"), "event_type", F.col("user_id").cast("string")).alias("line"))
+    return files.rotated(e, ["ts", "event_id"], "line", 20_000).select("event_id", "line", "age")
+
+
+NOTE_SQL = "'---' || chr(10) || 'id: ' || conv_id || chr(10) || '---' || chr(10) || text"
+
+
+@query("k12_stored_notes", f"SELECT conv_id, {NOTE_SQL} AS note, 1 + CAST(conv_id % 10 = 0 AS INTEGER) AS version FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE turn < 2 OR conv_id % 10 = 0) AS text FROM conversations GROUP BY 1) WHERE text IS NOT NULL")
+def k12(spark, d):
+    """Notes of meetings as they began, then of those that went on: an upsert by id that rewrites only the buckets it touches."""
+    c = table(spark, d, "conversations")
+
+    def notes(rows, version):
+        body = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x.text), "\n").alias("text"))
+        return body.select("conv_id", F.concat(F.lit("---\nid: "), F.col("conv_id").cast("string"), F.lit("\n---\n"), "text").alias("note"), F.lit(version).alias("version"))
+
+    first = notes(c.where("turn < 2"), 1)
+    store = KeyedStore(spark, scratch(spark, "notes"), first.schema, ["conv_id"], buckets=16)
+    store.upsert(first, {"note": "replace", "version": "replace"}, 0)
+    store.upsert(notes(c.where("conv_id % 10 = 0"), 2), {"note": "replace", "version": "replace"}, 1)
+    return store.read()
+
+
+@query("k10_atomic_files", "SELECT CAST(user_id AS VARCHAR) || '.json' AS name, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def k10(spark, d):
+    """A file a user, written twice: each is the old or the new one, whole; side files are renamed at the job's commit."""
+    out = scratch(spark, "atomic")
+    n = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    made = lambda x: n.select(F.concat(F.col("user_id").cast("string"), F.lit(".json")).alias("name"), F.to_json(F.struct(x.alias("n"))).cast("binary").alias("content"))
+    binary.write_files(made(F.lit(0)), out)
+    binary.write_files(made(F.col("n")), out)
+    read = spark.read.format("binaryFile").load(out)
+    return read.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.get_json_object(F.col("content").cast("string"), "$.n").cast("long").alias("n"))
 
 
 @query("s17_levels_sidecar", f"WITH {SAMPLES_SQL}, b AS (SELECT user_id, s, unnest(range(0, len(s) // 2)) AS i FROM g) SELECT CAST(user_id AS VARCHAR) AS path, i AS block, round(s[2 * i + 1] / 32768.0, 6) AS mic_rms, round(s[2 * i + 2] / 32768.0, 6) AS sys_rms FROM b")

@@ -2,33 +2,28 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..registry import query
 from ..session import table
+from ..storage import scratch
 from ..streaming import operators as ops
+from ..streaming import stateful
 
 BOOL = "CAST(ts AS DATE)"
 
 
-def scratch(spark, name: str) -> str:
-    """A folder that driver and executors share: beside the checkpoints where they are set, else a local one (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints/streams"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stream(spark, d):
-    """Events as a stream of files, with instants for event time."""
-    df = table(spark, d, "events")
+    """Events as a stream of files, with instants for event time. A source of files takes a folder, or the one file by a pattern that matches its name alone."""
     raw = spark.read.parquet(f"{d}/events.parquet").schema
-    path = f"{d}/events.parquet"
-    source = spark.readStream.schema(raw).option("pathGlobFilter", "*.parquet")
-    s = source.parquet(path if not os.path.isfile(path.removeprefix("file://")) else f"{d}/events.parquet*")
-    return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else s
+    try:
+        spark.read.schema("content binary").format("binaryFile").load(f"{d}/events.parquet/*.parquet")
+        path = f"{d}/events.parquet"
+    except AnalysisException:
+        path = f"{d}/events.parquet*"
+    s = spark.readStream.schema(raw).option("pathGlobFilter", "*.parquet").parquet(path)
+    return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run(spark, df, schema, mode: str = "append"):
@@ -42,27 +37,63 @@ def run(spark, df, schema, mode: str = "append"):
     return spark.read.schema(schema).parquet(f"{out}/rows/*")
 
 
-@query("x14_suppressed_repeats")
+@query("x14_suppressed_repeats", """WITH l AS (SELECT user_id, event_type, list({'t': epoch_us(ts), 'e': event_id} ORDER BY ts, event_id) AS l FROM events GROUP BY 1, 2),
+    k AS (SELECT user_id, event_type, list_reduce(l, lambda a, x: IF(len(a.k) = 0 OR x.t >= a.t + 43200000000, {'t': x.t, 'k': list_append(a.k, x.e)}, a), {'t': 0::BIGINT, 'k': CAST([] AS BIGINT[])}).k AS k FROM l)
+    SELECT user_id, event_type, e.event_id, epoch_us(e.ts) AS at_us FROM (SELECT user_id, event_type, unnest(k) AS event_id FROM k) JOIN events e USING (user_id, event_type, event_id)""")
 def x14(spark, d):
     s = ops.suppress_repeats(stream(spark, d), "user_id", "event_type", "ts", 43_200.0)
-    return run(spark, s, s.schema)
+    return run(spark, s, s.schema).select("user_id", "event_type", "event_id", F.unix_micros("ts").alias("at_us"))
 
 
-@query("x13_due_reminders")
+@query("x13_due_reminders", """WITH t AS (SELECT user_id AS task_id, event_id AS ord, ts, event_type = 'error' AS opens, CASE WHEN event_type = 'error' THEN ts + INTERVAL 1 DAY END AS due FROM events WHERE event_type IN ('error', 'purchase')),
+    n AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 MICROSECOND AS now FROM t),
+    s AS (SELECT task_id, ts, ord, opens, last_value(due IGNORE NULLS) OVER w AS due, lead(ts) OVER w AS later, now FROM t, n WHERE ts <= now WINDOW w AS (PARTITION BY task_id ORDER BY ts, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    c AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts, ord) AS k FROM s WHERE opens AND greatest(due, ts) <= least(coalesce(later, now), now))
+    SELECT task_id, epoch_us(due) / 1000000.0 AS due FROM c WHERE k = 1""")
 def x13(spark, d):
-    """An error opens a task due a day later; the user's later events show the time, a purchase closes it."""
-    e = stream(spark, d)
+    """An error opens a task due a day later, or puts its time off; a purchase closes it."""
+    e = stream(spark, d).where("event_type in ('error', 'purchase')")
     due = F.when(F.col("event_type") == "error", F.col("ts") + F.expr("interval 1 day"))
-    tasks = e.select(F.col("user_id").alias("task_id"), F.when(F.col("event_type") == "purchase", "done").otherwise("open").alias("status"), due.alias("due"), "ts")
-    s = ops.due_reminders(tasks)
-    return run(spark, s, s.schema)
+    tasks = e.select(F.col("user_id").alias("task_id"), F.when(F.col("event_type") == "purchase", "done").otherwise("open").alias("status"), due.alias("due"), "ts", F.col("event_id").alias("ord"))
+    s = stateful.due_reminders(tasks)
+    with stateful.timers(spark):
+        return run(spark, s, s.schema)
+
+
+def level_stream(spark, d, parts: int = 3):
+    """Every user's levels (m, frame, rms) and number of frames, as a stream that comes in several files, not in their order."""
+    from .speech import levels
+
+    rows = levels(spark, d)
+    ends = rows.groupBy("m").agg(F.count("*").alias("frame")).withColumn("rms", F.lit(None).cast("double"))
+    out = scratch(spark, "levels")
+    both = rows.unionByName(ends)
+    both.withColumn("part", F.pmod(F.xxhash64("m", F.floor(F.col("frame") / 40)), F.lit(parts)).cast("int")).repartition(parts, "part").write.option("maxRecordsPerFile", 0).partitionBy("part").parquet(out)
+    return spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(out)
+
+
+@query("x1_streamed_windows")
+def x1(spark, d):
+    """X1 while the recordings grow: windows come as soon as they can be told, the same as of whole recordings."""
+    s = stateful.cut_stream(level_stream(spark, d), lambda: stateful.WindowCutter(step=1.0))
+    with stateful.timers(spark):
+        return run(spark, s, s.schema)
+
+
+@query("x3_streamed_cuts")
+def x3(spark, d):
+    s = stateful.cut_stream(level_stream(spark, d), lambda: stateful.TailCutter(step=1.0, target=10.0, run=2, quiet=0.03))
+    with stateful.timers(spark):
+        return run(spark, s, s.schema).select("m", F.col("first").alias("cut"))
 
 
-@query("x4_tiles")
+@query("x4_tiles", """WITH e AS (SELECT user_id, epoch_us(ts) // 1000000 / 4096.0 AS t, value FROM events), w AS (SELECT user_id, unnest([floor(t) - 1, floor(t)]) AS start, value FROM e),
+    g AS (SELECT user_id, start, sqrt(avg(value * value)) AS rms, count(*) AS n FROM w GROUP BY 1, 2)
+    SELECT user_id, CAST(start AS BIGINT) AS start, round(rms, 6) AS rms, n FROM g WHERE round(rms, 6) > 0.008 AND start + 2 <= (SELECT floor(max(t) * 1000) / 1000 - 10 FROM e)""")
 def x4(spark, d):
     e = stream(spark, d).select("user_id", F.timestamp_seconds(F.unix_timestamp("ts") / 4096).alias("ts"), "value")
     t = ops.tiles(e, "user_id", "ts", "value", "10 seconds")
-    s = t.select("user_id", F.col("t.start").alias("start"), F.round(F.sqrt("square"), 6).alias("rms"), "n").where("rms > 0.008")
+    s = t.select("user_id", F.unix_timestamp("t.start").alias("start"), F.round(F.sqrt("square"), 6).alias("rms"), "n").where("rms > 0.008")
     return run(spark, s, s.schema)
 
 

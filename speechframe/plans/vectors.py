@@ -139,9 +139,12 @@ def v16(spark, d):
 
 @query("v10_enrolled")
 def v10(spark, d):
-    new = voices(spark, d).select((F.col("label") % 5).alias("id"), F.concat(F.lit("Name "), F.col("label") % 5).alias("name"), F.col("v").alias("centroid"), (10.0 + F.col("vec_id") % 7).alias("seconds"), F.col("vec_id").alias("ord"))
-    known = bank(spark, d).where("label < 3").select(F.col("label").alias("id"), F.concat(F.lit("Name "), "label").alias("name"), "centroid", F.lit(60.0).alias("seconds"), F.lit(1).alias("meetings"))
-    return clusters.enrolled(known, new).select("id", "name", F.round(F.get("centroid", F.lit(0)), 6).alias("first"), F.round("seconds", 3).alias("seconds"), "meetings")
+    """Forty banks; evidence comes with an id, with a name in another case, or with a name that no bank knows."""
+    v, k = voices(spark, d), F.col("vec_id")
+    bank_of, name = (k % 40).alias("bank"), F.concat(F.lit("Name "), F.col("label") % 5)
+    new = v.where("vec_id >= 40").select(bank_of, k.alias("ord"), F.when(k % 3 == 0, F.lit(1)).alias("id"), F.when(k % 3 == 1, F.upper(name)).otherwise(name).alias("name"), F.col("v").alias("centroid"), (10.0 + k % 7).alias("seconds"))
+    known = v.where("vec_id < 40").select(bank_of, F.lit(1).alias("id"), name.alias("name"), F.col("v").alias("centroid"), F.lit(60.0).alias("seconds"), F.lit(1).alias("meetings"))
+    return clusters.enrolled(known, new).select("bank", "id", "name", F.round(F.get("centroid", F.lit(0)), 6).alias("first"), F.round("seconds", 3).alias("seconds"), "meetings")
 
 
 @query("j11_v17_assignment")

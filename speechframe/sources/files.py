@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import cut, running_total
+
 EVENTS = T.StructType([T.StructField("ts", T.StringType()), T.StructField("code", T.StringType()), T.StructField("level", T.StringType()), T.StructField("ctx", T.MapType(T.StringType(), T.StringType()))])
 RULES = T.StructType([
     T.StructField("version", T.IntegerType()), T.StructField("default", T.StringType()),
@@ -79,34 +81,6 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def frames(recordings: DataFrame, frame: int = 1600, read: str | None = None) -> DataFrame:
-    """(path, frame_no, rms, peak) of 16-bit mono recordings (path, content), 4,096 frames at a time.
-
-    ``read`` names a column with the bytes of the file that were read before, as of one that grows: frames are counted from
-    there; a last odd byte waits for its other half. A content that is null or holds no samples gives no rows.
-    """
-    columns = ["path", "content", F.coalesce(F.col(read), F.lit(0)).cast("long").alias("__read") if read else F.lit(0).cast("long").alias("__read")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content, seen in zip(batch["path"], batch["content"], batch["__read"]):
-                if content is None:
-                    continue
-                at = max(wav_data_offset(content), int(seen))
-                raw = np.frombuffer(content, "<i2", count=(len(content) - at) // 2, offset=at) if len(content) > at + 1 else np.empty(0, "<i2")
-                for lo in range(0, len(raw), frame * 4096):
-                    piece = raw[lo : lo + frame * 4096].astype(np.float32) / 32768.0
-                    n = -(-len(piece) // frame)
-                    rows = [piece[k * frame : (k + 1) * frame] for k in range(n)]
-                    yield pd.DataFrame({"path": name, "frame_no": np.arange(lo // frame, lo // frame + n, dtype=np.int64), "rms": [float(np.sqrt(np.mean(x.astype(float) ** 2))) for x in rows], "peak": [float(np.max(np.abs(x))) for x in rows]})
-
-    return recordings.select(*columns).mapInPandas(run, "path string, frame_no long, rms double, peak double")
-
-
-def wav_frames(spark: SparkSession, path: str, frame: int = 1600) -> DataFrame:
-    return frames(contents(spark, path), frame)
-
-
 def levels(sidecars: DataFrame) -> DataFrame:
     """(path, block, mic_rms, sys_rms) of N x 2 little-endian float32 contents; a torn last pair is left out."""
 
@@ -141,6 +115,18 @@ def append_events(events: DataFrame, path: str) -> None:
     events.withColumn("ctx", F.map_filter("ctx", lambda k, v: k != "text")).write.mode("append").json(path)
 
 
+def rotated(lines: DataFrame, order: list[str], line: str, limit: int = 2_000_000, keep: int = 2) -> DataFrame:
+    """The last ``keep`` generations of a log, with ``age`` (0 is the current one).
+
+    A generation ends with the line that reaches the next multiple of ``limit`` bytes, a line feed after each line counted in.
+    Running totals are prefix sums over range-sorted partitions, so no task sees the whole log.
+    """
+    sized = lines.withColumn("__size", F.coalesce(F.octet_length(line), F.lit(0)).cast("long") + 1)
+    dealt = cut(running_total(sized, order, "__size", "__before").withColumn("__gen", F.floor(F.col("__before") / limit)).drop("__size", "__before"))
+    last = dealt.agg(F.max("__gen")).first()[0]
+    return dealt.withColumn("age", F.lit(last).cast("long") - F.col("__gen")).where(F.col("age") < keep).drop("__gen")
+
+
 def templated(df: DataFrame, template: str, fields: list[str]) -> Column:
     """The template with every {{field}} filled in; an unfilled one fails the row."""
     out = F.lit(template)

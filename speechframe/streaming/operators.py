@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import upsert
+from ..operators.store import KeyedStore
 
 
 def drain(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -18,47 +19,41 @@ def drain(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str
     q.awaitTermination()
 
 
-def suppress_repeats(events: DataFrame, key: str, value: str, at: str, seconds: float = 10.0) -> DataFrame:
+def suppress_repeats(events: DataFrame, key: str, value: str, at: str, seconds: float = 10.0, late: str = "1 hour") -> DataFrame:
     """Drops an event equal to the key's last accepted one of that value less than ``seconds`` before.
 
     The last accepted time is explicit state: a watermarked duplicate filter would drop repeats however far apart within a batch.
+    It lives until the watermark (``late`` behind the latest event) has passed the time in which it can drop
+    anything. Of a batch's events only times and ids are held, 16 bytes each; accepted ones are found by search, not row by row.
     """
+    span = round(seconds * 1e6)
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values([at, "event_id"], kind="stable")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        parts = [(b[at].astype("datetime64[us]").astype("int64").to_numpy(), b["event_id"].to_numpy()) for b in batches]
+        times, ids = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+        order = np.lexsort((ids, times))
+        times, ids = times[order], ids[order]
+        i = int(np.searchsorted(times, state.get[0] + span)) if state.exists else 0
         keep = []
-        for i, t in enumerate(rows[at].astype("int64") / 1e9):
-            if last is None or t - last >= seconds:
-                keep.append(i)
-                last = t
-        state.update((last,))
-        yield rows.iloc[keep][[key, value, at, "event_id"]]
+        while i < len(times):
+            keep.append(i)
+            i = int(np.searchsorted(times, times[i] + span))
+        last = int(times[keep[-1]]) if keep else state.get[0]
+        until = (last + span) // 1000 + 1
+        if until > state.getCurrentWatermarkMs():
+            state.update((last,))
+            state.setTimeoutTimestamp(until)
+        elif state.exists:
+            state.remove()
+        if keep:
+            yield pd.DataFrame({key: k[0], value: k[1], at: pd.to_datetime(times[keep], unit="us"), "event_id": ids[keep]})
 
     schema = f"{key} long, {value} string, {at} timestamp, event_id long"
-    return events.select(key, value, at, "event_id").groupBy(key, value).applyInPandasWithState(run, schema, "last double", "append", GroupStateTimeout.NoTimeout)
-
-
-def due_reminders(tasks: DataFrame, at: str = "due") -> DataFrame:
-    """Tasks with the latest status per task: fired if still open when their time has come in the stream, cancelled if done before.
-
-    State per task: its due time and status; rows are (task_id, status, due, ts).
-    """
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        due, status, fired = state.get if state.exists else (None, "open", False)
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        out = []
-        for r in rows.itertuples():
-            due = getattr(r, at).timestamp() if pd.notna(getattr(r, at)) else due
-            if due is not None and status == "open" and not fired and r.ts.timestamp() >= due:
-                out.append((k[0], due))
-                fired = True
-            status = r.status
-        state.update((due, status, fired))
-        yield pd.DataFrame(out, columns=["task_id", "due"])
-
-    return tasks.groupBy("task_id").applyInPandasWithState(run, "task_id long, due double", "due double, status string, fired boolean", "append", GroupStateTimeout.NoTimeout)
+    rows = events.select(key, value, at, "event_id").withWatermark(at, late)
+    return rows.groupBy(key, value).applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tiles(frames: DataFrame, key: str, at: str, level: str, late: str = "1 hour") -> DataFrame:
@@ -74,12 +69,10 @@ def aligned(mic: DataFrame, system: DataFrame, at: str, slack: str = "10 seconds
     return j.select("m.key", "m.slot", F.col(f"m.{at}").alias(at), F.col("m.x").alias("mic"), F.coalesce("s.x", F.lit(0.0)).alias("sys"))
 
 
-def replayed(spark: SparkSession, reports: DataFrame, store: str, keys: list[str], rules: dict[str, str], checkpoint: str) -> None:
-    """Keyed replacement of a stored table by each batch; a batch that comes again changes nothing. Generations are written beside each other and the name of the last is kept."""
+def replayed(reports: DataFrame, store: KeyedStore, rules: dict[str, str], checkpoint: str) -> None:
+    """Keyed replacement in a stored table by each batch, which rewrites only the buckets of its keys; a batch that comes again changes nothing."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        new = batch.groupBy(*keys).agg(*[F.max(c).alias(c) for c in rules])
-        before = None if batch_id == 0 else spark.read.parquet(f"{store}/gen={batch_id - 1}")
-        (new if before is None else upsert.merge(before, new, keys, rules)).write.mode("overwrite").parquet(f"{store}/gen={batch_id}")
+        store.upsert(batch.groupBy(*store.keys).agg(*[F.max(c).alias(c) for c in rules]), rules, batch_id)
 
     drain(reports, sink, checkpoint)

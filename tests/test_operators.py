@@ -1,7 +1,6 @@
 """Merges, folds, timelines, clusters, sources and streams on small inputs."""
 
 import json
-import struct
 from datetime import date, datetime
 
 import numpy as np
@@ -179,13 +178,44 @@ def test_smoothing_follows_absorption(spark):
     assert labels("w6_smoothed") == {m: folds.median3(x) for m, x in labels("w7_absorbed").items()}
 
 
+KNOWN, NEW = "bank long, id long, name string, centroid array<double>, seconds double, meetings int", "bank long, ord long, id long, name string, centroid array<double>, seconds double"
+
+
 def test_enrolment(spark):
-    known = spark.createDataFrame([(1, "Ann", [1.0, 0.0], 30.0, 2)], "id long, name string, centroid array<double>, seconds double, meetings int")
-    new = spark.createDataFrame([(1, "Ann", [0.0, 1.0], 30.0, 0), (1, "Ann", [0.0, 1.0], 5.0, 1), (2, "Voix 3", [0.0, 1.0], 60.0, 0)], "id long, name string, centroid array<double>, seconds double, ord long")
+    known = spark.createDataFrame([(1, 1, "Ann", [1.0, 0.0], 30.0, 2)], KNOWN)
+    new = spark.createDataFrame([(1, 0, 1, "Ann", [0.0, 1.0], 30.0), (1, 1, 1, "Ann", [0.0, 1.0], 5.0), (1, 2, 2, "Voix 3", [0.0, 1.0], 60.0), (1, 3, None, " ", [0.0, 1.0], 60.0), (1, 4, None, "Bob", [0.0, 0.0], 60.0)], NEW)
     r = clusters.enrolled(known, new).collect()
     assert len(r) == 1 and r[0].meetings == 3 and r[0].seconds == 60.0 and r[0].centroid == pytest.approx([2**-0.5, 2**-0.5])
 
 
+def test_a_voice_is_found_by_name_after_its_id(spark):
+    known = spark.createDataFrame([(1, 1, "Marie", [1.0, 0.0], 30.0, 1), (1, 4, "Paul", [0.0, 1.0], 30.0, 1), (2, 1, "Eva", [0.0, 1.0], 30.0, 1)], KNOWN)
+    new = spark.createDataFrame([
+        (1, 0, 9, "marie", [1.0, 0.0], 20.0),  # an id no one has, a name in another case
+        (1, 1, 4, "Marie", [0.0, 1.0], 20.0),  # the id goes before the name, and renames
+        (1, 2, None, "PAUL", [1.0, 1.0], 20.0),  # no one has this name any more
+        (1, 3, None, "paul", [1.0, 1.0, 1.0], 20.0),  # found as named a moment ago; another dimension replaces
+        (2, 0, None, "Marie", [1.0, 0.0], 20.0),
+    ], NEW)
+    got = {(r.bank, r.id): (r.name, r.seconds, r.meetings, len(r.centroid)) for r in clusters.enrolled(known, new).collect()}
+    assert got == {(1, 1): ("marie", 50.0, 2, 2), (1, 4): ("Marie", 50.0, 2, 2), (1, 5): ("paul", 20.0, 2, 3), (2, 1): ("Eva", 30.0, 1, 2), (2, 2): ("Marie", 20.0, 1, 2)}
+
+
+def test_isolated_batches(spark):
+    def f(b):
+        if (b["x"] == 0).any():
+            raise clusters.BatchFailed("zero")
+        return b.assign(y=1.0 / b["x"])
+
+    df = spark.createDataFrame([(1, k, k + 1) for k in range(6)] + [(2, k, k) for k in range(6)] + [(3, k, int(k != 2)) for k in range(6)], "k long, ord long, x long")
+    got = {}
+    for r in clusters.isolated(df, "k", "ord", 2, f, "y double").orderBy("k", "ord").collect():
+        got.setdefault(r.k, []).append(r.y is None)
+    assert got == {1: [False] * 6, 2: [True] * 6, 3: [False, False, True, True, False, False]}
+    with pytest.raises(Exception, match="KeyError"):
+        clusters.isolated(df, "k", "ord", 2, lambda b: b["none"], "y double").collect()
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text('{"ts":"2024-01-01","code":"e1","level":"error","ctx":{"a":"b"}}\nnot json\n{"ts":"x","code":"e2","ctx":"plain"}\n')
     assert {r.code for r in files.jsonl(spark, f"file://{tmp_path}/e.jsonl").collect()} >= {"e1"}
@@ -198,11 +228,6 @@ def test_sources(spark, tmp_path):
 
     good, bad = files.json_lists(spark, f"file://{tmp_path}/v", T.StructType().add("id", T.StringType()).add("seconds", T.DoubleType()))
     assert rows(good) == [("voice_001", 3.0)] and bad.count() == 1
-    data = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 0, b"WAVE", b"fmt ", 16, 1, 1, 16000, 32000, 2, 16, b"data", 6400) + np.full(3200, 16384, "<i2").tobytes()
-    (tmp_path / "a.wav").write_bytes(data)
-    assert [(r.frame_no, round(r.rms, 3), r.peak) for r in files.wav_frames(spark, f"file://{tmp_path}/a.wav").orderBy("frame_no").collect()] == [(0, 0.5, 0.5), (1, 0.5, 0.5)]
-    parts = spark.createDataFrame([("a", bytearray(data + b"\x01"), len(data) - 4), ("b", bytearray(data), len(data)), ("c", None, 0), ("d", bytearray(b""), 0)], "path string, content binary, seen long")
-    assert rows(files.frames(parts, 1, "seen").select("path", "frame_no", "peak")) == [("a", 0, 0.5), ("a", 1, 0.5)]
     (tmp_path / "s.f32").write_bytes(np.array([[0.5, 0.25]], "<f4").tobytes())
     assert rows(files.sidecar(spark, f"file://{tmp_path}/s.f32").select("block", "mic_rms", "sys_rms")) == [(0, 0.5, 0.25)]
 
