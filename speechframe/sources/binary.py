@@ -8,11 +8,12 @@ Partitions are counted in frames and each task finds the samples by the file's
 head, so the driver reads sizes only.
 
 ``whole_files`` writes (name, content) as files: tasks write side files, the job's
-commit renames them, an abort removes them.
+commit renames them, an abort removes them, those of lost tasks too.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -141,29 +142,28 @@ class Written(WriterCommitMessage):
 
 
 class FilesWriter(DataSourceWriter):
+    """Made once a job, which has a hidden folder for its side files: without that folder a task that outlives its job can't write."""
+
     def __init__(self, folder: str):
         self.folder = folder.rstrip("/")
+        self.side = f"{self.folder}/.job-{uuid.uuid4().hex}"
+        storage.make_folder(self.side)
 
     def write(self, rows: Iterator) -> Written:
-        done: list[tuple[str, str]] = []
-        try:
-            for r in rows:
-                done.append((storage.write_side(self.folder, r["name"], bytes(r["content"] or b"")), f"{self.folder}/{r['name']}"))
-        except BaseException:
-            for side, _ in done:
-                storage.remove(side)
-            raise
+        done = []
+        for r in rows:
+            done.append((f"{self.side}/{uuid.uuid4().hex}", r["name"]))
+            storage.write_new(done[-1][0], bytes(r["content"] or b""))
         return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
         for m in messages:
-            for side, to in m.files if m else []:
-                storage.rename(side, to)
+            for side, name in m.files if m else []:
+                storage.rename(side, f"{self.folder}/{name}")
+        storage.remove_folder(self.side)
 
     def abort(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            for side, _ in m.files if m else []:
-                storage.remove(side)
+        storage.remove_folder(self.side)
 
 
 class WholeFiles(DataSource):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from urllib.parse import unquote, urlsplit
@@ -72,46 +73,46 @@ def open_input(uri: str):
     return store.open_input_file(path)
 
 
-def write_side(folder: str, name: str, content: bytes) -> str:
-    """Writes a file's content, down to the disk, under a name that readers don't see; returns that name."""
-    side = f"{folder.rstrip('/')}/.{name}.{uuid.uuid4().hex}.part"
-    if (path := local(side)) is not None:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
+def write_new(uri: str, content: bytes) -> None:
+    """Writes a file, down to the disk, in a folder that is there."""
+    if (path := local(uri)) is not None:
         with open(path, "wb") as f:
             f.write(content)
             f.flush()
             os.fsync(f.fileno())
     else:
-        store, path = _store(side)
-        store.create_dir(os.path.dirname(path), recursive=True)
+        store, path = _store(uri)
         with store.open_output_stream(path) as f:
             f.write(content)
-    return side
 
 
-def rename(side: str, to: str) -> None:
-    if local(side) is not None:
-        os.replace(local(side), local(to))
+def make_folder(uri: str) -> None:
+    if (path := local(uri)) is not None:
+        os.makedirs(path, exist_ok=True)
     else:
-        store, path = _store(side)
-        store.move(path, _store(to)[1])
+        store, path = _store(uri)
+        store.create_dir(path, recursive=True)
 
 
-def remove(uri: str) -> None:
+def remove_folder(uri: str) -> None:
     if (path := local(uri)) is not None:
-        if os.path.exists(path):
-            os.remove(path)
+        shutil.rmtree(path, ignore_errors=True)
     else:
         store, path = _store(uri)
-        store.delete_file(path)
+        store.delete_dir(path, missing_dir_ok=True)
 
 
-def write_whole(folder: str, name: str, content: bytes) -> None:
-    """Replaces a file at once: readers see the old or the new one."""
-    rename(write_side(folder, name, content), f"{folder.rstrip('/')}/{name}")
+def rename(side: str, to: str) -> None:
+    if local(side) is not None:
+        os.replace(local(side), local(to))
+    else:
+        store, path = _store(side)
+        store.move(path, _store(to)[1])
 
 
-def delete_tree(spark: SparkSession, uri: str) -> None:
-    """Removes a folder of the shared store."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def write_whole(folder: str, name: str, content: bytes) -> None:
+    """Replaces a file at once: readers see the old or the new one."""
+    make_folder(folder)
+    side = f"{folder.rstrip('/')}/.{name}.{uuid.uuid4().hex}"
+    write_new(side, content)
+    rename(side, f"{folder.rstrip('/')}/{name}")
