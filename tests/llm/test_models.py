@@ -201,3 +201,39 @@ def test_letters_beside_other_numerals(spark):
     got = {r.text: (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()}
     assert {t for t, (lang, _) in got.items() if lang == "und"} == {"42", "½ ² Ⅷ", "́̂", "_", "", None}
     assert all(v == ("und", 0.0) for v in got.values() if v[0] == "und") and got["m²"][0] == "en" and got["H₂"][0] == "de"
+
+
+def test_quality_scores_like_a_slow_solver(spark, docs):
+    """Whole scores, from texts to probabilities: ratios by counting, the optimum of the dual by projected gradients on the dense matrix, the logistic fit by small gradient steps."""
+    rng = np.random.default_rng(3)
+    good, bad = [f"fine{k}" for k in range(30)], [f"junk{k}" for k in range(30)]
+    texts = [" ".join(rng.choice((good if k % 3 else bad) + ["the", "of", "and", "even"] * 6, 12)) for k in range(80)]
+    label = [int(k % 3 > 0) if k % 13 else int(k % 3 == 0) for k in range(80)]
+    flags = np.zeros(quality.SIZE, bool)
+    found = sorted(zip(range(80), [quality.features(t, flags) for t in texts], label), key=lambda x: (x[0], len(x[1]), x[2]))
+    used = np.unique(np.concatenate([f for _, f, _ in found]))
+    hot = np.array([np.isin(used, f) for _, f, _ in found], float)
+    y = np.array([1.0 if t else -1.0 for *_, t in found])
+    apart = np.arange(80) % 5 == 4
+    counts = {t: hot[~apart & (y == t)].sum(0) + quality.ALPHA for t in (1, -1)}
+    total = {t: counts[t].sum() + quality.ALPHA * (quality.SIZE - len(used)) for t in (1, -1)}
+    r = np.log(counts[1] / total[1]) - np.log(counts[-1] / total[-1])
+    x = hot * r / np.sqrt(((hot * r) ** 2).sum(1, keepdims=True) + 1e-12)
+    x1, t = np.c_[x, np.ones(80)][~apart], y[~apart]
+    cost = np.where(t > 0, len(t) / (2 * (t > 0).sum()), len(t) / (2 * (t < 0).sum())) * quality.C
+    gram, alpha = (x1 * t[:, None]) @ (x1 * t[:, None]).T, np.zeros(len(t))
+    step = 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(20_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, cost)
+    margin = np.c_[x, np.ones(80)] @ ((alpha * t) @ x1)
+    m, u = margin[apart], (y[apart] > 0).astype(float)
+    u = np.where(u > 0, (u.sum() + 1) / (u.sum() + 2), 1 / ((1 - u).sum() + 2))
+    a, b = 1.0, 0.0
+    for _ in range(200_000):
+        p = 1 / (1 + np.exp(-(a * m + b)))
+        a, b = a - 0.05 * (((p - u) * m).sum() + 1e-3 * (a - 1)), b - 0.05 * (p - u).sum()
+    want = 1 / (1 + np.exp(-(a * margin + b)))
+    model = quality.fit(docs(list(enumerate(texts))), spark.createDataFrame(list(enumerate(label)), "doc_id long, label int"))
+    got = {r_.doc_id: r_ for r_ in quality.score(docs(list(enumerate(texts))), model).collect()}
+    assert max(abs(got[k].score - want[k]) for k in range(80)) < 0.03
+    assert all(got[k].predicted == int(got[k].score >= 0.3) for k in range(80)) and want.min() < 0.3 < want.max()
