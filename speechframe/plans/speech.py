@@ -209,19 +209,23 @@ PHRASES = (
 
 
 def phrases(spark, d):
-    pick = F.element_at(F.array(*map(F.lit, PHRASES)), (F.pmod("o_orderkey", F.lit(len(PHRASES))) + 1).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", pick.alias("text"), (F.col("o_orderdate") + F.expr("make_interval(0, 0, 0, 0, o_orderkey % 24, 0, 0)")).alias("now"))
+    """Every turn as it was said, each at a clock of its own; even turns begin with a reminder."""
+    k = F.col("conv_id") + F.col("turn")
+    pick = F.element_at(F.array(*map(F.lit, PHRASES)), (F.pmod(F.col("conv_id"), F.lit(len(PHRASES))) + 1).cast("int"))
+    said = F.when(F.col("turn") % 2 == 0, F.concat(pick, F.lit(". "), "text")).otherwise(F.col("text"))
+    c = table(spark, d, "conversations").repartition(spark.sparkContext.defaultParallelism, "conv_id", "turn")  # reading is long work on little data
+    return c.select("conv_id", "turn", said.alias("text"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), k)).alias("now"))
 
 
 @query("f5_f8_reminders")
 def f8(spark, d):
-    """Phrases at a given clock."""
-    return phrases(spark, d).withColumn("r", reminders.reminder("text", "now")).select("o_orderkey", "r.title", "r.due", "r.wording", "r.confidence", "r.lead_minutes")
+    """Times and titles of whole turns at a given clock."""
+    return phrases(spark, d).withColumn("r", reminders.reminder("text", "now")).select("conv_id", "turn", "r.title", "r.due", "r.wording", "r.confidence", "r.lead_minutes")
 
 
 @query("p17_p18_detected")
 def p17(spark, d):
-    return phrases(spark, d).withColumn("r", reminders.reminder("text", "now")).select("o_orderkey", "r.reminder", "r.timed")
+    return phrases(spark, d).withColumn("r", reminders.reminder("text", "now")).select("conv_id", "turn", "r.reminder", "r.timed")
 
 
 @query("f28_transcript_source")

@@ -24,14 +24,15 @@ def s5(spark, d):
     return log.groupBy("code", F.col("ts").alias("day")).agg(F.count("*").alias("n"))
 
 
-@query("s6_json_documents", "SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_nationkey % 5 <> 0")
+@query("s6_json_documents", "SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey // 20 % 5 <> 0")
 def s6(spark, d):
-    """A document per group; one group's is broken and set aside."""
+    """A document for every twenty suppliers; each fifth is broken and set aside."""
     out = scratch(spark, "voices")
-    rows = table(spark, d, "supplier").groupBy((F.col("s_nationkey") % 5).alias("g")).agg(F.to_json(F.collect_list(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))).alias("value"))
-    text = rows.withColumn("value", F.when(F.col("g") == 0, F.left("value", F.char_length("value") - 5)).otherwise(F.col("value")))
-    text.repartition(5, "g").write.partitionBy("g").text(out)
-    good, _ = files.json_lists(spark, f"{out}/*", T.StructType().add("id", T.LongType()).add("name", T.StringType()))
+    part = F.floor(F.col("s_suppkey") / 20)
+    rows = table(spark, d, "supplier").groupBy(part.alias("part")).agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))))).alias("value"))
+    text = F.when(F.col("part") % 5 == 0, F.left("value", F.char_length("value") - 5)).otherwise(F.col("value"))
+    binary.write_files(rows.select(F.concat(F.col("part").cast("string"), F.lit(".json")).alias("name"), text.cast("binary").alias("content")), out)
+    good, _ = files.json_lists(spark, out, T.StructType().add("id", T.LongType()).add("name", T.StringType()))
     return good
 
 
