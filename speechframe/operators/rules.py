@@ -32,16 +32,25 @@ def nfc(text: str | None) -> str:
     return unicodedata.normalize("NFC", text or "")
 
 
-@lru_cache(maxsize=4096)
 def one_case(c: str) -> str:
     """One letter for all that match each other in any case; always one character."""
-    low = ALSO.get(c) or (c.casefold() if len(c.casefold()) == 1 else c.lower() if len(c.lower()) == 1 else c)
-    return low
+    low = ALSO.get(c) or (c.lower() if len(c.lower()) == 1 else c)
+    return ALSO.get(low) or (low.casefold() if len(low.casefold()) == 1 else low)
+
+
+class Cases(dict):
+    """`one_case` by code point, worked out as letters are met."""
+
+    def __missing__(self, point: int) -> str:
+        self[point] = c = one_case(chr(point))
+        return c
+
+
+CASES = Cases()
 
 
 def key_of(text: str) -> str:
-    low = text.lower()
-    return low if low.isascii() and len(low) == len(text) else "".join(map(one_case, text))
+    return text.lower() if text.isascii() else text.translate(CASES)
 
 
 @lru_cache(maxsize=4096)
@@ -92,10 +101,10 @@ class Glossary:
             if not spots:
                 continue
             text = "".join([*made, text[at:]])
-            for end in spots:
-                near = text[max(0, end - len(right) - self.widest) : end + self.widest]
-                for k in self.seen(near):
-                    if k > i and k not in known:
+            if len(known) < len(self.rules):  # all neighbourhoods in one scan; what it finds across their borders is tried in vain
+                near = "\0".join([text[max(0, end - len(right) - self.widest) : end + self.widest] for end in spots])
+                for k in set(self.seen(near)) - known:
+                    if k > i:
                         known.add(k)
                         heapq.heappush(todo, k)
         return text
