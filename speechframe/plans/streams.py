@@ -9,7 +9,7 @@ from ..registry import query
 from ..session import table
 from ..storage import scratch
 from ..streaming import operators as ops
-from ..streaming import stateful
+from ..streaming import queues, stateful
 
 BOOL = "CAST(ts AS DATE)"
 
@@ -112,6 +112,48 @@ def x8(spark, d):
     return run(spark, s, s.schema)
 
 
+def queue_sql(put: str, items: str, given_up: str = "a.q", most: str = "true") -> str:
+    """A user's rows in order, folded by ``list_reduce``: ``put`` is the queue after an item came, ``items`` the order of service, ``given_up`` the queue without what waited too long."""
+    return f"""WITH n AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 MICROSECOND AS now FROM events),
+    l AS (SELECT user_id, list({{'take': event_type = 'purchase', 'x': {{'p': CASE event_type WHEN 'error' THEN 0 ELSE 1 END, 't': epoch_us(ts), 'e': event_id}}}} ORDER BY ts, event_id) AS l FROM events, n WHERE ts <= now GROUP BY 1),
+    s AS (SELECT user_id, list_reduce(list_transform(l, lambda r: {{'r': r, 'q': CAST([] AS STRUCT(p INTEGER, t BIGINT, e BIGINT)[]), 'd': 0::BIGINT, 'g': 0::BIGINT, 'o': CAST([] AS STRUCT(e BIGINT, item BIGINT, waited DOUBLE, d BIGINT, g BIGINT)[])}}),
+        lambda a, r: list_transform([{{'q': {given_up}, 'r': r.r}}], lambda k: CASE
+            WHEN k.r.take THEN {{'r': k.r, 'q': ({items})[2:], 'd': a.d, 'g': a.g + len(a.q) - len(k.q), 'o': list_append(a.o, {{'e': k.r.x.e, 'item': ({items})[1].e, 'waited': (k.r.x.t - ({items})[1].t) / 1e6::DOUBLE, 'd': a.d, 'g': a.g + len(a.q) - len(k.q)}})}}
+            ELSE {{'r': k.r, 'q': {put}, 'd': a.d + CASE WHEN {most} THEN 0 ELSE 1 END, 'g': a.g + len(a.q) - len(k.q), 'o': a.o}} END)[1], {START}).o AS o FROM l)
+    SELECT user_id, o.e AS event_id, o.item AS item, round(o.waited, 6) AS waited, o.d AS dropped, o.g AS expired FROM (SELECT user_id, unnest(o) AS o FROM s)"""
+
+
+START = "{'r': NULL, 'q': CAST([] AS STRUCT(p INTEGER, t BIGINT, e BIGINT)[]), 'd': 0::BIGINT, 'g': 0::BIGINT, 'o': CAST([] AS STRUCT(e BIGINT, item BIGINT, waited DOUBLE, d BIGINT, g BIGINT)[])}"
+
+
+def queue(spark, d, **rules):
+    """Purchases take what a user's other events put; errors go first where priority counts."""
+    e = stream(spark, d)
+    rows = e.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("ord"), (F.col("event_type") == "purchase").alias("take"), rules.pop("priority", F.lit(1)).alias("priority"))
+    s = queues.served(rows, **rules)
+    with stateful.timers(spark):
+        got = run(spark, s, s.schema)
+    return got.select(F.col("key").alias("user_id"), F.col("ord").alias("event_id"), "item", F.round("waited", 6).alias("waited"), "dropped", "expired")
+
+
+@query("x6_streamed_queue", queue_sql("CASE WHEN len(k.q) < 3 THEN list_append(k.q, k.r.x) ELSE k.q END", "k.q", most="len(k.q) < 3"))
+def x6(spark, d):
+    """X6 as a stream: a queue of three, the newcomer is dropped and counted."""
+    return queue(spark, d, most=3)
+
+
+@query("x7_streamed_ring", queue_sql("list_append(k.q, k.r.x)[-3:]", "k.q", most="len(k.q) < 3"))
+def x7(spark, d):
+    """X7 as a stream: a ring of three, the oldest makes room."""
+    return queue(spark, d, most=3, drop="oldest")
+
+
+@query("x9_streamed_jobs", queue_sql("list_append(k.q, k.r.x)", "list_sort(k.q)", given_up="list_filter(a.q, lambda y: r.r.x.t - y.t <= 432000000000)"))
+def x9(spark, d):
+    """X9 as a stream: errors before all else, first come first served; what has waited five days is given up, which isn't the worker's fault."""
+    return queue(spark, d, priority=F.when(F.col("event_type") == "error", 0).otherwise(1), patience=432_000.0)
+
+
 @query("x11_periodic_flush", f"SELECT {BOOL} AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def x11(spark, d):
     """Counters flushed by trigger; the last state of each is what counts."""
