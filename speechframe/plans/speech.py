@@ -11,7 +11,8 @@ from ..functions import reminders, text
 from ..operators import clusters, folds, intervals, sequence
 from ..registry import query
 from ..session import table
-from .timeline import KEY, turns, segments
+from .text import BOILERPLATE_SQL, TIDY_SQL, replaced_sql, without_repeats_sql
+from .timeline import ISLAND, KEY, SEG_SQL, TURN_SQL, turns, segments
 
 
 def words(spark, d):
@@ -24,11 +25,24 @@ def words(spark, d):
     return at.select("m", "ord", F.concat(F.lit(" "), "tok").alias("word"), "start", (F.col("start") + 0.4).alias("end"), F.when(slip, "user").otherwise(F.col("role")).alias("speaker"))
 
 
+#: words as SQL, a row a token.
+WORDS_SQL = """tok AS (SELECT conv_id AS m, turn, role, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM conversations),
+    flat AS (SELECT m, turn, role, unnest(w) AS tok, generate_subscripts(w, 1) - 1 AS i FROM tok), num AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY turn, i) AS ord FROM flat),
+    words AS (SELECT m, ord, ' ' || tok AS word, ord * 0.45::DOUBLE + turn * 1.0::DOUBLE AS start, ord * 0.45::DOUBLE + turn * 1.0::DOUBLE + 0.4::DOUBLE AS "end", CASE WHEN i = 0 AND turn % 2 = 1 THEN 'user' ELSE role END AS speaker FROM num)"""
+
+
 def rounded(df):
     return df.withColumns({c: F.round(c, 6) for c in ("start", "end")})
 
 
-@query("w7_absorbed")
+#: Each short segment looks left or right; what stands on the left is as it was decided.
+ABSORBED_SQL = f"""{SEG_SQL}, side AS (SELECT *, "end" - start AS len, lag("end" - start) OVER o AS a, lead("end" - start) OVER o AS b, lead(speaker) OVER o AS after FROM seg WINDOW o AS (PARTITION BY m ORDER BY start, ord)),
+    pick AS (SELECT *, CASE WHEN len >= 1 OR a IS NULL AND b IS NULL THEN speaker WHEN a IS NULL OR b > a THEN after END AS taken FROM side),
+    folded AS (SELECT m, list(ord ORDER BY start, ord) AS ords, list_reduce(list({{'taken': taken, 'l': [taken]}} ORDER BY start, ord), lambda x, y: {{'taken': y.taken, 'l': list_append(x.l, coalesce(y.taken, x.l[-1]))}}).l AS l FROM pick GROUP BY 1),
+    absorbed AS (SELECT m, unnest(ords) AS ord, unnest(l) AS speaker FROM folded)"""
+
+
+@query("w7_absorbed", f"WITH {ABSORBED_SQL} SELECT m, ord, speaker FROM absorbed")
 def w7(spark, d):
     def f(p: pd.DataFrame) -> pd.DataFrame:
         return p[["ord"]].assign(speaker=folds.absorb_short(p["start"].to_numpy(), p["end"].to_numpy(), p["speaker"].tolist()))
@@ -36,14 +50,19 @@ def w7(spark, d):
     return folds.fold(segments(spark, d).select("m", "ord", "start", "end", "speaker"), "m", ["start", "ord"], f, "m long, ord long, speaker string")
 
 
-@query("w6_smoothed")
+FLIPS_SQL = "flips AS (SELECT m, ord, CASE WHEN lag(speaker) OVER w = lead(speaker) OVER w THEN lag(speaker) OVER w ELSE speaker END AS speaker FROM absorbed WINDOW w AS (PARTITION BY m ORDER BY ord))"
+
+
+@query("w6_smoothed", f"WITH {ABSORBED_SQL}, {FLIPS_SQL} SELECT m, ord, speaker FROM flips")
 def w6(spark, d):
     """Flips judged on the labels as they are after W7."""
     labels = w7(spark, d)
     return labels.select("m", "ord", sequence.single_flips(labels, ["m"], ["ord"], "speaker").alias("speaker"))
 
 
-@query("w9_postprocessed")
+@query("w9_postprocessed", f"""WITH {ABSORBED_SQL}, {FLIPS_SQL}, t AS (SELECT f.m, f.ord, f.speaker, start, "end" FROM flips f JOIN seg s ON s.m = f.m AND s.ord = f.ord),
+    l AS (SELECT *, lag(speaker) OVER w AS p, lag("end") OVER w AS q FROM t WINDOW w AS (PARTITION BY m ORDER BY start, ord)), i AS (SELECT *, {ISLAND.format('p IS NULL OR p <> speaker OR start - q > 0.5')} AS island FROM l)
+    SELECT m, CAST(island - 1 AS BIGINT) AS ord, round(min(start), 6) AS start, round(arg_max("end", ord), 6) AS "end", speaker FROM i GROUP BY m, island, speaker""")
 def w9(spark, d):
     return rounded(folds.fold(segments(spark, d).select("m", "ord", "start", "end", "speaker"), "m", ["start", "ord"], folds.postprocess, "m long, ord long, start double, end double, speaker string"))
 
@@ -78,7 +97,15 @@ def voted_units(spark, d):
     return spans.join(intervals.weighted(spans, turns(spark, d), KEY), "lid").select("m", "island", "start", "end", "label", "share")
 
 
-@query("w14_continuity")
+@query("w14_continuity", f"""WITH {TURN_SQL}, {WORDS_SQL}, l AS (SELECT *, lag("end") OVER (PARTITION BY m ORDER BY ord) AS p FROM words),
+    n AS (SELECT *, sum(CASE WHEN p IS NULL OR start - p >= 0.25 THEN 1 ELSE 0 END) OVER (PARTITION BY m ORDER BY ord ROWS UNBOUNDED PRECEDING) AS island FROM l),
+    u AS (SELECT m, island, min(start) AS start, max("end") AS "end" FROM n GROUP BY 1, 2),
+    v AS (SELECT u.m, island, t.label, round(sum(least(t."end", u."end") - greatest(t.start, u.start)), 9) AS s FROM u JOIN turns t ON t.m = u.m AND t.start < u."end" AND t."end" > u.start GROUP BY 1, 2, 3),
+    b AS (SELECT m, island, arg_max(label, s * 1000 - label) AS label, max(s) / sum(s) AS share FROM v GROUP BY 1, 2),
+    g AS (SELECT m, island, label, share, u.start - lag(u."end") OVER (PARTITION BY m ORDER BY island) AS gap FROM b JOIN u USING (m, island)),
+    r AS (SELECT m, list({{'i': island, 'l': [label], 'keep': coalesce(gap < 0.25 AND share < 0.6, false)}} ORDER BY island) AS r FROM g GROUP BY 1),
+    f AS (SELECT m, list_transform(r, lambda x: x.i) AS i, list_reduce(r, lambda a, x: {{'i': x.i, 'l': list_append(a.l, CASE WHEN x.keep THEN a.l[-1] ELSE x.l[1] END), 'keep': x.keep}}).l AS l FROM r)
+    SELECT m, CAST(unnest(i) AS BIGINT) AS island, unnest(l) AS label FROM f""")
 def w14(spark, d):
     def f(p: pd.DataFrame) -> pd.DataFrame:
         kept = folds.continued(p["label"].tolist(), p["share"].to_numpy(), p["start"].to_numpy(), p["end"].to_numpy())
@@ -98,7 +125,10 @@ def w17(spark, d):
     return packed.select("conv_id", "n_words", F.size(text.words(text.merged(F.col("windows")))).alias("n_merged"))
 
 
-@query("w19_split_regions")
+@query("w19_split_regions", f"""WITH {WORDS_SQL}, l AS (SELECT m, arg_min(start, ord) AS first, arg_max("end", ord) AS last, list({{'at': arg_min_start, 'e': "end", 'cut': CAST([] AS STRUCT(s DOUBLE, e DOUBLE)[])}} ORDER BY ord) AS l FROM (SELECT *, first_value(start) OVER (PARTITION BY m ORDER BY ord) AS arg_min_start FROM words) GROUP BY 1),
+    r AS (SELECT m, last, list_reduce(l, lambda a, x: CASE WHEN x.e - a.at >= 6.0 THEN {{'at': x.e, 'e': x.e, 'cut': list_append(a.cut, {{'s': a.at, 'e': x.e}})}} ELSE {{'at': a.at, 'e': x.e, 'cut': a.cut}} END, {{'at': first, 'e': first, 'cut': CAST([] AS STRUCT(s DOUBLE, e DOUBLE)[])}}) AS r FROM l),
+    c AS (SELECT m, CASE WHEN last - r.at > 0.05 THEN list_append(r.cut, {{'s': r.at, 'e': last}}) ELSE r.cut END AS cut FROM r), u AS (SELECT m, unnest(cut) AS x, generate_subscripts(cut, 1) - 1 AS part FROM c)
+    SELECT m, part, round(x.s, 6) AS start, round(x.e, 6) AS "end" FROM u""")
 def w19(spark, d):
     def f(p: pd.DataFrame) -> pd.DataFrame:
         parts = folds.split_long(p["start"].to_numpy(), p["end"].to_numpy())
@@ -107,7 +137,12 @@ def w19(spark, d):
     return rounded(folds.fold(words(spark, d), "m", ["ord"], f, "m long, part long, start double, end double"))
 
 
-@query("w22_two_pass_attribution")
+@query("w22_two_pass_attribution", f"""WITH {TURN_SQL}, {WORDS_SQL}, g AS (SELECT m, start, ord, label, (ord * 37 + m) % 100 < 18 AS low, lag(label) OVER o AS a, lead(label) OVER o AS b FROM turns WINDOW o AS (PARTITION BY m ORDER BY start, ord)),
+    f AS (SELECT m, start, ord, CASE WHEN low OR coalesce(label <> a, false) OR coalesce(label <> b, false) OR avg(CAST(low AS INTEGER)) OVER (PARTITION BY m) > 0.06 THEN -1 ELSE label END AS sure FROM g),
+    s AS (SELECT w.m, w.ord, arg_max(f.sure, (f.start, f.ord)) AS sure FROM words w JOIN f ON f.m = w.m AND f.start <= w.start GROUP BY 1, 2), z AS (SELECT m, arg_min(sure, (start, ord)) AS sure FROM f GROUP BY 1),
+    n AS (SELECT w.m, w.ord, t.label, count(*) AS n FROM words w JOIN turns t ON t.m = w.m AND t.start < w."end" AND t."end" > w.start GROUP BY 1, 2, 3), v AS (SELECT m, ord, arg_max(label, n * 100 - label) AS own FROM n GROUP BY 1, 2),
+    c AS (SELECT w.m, w.ord, coalesce(CASE WHEN coalesce(s.sure, z.sure) >= 0 THEN coalesce(s.sure, z.sure) END, v.own) AS got FROM words w LEFT JOIN s USING (m, ord) LEFT JOIN z USING (m) LEFT JOIN v USING (m, ord))
+    SELECT m, ord, coalesce(got, last_value(got IGNORE NULLS) OVER (PARTITION BY m ORDER BY ord ROWS UNBOUNDED PRECEDING), 0) AS label FROM c""")
 def w22(spark, d):
     """Words of certain windows take the window's label (J9); the others their own vote, else the last one's before them."""
     windows = turns(spark, d).withColumn("margin", (F.col("ord") * 37 + F.col("m")) % 100 / 100.0)
@@ -122,7 +157,12 @@ def w22(spark, d):
     return j.withColumn("label", F.coalesce(got, F.last(got, True).over(back), F.lit(0))).select("m", "ord", "label")
 
 
-@query("w23_cascade")
+@query("w23_cascade", f"""WITH {TURN_SQL}, {WORDS_SQL}, w AS (SELECT *, (start + "end") / 2 AS mid FROM words),
+    n AS (SELECT w.m, w.ord, t.label, count(*) AS n FROM w JOIN turns t ON t.m = w.m AND t.start < w."end" AND t."end" > w.start WHERE w.m % 2 = 0 GROUP BY 1, 2, 3),
+    v AS (SELECT m, ord, ['assistant', 'system', 'user'][arg_max(label, n * 100 - label)] AS vote FROM n GROUP BY 1, 2),
+    d AS (SELECT w.m, w.ord, t.speaker, t.ord AS o, CASE WHEN t.start <= mid AND mid <= t."end" THEN 0 ELSE 1 END AS miss, CASE WHEN t.start <= mid AND mid <= t."end" THEN 0 WHEN mid > t."end" THEN mid - t."end" ELSE t.start - mid END AS dist FROM w JOIN turns t USING (m)),
+    near AS (SELECT m, ord, arg_min(speaker, (miss, dist, o)) AS near FROM d GROUP BY 1, 2)
+    SELECT m, ord, coalesce(CASE WHEN ord % 5 = 0 THEN 'user' END, vote, near, 'SPEAKER_UNKNOWN') AS speaker FROM w LEFT JOIN v USING (m, ord) LEFT JOIN near USING (m, ord)""")
 def w23(spark, d):
     """The precise label where there is one, else the window vote, else the nearest segment's."""
     w = words(spark, d).select("m", "ord", "start", "end", ((F.col("start") + F.col("end")) / 2).alias("mid"), (F.col("m") * 1_000_000 + F.col("ord")).alias("pid"))
@@ -174,11 +214,34 @@ def levels(spark, d):
     return e.select(F.col("user_id").alias("m"), frame.alias("frame"), (F.col("value") % 7 / 70.0).alias("rms"))
 
 
+#: Frames with the last quiet one so far; windows as a list and where the next one starts.
+FRAMES_SQL = """fr AS (SELECT user_id AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value % 7 / 70.0::DOUBLE AS level FROM events),
+    q AS (SELECT m, i, level, coalesce(max(CASE WHEN level < {0} THEN i END) OVER (PARTITION BY m ORDER BY i), -1) AS quiet FROM fr)"""
+NO_WINDOWS = "CAST([] AS STRUCT(a BIGINT, b BIGINT)[])"
+
+WINDOWS_SQL = f"""WITH {FRAMES_SQL.format(0.012)}, l AS (SELECT m, count(*) AS n, max(quiet) AS quiet, list({{'i': i, 'quiet': quiet}} ORDER BY i) AS l FROM q GROUP BY 1),
+    s AS (SELECT m, n, quiet, list_reduce(l, lambda a, x: CASE WHEN x.i - a.at + 1 < a.want THEN a
+        WHEN x.quiet > a.at + greatest(12, a.want - 8) THEN {{'at': greatest(a.at + 1, x.quiet), 'want': 25::BIGINT, 'w': list_append(a.w, {{'a': a.at, 'b': x.quiet + 1}})}}
+        WHEN a.want >= 40 THEN {{'at': a.at + 40, 'want': 25::BIGINT, 'w': list_append(a.w, {{'a': a.at, 'b': a.at + 40}})}}
+        ELSE {{'at': a.at, 'want': a.want + 10, 'w': a.w}} END, {{'at': 0::BIGINT, 'want': 25::BIGINT, 'w': {NO_WINDOWS}}}) AS s FROM l),
+    e AS (SELECT m, n, s.at AS pos, s.w AS w, CASE WHEN n - s.at < 25 THEN NULL WHEN quiet > s.at + greatest(12, n - s.at - 8) THEN quiet + 1 WHEN n - s.at >= 40 THEN s.at + 40 END AS b, n - s.at >= 25 AND quiet > s.at + greatest(12, n - s.at - 8) AS again FROM s),
+    f AS (SELECT m, n, CASE WHEN b IS NULL THEN pos WHEN again THEN greatest(pos + 1, b - 1) ELSE b END AS pos, CASE WHEN b IS NULL THEN w ELSE list_append(w, {{'a': pos, 'b': b}}) END AS w FROM e)
+    SELECT m, x.a AS first, x.b AS last FROM (SELECT m, unnest(CASE WHEN pos < n THEN list_append(w, {{'a': pos, 'b': n}}) ELSE w END) AS x FROM f)"""
+
+IMPORT_SQL = f"""WITH {FRAMES_SQL.format(0.012)}, l AS (SELECT m, count(*) AS n, list({{'i': i, 'quiet': quiet = i}} ORDER BY i) AS l FROM q GROUP BY 1),
+    s AS (SELECT m, n, list_reduce(l, lambda a, x: CASE WHEN x.quiet AND x.i >= a.at + 25 OR x.i = a.at + 39 THEN {{'at': x.i + 1, 'w': list_append(a.w, {{'a': a.at, 'b': x.i + 1}})}} ELSE a END, {{'at': 0::BIGINT, 'w': {NO_WINDOWS}}}) AS s FROM l)
+    SELECT m, x.a AS first, x.b AS last FROM (SELECT m, unnest(CASE WHEN s.at < n THEN list_append(s.w, {{'a': s.at, 'b': n}}) ELSE s.w END) AS x FROM s)"""
+
+CUTS_SQL = f"""WITH {FRAMES_SQL.format(0.03)}, l AS (SELECT m, list({{'i': i, 'quiet': quiet = i}} ORDER BY i) AS l FROM q GROUP BY 1),
+    s AS (SELECT m, list_reduce(l, lambda a, x: CASE WHEN x.i < a.want OR NOT x.quiet THEN {{'want': a.want, 'run': 0::BIGINT, 'c': a.c}} WHEN a.run = 1 THEN {{'want': x.i + 10, 'run': 0::BIGINT, 'c': list_append(a.c, x.i)}} ELSE {{'want': a.want, 'run': 1::BIGINT, 'c': a.c}} END, {{'want': 10::BIGINT, 'run': 0::BIGINT, 'c': CAST([] AS BIGINT[])}}).c AS c FROM l)
+    SELECT m, unnest(c) AS cut FROM s"""
+
+
 def cut(spark, d, f, schema: str):
     return folds.fold(levels(spark, d), "m", ["frame"], lambda p: f(p["rms"].to_numpy()), "m long, " + schema)
 
 
-@query("x1_live_windows")
+@query("x1_live_windows", WINDOWS_SQL)
 def x1(spark, d):
     def f(level: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame(folds.window_cuts(level, step=1.0), columns=["first", "last"])
@@ -186,7 +249,7 @@ def x1(spark, d):
     return cut(spark, d, f, "first long, last long")
 
 
-@query("x2_import_windows")
+@query("x2_import_windows", IMPORT_SQL)
 def x2(spark, d):
     def f(level: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame(folds.window_cuts(level, step=1.0, backwards=False, overlap=0.0), columns=["first", "last"])
@@ -194,7 +257,7 @@ def x2(spark, d):
     return cut(spark, d, f, "first long, last long")
 
 
-@query("x3_dictation_cuts")
+@query("x3_dictation_cuts", CUTS_SQL)
 def x3(spark, d):
     def f(level: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"cut": folds.tail_cuts(level, step=1.0, target=10.0, run=2, quiet=0.03)}, dtype="int64")
@@ -228,7 +291,10 @@ def p17(spark, d):
     return phrases(spark, d).withColumn("r", reminders.reminder("text", "now")).select("conv_id", "turn", "r.reminder", "r.timed")
 
 
-@query("f28_transcript_source")
+@query("f28_transcript_source", f"""WITH t AS (SELECT conv_id, turn, text, conv_id * 1000 + turn AS doc_id FROM conversations), b AS (SELECT doc_id, {replaced_sql('text', BOILERPLATE_SQL)} AS text FROM t), {without_repeats_sql('b')},
+    j AS (SELECT *, array_to_string(list_filter([regexp_replace(left(text, 40), '^\\s+|\\s+$', '', 'g'), regexp_replace(substr(text, 41), '^\\s+|\\s+$', '', 'g')], lambda x: x <> ''), ' ') AS w FROM t),
+    a AS (SELECT j.*, r.text AS clean, CASE WHEN conv_id % 7 = 0 THEN 'none' WHEN turn > 2 THEN 'tail' WHEN turn % 2 = 0 THEN 'small' ELSE 'large' END AS source FROM j LEFT JOIN r USING (doc_id))
+    SELECT conv_id, turn, source, sha256(CASE source WHEN 'none' THEN '' WHEN 'tail' THEN trim(regexp_replace(regexp_replace(regexp_replace(w, '\\s+', ' ', 'g'), ' ([,.;:!?…)\\]»%])', '\\1', 'g'), '([(\\[«]) ', '\\1', 'g')) WHEN 'small' THEN {TIDY_SQL.format('clean')} ELSE text END) AS sha FROM a""")
 def f28(spark, d):
     """Silence gives nothing; windows of the tail are assembled where there are any; else the sure small model's text, else the large one's."""
     c = table(spark, d, "conversations")
@@ -245,7 +311,12 @@ def f17(spark, d):
     return s.select("s_suppkey", F.coalesce(have, F.uuid()).alias("id"), have.isNull().alias("fresh"))
 
 
-@query("k12_meeting_notes")
+TITLE_SQL = "coalesce(nullif(rtrim(left(trim(regexp_replace(regexp_replace({0}, '[\\\\/:*?\"<>|\\n\\r\\t]+', ' ', 'g'), '\\s+', ' ', 'g')), 60)), ''), 'Réunion')"
+
+
+@query("k12_meeting_notes", f"""WITH f AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) AS n FROM conversations GROUP BY 1, 2),
+    b AS (SELECT conv_id, string_agg('**Voix ' || n || '**: ' || text, chr(10) || chr(10) ORDER BY turn) AS body, {TITLE_SQL.format('arg_min(text, turn)')} AS title FROM conversations JOIN f USING (conv_id, role) GROUP BY 1)
+    SELECT conv_id, title || '-' || conv_id || '.md' AS file, sha256('---' || chr(10) || 'id: ' || conv_id || chr(10) || '---' || chr(10) || '# ' || title || chr(10) || chr(10) || body) AS sha FROM b""")
 def k12(spark, d):
     """One note a meeting, found again by the id it carries; speakers numbered by first appearance."""
     c = table(spark, d, "conversations")

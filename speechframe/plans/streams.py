@@ -10,6 +10,7 @@ from ..session import table
 from ..storage import scratch
 from ..streaming import operators as ops
 from ..streaming import queues, stateful
+from .speech import CUTS_SQL, WINDOWS_SQL
 
 BOOL = "CAST(ts AS DATE)"
 
@@ -72,7 +73,7 @@ def level_stream(spark, d, parts: int = 3):
     return spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(out)
 
 
-@query("x1_streamed_windows")
+@query("x1_streamed_windows", WINDOWS_SQL)
 def x1(spark, d):
     """X1 while the recordings grow: windows come as soon as they can be told, the same as of whole recordings."""
     s = stateful.cut_stream(level_stream(spark, d), lambda: stateful.WindowCutter(step=1.0))
@@ -80,7 +81,7 @@ def x1(spark, d):
         return run(spark, s, s.schema)
 
 
-@query("x3_streamed_cuts")
+@query("x3_streamed_cuts", CUTS_SQL)
 def x3(spark, d):
     s = stateful.cut_stream(level_stream(spark, d), lambda: stateful.TailCutter(step=1.0, target=10.0, run=2, quiet=0.03))
     with stateful.timers(spark):
@@ -104,7 +105,10 @@ def x5(spark, d):
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("x8_aligned_streams")
+@query("x8_aligned_streams", """WITH e AS (SELECT user_id AS key, epoch_us(ts) // 3600000000 AS slot, ts, value AS x, event_type FROM events),
+    n AS (SELECT date_trunc('millisecond', least(max(ts) FILTER (WHERE event_type = 'click'), max(ts) FILTER (WHERE event_type = 'view'))) - INTERVAL 1 HOUR AS now FROM e)
+    SELECT m.key, m.slot, m.ts, m.x AS mic, coalesce(s.x, 0) AS sys FROM e m CROSS JOIN n LEFT JOIN e s ON s.event_type = 'view' AND s.key = m.key AND s.slot = m.slot
+    WHERE m.event_type = 'click' AND (s.key IS NOT NULL OR m.ts + INTERVAL 1 HOUR < now)""")
 def x8(spark, d):
     e = stream(spark, d)
     part = lambda kind: e.where(F.col("event_type") == kind).select(F.col("user_id").alias("key"), F.floor(F.unix_timestamp("ts") / 3600).alias("slot"), "ts", F.col("value").alias("x"))

@@ -94,7 +94,21 @@ def t2(spark, d):
 FILLED = ["euhhh", "Genre, ", "du coup", "bonjour"]
 
 
-@query("t3_fillers")
+#: Written out for DuckDB, apart from the library's words.
+FILLERS_SQL = "euh+|heu+|hum+|hein|ben|bah|beh|tu vois|vous voyez|du coup|en fait|genre"
+LEADS_SQL = "alors|voil[àa]|enfin|bon|donc|et donc|ben"
+
+
+def fillers_sql(column: str) -> str:
+    """RE2 knows only ASCII word edges, so every word is put between two signs of its own, which go at the end."""
+    among = lambda x: x.replace(" ", r"\x02 \x01")
+    marked = f"regexp_replace({column}, '([A-Za-zÀ-ɏ0-9_]+)', chr(1) || '\\1' || chr(2), 'g')"
+    plain = f"regexp_replace({marked}, {quoted(rf'(?i)\x01(?:{among(FILLERS_SQL)})\x02[\s,]*')}, ' ', 'g')"
+    led = f"regexp_replace({plain}, {quoted(rf'(?i)(^|[.!?]\s+)\x01(?:{among(LEADS_SQL)})\x02[\s,]*')}, '\\1', 'g')"
+    return f"regexp_replace({led}, '[\\x01\\x02]', '', 'g')"
+
+
+@query("t3_fillers", f"WITH {spiced_sql(FILLED)} SELECT doc_id, {fillers_sql('text')} AS text FROM s")
 def t3(spark, d):
     return spiced(spark, d, FILLED).select("doc_id", text.without_fillers(F.col("text")).alias("text"))
 
@@ -114,12 +128,17 @@ def t4(spark, d):
     return docs(spark, d).select("doc_id", text.spaced(F.col("text")).alias("text"))
 
 
-@query("t5_capitals")
+#: The capitals of a column t, but for the first.
+CAPITALS_SQL = "array_to_string(list_transform(regexp_extract_all(t, '[.!?]\\s[a-zà-ÿ]|\\n[a-zà-ÿ]|[^.!?\\n]+|[.!?\\n]'), lambda x: CASE WHEN regexp_matches(x, '^(?:[.!?]\\s|\\n).') THEN upper(x) ELSE x END), '')"
+
+
+@query("t5_capitals", f"WITH w AS (SELECT doc_id, {CAPITALS_SQL} AS u FROM (SELECT doc_id, lower(text) AS t FROM documents)) SELECT doc_id, upper(left(u, 1)) || substr(u, 2) AS text FROM w")
 def t5(spark, d):
     return docs(spark, d).select("doc_id", text.capitalised(F.lower("text")).alias("text"))
 
 
-@query("t6_formatted")
+@query("t6_formatted", f"""WITH f AS (SELECT doc_id, {spacing_sql(fillers_sql("coalesce(text, '')"))} AS t FROM documents), c AS (SELECT doc_id, {CAPITALS_SQL} AS u FROM f),
+    x AS (SELECT doc_id, {spacing_sql('upper(left(u, 1)) || substr(u, 2)')} AS t FROM c) SELECT doc_id, CASE WHEN t <> '' AND NOT contains(t, chr(10)) AND NOT regexp_matches(t, '[.!?…»]$') THEN t || '.' ELSE t END AS text FROM x""")
 def t6(spark, d):
     return docs(spark, d).select("doc_id", text.formatted(F.col("text")).alias("text"))
 
@@ -145,12 +164,22 @@ def t8(spark, d):
     return spiced(spark, d, NOISE).select("doc_id", text.without_boilerplate(F.col("text")).alias("text"))
 
 
-@query("t9_repeated_sentences")
+def without_repeats_sql(source: str) -> str:
+    """CTEs that end in r (doc_id, text): of the sentences of ``source`` (doc_id, text) those that don't repeat an earlier one of over five words."""
+    return f"""c AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS c FROM {source}),
+    p AS (SELECT doc_id, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM c), k AS (SELECT *, trim(regexp_replace(lower(x), '\\s+', ' ', 'g')) AS n FROM p),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY i) AS nth FROM k), r AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text FROM o WHERE nth = 1 OR len(string_split(n, ' ')) <= 5 GROUP BY 1)"""
+
+
+@query("t9_repeated_sentences", f"WITH {without_repeats_sql('documents')} SELECT doc_id, r.text FROM documents LEFT JOIN r USING (doc_id)")
 def t9(spark, d):
     return docs(spark, d).select("doc_id", text.without_repeats(F.col("text")).alias("text"))
 
 
-@query("t10_hallucinations")
+TIDY_SQL = "regexp_replace(regexp_replace(regexp_replace({0}, '\\s+([,.;:!?…])', '\\1', 'g'), '\\s\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("t10_hallucinations", f"WITH {spiced_sql(NOISE)}, b AS (SELECT doc_id, coalesce({replaced_sql('text', BOILERPLATE_SQL)}, '') AS text FROM s), {without_repeats_sql('b')} SELECT doc_id, {TIDY_SQL.format('r.text')} AS text FROM b JOIN r USING (doc_id)")
 def t10(spark, d):
     return spiced(spark, d, NOISE).select("doc_id", text.without_hallucinations(F.col("text")).alias("text"))
 
