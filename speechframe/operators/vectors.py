@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def doubles(c: Column | str) -> Column:
     return F.transform(c, lambda x: x.cast("double"))
@@ -65,15 +67,18 @@ def bounded(bank: DataFrame, most: int) -> DataFrame | None:
 
 
 def packed(df: DataFrame, blocks: int, flat: str, *ids: str) -> DataFrame:
-    """Rows (ids, v) as blocks (b, width of their vectors, arrays of ids, the vectors end to end)."""
-    rows = df.where("v is not null").select(*ids, "v", F.pmod(F.xxhash64(ids[0]), F.lit(blocks)).cast("int").alias("b"))
+    """Rows (ids, v) as blocks (b, width of their vectors, arrays of ids, the vectors end to end).
+
+    Rows are dealt by their place in df, as an id may repeat in many; df is checkpointed, so that a task that runs again deals them alike.
+    """
+    rows = df.where("v is not null").select(*ids, "v", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("b"))
     return rows.groupBy("b", F.size("v").alias("width")).agg(F.collect_list(F.struct(*[F.coalesce(i, F.lit(-(1 << 63))).alias(i) for i in ids], "v")).alias("r")).select("b", "width", *[F.col(f"r.{i}").alias(i) for i in ids], F.flatten("r.v").alias(flat))
 
 
 def best_of(left: DataFrame, right: DataFrame, p: int, n: int, m: int) -> DataFrame:
     """(x, y, cosine, rank): for every row of left (x, own, v) the p best of right (y, v) but the one that is its own; ties to the smaller y.
 
-    The n blocks of left meet the m blocks of right as matrix products. A pair of blocks gives at most p rows for each of its
+    left and right are checkpointed. The n blocks of left meet the m blocks of right as matrix products. A pair of blocks gives at most p rows for each of its
     rows, so what is shuffled grows with p and not with the pairs. Vectors of different lengths don't meet.
     """
     a = packed(left, n, "xf", "x", "own").withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
@@ -108,9 +113,10 @@ def ranked(probes: DataFrame, bank: DataFrame, ident: str, vector: str, p: int,
         scored = F.transform("__c", lambda c: F.struct(F.round(dot(vector, c["centroid"]), 9).alias("score"), (-c["id"]).alias("neg")))
         one = few.agg(F.collect_list(F.struct("id", "centroid")).alias("__c"))
         return probes.join(F.broadcast(one)).withColumn("__r", F.slice(F.sort_array(scored, asc=False), 1, p)).drop("__c")
-    n, m, least = *(max(1, -(-df.count() // block)) for df in (probes, bank)), bank.agg(F.min("id")).first()[0]
-    left = probes.select(F.col(ident).cast("long").alias("x"), F.lit(None).cast("long").alias("own"), doubles(vector).alias("v"))
-    best = best_of(left, bank.select(F.col("id").cast("long").alias("y"), doubles("centroid").alias("v")), p, n, m)
+    left = cut(probes.select(F.col(ident).cast("long").alias("x"), F.lit(None).cast("long").alias("own"), doubles(vector).alias("v")))
+    right = cut(bank.select(F.col("id").cast("long").alias("y"), doubles("centroid").alias("v")))
+    n, (rows, least) = left.count(), right.agg(F.count("*"), F.min("y")).first()
+    best = best_of(left, right, p, *(max(1, -(-x // block)) for x in (n, rows)))
     top = best.groupBy("x").agg(F.sort_array(F.collect_list(F.struct(F.col("cosine").alias("score"), (-F.col("y")).alias("neg"))), asc=False).alias("__r"))
     none = F.array(F.struct(F.lit(-1.0).alias("score"), F.lit(-least).cast("long").alias("neg")))
     return probes.join(top, F.col(ident) == F.col("x"), "left").withColumn("__r", F.coalesce("__r", none)).drop("x")
@@ -138,8 +144,8 @@ def match_known(probes: DataFrame, known: DataFrame, probe: str, least: float =
 
 def neighbours(df: DataFrame, ident: str, vector: str, p: int, block: int = BLOCK) -> DataFrame:
     """(x, y, cosine, rank): the p nearest other rows of each row, ties to the smaller id."""
-    n = max(1, -(-df.count() // block))
-    rows = df.select(F.col(ident).cast("long").alias("x"), F.col(ident).cast("long").alias("own"), doubles(vector).alias("v"))
+    rows = cut(df.select(F.col(ident).cast("long").alias("x"), F.col(ident).cast("long").alias("own"), doubles(vector).alias("v")))
+    n = max(1, -(-rows.count() // block))
     return best_of(rows, rows.select(F.col("x").alias("y"), "v"), p, n, n)
 
 

@@ -256,3 +256,13 @@ def test_dates(spark):
     d = spark.createDataFrame([(datetime(2024, 1, 3, 5, 6),)], "t timestamp")
     assert d.select(checks.moment_format(F.col("t"), "DD/MM/YYYY [x]")).first()[0] == "2024-01-03"
     assert d.select(checks.moment_format(F.col("t"), "DD/MM/YYYY HH:mm")).first()[0] == "03/01/2024 05:06"
+
+
+def test_a_large_bank_whose_id_repeats_is_dealt_to_all_blocks(spark):
+    rows = [(7, [i % 5 / 100, 0.01, i / 300]) for i in range(300)] + [(8, [1.0, 0.0, 0.0])]
+    bank = spark.createDataFrame(rows, "id long, centroid array<double>").repartition(3)
+    sizes = [len(r.y) for r in vectors.packed(bank.select(F.col("id").alias("y"), F.col("centroid").alias("v")), 8, "yf", "y").collect()]
+    assert sum(sizes) == 301 and max(sizes) < 100
+    probes = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 0.0, 1.0])], "p long, v array<double>")
+    few, many = ({r.p: (r.nearest, round(r.cosine, 6)) for r in vectors.nearest(probes, bank.withColumnRenamed("id", "l"), "p", "v", "l", most, 32).collect()} for most in (4096, 10))
+    assert few == many and few[1][0] == 8 and few[2][0] == 7
