@@ -4,7 +4,8 @@ A glossary applies its rules in order, each on what the ones before left.  The
 automaton finds which rules a text can match at all; only those are applied, and
 after each the neighbourhood of what it put in is looked through again for later
 rules that match now.  So a text costs one pass plus the rules that change it,
-not a pass a rule.
+not a pass a rule.  Rules for single words act on each word of a text by itself,
+so a stretch of them is one look-up a word, however many of them change a text.
 
 Rules travel to the tasks in blocks of at most BLOCK_BYTES, as counted on the way;
 a larger table is applied block after block, in order, which is the same.
@@ -17,6 +18,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 32 << 20
+#: Words whose outcome a task remembers, and stretches of rules of one kind that are applied one after the other.
+KNOWN_WORDS, STRETCHES = 1 << 18, 16
+WORD = re.compile(r"(\w+)")
 #: Letters that a pattern matches in any case beyond their simple lower case. Fixed values.
 ALSO = {"İ": "i", "ı": "i", "ﬅ": "ﬆ"}
 
@@ -70,11 +75,69 @@ def automaton(keys: dict[str, list[int]]):
     return a
 
 
+def single(rule: tuple[str, str]) -> bool:
+    """Whether a rule matches whole words only: its edges are alphanumeric and no word ends inside."""
+    wrong = rule[0]
+    return wrong[0].isalnum() and wrong[-1].isalnum() and WORD.fullmatch(wrong) is not None
+
+
+class Words(dict):
+    """Ordered rules (wrong, right) for single words: what they make of a word, worked out as words are met."""
+
+    def __init__(self, rules: list[tuple[str, str]]):
+        self.rules, self.numbers = rules, {}
+        for i, (w, _) in enumerate(rules):
+            self.numbers.setdefault(key_of(w), []).append(i)
+
+    def rule(self, word: str, after: int) -> int | None:
+        """The first rule beyond ``after`` for a word."""
+        for i in self.numbers.get(key_of(word), ()):
+            wrong = self.rules[i][0]
+            if i > after and (word.isascii() and wrong.isascii() or pattern(wrong).fullmatch(word)):
+                return i
+        return None
+
+    def __missing__(self, word: str) -> str:
+        made, todo = [], [(word, -1)]
+        while todo:
+            x, after = todo.pop()
+            i = None if after is None else self.rule(x, after)
+            if i is None:
+                made.append(x)
+            else:  # what is put in stands between signs that belong to no word; its own words meet later rules only
+                parts = WORD.split(self.rules[i][1])
+                todo += reversed([(part, i if k % 2 else None) for k, part in enumerate(parts)])
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = out = "".join(made)
+        return out
+
+    def apply(self, text: str) -> str:
+        parts = WORD.split(text)
+        parts[1::2] = map(self.__getitem__, parts[1::2])
+        return "".join(parts)
+
+
 class Glossary:
-    """Ordered rules (wrong, right)."""
+    """Ordered rules (wrong, right): stretches of rules for single words and of others, in order; all of them as others if they alternate too often."""
 
     def __init__(self, rules: list[tuple[str, str]]):
-        self.rules = [(nfc(w), nfc(r)) for w, r in rules if w]
+        rules = [(nfc(w), nfc(r)) for w, r in rules if w]
+        runs = [(Words if one else Phrases, list(g)) for one, g in groupby(rules, single)]
+        self.steps = [make(g) for make, g in (runs if len(runs) <= STRETCHES else [(Phrases, rules)])]
+
+    def apply(self, text: str | None) -> str:
+        text = nfc(text)
+        for step in self.steps:
+            text = step.apply(text)
+        return text
+
+
+class Phrases:
+    """Ordered rules (wrong, right) of any kind."""
+
+    def __init__(self, rules: list[tuple[str, str]]):
+        self.rules = rules
         keys: dict[str, list[int]] = {}
         for i, (w, _) in enumerate(self.rules):
             keys.setdefault(key_of(w), []).append(i)
@@ -85,8 +148,7 @@ class Glossary:
             for _, (_, numbers) in self.find.iter(key_of(text)):
                 yield from numbers
 
-    def apply(self, text: str | None) -> str:
-        text = nfc(text)
+    def apply(self, text: str) -> str:
         todo = sorted(set(self.seen(text)))
         known = set(todo)
         while todo:

@@ -56,3 +56,24 @@ def test_routing(spark, most):
     texts = ["la REUNION", "pain, lait", "pain", "callback", "call back the call", "", None, "lait_pain", "lait réunion"]
     got = {r.text: r.bucket for r in rules.routed(spark.createDataFrame([(t,) for t in texts], "text string"), "text", given, "inbox", most=most).collect()}
     assert got == dict(zip(texts, ["work", "home", "home", "inbox", "work", "inbox", "inbox", "inbox", "work"]))
+
+
+def test_a_long_text_is_not_scanned_once_a_rule(monkeypatch):
+    """Rules for single words cost a look-up a word, however many of them change the text; chains and growing words included."""
+    given = [(f"w{k}", f"W{k} x{k}") for k in range(3000)] + [(f"x{k}", f"x{k + 1}") for k in range(3000)]
+    made = rules.Glossary(given)
+
+    def scanned(wrong):
+        raise AssertionError(f"a scan for {wrong}")
+
+    monkeypatch.setattr(rules, "pattern", scanned)
+    assert made.apply(" ".join(f"w{k}." for k in range(3000))) == " ".join(f"W{k} x3000." for k in range(3000))
+
+
+def test_stretches_of_words_and_phrases():
+    r = random.Random(5)
+    word = lambda: r.choice(["a", "b", "ab", "é", "K", "k", "ſ", "s", "a_b", "1"])
+    for _ in range(2000):
+        given = [(word() + r.choice(["", "", "", " " + word(), "."]), r.choice([word(), f"{word()} {word()}", "", "."])) for _ in range(r.randrange(40))]
+        text = "".join(word() + r.choice([" ", ". ", "-", ""]) for _ in range(20))
+        assert rules.Glossary(given).apply(text) == one_by_one(text, given), (given, text)
