@@ -5,16 +5,18 @@ In batch a file is as many partitions as it has stretches of ``split_bytes``, so
 a long recording is many tasks.  As a stream its offset is the size of each file
 when last looked at; a batch holds the frames that were completed since.
 Partitions are counted in frames and each task finds the samples by the file's
-head, so the driver reads sizes only.
+head, so the driver reads sizes only.  Short stretches share a task, so that many
+small files are some hundred tasks, not one each.
 
 ``whole_files`` writes (name, content) as files: tasks write side files, the job's
-commit renames them, an abort removes them, those of lost tasks too.
+commit renames them, an abort removes them, those of lost tasks too.  What a task wrote
+is on the disk before it reports, all its files at once.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +29,10 @@ from .files import wav_data_offset
 
 FRAMES = "path string, frame_no long, rms double, peak double"
 HEAD = 4096
+#: Tasks that short stretches are dealt to, what opening a file counts as, and the most that stretches of one task count as, in bytes.
+TASKS, OPENING, TASK_BYTES = 256, 64 << 10, 256 << 20
+#: Rows of a batch, but for those of the last stretch in it.
+ROWS = 8192
 
 
 @dataclass
@@ -40,6 +46,26 @@ class Stretch(InputPartition):
     torn: bool
 
 
+@dataclass
+class Share(InputPartition):
+    """Stretches that one task reads, one after the other."""
+
+    stretches: list[Stretch]
+
+
+def shares(stretches: list[Stretch], frame: int) -> list[Share]:
+    """Neighbouring stretches together, up to a TASKS-th of all or TASK_BYTES."""
+    costs = [OPENING + min(p.size, 2 * frame * (p.last - p.first)) for p in stretches]
+    most, out, at = min(TASK_BYTES, sum(costs) / TASKS), [], 0
+    for p, cost in zip(stretches, costs):
+        if not out or at + cost > most:
+            out.append(Share([]))
+            at = 0
+        out[-1].stretches.append(p)
+        at += cost
+    return out
+
+
 class Options:
     def __init__(self, options: dict[str, str]):
         self.path, self.frame, self.split = options["path"], int(options.get("frame", 1600)), int(options.get("split_bytes", 32 << 20))
@@ -51,8 +77,8 @@ class Options:
         return [Stretch(uri, at, min(end, at + step), size, torn) for at in range(first, end, step)]
 
 
-def levels(o: Options, p: Stretch, piece: int = 4096) -> Iterator[pa.RecordBatch]:
-    """(path, frame_no, rms, peak) of a stretch, some frames at a time."""
+def pieces(o: Options, p: Stretch, piece: int = 4096) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
+    """(URI, first frame, rms, peak) of a stretch, some frames at a time."""
     with storage.open_input(p.uri) as f:
         start = wav_data_offset(f.read(min(HEAD, p.size)))
         width = 2 * o.frame
@@ -64,23 +90,43 @@ def levels(o: Options, p: Stretch, piece: int = 4096) -> Iterator[pa.RecordBatch
             if count <= 0:
                 return
             f.seek(at)
-            x = np.frombuffer(f.read(2 * count), "<i2").astype(np.float32) / 32768.0
-            frames = [x[k : k + o.frame] for k in range(0, len(x), o.frame)]
-            yield pa.RecordBatch.from_pydict({
-                "path": [p.uri] * len(frames), "frame_no": list(range(first, first + len(frames))),
-                "rms": [float(np.sqrt(np.mean(v.astype(float) ** 2))) for v in frames], "peak": [float(np.max(np.abs(v))) for v in frames],
-            })
+            x = (np.frombuffer(f.read(2 * count), "<i2").astype(np.float32) / 32768.0).astype(float)
+            parts = [v for v in (x[: whole * o.frame].reshape(whole, o.frame), x[None, whole * o.frame :]) if v.size]
+            yield p.uri, first, np.concatenate([np.sqrt(np.mean(v**2, axis=1)) for v in parts]), np.concatenate([np.max(np.abs(v), axis=1) for v in parts])
+
+
+def levels(o: Options, stretches: Iterable[Stretch]) -> Iterator[pa.RecordBatch]:
+    """(path, frame_no, rms, peak) of stretches, some thousand rows at a time."""
+    held, rows = [], 0
+
+    def batch() -> pa.RecordBatch:
+        uris, firsts, rms, peak = zip(*held)
+        counts = [len(v) for v in rms]
+        path = pa.array(uris, "string").take(pa.array(np.repeat(np.arange(len(uris)), counts)))
+        frame_no = np.concatenate([np.arange(first, first + n, dtype="int64") for first, n in zip(firsts, counts)])
+        return pa.RecordBatch.from_arrays([path, pa.array(frame_no), pa.array(np.concatenate(rms)), pa.array(np.concatenate(peak))], ["path", "frame_no", "rms", "peak"])
+
+    for p in stretches:
+        for piece in pieces(o, p):
+            held.append(piece)
+            rows += len(piece[2])
+            if rows >= ROWS:
+                yield batch()
+                held, rows = [], 0
+    if held:
+        yield batch()
 
 
 class PcmReader(DataSourceReader):
     def __init__(self, options: Options):
         self.o = options
 
-    def partitions(self) -> list[Stretch]:
-        return [p for uri, size in storage.sizes(self.o.path, self.o.suffix).items() for p in self.o.stretches(uri, 0, size, True)] or [Stretch("", 0, 0, 0, False)]
+    def partitions(self) -> list[Share]:
+        found = [p for uri, size in storage.sizes(self.o.path, self.o.suffix).items() for p in self.o.stretches(uri, 0, size, True)]
+        return shares(found, self.o.frame) or [Share([])]
 
-    def read(self, p: Stretch) -> Iterator[pa.RecordBatch]:
-        return levels(self.o, p) if p.uri else iter(())
+    def read(self, p: Share) -> Iterator[pa.RecordBatch]:
+        return levels(self.o, p.stretches)
 
 
 class PcmStreamReader(DataSourceStreamReader):
@@ -110,7 +156,7 @@ class PcmStreamReader(DataSourceStreamReader):
             with storage.open_input(p.uri) as f:
                 known = max(0, p.seen - wav_data_offset(f.read(min(HEAD, p.seen)))) // (2 * self.o.frame)
         p.first = max(p.first, known)
-        return levels(self.o, p)
+        return levels(self.o, [p])
 
     def commit(self, end: dict) -> None:
         pass
@@ -138,7 +184,10 @@ class PcmFrames(DataSource):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    """Names of files; the side file of each is called as the task and its number."""
+
+    task: str
+    names: list[str]
 
 
 class FilesWriter(DataSourceWriter):
@@ -150,16 +199,17 @@ class FilesWriter(DataSourceWriter):
         storage.make_folder(self.side)
 
     def write(self, rows: Iterator) -> Written:
-        done = []
+        done = Written(uuid.uuid4().hex, [])
         for r in rows:
-            done.append((f"{self.side}/{uuid.uuid4().hex}", r["name"]))
-            storage.write_new(done[-1][0], bytes(r["content"] or b""))
-        return Written(done)
+            storage.write_new(f"{self.side}/{done.task}-{len(done.names)}", bytes(r["content"] or b""), settled=False)
+            done.names.append(r["name"])
+        storage.settle(self.side)
+        return done
 
     def commit(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            for side, name in m.files if m else []:
-                storage.rename(side, f"{self.folder}/{name}")
+        for m in filter(None, messages):
+            for k, name in enumerate(m.names):
+                storage.rename(f"{self.side}/{m.task}-{k}", f"{self.folder}/{name}")
         storage.remove_folder(self.side)
 
     def abort(self, messages: list[Written | None]) -> None:

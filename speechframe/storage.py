@@ -73,19 +73,26 @@ def open_input(uri: str):
     return store.open_input_file(path)
 
 
-def write_new(uri: str, content: bytes) -> None:
-    """Writes a file, down to the disk, in a folder that is there."""
+def write_new(uri: str, content: bytes, settled: bool = True) -> None:
+    """Writes a file, down to the disk unless ``settle`` follows, in a folder that is there."""
     if (path := local(uri)) is not None:
         with open(path, "wb") as f:
             f.write(content)
-            f.flush()
-            os.fsync(f.fileno())
+            if settled:
+                f.flush()
+                os.fsync(f.fileno())
     else:
         store, path = _store(uri)
         with store.open_output_stream(path) as f:
             f.write(content)
 
 
+def settle(uri: str) -> None:
+    """What was written near a URI is on the disk from here on, however many files it is; another store's files are when they are closed."""
+    if local(uri) is not None:
+        os.sync()
+
+
 def make_folder(uri: str) -> None:
     if (path := local(uri)) is not None:
         os.makedirs(path, exist_ok=True)

@@ -49,6 +49,16 @@ def test_no_recordings(spark, tmp_path):
     assert binary.recorded_frames(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_many_small_recordings_share_tasks(spark, tmp_path):
+    r = random.Random(3)
+    data = {f"{n}.wav": [r.randrange(-32768, 32768) for _ in range(n % 40 + 1)] for n in range(1500)}
+    for name, x in data.items():
+        (tmp_path / name).write_bytes(wav(x))
+    df = binary.recorded_frames(spark, f"file://{tmp_path}", frame=10, split_bytes=80)
+    assert df.rdd.getNumPartitions() <= 2 * binary.TASKS
+    assert found(df) == {k: plain(x, 10) for k, x in data.items()}
+
+
 def test_growing_recordings(spark, tmp_path):
     """Appended to at any byte, the head included; every whole frame comes once, in whichever run it was completed."""
     r = random.Random(2)
