@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -139,24 +139,30 @@ class PcmStreamReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        return storage.sizes(self.o.path, self.o.suffix)
+        """Sizes by name: the folder is the same for all."""
+        return {uri.rsplit("/", 1)[1]: size for uri, size in storage.sizes(self.o.path, self.o.suffix).items()}
 
-    def partitions(self, start: dict, end: dict) -> list[tuple]:
+    def partitions(self, start: dict, end: dict) -> list[Share]:
         out = []
-        for uri, size in end.items():
-            if size > (seen := start.get(uri, 0)):
+        start, end = ({uri.rsplit("/", 1)[-1]: size for uri, size in x.items()} for x in (start, end))  # offsets of older checkpoints are by URI
+        for name, size in end.items():
+            if size > (seen := start.get(name, 0)):
+                uri = f"{self.o.path.rstrip('/')}/{name}"
                 # The head is shorter than HEAD, so frames before this one were complete; the task leaves out those that were too.
                 first = max(0, (seen - HEAD - 8) // (2 * self.o.frame))
                 out += [Grown(p.uri, p.first, p.last, p.size, False, seen) for p in self.o.stretches(uri, first, size, False)]
-        return out
+        return shares(out, self.o.frame)
 
-    def read(self, p: Grown) -> Iterator[pa.RecordBatch]:
+    def new(self, p: Grown) -> Stretch:
+        """The stretch without the frames that were complete when its file was seen last."""
         known = 0
         if p.seen:
             with storage.open_input(p.uri) as f:
                 known = max(0, p.seen - wav_data_offset(f.read(min(HEAD, p.seen)))) // (2 * self.o.frame)
-        p.first = max(p.first, known)
-        return levels(self.o, [p])
+        return replace(p, first=max(p.first, known))
+
+    def read(self, p: Share) -> Iterator[pa.RecordBatch]:
+        return levels(self.o, map(self.new, p.stretches))
 
     def commit(self, end: dict) -> None:
         pass

@@ -77,6 +77,20 @@ def test_growing_recordings(spark, tmp_path):
     assert {k: sorted(v) for k, v in out.items()} == {k: v for k, b in whole.items() if (v := plain(np.frombuffer(b[b.index(b"data") + 8 :], "<i2"), 8, True))}
 
 
+def test_many_small_recordings_that_grow_share_tasks(tmp_path):
+    for n in range(1500):
+        (tmp_path / f"{n}.wav").write_bytes(wav([n] * 20))
+    reader = binary.PcmStreamReader(binary.Options({"path": f"file://{tmp_path}", "frame": "8"}))
+    end = reader.latestOffset()
+    assert set(end) == {f"{n}.wav" for n in range(1500)}
+    tasks = reader.partitions({}, end)
+    assert len(tasks) <= 2 * binary.TASKS
+    assert sum(b.num_rows for t in tasks for b in reader.read(t)) == 3000
+    by_uri = {f"file://{tmp_path}/{k}": v for k, v in end.items()}
+    assert reader.partitions(by_uri, end) == []
+    assert sum(b.num_rows for t in reader.partitions({k: 60 for k in end}, end) for b in reader.read(t)) == 1500
+
+
 def test_files_appear_at_commit_or_not_at_all(spark, tmp_path):
     out = f"file://{tmp_path}/out"
     make = lambda n, k: spark.range(n, numPartitions=4).select(F.concat(F.col("id").cast("string"), F.lit(".bin")).alias("name"), F.repeat(F.lit(k), 10).cast("binary").alias("content"))
