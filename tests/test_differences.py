@@ -31,3 +31,11 @@ def test_first_wins_when_keys_pass_a_million(alike):
     """A price that is 0.50 higher, under a key that is worth 0.90 less; equal prices, the later key being the smaller in its million."""
     day = "1997-01-01"
     alike("l7_first_wins", "orders", orders((900_000, 1, "O", 100.5, day), (1_000_001, 1, "O", 100.0, day), (700_000, 2, "O", 9.0, day), (2_000_003, 2, "F", 9.0, day)))
+
+
+def test_confidence_at_the_threshold(alike):
+    """Means of exactly a half, whose sums of doubles fall on either side of it by their order, over several files."""
+    a = "30 + (u * u * 7 + (i % 32) * (i % 32) * 13 + u * (i % 32)) % 21"
+    rows = f"SELECT u, j, CASE WHEN i < 32 THEN {a} ELSE 100 - ({a}) END AS p FROM (SELECT u, j, (j * 5 + u) % 64 AS i FROM range(300) u(u), range(64) j(j))"
+    alike("p16_confidence_gate", "events", *[f"""SELECT j * 100 + p * 73 % 100 AS event_id, TIMESTAMP '2024-01-01' AS ts, u AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, '{{}}' AS props
+        FROM ({rows}) WHERE j // 16 = {k} ORDER BY ALL""" for k in range(4)])
