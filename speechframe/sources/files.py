@@ -54,9 +54,10 @@ def rules(documents: DataFrame, column: str, default: str) -> DataFrame:
     return documents.withColumn("rules", F.coalesce(usable, F.from_json(F.lit(default), RULES)))
 
 
-def active_entry(entries: DataFrame, key: str, opened: str, at: str) -> DataFrame:
-    """One entry a key: an open one first, else the latest."""
-    return entries.groupBy(key).agg(F.max_by(F.struct(*[c for c in entries.columns if c != key]), F.struct(F.coalesce(F.col(opened), F.lit(False)).cast("int"), F.col(at))).alias("e")).select(key, "e.*")
+def active_entry(entries: DataFrame, key: str, opened: str, at: str, tie: str) -> DataFrame:
+    """One entry a key: an open one first, else the latest; ties to the smaller ``tie``."""
+    rank = F.struct(F.coalesce(F.col(opened), F.lit(False)).cast("int"), F.col(at), -F.col(tie))
+    return entries.groupBy(key).agg(F.max_by(F.struct(*[c for c in entries.columns if c != key]), rank).alias("e")).select(key, "e.*")
 
 
 def terms(spark: SparkSession, path: str) -> DataFrame:

@@ -45,3 +45,9 @@ def test_dissolved_into_a_window_at_the_same_time(alike):
     """Event 23 is of a minor label and of the same centre as 14, which comes before it in order."""
     at = [(14, 0), (23, 0), *((30 + 9 * k, 8192 + k) for k in range(12)), *((32 + 9 * k, 81920 + k) for k in range(12))]
     alike("v14_dissolved", "events", "SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, TIMESTAMP '2024-01-01' + to_seconds({x}), 1::BIGINT, 'view', 1.0::DOUBLE, '{{}}')" for k, x in at) + ") t(event_id, ts, user_id, event_type, value, props)")
+
+
+def test_entries_that_tie(alike):
+    """Of entries of one state, day and last two digits the one that comes first."""
+    rows = [(100 * k + 7, k % 3, "OF"[k % 2], 1.0, "1997-01-0" + "12"[c]) for k, c in zip(range(60), [0, 1, 1] * 20)]
+    alike("s9_active_entry", "orders", orders(*rows))
