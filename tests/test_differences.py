@@ -62,3 +62,7 @@ SHARP = ["ßa. ßb! ßc\nßd", "ﬁn. ﬁn", "ᾳ. ᾳ", "ŉ a. éa", "ΐ", "ÿ.
 
 def test_capitals_of_one_letter(alike):
     alike("t5_capitals", "documents", documents(*SHARP))
+
+
+def test_formatted_capitals_of_one_letter(alike):
+    alike("t6_formatted", "documents", documents(*SHARP))
