@@ -66,3 +66,9 @@ def test_capitals_of_one_letter(alike):
 
 def test_formatted_capitals_of_one_letter(alike):
     alike("t6_formatted", "documents", documents(*SHARP))
+
+
+def test_a_note_holds_every_document_of_its_source(spark, tmp_path):
+    duckdb.sql(f"COPY (SELECT i AS doc_id, 'x' AS text, 'src' || i % 2 AS source FROM range(1000) r(i)) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    got = {r.note: r.content for r in QUERIES["k13_under_heading"](spark, str(tmp_path)).collect()}
+    assert got == {f"src{k}": "\n".join(["## Docs", *(f"- {i}" for i in range(998 + k, -1, -2)), "old"]) for k in (0, 1)}
