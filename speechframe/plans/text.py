@@ -215,10 +215,11 @@ def t12(spark, d):
 
 
 def windows(spark, d, pattern: str):
-    """(doc_id, i, x): every whole text's words, a row for each 14 of them."""
+    """(doc_id, i, x): every whole text's words, a row for each 14 of them with the 40 from there on. Words are cut before rows are made, so that no row carries its whole text."""
     x = F.split(F.trim(F.regexp_replace(F.lower("text"), pattern, " ")), " +")
-    w = table(spark, d, "documents").where("text is not null").select("doc_id", x.alias("x"))
-    return w.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / 14).cast("int"))))
+    cuts = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / 14).cast("int")), lambda i: F.struct(i.alias("i"), F.slice(x, i * 14 + 1, F.lit(40)).alias("x")))
+    w = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(text.let(x, cuts)).alias("w"))
+    return w.select("doc_id", "w.i", "w.x")
 
 
 def cut(at, n: int):
@@ -231,14 +232,13 @@ def cut(at, n: int):
     SELECT doc_id, CAST(i AS INTEGER) AS i, coalesce(list_max(list_filter(range(3, 9), lambda k: k <= len(a) AND k <= len(b) AND a[len(a) - k + 1:] = b[:k])), 0)::INTEGER AS n FROM p""")
 def t13(spark, d):
     """Windows of 20 words of every whole text, each with one that starts 12 to 20 words later."""
-    at = F.col("i") * 14 + 1
-    return windows(spark, d, "[^a-zß-öø-ÿ ]+").select("doc_id", "i", text.overlap(cut(at, 20), cut(at + 12 + F.pmod(F.col("doc_id") + F.col("i"), F.lit(9)).cast("int"), 20)).alias("n"))
+    return windows(spark, d, "[^a-zß-öø-ÿ ]+").select("doc_id", "i", text.overlap(cut(F.lit(1), 20), cut(13 + F.pmod(F.col("doc_id") + F.col("i"), F.lit(9)).cast("int"), 20)).alias("n"))
 
 
 @query("t14_joined_windows")
 def t14(spark, d):
     """Windows of 20 words of every whole text, each joined with the next, which shares 6 words with it, or starts with a word that completes its cut-off last one."""
-    at, b = F.col("i") * 14 + 1, cut(F.col("i") * 14 + 15, 20)
+    at, b = F.lit(1), cut(F.lit(15), 20)
     a = F.when(F.col("i") % 3 == 0, cut(at, 20)).when(F.col("i") % 3 == 1, F.concat(cut(at, 14), F.array(F.left(F.coalesce(F.get(b, F.lit(0)), F.lit("")), F.lit(2))))).otherwise(F.concat(cut(at, 20), F.array(F.lit("un"))))
     return windows(spark, d, "[^a-zß-öø-ÿ ]+").select("doc_id", "i", F.array_join(text.joined(a, b), " ").alias("text"))
 

@@ -72,3 +72,12 @@ def test_a_note_holds_every_document_of_its_source(spark, tmp_path):
     duckdb.sql(f"COPY (SELECT i AS doc_id, 'x' AS text, 'src' || i % 2 AS source FROM range(1000) r(i)) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
     got = {r.note: r.content for r in QUERIES["k13_under_heading"](spark, str(tmp_path)).collect()}
     assert got == {f"src{k}": "\n".join(["## Docs", *(f"- {i}" for i in range(998 + k, -1, -2)), "old"]) for k in (0, 1)}
+
+
+def test_windows_carry_their_own_words_only(spark, tmp_path):
+    from speechframe.plans.text import windows
+
+    duckdb.sql(f"COPY (SELECT 1 AS doc_id, string_agg('w' || chr(97 + CAST(i % 26 AS INT)), ' ' ORDER BY i) AS text FROM range(1000) r(i)) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    words = ["w" + chr(97 + i % 26) for i in range(1000)]
+    got = {r.i: r.x for r in windows(spark, str(tmp_path), "[^a-z ]+").collect()}
+    assert got == {i: words[14 * i : 14 * i + 40] for i in range(72)}
