@@ -100,6 +100,18 @@ def test_suppression_like_a_loop_and_state_ends(spark, tmp_path):
     assert state.count() <= 1  # of the six keys before, none is kept an hour later
 
 
+def test_suppressed_keys_share_groups(spark, tmp_path):
+    """Hundreds of keys, null ones too, in four groups of state, across a restart."""
+    r = random.Random(6)
+    rows = [(r.choice([None, *range(200)]), r.choice(["a", "b", None]), START + timedelta(seconds=k // 20, microseconds=r.randrange(3)), (1 << 53) + k) for k in range(2000)]
+    run = Runs(spark, tmp_path, EVENTS, lambda s: ops.suppress_repeats(s, "k", "v", "ts", 10.0, "0 seconds", buckets=4).selectExpr("string(k)", "v", "ts", "event_id").fillna("None"))
+    named = lambda x: (str(x[0]), str(x[1]), *x[2:])
+    out = run(rows[:900]) + run(rows[900:])
+    assert sorted(out) == plain_suppressed(list(map(named, rows)), 10)
+    state = spark.read.format("statestore").option("operatorId", 0).load(f"{tmp_path}/state")
+    assert 1 <= state.count() <= 4
+
+
 LEVELS = "m long, frame long, rms double"
 
 
