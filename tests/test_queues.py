@@ -51,6 +51,17 @@ def test_like_a_loop_across_a_restart(spark, tmp_path, most, drop, patience):
     assert sorted(got, key=str) == want
 
 
+@pytest.mark.parametrize("most,drop,patience", RULES)
+def test_keys_share_groups_of_state(spark, tmp_path, most, drop, patience):
+    r = random.Random(8)
+    rows = [(r.randrange(60), minute(k // 20), (1 << 53) + k, r.random() < 0.3, r.choice([0, 1, 1, None])) for k in range(1200)]
+    run = Runs(spark, tmp_path, ROWS, lambda s: queues.served(s, most, drop, patience, buckets=4))
+    got = [x for p in (rows[:500], rows[500:]) for x in run(r.sample(p, len(p)))]
+    assert sorted(got, key=str) == plain(rows, minute(59), most, drop, patience)
+    state = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "items").load(f"{tmp_path}/state")
+    assert 1 <= state.count() <= 4
+
+
 def test_odd_rows(spark, tmp_path):
     run = Runs(spark, tmp_path, ROWS, lambda s: queues.served(s, most=2))
     assert run([]) == []
