@@ -1,17 +1,18 @@
 """Rules that look at their own earlier output: one ordered pass over a meeting.
 
-A meeting is a bounded group (hours of speech), so each is a group of
-``applyInPandas``; the rows are sorted by the order column, ties included.
+A meeting is a bounded group (hours of speech), so each is held whole in a
+task; the rows are sorted by the order column, ties included.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # What marks count for as ends of a speaker's turn, marks that can't start a block, words that tell how spaces are brought.
 WEIGHTS = dict.fromkeys(".!?…", 2.0) | dict.fromkeys(",;:", 0.5)
@@ -19,15 +20,40 @@ HEAD_MARKS, TOLD_BY = "?!.;:…", 80
 
 
 def fold(df: DataFrame, key: str, order: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Applies f to every key's rows in order."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = pdf[key].iloc[0]
-        out = f(pdf.sort_values(order, kind="stable").reset_index(drop=True))
-        out.insert(0, key, k)
+    """Applies f to every key's rows in order.
+
+    Rows come sorted by key and order, and keys are cut from them in passing: a group of ``applyInPandas`` a key would cost
+    milliseconds, however few rows it has. The number of tasks is that of shuffle partitions, as rows are small beside the work on them.
+    """
+    kind, n = df.schema[key].dataType, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = df.withColumns({key: F.coalesce(F.col(key), F.lit(0).cast(kind)), "__none": F.col(key).isNull()})
+
+    def applied(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        out = f(rows.drop(columns="__none").reset_index(drop=True))
+        out.insert(0, key, None if rows["__none"].iloc[0] else rows[key].iloc[0])
         return out
 
-    return df.groupBy(key).applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, []
+        for b in batches:
+            if b.empty:
+                continue
+            keys, none = b[key].to_numpy(), b["__none"].to_numpy()
+            at = [0, *(np.flatnonzero((keys[1:] != keys[:-1]) | (none[1:] != none[:-1])) + 1).tolist(), len(b)]
+            done = []
+            for lo, hi in zip(at, at[1:]):
+                if held and (keys[lo], none[lo]) != last:
+                    done.append(applied(held))
+                    held = []
+                last = (keys[lo], none[lo])
+                held.append(b.iloc[lo:hi])
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if held:
+            yield applied(held)
+
+    return given.repartition(n, key).sortWithinPartitions("__none", key, *order).mapInPandas(run, schema)
 
 
 def absorb_short(start: np.ndarray, end: np.ndarray, speaker: list, least: float = 1.0) -> list:

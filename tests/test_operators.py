@@ -266,3 +266,21 @@ def test_a_large_bank_whose_id_repeats_is_dealt_to_all_blocks(spark):
     probes = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 0.0, 1.0])], "p long, v array<double>")
     few, many = ({r.p: (r.nearest, round(r.cosine, 6)) for r in vectors.nearest(probes, bank.withColumnRenamed("id", "l"), "p", "v", "l", most, 32).collect()} for most in (4096, 10))
     assert few == many and few[1][0] == 8 and few[2][0] == 7
+
+
+def test_fold_cuts_keys_from_sorted_rows(spark):
+    """Keys that lie across batches, null ones and long ones; a key is no group of its own in the plan."""
+    import random
+
+    r = random.Random(4)
+    rows = [(k, i, r.random()) for k in [None, *range(-3, 30), (1 << 53) + 1, (1 << 53) + 2] for i in range(r.choice([1, 2, 9, 40]))]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "m long, ord long, x double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = folds.fold(df, "m", ["ord"], lambda p: p[["ord"]].assign(y=p["x"].cumsum(), n=range(len(p))), "m long, ord long, y double, n long")
+        got = sorted(((g.m, g.ord, round(g.y, 6), g.n) for g in out.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == sorted(((k, i, round(sum(x for q, j, x in rows if q == k and j <= i), 6), i) for k, i, _ in rows), key=str)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
