@@ -41,23 +41,28 @@ def nearest_segment(points: DataFrame, segments: DataFrame, key: list[str], t: s
     return points.join(held, "pid", "left").join(near, "pid", "left").withColumn("speaker", F.coalesce("held", "near", F.lit(unknown))).drop("held", "near")
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """As many partitions as given: ids and times are few bytes when shuffled, and partitions put together by bytes would be one task's rows, many times as large in memory."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame, key: list[str], width: float = 10.0) -> DataFrame:
     """Pairs whose intervals overlap strictly: (lid, seconds, columns of right); met in the bin where the later of the two starts."""
     a = left.select(*key, "lid", F.col("start").alias("s1"), F.col("end").alias("e1")).withColumn("bin", F.explode(F.sequence(_bin(F.col("s1"), width), _bin(F.col("e1"), width))))
     b = right.withColumn("bin", F.explode(F.sequence(_bin(F.col("start"), width), _bin(F.col("end"), width))))
-    j = a.join(b, [*key, "bin"]).where((F.col("start") < F.col("e1")) & (F.col("end") > F.col("s1")) & (F.col("bin") == _bin(F.greatest("s1", "start"), width)))
+    j = dealt(a, *key, "bin").join(dealt(b, *key, "bin"), [*key, "bin"]).where((F.col("start") < F.col("e1")) & (F.col("end") > F.col("s1")) & (F.col("bin") == _bin(F.greatest("s1", "start"), width)))
     return j.withColumn("seconds", F.least("e1", "end") - F.greatest("s1", "start"))
 
 
 def majority(left: DataFrame, windows: DataFrame, key: list[str]) -> DataFrame:
     """(lid, label): the label of most overlapping windows, ties to the lowest."""
-    n = overlap_pairs(left, windows, key).groupBy("lid", "label").agg(F.count("*").alias("n"))
+    n = dealt(overlap_pairs(left, windows, key).select("lid", "label"), "lid").groupBy("lid", "label").agg(F.count("*").alias("n"))
     return n.groupBy("lid").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
 
 
 def weighted(left: DataFrame, windows: DataFrame, key: list[str]) -> DataFrame:
     """(lid, label, share): the label with most overlapping time, ties to the lowest, and its share."""
-    n = overlap_pairs(left, windows, key).groupBy("lid", "label").agg(F.round(F.sum("seconds"), 9).alias("s"))
+    n = dealt(overlap_pairs(left, windows, key).select("lid", "label", "seconds"), "lid").groupBy("lid", "label").agg(F.round(F.sum("seconds"), 9).alias("s"))
     return n.groupBy("lid").agg(F.max_by("label", F.struct("s", -F.col("label"))).alias("label"), (F.max("s") / F.sum("s")).alias("share"))
 
 

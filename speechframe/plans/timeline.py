@@ -141,7 +141,7 @@ def turns(spark, d):
 
 
 def points(spark, d):
-    p = table(spark, d, "conversations").select("conv_id").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(59))))
+    p = intervals.dealt(table(spark, d, "conversations").select("conv_id"), "conv_id").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(59))))
     return p.select((F.col("conv_id") * 1000 + F.col("i")).alias("pid"), F.col("conv_id").alias("m"), (F.col("i") * 1.25).alias("t"))
 
 

@@ -284,3 +284,23 @@ def test_fold_cuts_keys_from_sorted_rows(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == sorted(((k, i, round(sum(x for q, j, x in rows if q == k and j <= i), 6), i) for k, i, _ in rows), key=str)
     assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+
+
+def test_isolated_batches_share_groups(spark):
+    """Batches of one group fail apart; whole numbers beside nulls stay exact; a group is many batches."""
+    def f(b):
+        if (b["ord"] == 5).any():
+            raise clusters.BatchFailed("five")
+        return b.assign(y=b["ord"] + (1 << 53))
+
+    out = clusters.isolated(spark.range(2000).selectExpr("1 k", "id ord"), "k", "ord", 2, f, "y long")
+    assert {r.ord: r.y for r in out.collect()} == {k: None if k in (4, 5) else k + (1 << 53) for k in range(2000)}
+    assert "__block" in out._jdf.queryExecution().toString()
+
+
+def test_votes_are_dealt_to_all_partitions(spark):
+    """Few bytes, many rows: they don't meet in one task."""
+    spans = spark.range(200).selectExpr("id m", "id lid", "0D start", "9D end")
+    windows = spark.range(200).selectExpr("id m", "1D start", "2D end", "1 label")
+    for votes in (intervals.majority(spans, windows, ["m"]), intervals.weighted(spans, windows, ["m"])):
+        assert votes.rdd.getNumPartitions() == 4
