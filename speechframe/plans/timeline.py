@@ -20,8 +20,10 @@ SEG_SQL = """seg AS (SELECT user_id AS m, row_number() OVER (PARTITION BY user_i
     event_type AS speaker, CAST(strpos('cepsv', left(event_type, 1)) + CASE event_type WHEN 'signup' THEN 0 ELSE 0 END AS INTEGER) AS label, ' ' || event_type AS word FROM events)"""
 
 
-def segments(spark, d):
+def segments(spark, d, dealt: bool = False):
+    """dealt: users stay in as many partitions as given, for what makes many rows of a segment."""
     e = table(spark, d, "events")
+    e = intervals.dealt(e.select("user_id", "ts", "event_id", "event_type"), "user_id") if dealt else e
     start = F.floor(F.unix_micros("ts") / 1_000_000 - 1704067200).cast("double") / 4096
     return e.select(
         F.col("user_id").alias("m"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("ord"), "event_id", start.alias("start"), (start + (1 + F.col("event_id") % 9) / 4.0).alias("end"),
@@ -86,7 +88,7 @@ def w8(spark, d):
     SELECT m, CAST(island AS BIGINT) AS island, label, round(min(cell) * 0.5, 6)::DOUBLE AS start, round(max(cell) * 0.5 + 0.5, 6)::DOUBLE AS "end" FROM i GROUP BY 1, 2, 3""")
 def w10(spark, d):
     """A majority a cell, ties to the first seen."""
-    return rounded(sequence.grid_vote(segments(spark, d), KEY))
+    return rounded(sequence.grid_vote(segments(spark, d, dealt=True), KEY))
 
 
 @query("w11_fill_gaps", f"""WITH {SEG_SQL}, l AS (SELECT *, lag("end") OVER w AS a, lead(start) OVER w AS b FROM seg WINDOW w AS (PARTITION BY m ORDER BY start, ord)),

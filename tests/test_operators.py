@@ -304,3 +304,10 @@ def test_votes_are_dealt_to_all_partitions(spark):
     windows = spark.range(200).selectExpr("id m", "1D start", "2D end", "1 label")
     for votes in (intervals.majority(spans, windows, ["m"]), intervals.weighted(spans, windows, ["m"])):
         assert votes.rdd.getNumPartitions() == 4
+
+
+def test_grid_vote_is_dealt_to_all_partitions(spark):
+    """Users stay in four partitions, however few bytes they are."""
+    from speechframe.queries import QUERIES
+
+    assert QUERIES["w10_grid_vote"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
