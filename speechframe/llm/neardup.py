@@ -46,6 +46,8 @@ from .components import components
 BESIDE, BLOCK = 256, 256
 #: Word hashes remembered by a task (the memory is emptied when full).
 MEMORY = 150_000
+#: Shingles of a cell's sets that are numbered at a time.
+STRETCH = 1 << 18
 
 
 class Shingler:
@@ -196,6 +198,34 @@ def per_cell(dealt: DataFrame, out: str, f) -> DataFrame:
     return map_arrow(dealt.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j"), run, schema(out))
 
 
+def intersections(sets: list[np.ndarray | None], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets x[k] and y[k], which are sorted: one by one if few, else as products of 0/1 matrices.
+
+    Hashes are spread evenly, so equal ranges of them hold about STRETCH shingles of all
+    sets together; one range at a time is numbered and multiplied.
+    """
+    if len(x) <= 512:
+        return np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(x, y)], np.int64)
+    used = np.unique(np.concatenate([x, y]))
+    total = np.zeros((len(used), len(used)), np.float32)
+    ranges = 1 + sum(len(sets[k]) for k in used) // STRETCH
+    at = [0] * len(used)
+    for r in range(1, ranges + 1):
+        ends = [len(sets[k]) if r == ranges else int(np.searchsorted(sets[k], np.uint64((r << 64) // ranges))) for k in used]
+        parts = [sets[k][a:b] for k, a, b in zip(used, at, ends)]
+        at = ends
+        owner = np.repeat(np.arange(len(used)), [len(p) for p in parts])
+        values, codes = np.unique(np.concatenate(parts), return_inverse=True)
+        order = np.argsort(codes, kind="stable")
+        owner, codes = owner[order], codes[order]
+        for lo in range(0, len(values), 8192):
+            p, q = np.searchsorted(codes, [lo, lo + 8192])
+            m = np.zeros((len(used), min(8192, len(values) - lo)), np.float32)
+            m[owner[p:q], codes[p:q] - lo] = 1
+            total += m @ m.T
+    return total[np.searchsorted(used, x), np.searchsorted(used, y)].astype(np.int64)
+
+
 def across_blocks(open_: DataFrame, sides: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) between different components of members that share a key. open_: (c, node, component), c the smallest member of the key.
 
@@ -212,23 +242,6 @@ def across_blocks(open_: DataFrame, sides: DataFrame, shingle: int, percent: int
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = cells.select("c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n_shingles", "regs")
 
-    def intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Sizes of the intersections of sets x[k] and y[k]: one by one if few, else as products of 0/1 matrices over stretches of the shingles."""
-        if len(x) <= 512:
-            return np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(x, y)], np.int64)
-        used = np.unique(np.concatenate([x, y]))
-        owner = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used])
-        codes = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True)[1]
-        order = np.argsort(codes, kind="stable")
-        owner, codes = owner[order], codes[order]
-        total = np.zeros((len(used), len(used)), np.float32)
-        for lo in range(0, int(codes[-1]) + 1, 8192):
-            p, q = np.searchsorted(codes, [lo, lo + 8192])
-            m = np.zeros((len(used), 8192), np.float32)
-            m[owner[p:q], codes[p:q] - lo] = 1
-            total += m @ m.T
-        return total[np.searchsorted(used, x), np.searchsorted(used, y)].astype(np.int64)
-
     def open_pairs(rows: list[list], left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
         """rows: own, node, component, n_shingles, regs; pairs of the left block with the right (or within it, if they are the same) that may be links of two components."""
         block, _, comps, sizes = (np.array([r[k] for r in rows]) for k in range(4))
@@ -258,7 +271,10 @@ def across_blocks(open_: DataFrame, sides: DataFrame, shingle: int, percent: int
         if not memory:
             memory.append(Shingler(shingle))
         used = set(x.tolist()) | set(y.tolist())
-        sets = [memory[0].of(r[5]) if k in used else None for k, r in enumerate(rows)]
+        sets = []
+        for k, r in enumerate(rows):
+            sets.append(memory[0].of(r[5]) if k in used else None)
+            r[5] = None  # its set stands for it from here on
         same = intersections(sets, x, y)
         total = np.array([0 if v is None else len(v) for v in sets])
         link = 100 * same >= percent * (total[x] + total[y] - same)

@@ -105,6 +105,22 @@ def test_many_products_give_the_same_intersections(docs, monkeypatch):
     assert {r.doc_id: r.component_id for r in neardup.groups(docs(rows), 1, 75).collect()} == brute(rows, 1, 75)
 
 
+def test_intersections_of_a_cell_need_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(0, 1 << 64, 12_000, dtype=np.uint64))
+    sets = [np.sort(rng.choice(pool, 10_000, replace=False)) for _ in range(200)] + [None, pool[:1]]
+    x, y = (a[:1_000] for a in np.triu_indices(200, 1))
+    x, y = np.append(x, 0), np.append(y, 201)
+    tracemalloc.start()
+    got = neardup.intersections(sets, x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [len(np.intersect1d(sets[p], sets[q])) for p, q in zip(x, y)]
+    assert peak < 40 << 20  # 109 MB when all 2,000,000 shingles were numbered at once
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**63, 3000, dtype=np.uint64), rng.integers(0, 2**63, 500, dtype=np.uint64)
